@@ -39,3 +39,12 @@ CLINICAL_FEATURES_SQL = (
 )
 
 RULE_PROB_SQL = "least(greatest(alvarado_score / 10.0, 0.05), 0.95)"
+
+
+def union(parts: list[str]) -> str:
+    return " UNION ALL ".join(parts)
+
+
+def per_col(cols: list[str], template: str) -> str:
+    """UNION ALL of ``template.format(c=col)`` over columns."""
+    return union([template.format(c=c) for c in cols])
