@@ -30,7 +30,11 @@ class Query:
             return None
         if not self.doubles:
             return self.sql
-        rep = ", ".join(f"round({c}, {PLACES}) + 0.0 AS {c}" for c in self.doubles)
+        # Spark rounds a double through its decimal string (HALF_UP); do the
+        # same in DuckDB so that near-ties round identically.
+        rep = ", ".join(
+            f'CASE WHEN isfinite("{c}") THEN CAST(round(CAST(CAST("{c}" AS VARCHAR) AS DECIMAL(38,17)), {PLACES}) '
+            f'AS DOUBLE) + 0.0 ELSE "{c}" END AS "{c}"' for c in self.doubles)
         return f"SELECT * REPLACE ({rep}) FROM ({self.sql}) q"
 
     def run(self, spark, sf_dir: str) -> DataFrame:

@@ -19,9 +19,10 @@ def iqr_cap(src: str, cols: list[str], k: float = 1.5) -> str:
 
 
 LAB_COMPOSITE_SQL = (
-    "(CASE WHEN white_blood_cell_count IS NULL THEN NULL ELSE least(white_blood_cell_count / 20.0, 1.0) END) * 0.4"
-    " + (neutrophil_percentage / 100.0) * 0.3"
-    " + (CASE WHEN c_reactive_protein IS NULL THEN NULL ELSE least(c_reactive_protein / 150.0, 1.0) END) * 0.3"
+    "(CASE WHEN white_blood_cell_count IS NULL THEN NULL ELSE least(white_blood_cell_count / 20.0, 1.0) END)"
+    " * CAST(0.4 AS DOUBLE) + (neutrophil_percentage / 100.0) * CAST(0.3 AS DOUBLE)"
+    " + (CASE WHEN c_reactive_protein IS NULL THEN NULL ELSE least(c_reactive_protein / 150.0, 1.0) END)"
+    " * CAST(0.3 AS DOUBLE)"
 )
 
 SYMPTOM_COUNT_SQL = ("coalesce(migration,0) + coalesce(anorexia,0) + coalesce(nausea,0) + coalesce(vomiting,0)"
