@@ -154,7 +154,7 @@ def display_name(c) -> Column:
 def display_name_sql(c: str) -> str:
     cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DISPLAY_NAMES.items())
     title = (f"array_to_string(list_transform(string_split({c}, '_'), "
-             f"w -> upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')")
+             f"lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')")
     return f"CASE {c} {cases} ELSE {title} END"
 
 
@@ -176,9 +176,9 @@ def human_bytes(c) -> Column:
     e = None
     for i, u in enumerate(BYTE_UNITS):
         cond = x < F.lit(1024.0 ** (i + 1))
-        val = F.concat(F.format_string("%.2f", x / F.lit(1024.0 ** i)), F.lit(" " + u))
+        val = F.concat(F.format_string("%.2f", F.round(x / F.lit(1024.0 ** i), 2)), F.lit(" " + u))
         e = F.when(cond, val) if e is None else e.when(cond, val)
-    return e.otherwise(F.concat(F.format_string("%.2f", x / F.lit(1024.0 ** 5)), F.lit(" PB")))
+    return e.otherwise(F.concat(F.format_string("%.2f", F.round(x / F.lit(1024.0 ** 5), 2)), F.lit(" PB")))
 
 
 def report_id(ts) -> Column:

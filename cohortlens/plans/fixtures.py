@@ -63,7 +63,7 @@ FEEDBACK_EXPRS = [
     ("report_id", "CAST(conv_id * 10 + turn AS BIGINT)"),
     ("conv_id", "conv_id"),
     ("prediction_class", "CASE (conv_id + turn) % 3 WHEN 0 THEN 'Élevé' WHEN 1 THEN 'Faible' ELSE 'Intermédiaire' END"),
-    ("prediction_probability", "CAST(0.05 + ((conv_id * 37 + turn * 11) % 91) / 100.0 AS DOUBLE)"),
+    ("prediction_probability", "CAST(5 + (conv_id * 37 + turn * 11) % 91 AS DOUBLE) / 100.0"),
     ("diagnostic_accuracy", "CASE WHEN (conv_id + turn) % 17 = 0 THEN 'n/a' ELSE CAST(1 + (length(text) + turn) % 5 AS STRING) END"),
     ("usefulness_rating", "CASE WHEN (conv_id * 3 + turn) % 19 = 0 THEN NULL ELSE CAST(1 + (length(text) * 7 + conv_id) % 5 AS STRING) END"),
     ("actual_diagnosis", "CASE (conv_id * 7 + turn) % 4 WHEN 0 THEN 'appendicite' WHEN 1 THEN 'non_appendicite' WHEN 2 THEN 'autre' ELSE 'appendicite' END"),
