@@ -102,31 +102,93 @@ def cumulative_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return r.withColumn("n_before", F.col("cum_cnt") - F.col("cnt"))
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets: int = 256) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy/pandas default,
-    Spark ``percentile``, DuckDB ``quantile_cont``), by rank selection over
-    distinct-value counts — no group holds a whole column.
+    Spark ``percentile``, DuckDB ``quantile_cont``) by distributed selection —
+    no task ever holds a whole column:
+
+    A. one aggregate: non-null count and ``buckets`` approximate bounds per
+       column (bounded sketches);
+    B. one aggregate: rows per (column, bucket) — tells exactly which bucket
+       holds each target rank and how many rows precede it;
+    C. only the rows of those target buckets (≈ n/buckets each) are
+       value-counted and ranked inside their bucket.
 
     Returns (column, prob, value)."""
+    import math
     spark = df.sparkSession
-    cum = cumulative_counts(df, cols)
-    n = cum.groupBy("column").agg(F.max("cum_cnt").alias("n"))
-    pr = spark.createDataFrame([(float(p),) for p in probs], "prob double")
-    tgt = (n.crossJoin(pr)
-           .withColumn("h", (F.col("n") - 1) * F.col("prob"))
-           .withColumn("lo", F.floor("h").cast("bigint"))
-           .withColumn("hi", F.ceil("h").cast("bigint")))
-    pos = tgt.select(F.col("column").alias("_qcol"), "prob", "h", "lo", "hi",
-                     F.explode(F.array_distinct(F.array("lo", "hi"))).alias("pos"))
-    # targets: (#columns × #probs × 2) rows — a proven bound, broadcast.
-    hit = cum.join(F.broadcast(pos), (F.col("column") == F.col("_qcol")) &
-                   (F.col("pos") >= F.col("n_before")) & (F.col("pos") < F.col("cum_cnt")))
+    fr = [i / buckets for i in range(1, buckets)]
+    a = df.agg(*[F.count(c).alias(f"{c}__n") for c in cols],
+               *[F.percentile_approx(F.col(c).cast("double"), fr, 10 * buckets).alias(f"{c}__b") for c in cols]).collect()[0]
+    n = {c: a[f"{c}__n"] for c in cols}
+    bounds = {c: sorted(set(a[f"{c}__b"] or [])) for c in cols}
+    live = [c for c in cols if n[c]]
+    # bucket i = [splits[i], splits[i+1]) with splits = -inf, bounds..., +inf
+    splits = {c: [float("-inf")] + [float(b) for b in bounds[c]] + [float("inf")] for c in live}
+    cnt = {}
+    if live:
+        from pyspark.ml.feature import Bucketizer
+        src = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(live)])
+        # rows per (column, bucket): JVM binary search per value (one
+        # multi-column Bucketizer pass), map-side combined
+        bz = Bucketizer(splitsArray=[splits[c] for c in live], inputCols=[f"_x{i}" for i in range(len(live))],
+                        outputCols=[f"_b{i}" for i in range(len(live))], handleInvalid="keep")
+        bk = bz.transform(src)
+        per = (bk.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_b{i}").cast("int").alias("bk"))
+                                             for i, c in enumerate(live)])).alias("t"))
+               .select("t.*").where(F.col("bk").isNotNull())
+               .groupBy("column", "bk").agg(F.count(F.lit(1)).alias("rows")))
+        for r in per.collect():                       # ≤ #columns × buckets rows
+            cnt[(r["column"], r["bk"])] = r["rows"]
+    targets, need = [], {}
+    for c in live:
+        nb = len(splits[c]) - 1
+        cum, starts = 0, []
+        for b in range(nb):
+            starts.append(cum)
+            cum += cnt.get((c, b), 0)
+        for p in probs:
+            h = (n[c] - 1) * p
+            lo, hi = int(math.floor(h)), int(math.ceil(h))
+            targets.append((c, float(p), float(h), lo, hi))
+            for pos in {lo, hi}:
+                b = max(i for i in range(nb) if starts[i] <= pos)
+                need.setdefault(c, {})[b] = starts[b]
+    if not targets:
+        return spark.createDataFrame([], "column string, prob double, value double")
+    # C: value counts inside the target buckets only, ranked within bucket
+    parts = []
+    for c, bks in need.items():
+        x = F.col(c).cast("double")
+        bk = None
+        for b in bks:
+            cond = (x >= F.lit(splits[c][b])) & (x < F.lit(splits[c][b + 1]))
+            bk = F.when(cond, F.lit(b)) if bk is None else bk.when(cond, F.lit(b))
+        off = F.create_map(*[v for b, st in bks.items() for v in (F.lit(b), F.lit(st))])
+        t = df.select(F.lit(c).alias("column"), bk.alias("bk"), x.alias("value")).where(F.col("bk").isNotNull())
+        parts.append(t.withColumn("offset", off[F.col("bk")]))
+    u = parts[0]
+    for p_ in parts[1:]:
+        u = u.unionByName(p_)
+    vc = u.groupBy("column", "bk", "offset", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    w = Window.partitionBy("column", "bk").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = vc.withColumn("cum_cnt", F.col("offset") + F.sum("cnt").over(w)).withColumn(
+        "n_before", F.col("cum_cnt") - F.col("cnt"))
+    tg = spark.createDataFrame(targets, "_qcol string, prob double, h double, lo bigint, hi bigint")
+    pos = tg.select("*", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("pos"))
+    hit = ranked.join(F.broadcast(pos), (F.col("column") == F.col("_qcol")) &
+                      (F.col("pos") >= F.col("n_before")) & (F.col("pos") < F.col("cum_cnt")))
     g = hit.groupBy("column", "prob", "h", "lo", "hi").agg(
         F.max(F.when(F.col("pos") == F.col("lo"), F.col("value"))).alias("lo_v"),
         F.max(F.when(F.col("pos") == F.col("hi"), F.col("value"))).alias("hi_v"))
     val = F.when(F.col("lo") == F.col("hi"), F.col("lo_v")).otherwise(
         (F.col("hi") - F.col("h")) * F.col("lo_v") + (F.col("h") - F.col("lo")) * F.col("hi_v"))
-    return g.select("column", "prob", val.alias("value"))
+    res = g.select("column", "prob", val.alias("value"))
+    empty = [c for c in cols if not n[c]]
+    if empty:
+        res = res.unionByName(spark.createDataFrame([(c, float(p), None) for c in empty for p in probs],
+                                                    "column string, prob double, value double"))
+    return res
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact") -> DataFrame:
