@@ -217,6 +217,7 @@ def patient_summary(prefix: str = "") -> Column:
     ]
     head = F.concat_ws("\n", F.concat(F.lit("Age: "), p("age").cast("string"), F.lit(" years")),
                        F.concat(F.lit("Gender: "), p("gender").cast("string")))
+    lab_txt = F.concat_ws("\n- ", *labs)
     return F.concat_ws("\n\n", head,
                        F.concat(F.lit("Clinical Features:\n- "), F.concat_ws("\n- ", *clinical)),
-                       F.concat(F.lit("Laboratory Values:\n- "), F.concat_ws("\n- ", *labs)))
+                       F.when(lab_txt != "", F.concat(F.lit("Laboratory Values:\n- "), lab_txt)))

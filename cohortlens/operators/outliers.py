@@ -83,7 +83,9 @@ def handle_outliers(df: DataFrame, cols: list[str], method: str = "iqr", treatme
     bounds = {}
     for m in sorted({m for m, _ in plan.values()}):
         cs = [c for c in cols if plan[c][0] == m]
-        for c, b in fit_bounds(df, cs, m, exact=exact).items():
+        # centre statistics (median, q.05/q.95) only when a treatment uses them
+        center = any(plan[c][1] in ("median", "winsorize") for c in cs)
+        for c, b in fit_bounds(df, cs, m, need_center=center, exact=exact).items():
             bounds[c] = b
     active = [c for c in cols if c in bounds]
     flags = {c: flag_expr(c, bounds[c], plan[c][0]) for c in active}
