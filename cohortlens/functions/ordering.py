@@ -102,7 +102,14 @@ def cumulative_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return r.withColumn("n_before", F.col("cum_cnt") - F.col("cnt"))
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets: int = 256) -> DataFrame:
+# Above this many non-null values per column, Spark's ``percentile`` (whose
+# final buffer holds every distinct value of the column in one task) is not
+# used; the distributed selection below takes over.
+LOCAL_PERCENTILE_LIMIT = 2_000_000
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets: int = 256,
+                    local_limit: int = LOCAL_PERCENTILE_LIMIT) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy/pandas default,
     Spark ``percentile``, DuckDB ``quantile_cont``) by distributed selection —
     no task ever holds a whole column:
@@ -117,9 +124,17 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets:
     Returns (column, prob, value)."""
     import math
     spark = df.sparkSession
+    counts = df.agg(*[F.count(c).alias(c) for c in cols]).collect()[0]
+    if max(counts[c] for c in cols) <= local_limit:
+        # size-checked: every column's buffer is bounded by local_limit values
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), [float(p) for p in probs]).alias(c) for c in cols])
+        st = stack_long(row, cols, value_type="array<double>", value_col="vals")
+        pr = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "i int, prob double")
+        return st.crossJoin(F.broadcast(pr)).select("column", "prob",
+                                                    F.element_at("vals", F.col("i") + 1).alias("value"))
     fr = [i / buckets for i in range(1, buckets)]
     a = df.agg(*[F.count(c).alias(f"{c}__n") for c in cols],
-               *[F.percentile_approx(F.col(c).cast("double"), fr, 10 * buckets).alias(f"{c}__b") for c in cols]).collect()[0]
+               *[F.percentile_approx(F.col(c).cast("double"), fr, 2 * buckets).alias(f"{c}__b") for c in cols]).collect()[0]
     n = {c: a[f"{c}__n"] for c in cols}
     bounds = {c: sorted(set(a[f"{c}__b"] or [])) for c in cols}
     live = [c for c in cols if n[c]]

@@ -30,12 +30,27 @@ def test_running_sum_descending(spark):
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.floats(-1e3, 1e3, allow_nan=False), min_size=1, max_size=60))
 def test_exact_quantiles_match_numpy(spark, xs):
-    from cohortlens.functions.ordering import quantile_dict
+    from cohortlens.functions.ordering import exact_quantiles
     df = spark.createDataFrame([(float(x),) for x in xs], "x double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    q = quantile_dict(df, ["x"], probs)
+    for limit in (0, 10 ** 9):          # 0 forces the distributed selection path
+        q = {r["prob"]: r["value"] for r in exact_quantiles(df, ["x"], probs, buckets=8, local_limit=limit).collect()}
+        for p in probs:
+            assert q[p] == pytest.approx(float(np.quantile(xs, p)), rel=1e-9, abs=1e-9)
+
+
+def test_distributed_quantiles_with_ties_and_nulls(spark):
+    from cohortlens.functions.ordering import exact_quantiles
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 50, 20000).astype(float)
+    b = np.where(rng.random(20000) < 0.1, np.nan, rng.normal(size=20000))
+    pdf = pd.DataFrame({"a": a, "b": b})
+    df = spark.createDataFrame(pdf).selectExpr("a", "CASE WHEN isnan(b) THEN NULL ELSE b END AS b")
+    probs = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+    got = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, ["a", "b"], probs, local_limit=0).collect()}
     for p in probs:
-        assert q[("x", p)] == pytest.approx(float(np.quantile(xs, p)), rel=1e-9, abs=1e-9)
+        assert got[("a", p)] == pytest.approx(np.quantile(a, p))
+        assert got[("b", p)] == pytest.approx(np.quantile(b[~np.isnan(b)], p))
 
 
 def test_global_row_number_is_permutation(spark):
