@@ -47,14 +47,30 @@ def _bucketize(df: DataFrame, order_col: str, part: list[str], buckets: int) ->
     return joined.withColumn("_bk", F.size(F.filter("_bnd", lambda b: b < F.col(order_col)))).drop("_bnd")
 
 
+# A window task may hold at most this many rows; above it the two-level
+# (bucketed) prefix sum is used.
+LOCAL_WINDOW_LIMIT = 1_000_000
+
+
 def running_sum(df: DataFrame, order_cols: list[str] | str, weights: list[str] | str,
                 partition_cols: list[str] | tuple = (), descending: bool = False,
-                buckets: int = DEFAULT_BUCKETS, prefix: str = "cum_") -> DataFrame:
+                buckets: int = DEFAULT_BUCKETS, prefix: str = "cum_",
+                local_limit: int = LOCAL_WINDOW_LIMIT) -> DataFrame:
     """Inclusive running sum of ``weights`` ordered by ``order_cols`` (a total
-    order within each partition), per partition.  Adds ``{prefix}{w}``."""
+    order within each partition), per partition.  Adds ``{prefix}{w}``.
+
+    Size-checked: one small job counts rows per partition key (≤ #keys rows
+    collected); when every key has ≤ ``local_limit`` rows a plain window is
+    bounded and cheapest, otherwise the bucketed two-level prefix sum runs."""
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     weights = [weights] if isinstance(weights, str) else list(weights)
     part = list(partition_cols)
+    oc = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
+    if local_limit > 0:
+        biggest = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).collect()[0][0] or 0
+        if biggest <= local_limit:
+            w = Window.partitionBy(*part).orderBy(*oc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            return df.select(*[F.col(c) for c in df.columns], *[F.sum(x).over(w).alias(f"{prefix}{x}") for x in weights])
     tb = _bucketize(df, order_cols[0], part, buckets)
     tot = tb.groupBy(*part, "_bk").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
     bo = F.col("_bk").desc() if descending else F.col("_bk").asc()
@@ -63,7 +79,6 @@ def running_sum(df: DataFrame, order_cols: list[str] | str, weights: list[str] |
     off = tot.select(*part, "_bk", *[F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}")
                                       for w in weights])
     res = tb.join(F.broadcast(off), part + ["_bk"])
-    oc = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
     inside = Window.partitionBy(*part, "_bk").orderBy(*oc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = [F.col(c) for c in df.columns] + [
         (F.col(f"_o_{w}") + F.sum(w).over(inside)).alias(f"{prefix}{w}") for w in weights]

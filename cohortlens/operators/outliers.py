@@ -185,6 +185,10 @@ def dbscan_noise_values(df: DataFrame, cols: list[str], eps: float = 0.5, min_sa
     vals = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
     n = _range_counts(vals, eps, "cnt")
     v2 = vals.join(n, ["column", "value"]).withColumn("core", F.col("in_range") >= min_samples).drop("in_range")
+    # the core pass reads the first pass's result: materialise it in the
+    # shared checkpoint folder instead of recomputing its lineage
+    from ..session import cut_lineage
+    v2 = cut_lineage(v2)
     c2 = _range_counts(v2.withColumn("is_core", F.col("core").cast("int")), eps, "is_core")
     out = v2.join(c2, ["column", "value"])
     return out.select("column", "value", "cnt", "core",

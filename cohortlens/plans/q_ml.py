@@ -39,7 +39,9 @@ def _standardized(s, d):
     from ..session import cut_lineage
     t = training_frame(s, d)
     params = TR.standardize_expr(t.where("split = 'train'"), FEATS)[1]
-    return cut_lineage(apply_standard(t, params))
+    t = cut_lineage(apply_standard(t, params))
+    # iterative learners run one job per iteration: one partition per core
+    return t.coalesce(s.sparkContext.defaultParallelism)
 
 
 def _eval_kind(t, kind, **kw):

@@ -15,7 +15,7 @@ def test_running_sum_matches_cumsum(spark):
     w = rng.integers(1, 5, 500)
     pdf = pd.DataFrame({"g": g, "v": v, "w": w}).drop_duplicates(["g", "v"])
     df = spark.createDataFrame(pdf)
-    got = running_sum(df, "v", "w", ["g"], buckets=16).toPandas().sort_values(["g", "v"])
+    got = running_sum(df, "v", "w", ["g"], buckets=16, local_limit=0).toPandas().sort_values(["g", "v"])
     exp = pdf.sort_values(["g", "v"]).groupby("g")["w"].cumsum()
     assert got["cum_w"].tolist() == exp.tolist()
 
@@ -23,7 +23,7 @@ def test_running_sum_matches_cumsum(spark):
 def test_running_sum_descending(spark):
     from cohortlens.functions.ordering import running_sum
     pdf = pd.DataFrame({"v": np.arange(100.0), "w": np.ones(100)})
-    got = running_sum(spark.createDataFrame(pdf), "v", "w", descending=True, buckets=8).toPandas().sort_values("v")
+    got = running_sum(spark.createDataFrame(pdf), "v", "w", descending=True, buckets=8, local_limit=0).toPandas().sort_values("v")
     assert got["cum_w"].tolist() == list(np.arange(100, 0, -1.0))
 
 
@@ -73,3 +73,13 @@ def test_dbscan_noise_matches_brute_force(spark):
     core = nb >= 5
     noise = [(not core[i]) and not core[np.abs(z - z[i]) <= 0.5].any() for i in range(len(z))]
     assert n_noise == sum(noise)
+
+
+def test_running_sum_local_path_equals_bucketed(spark):
+    from cohortlens.functions.ordering import running_sum
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, 3000), "v": rng.normal(size=3000), "w": rng.integers(1, 9, 3000)})
+    df = spark.createDataFrame(pdf.drop_duplicates(["g", "v"]))
+    a = running_sum(df, "v", "w", ["g"], descending=True, local_limit=0).toPandas().sort_values(["g", "v"])
+    b = running_sum(df, "v", "w", ["g"], descending=True).toPandas().sort_values(["g", "v"])
+    assert a["cum_w"].tolist() == b["cum_w"].tolist()
