@@ -73,8 +73,9 @@ def isolation_forest(df: DataFrame, features: list[str], id_col: str, n_trees: i
     # pre-filter by the per-tree hash fraction in the map stage, then keep the
     # psi smallest hashes per tree: every tree group is bounded by ~4·psi rows
     x = df.select(id_col, *[F.col(c).cast("double") for c in features]).crossJoin(F.broadcast(trees))
-    hk = hash_key(F.concat_ws("|", F.col(id_col).cast("string"), F.col("tree").cast("string")), seed)
-    x = x.withColumn("_u", hk / F.lit(float(2 ** 60))).where(F.col("_u") < frac)
+    # per-(row, tree) uniform from a seeded 64-bit hash (codegen'd, no strings)
+    hk = F.xxhash64(F.col(id_col), F.col("tree"), F.lit(seed))
+    x = x.withColumn("_u", (hk.cast("double") / F.lit(float(2 ** 64))) + F.lit(0.5)).where(F.col("_u") < frac)
     w = Window.partitionBy("tree").orderBy("_u", id_col)
     samp = x.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r", "_u", id_col)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
@@ -89,8 +90,9 @@ def isolation_forest(df: DataFrame, features: list[str], id_col: str, n_trees: i
 
     schema = "tree long, feat array<int>, thr array<double>, left array<int>, right array<int>, size array<int>"
     forest = samp.groupBy("tree").applyInPandas(build, schema).collect()   # n_trees × ≤ 2·psi nodes
-    model = [(np.array(r["feat"]), np.array(r["thr"]), np.array(r["left"]), np.array(r["right"]), np.array(r["size"]))
-             for r in forest]
+    # per node: leaf path-length correction c(size) precomputed once
+    model = [(np.array(r["feat"]), np.array(r["thr"]), np.array(r["left"]), np.array(r["right"]),
+              np.array([_c(int(v)) for v in r["size"]])) for r in forest]
     bc = spark.sparkContext.broadcast(model)
     cn = _c(psi)
 
@@ -98,7 +100,7 @@ def isolation_forest(df: DataFrame, features: list[str], id_col: str, n_trees: i
     def path_score(*cols: pd.Series) -> pd.Series:
         X = np.column_stack([c.to_numpy(dtype=float) for c in cols])
         total = np.zeros(len(X))
-        for fe, th, le, ri, sz in bc.value:
+        for fe, th, le, ri, csz in bc.value:
             node = np.zeros(len(X), dtype=int)
             depth = np.zeros(len(X))
             active = fe[node] >= 0
@@ -109,7 +111,7 @@ def isolation_forest(df: DataFrame, features: list[str], id_col: str, n_trees: i
                 node[active] = nxt
                 depth[active] += 1
                 active = fe[node] >= 0
-            total += depth + np.array([_c(int(s)) for s in sz[node]])
+            total += depth + csz[node]
         eh = total / len(bc.value)
         return pd.Series(np.power(2.0, -eh / cn))
 
