@@ -99,26 +99,38 @@ def yeo_johnson_grid(lo: float = -2.0, hi: float = 2.0, step: float = 0.05) -> l
 
 
 def fit_yeo_johnson(df: DataFrame, cols: list[str], grid: list[float] | None = None) -> DataFrame:
-    """E18 fit: for every (column, lambda) on the grid the YJ
-    log-likelihood  -n/2·log(var_pop(y)) + (λ-1)·Σ sign(x)·log1p(|x|),
-    all in ONE grouped aggregation (grid rows are generated inside the map
-    stage and combined before any shuffle).  Returns (column, lambda, llf)
-    of the best lambda per column (ties -> smaller lambda)."""
+    """E18 fit: the lambda on the grid maximising the YJ log-likelihood
+    -n/2·log(var_pop(y)) + (λ-1)·Σ sign(x)·log1p(|x|).
+
+    Pass 1 ranks every (column, λ) on distinct values with counts (grid rows
+    are generated inside the map stage and combined before any shuffle);
+    pass 2 recomputes the log-likelihood of the chosen λ exactly over the
+    rows.  Returns (column, lambda, llf); ties -> smaller lambda."""
     from pyspark.sql import Window
     grid = grid or yeo_johnson_grid()
     spark = df.sparkSession
     g = spark.createDataFrame([(float(v),) for v in grid], "lambda double")
     long = stack_long(df, cols).where(F.col("value").isNotNull())
+    vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).cast("double").alias("w"))
     x = F.col("value")
     y = yeo_johnson_expr(x, F.col("lambda"))
-    t = long.crossJoin(F.broadcast(g)).select("column", "lambda", y.alias("y"),
-                                              (F.signum(x) * F.log1p(F.abs(x))).alias("sl"))
-    a = t.groupBy("column", "lambda").agg(F.count(F.lit(1)).alias("n"), F.var_pop("y").alias("v"),
-                                          F.sum("sl").alias("s"))
-    llf = -F.col("n") / 2.0 * F.log(F.col("v")) + (F.col("lambda") - 1) * F.col("s")
-    a = a.select("column", "lambda", llf.alias("llf"))
+    t = vc.crossJoin(F.broadcast(g)).select("column", "lambda", "w", y.alias("y"),
+                                            (F.signum(x) * F.log1p(F.abs(x))).alias("sl"))
+    a = t.groupBy("column", "lambda").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("sy"),
+                                          F.sum(F.col("w") * F.col("y") ** 2).alias("syy"),
+                                          F.sum(F.col("w") * F.col("sl")).alias("s"))
+    v = F.col("syy") / F.col("n") - (F.col("sy") / F.col("n")) ** 2
+    llf = -F.col("n") / 2.0 * F.log(v) + (F.col("lambda") - 1) * F.col("s")
     w = Window.partitionBy("column").orderBy(F.desc("llf"), "lambda")   # ≤ grid rows per column
-    return a.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    best = {r["column"]: r["lambda"] for r in
+            a.select("column", "lambda", llf.alias("llf")).withColumn("_r", F.row_number().over(w))
+            .where("_r = 1").collect()}                                  # one row per column
+    lam = F.create_map(*[v_ for c, l_ in best.items() for v_ in (F.lit(c), F.lit(float(l_)))])
+    ex = long.withColumn("lambda", lam[F.col("column")])
+    e = ex.groupBy("column", "lambda").agg(F.count(F.lit(1)).alias("n"), F.var_pop(yeo_johnson_expr(x, F.col("lambda")))
+                                           .alias("v"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("s"))
+    return e.select("column", "lambda",
+                    (-F.col("n") / 2.0 * F.log(F.col("v")) + (F.col("lambda") - 1) * F.col("s")).alias("llf"))
 
 
 def polynomial2(df: DataFrame, cols: list[str]) -> DataFrame:
