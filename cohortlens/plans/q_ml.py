@@ -109,23 +109,39 @@ def _q_score(s, d):
 register("m10_batch_scoring", family="train")(_q_score)
 
 
-def _q_curve(s, d):
+def _q_curve(s, d, parallelism: int = 4):
+    """10 growing subsets × 5 stratified folds, logistic regression;
+    train and validation AUC of a fold in one grouped job; fold fits are
+    submitted concurrently (driver threads, as CrossValidator.parallelism)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    import numpy as np
+    fracs = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
     t = _standardized(s, d).where("split = 'train'")
-    sub = growing_subsets(t, "encounter_id", [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]).cache()
+    parts = {f: kfold(growing_subsets(t, "encounter_id", [f]).drop("fraction"), "encounter_id", 5, stratify="label")
+             for f in fracs}
+    from ..session import cut_lineage
+    parts = {f: cut_lineage(p_) for f, p_ in parts.items()}
+
+    def one(job):
+        f, k = job
+        part = parts[f]
+        tr, va = part.where(F.col("fold") != k), part.where(F.col("fold") == k)
+        m, _, _ = TR.fit_model(tr, FEATS, "logistic", "label", maxIter=50)
+        both = TR.score(m, part, FEATS, "logistic").withColumn(
+            "which", F.when(F.col("fold") == k, "val").otherwise("train"))
+        got = {r["which"]: r["auc"] for r in ME.auc(both, "label", "score", by=["which"]).collect()}
+        return f, k, got["train"], got["val"]
+
+    with ThreadPoolExecutor(parallelism) as ex:
+        res = list(ex.map(one, [(f, k) for f in fracs for k in range(5)]))
     out = []
-    for f in [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]:
-        part = kfold(sub.where(F.col("fraction") == f).drop("fraction"), "encounter_id", 5, stratify="label")
-        tr_auc, va_auc = [], []
-        for k in range(5):
-            tr, va = part.where(F.col("fold") != k), part.where(F.col("fold") == k)
-            m, _, _ = TR.fit_model(tr, FEATS, "logistic", "label", maxIter=50)
-            tr_auc.append(ME.auc(TR.score(m, tr, FEATS, "logistic"), "label", "score").collect()[0]["auc"])
-            va_auc.append(ME.auc(TR.score(m, va, FEATS, "logistic"), "label", "score").collect()[0]["auc"])
-        import numpy as np
+    for f in fracs:
+        tr_auc = [r[2] for r in res if r[0] == f]
+        va_auc = [r[3] for r in res if r[0] == f]
         gap = float(np.mean(tr_auc) - np.mean(va_auc))
         verdict = "overfitting" if gap > 0.1 else ("underfitting" if np.mean(va_auc) < 0.7 else "good fit")
         out.append((f, float(np.mean(tr_auc)), float(np.std(tr_auc)), float(np.mean(va_auc)), float(np.std(va_auc)), verdict))
-    sub.unpersist()
     return s.createDataFrame(out, "fraction double, train_mean double, train_std double, val_mean double, val_std double, "
                                   "verdict string")
 
