@@ -68,14 +68,21 @@ def isolation_forest(df: DataFrame, features: list[str], id_col: str, n_trees: i
     spark = df.sparkSession
     n = df.count()
     psi = min(sample_size, n)
-    frac = min(1.0, 4.0 * psi / max(n, 1))
+
+    def unif(*cols):       # seeded 64-bit hash -> [0, 1), codegen'd, no strings
+        return (F.xxhash64(*cols, F.lit(seed)).cast("double") / F.lit(float(2 ** 64))) + F.lit(0.5)
+
+    # 1) one pass keeps a pool of ~4·trees·psi rows (independent of n), so the
+    #    per-tree draw below never multiplies the whole table by the tree count
+    pool_frac = min(1.0, 4.0 * n_trees * psi / max(n, 1))
+    pool = df.select(id_col, *[F.col(c).cast("double") for c in features]).where(unif(F.col(id_col)) < pool_frac)
+    pool_n = min(n, int(4 * n_trees * psi)) if pool_frac < 1.0 else n
+    # 2) each tree draws ~4·psi pool rows by a per-(row, tree) hash and keeps
+    #    the psi smallest: every tree group is bounded
+    frac = min(1.0, 4.0 * psi / max(pool_n, 1))
     trees = spark.range(n_trees).withColumnRenamed("id", "tree")
-    # pre-filter by the per-tree hash fraction in the map stage, then keep the
-    # psi smallest hashes per tree: every tree group is bounded by ~4·psi rows
-    x = df.select(id_col, *[F.col(c).cast("double") for c in features]).crossJoin(F.broadcast(trees))
-    # per-(row, tree) uniform from a seeded 64-bit hash (codegen'd, no strings)
-    hk = F.xxhash64(F.col(id_col), F.col("tree"), F.lit(seed))
-    x = x.withColumn("_u", (hk.cast("double") / F.lit(float(2 ** 64))) + F.lit(0.5)).where(F.col("_u") < frac)
+    x = pool.crossJoin(F.broadcast(trees))
+    x = x.withColumn("_u", unif(F.col(id_col), F.col("tree"))).where(F.col("_u") < frac)
     w = Window.partitionBy("tree").orderBy("_u", id_col)
     samp = x.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r", "_u", id_col)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
@@ -150,7 +157,10 @@ def robust_mahalanobis(df: DataFrame, features: list[str], contamination: float
     """Minimum-covariance-determinant style fit by C-steps, then flag the
     top ``contamination`` share by robust distance.  Start: coordinate
     median/MAD distance."""
-    data = df.select("*").na.drop(subset=features)
+    # the C-steps rescan the rows ~2×max_iter times: materialise the narrow
+    # projection once in the shared checkpoint folder
+    from ..session import cut_lineage
+    data = cut_lineage(df.select(*features).na.drop(subset=features))
     n = data.count()
     k = len(features)
     h = int(support_fraction * n) if support_fraction else (n + k + 1) // 2
