@@ -283,3 +283,38 @@ register("c4_calibration_before_after",
          "brier_before, avg((cal - label) * (cal - label)) AS brier_after FROM b) "
          "SELECT brier_before, brier_after, (brier_before - brier_after) / brier_before * 100 AS improvement_pct FROM x",
          doubles=["brier_before", "brier_after", "improvement_pct"], family="calibration")(_q_c4)
+
+
+# ---- second score family: document quality (labels ⋈ documents) -------------------
+
+def doc_model(s, d):
+    ds = FX.doc_scores(s, d)
+    return ds.select("doc_id", "lang", F.col("quality").alias("label"), "score",
+                     (F.col("score") > 0.5).cast("int").alias("pred"))
+
+
+DS = FX.with_views("doc_scores") + ", ms AS (SELECT doc_id, lang, quality AS label, score, " \
+                                   "CAST(score > 0.5 AS INTEGER) AS pred FROM doc_scores) "
+_CM_L = ("SELECT lang AS model, count_if(label = 0 AND pred = 0) AS tn, count_if(label = 0 AND pred = 1) AS fp, "
+         "count_if(label = 1 AND pred = 0) AS fn, count_if(label = 1 AND pred = 1) AS tp FROM ms GROUP BY lang")
+_AUC_L = ("SELECT model, (sum(CASE WHEN label = 1 THEN mr ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0) / "
+          "NULLIF(sum(label) * (count(*) - sum(label)), 0) AS auc FROM (SELECT lang AS model, label, rank() OVER "
+          "(PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0 AS mr FROM ms) r "
+          "GROUP BY model")
+
+
+def _q_doc_eval(s, d):
+    ev = ME.evaluate(doc_model(s, d), by=["lang"])
+    return ev.withColumnRenamed("lang", "model")
+
+
+register("m11_doc_quality_by_language",
+         DS + f", cm AS ({_CM_L}), r AS (SELECT model, {RATES} FROM cm), r2 AS (SELECT *, {F1} FROM r), a AS ({_AUC_L}) "
+         "SELECT r2.*, a.auc FROM r2 JOIN a USING (model)",
+         doubles=["accuracy", "precision", "recall", "f1", "auc"], family="metrics")(_q_doc_eval)
+
+register("c3_doc_quality_calibration",
+         DS + "SELECT CAST(least(floor(score * 10), 9) AS INTEGER) AS bin, avg(score) AS mean_predicted, "
+         "avg(CAST(label AS DOUBLE)) AS fraction_positive, count(*) AS n FROM ms GROUP BY 1",
+         doubles=["mean_predicted", "fraction_positive"], family="calibration")(
+    lambda s, d: ME.calibration_curve(doc_model(s, d)))
