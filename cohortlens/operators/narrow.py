@@ -31,55 +31,65 @@ def int_rule(mn: Column, mx: Column) -> Column:
             .when((mn > -2 ** 31) & (mx < 2 ** 31), "int32").otherwise("int64"))
 
 
+def _int_rule(mn, mx) -> str:
+    if mn >= 0:
+        return "uint8" if mx < 2 ** 8 else "uint16" if mx < 2 ** 16 else "uint32" if mx < 2 ** 32 else "uint64"
+    if mn > -2 ** 7 and mx < 2 ** 7:
+        return "int8"
+    if mn > -2 ** 15 and mx < 2 ** 15:
+        return "int16"
+    return "int32" if (mn > -2 ** 31 and mx < 2 ** 31) else "int64"
+
+
+PLAN_SCHEMA = ("column string, original_type string, new_type string, spark_type string, bytes_before bigint, "
+               "bytes_after bigint, saved_bytes bigint, pct_zero double, sparse_candidate boolean")
+
+
 def narrowing_plan(df: DataFrame, aggressive: bool = False, exclude: list[str] | tuple = ()) -> DataFrame:
     """D18 (and D19 when ``aggressive``): (column, original_type, new_type,
     spark_type, bytes_before, bytes_after, saved_bytes, pct_zero,
-    sparse_candidate) from one agg over the table."""
+    sparse_candidate).  All statistics come from ONE aggregate over the
+    table; the per-column rule is then applied to that single row."""
     types = {c: t for c, t in df.dtypes if c not in exclude}
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c, t in types.items():
         x = F.col(c)
-        if t in INT_TYPES:
-            aggs += [F.min(x).cast("double").alias(f"{c}__mn"), F.max(x).cast("double").alias(f"{c}__mx")]
-        elif t in FLOAT_TYPES:
+        if t in INT_TYPES + FLOAT_TYPES:
             aggs += [F.min(x).cast("double").alias(f"{c}__mn"), F.max(x).cast("double").alias(f"{c}__mx"),
-                     F.max(F.length(F.split_part(x.cast("string"), F.lit("."), F.lit(2)))).alias(f"{c}__dec")]
+                     F.count_if(x == 0).alias(f"{c}__z")]
+        if t in FLOAT_TYPES and aggressive:
+            aggs.append(F.max(F.length(F.split_part(x.cast("string"), F.lit("."), F.lit(2)))).alias(f"{c}__dec"))
         elif t == "string":
             aggs += [F.count_distinct(x).alias(f"{c}__nd"), F.sum(F.octet_length(x)).alias(f"{c}__len")]
-        if t in INT_TYPES + FLOAT_TYPES:
-            aggs.append(F.count_if(x == 0).alias(f"{c}__z"))
-    row = df.agg(*aggs)
-    rows = F.col("_rows")
+    row = df.agg(*aggs).collect()[0]
+    rows = row["_rows"]
     out = []
     for c, t in types.items():
         if t in INT_TYPES:
-            new = int_rule(F.col(f"{c}__mn"), F.col(f"{c}__mx"))
+            mn, mx = row[f"{c}__mn"], row[f"{c}__mx"]
+            new = _int_rule(mn, mx) if mn is not None else t
         elif t in FLOAT_TYPES:
             if aggressive:
-                dec, mn, mx = F.col(f"{c}__dec"), F.col(f"{c}__mn"), F.col(f"{c}__mx")
-                new = (F.when((dec <= 3) & (mn > -65500) & (mx < 65500), "float16")
-                       .when(dec <= 7, "float32").otherwise("float64"))
+                dec, mn, mx = row[f"{c}__dec"], row[f"{c}__mn"], row[f"{c}__mx"]
+                new = ("float16" if dec is not None and dec <= 3 and mn > -65500 and mx < 65500
+                       else "float32" if dec is not None and dec <= 7 else "float64")
             else:
-                new = F.lit("float32")
+                new = "float32"
         elif t == "string":
-            new = F.when(F.col(f"{c}__nd") / rows < 0.5, "category").otherwise("object")
+            new = "category" if rows and row[f"{c}__nd"] / rows < 0.5 else "object"
         else:
-            new = F.lit(t)
-        smap = F.create_map(*[F.lit(x) for kv in SPARK_OF.items() for x in kv])
-        spark_t = F.coalesce(smap[new], F.lit(t))
-        wmap = F.create_map(*[F.lit(x) for kv in WIDTH.items() for x in kv])
+            new = t
+        spark_t = SPARK_OF.get(new, new)
         if t == "string":
-            before = F.col(f"{c}__len").cast("bigint")
-            after = F.when(new == "category", rows * 4).otherwise(before).cast("bigint")
+            before = row[f"{c}__len"]
+            after = rows * 4 if new == "category" else before
         else:
-            before = (rows * F.lit(WIDTH.get(t, 8))).cast("bigint")
-            after = (rows * wmap[spark_t]).cast("bigint")
-        zero = (F.col(f"{c}__z") * 100.0 / rows) if t in INT_TYPES + FLOAT_TYPES else F.lit(None).cast("double")
-        out.append(F.struct(F.lit(c).alias("column"), F.lit(t).alias("original_type"), new.alias("new_type"),
-                            spark_t.alias("spark_type"), before.alias("bytes_before"), after.alias("bytes_after"),
-                            (before - after).alias("saved_bytes"), zero.alias("pct_zero"),
-                            F.coalesce(zero > 50, F.lit(False)).alias("sparse_candidate")))
-    return row.select(F.inline(F.array(*out)))
+            before = rows * WIDTH.get(t, 8)
+            after = rows * WIDTH.get(spark_t, 8)
+        zero = row[f"{c}__z"] * 100.0 / rows if t in INT_TYPES + FLOAT_TYPES and rows else None
+        saved = None if before is None or after is None else before - after
+        out.append((c, t, new, spark_t, before, after, saved, zero, bool(zero is not None and zero > 50)))
+    return df.sparkSession.createDataFrame(out, PLAN_SCHEMA)
 
 
 def narrowing_report(plan: DataFrame, top: int = 15) -> DataFrame:
