@@ -69,3 +69,75 @@ def explanation_records(contrib: DataFrame, id_col: str, n: int = 5) -> DataFram
     t = top_features(contrib, id_col, n)
     return t.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "feature", "contribution", "direction")))
                                  .alias("explanation"))
+
+
+def sampled_shapley(df: DataFrame, model_score, features: list[str], id_col: str, background: DataFrame,
+                    n_perm: int = 10, seed: int = 42) -> DataFrame:
+    """X1 for any model: permutation-sampling Shapley values.
+
+    For each row and each of ``n_perm`` seeded permutations (with a
+    background row chosen by hash), the F+1 prefix coalitions of the
+    permutation are materialised (features in the coalition from the row,
+    the rest from the background row).  All rows × permutations × (F+1)
+    vectors are scored by ``model_score(df) -> df[score]`` in one Spark job;
+    φ_j = mean over permutations of f(S ∪ {j}) − f(S).  Background ≤ 100
+    rows (broadcast); windows are per (id, permutation) (F+1 rows each).
+    Returns long (id, feature, contribution, base_value)."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+    k = len(features)
+    bg = background.select(*features).limit(100).toPandas().to_numpy(dtype=float)   # ≤ 100 rows
+    bc = df.sparkSession.sparkContext.broadcast(bg)
+    out_schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("perm", T.IntegerType()),
+                               T.StructField("step", T.IntegerType()), T.StructField("added", T.IntegerType())]
+                              + [T.StructField(f, T.DoubleType()) for f in features])
+
+    def mix(x):
+        """splitmix64 finaliser on uint64 arrays (seeded, vectorised)."""
+        x = (x + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def expand(batches):
+        B = bc.value
+        mj = np.arange(n_perm, dtype=np.uint64)[None, :, None] * np.uint64(1000003) \
+            + np.arange(k, dtype=np.uint64)[None, None, :]
+        steps = np.arange(k + 1)
+        for pdf in batches:
+            for lo in range(0, len(pdf), 512):                 # bounded chunk: 512 × perms × (k+1) × k
+                part = pdf.iloc[lo:lo + 512]
+                ids = part[id_col].to_numpy().astype(np.int64)
+                X = part[features].to_numpy(dtype=float)
+                n = len(ids)
+                with np.errstate(over="ignore"):
+                    base = mix(ids.astype(np.uint64) * np.uint64(0x100000001B3) + np.uint64(seed))
+                    keys = mix(base[:, None, None] + mj)                                  # n × M × k
+                    zi = (mix(base[:, None] + np.arange(n_perm, dtype=np.uint64)[None, :] + np.uint64(7919))
+                          % np.uint64(len(B))).astype(np.int64)                           # n × M
+                perm = np.argsort(keys, axis=2, kind="stable")                           # n × M × k
+                inv = np.argsort(perm, axis=2, kind="stable")                            # rank of feature j
+                Z = B[zi]                                                                 # n × M × k
+                inside = inv[:, :, None, :] < steps[None, None, :, None]                  # n × M × (k+1) × k
+                V = np.where(inside, X[:, None, None, :], Z[:, :, None, :])
+                added = np.concatenate([np.full((n, n_perm, 1), -1), perm], axis=2)      # n × M × (k+1)
+                cols = {id_col: np.repeat(ids, n_perm * (k + 1)),
+                        "perm": np.tile(np.repeat(np.arange(n_perm), k + 1), n).astype(np.int32),
+                        "step": np.tile(steps, n * n_perm).astype(np.int32),
+                        "added": added.reshape(-1).astype(np.int32)}
+                flat = V.reshape(-1, k)
+                for j, f in enumerate(features):
+                    cols[f] = flat[:, j]
+                yield pd.DataFrame(cols)
+
+    coal = df.select(F.col(id_col).cast("long").alias(id_col), *[F.col(f).cast("double") for f in features]) \
+        .mapInPandas(expand, out_schema)
+    scored = model_score(coal)
+    w = Window.partitionBy(id_col, "perm").orderBy("step")
+    d = scored.withColumn("delta", F.col("score") - F.lag("score").over(w))
+    base = scored.where(F.col("step") == 0).groupBy(id_col).agg(F.avg("score").alias("base_value"))
+    names = F.create_map(*[v for i, f in enumerate(features) for v in (F.lit(i), F.lit(f))])
+    phi = (d.where(F.col("step") > 0).groupBy(id_col, "added").agg(F.avg("delta").alias("contribution"))
+           .select(id_col, names[F.col("added")].alias("feature"), "contribution"))
+    return phi.join(base, id_col)

@@ -312,3 +312,21 @@ def _q_registry(s, d):
 
 
 register("s10_s11_model_registry", family="sources")(_q_registry)
+
+
+def _q_x1_sampled(s, d):
+    """X1 (any model): sampled Shapley values of the random forest on the
+    held-out rows; background = ≤ 100 training rows by hash order."""
+    from ..operators.explain import background_means, sampled_shapley  # noqa: F401
+    from ..functions.ordering import hash_key
+    t = _standardized(s, d)
+    m, _, _, _ = _eval_kind(t, "random_forest")
+    test = t.where("split = 'test'")
+    bg = t.where("split = 'train'").withColumn("_hk", hash_key("encounter_id")).orderBy("_hk", "encounter_id").limit(100)
+
+    def model_score(frame):
+        return TR.score(m, frame, FEATS, "random_forest")
+    return sampled_shapley(test, model_score, FEATS, "encounter_id", bg, n_perm=10)
+
+
+register("x01_sampled_shapley_forest", family="attribution")(_q_x1_sampled)
