@@ -159,4 +159,14 @@ def _q_r2(s, d):
     return s.read.parquet(sink)
 
 
-register("r2_feedback_stream_daily_concordance", family="streaming")(_q_r2)
+def _r2_sql():
+    from ..operators.feedback import CONCORDANCE, UNDETERMINED
+    conc = " ".join(f"WHEN prediction_class = '{p}' AND actual_diagnosis = '{a}' THEN '{lab}'" for p, a, lab in CONCORDANCE)
+    # append mode emits a day once the watermark (max event time - 1 day) has passed its end
+    return (FX.with_views("feedback") + ", ev AS (SELECT DISTINCT report_id, prediction_class, actual_diagnosis, "
+            "to_timestamp(ts_epoch)::TIMESTAMP AS t FROM feedback), wm AS (SELECT max(t) - INTERVAL 1 DAY AS w FROM ev) "
+            f"SELECT strftime(date_trunc('day', t), '%Y-%m-%d') AS day, CASE {conc} ELSE '{UNDETERMINED}' END AS concordance, "
+            "count(*) AS n FROM ev, wm WHERE date_trunc('day', t) + INTERVAL 1 DAY <= w GROUP BY 1, 2")
+
+
+register("r2_feedback_stream_daily_concordance", _r2_sql(), family="streaming")(_q_r2)

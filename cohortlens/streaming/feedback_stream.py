@@ -26,7 +26,7 @@ def daily_concordance(events: DataFrame, ts: str = "event_time", delay: str = "1
     d = events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["report_id"])
     return (d.groupBy(F.window(ts, "1 day").alias("day"), concordance_col().alias("concordance"))
             .agg(F.count(F.lit(1)).alias("n"))
-            .select(F.col("day.start").alias("day_start"), "concordance", "n"))
+            .select(F.date_format(F.col("day.start"), "yyyy-MM-dd").alias("day"), "concordance", "n"))
 
 
 def start_feedback_stream(spark, source_dir: str, schema, sink_dir: str, checkpoint_dir: str):
