@@ -186,20 +186,19 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets:
                 need.setdefault(c, {})[b] = starts[b]
     if not targets:
         return spark.createDataFrame([], "column string, prob double, value double")
-    # C: value counts inside the target buckets only, ranked within bucket
-    parts = []
+    # C: value counts inside the target buckets only, ranked within bucket —
+    # one stacked scan; each column keeps only rows of its target buckets
+    long = stack_long(df, list(need)).where(F.col("value").isNotNull())
+    x = F.col("value")
+    bk = None
     for c, bks in need.items():
-        x = F.col(c).cast("double")
-        bk = None
         for b in bks:
-            cond = (x >= F.lit(splits[c][b])) & (x < F.lit(splits[c][b + 1]))
+            cond = (F.col("column") == c) & (x >= F.lit(splits[c][b])) & (x < F.lit(splits[c][b + 1]))
             bk = F.when(cond, F.lit(b)) if bk is None else bk.when(cond, F.lit(b))
-        off = F.create_map(*[v for b, st in bks.items() for v in (F.lit(b), F.lit(st))])
-        t = df.select(F.lit(c).alias("column"), bk.alias("bk"), x.alias("value")).where(F.col("bk").isNotNull())
-        parts.append(t.withColumn("offset", off[F.col("bk")]))
-    u = parts[0]
-    for p_ in parts[1:]:
-        u = u.unionByName(p_)
+    off = F.create_map(*[v for c, bks in need.items() for b, st in bks.items()
+                         for v in (F.lit(f"{c}|{b}"), F.lit(st))])
+    u = long.select("column", bk.alias("bk"), "value").where(F.col("bk").isNotNull())
+    u = u.withColumn("offset", off[F.concat_ws("|", F.col("column"), F.col("bk").cast("string"))])
     vc = u.groupBy("column", "bk", "offset", "value").agg(F.count(F.lit(1)).alias("cnt"))
     w = Window.partitionBy("column", "bk").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = vc.withColumn("cum_cnt", F.col("offset") + F.sum("cnt").over(w)).withColumn(

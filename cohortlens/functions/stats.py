@@ -44,21 +44,26 @@ def column_stats(df: DataFrame, cols: list[str], stats: list[str], extra: list[C
 
 def modes(df: DataFrame, cols: list[str]) -> dict:
     """{col: most frequent non-null value}; ties -> smallest value (pandas
-    ``mode()[0]``).  Distributed: value counts per column (map-side
-    combined), then ``min(struct(-count, value))`` — never a whole column in
-    one aggregation buffer."""
+    ``mode()[0]``).  One scan per type family: columns are stacked to
+    (column, value) — numeric as double, others as string so each family
+    keeps its own order — value-counted with map-side combine, then
+    ``min(struct(-count, value))`` per column.  Never a whole column in one
+    aggregation buffer."""
     if not cols:
         return {}
-    parts = []
-    for c in cols:
-        vc = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        best = vc.agg(F.min(F.struct((-F.col("_n")).alias("k"), F.col(c).alias("v"))).alias("b"))
-        parts.append(best.select(F.lit(c).alias("column"), F.col("b.v").cast("string").alias("value"),
-                                 F.col("b.v").alias("typed")).drop("typed"))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    got = {r["column"]: r["value"] for r in u.collect()}
+    from pyspark.sql import types as T
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    fams = {"double": [c for c in cols if isinstance(fields[c], T.NumericType)],
+            "string": [c for c in cols if not isinstance(fields[c], T.NumericType)]}
+    got = {}
+    for typ, cs in fams.items():
+        if not cs:
+            continue
+        parts = ", ".join(f"'{c}', CAST(`{c}` AS {typ})" for c in cs)
+        long = df.selectExpr(f"stack({len(cs)}, {parts}) AS (column, value)").where(F.col("value").isNotNull())
+        vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
+        best = vc.groupBy("column").agg(F.min(F.struct((-F.col("_n")).alias("k"), F.col("value").alias("v"))).alias("b"))
+        got.update({r["column"]: r["v"] for r in best.select("column", F.col("b.v").alias("v")).collect()})
     types = dict(df.dtypes)
     res = {}
     for c in cols:
