@@ -39,7 +39,8 @@ def _standardized(s, d):
     from ..session import cut_lineage
     t = training_frame(s, d)
     params = TR.standardize_expr(t.where("split = 'train'"), FEATS)[1]
-    return cut_lineage(apply_standard(t, params))
+    from ..session import partitions_for_iterations
+    return partitions_for_iterations(cut_lineage(apply_standard(t, params)))
 
 
 def _eval_kind(t, kind, **kw):

@@ -72,3 +72,18 @@ def cut_lineage(df):
     loss); used between rounds of iterative operators."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def partitions_for_iterations(df, target_bytes: int = 128 * 1024 * 1024):
+    """Coalesce a materialised table for iterative learners: one partition
+    per core, but never partitions larger than ~``target_bytes`` (row width
+    estimated at 8 bytes per column).  Coalesce only merges partitions."""
+    import math
+    spark = df.sparkSession
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001
+        return df
+    n = df.count()
+    need = max(cores, math.ceil(n * 8 * max(len(df.columns), 1) / target_bytes))
+    return df.coalesce(need) if df.rdd.getNumPartitions() > need else df
