@@ -17,11 +17,15 @@ them, even when the values themselves cluster.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 256
 SEED = 42
+# verification switch: force the distributed paths regardless of size
+_FORCE = os.environ.get("COHORTLENS_FORCE_DISTRIBUTED") == "1"
 
 
 def hash_key(id_col: str | Column, seed: int = SEED) -> Column:
@@ -49,13 +53,13 @@ def _bucketize(df: DataFrame, order_col: str, part: list[str], buckets: int) ->
 
 # A window task may hold at most this many rows; above it the two-level
 # (bucketed) prefix sum is used.
-LOCAL_WINDOW_LIMIT = 1_000_000
+LOCAL_WINDOW_LIMIT = 0 if _FORCE else 1_000_000
 
 
 def running_sum(df: DataFrame, order_cols: list[str] | str, weights: list[str] | str,
                 partition_cols: list[str] | tuple = (), descending: bool = False,
                 buckets: int = DEFAULT_BUCKETS, prefix: str = "cum_",
-                local_limit: int = LOCAL_WINDOW_LIMIT) -> DataFrame:
+                local_limit: int | None = None) -> DataFrame:
     """Inclusive running sum of ``weights`` ordered by ``order_cols`` (a total
     order within each partition), per partition.  Adds ``{prefix}{w}``.
 
@@ -66,6 +70,7 @@ def running_sum(df: DataFrame, order_cols: list[str] | str, weights: list[str] |
     weights = [weights] if isinstance(weights, str) else list(weights)
     part = list(partition_cols)
     oc = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
+    local_limit = LOCAL_WINDOW_LIMIT if local_limit is None else local_limit
     if local_limit > 0:
         biggest = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).collect()[0][0] or 0
         if biggest <= local_limit:
@@ -120,11 +125,11 @@ def cumulative_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 # Above this many non-null values per column, Spark's ``percentile`` (whose
 # final buffer holds every distinct value of the column in one task) is not
 # used; the distributed selection below takes over.
-LOCAL_PERCENTILE_LIMIT = 2_000_000
+LOCAL_PERCENTILE_LIMIT = 0 if _FORCE else 2_000_000
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets: int = 256,
-                    local_limit: int = LOCAL_PERCENTILE_LIMIT) -> DataFrame:
+                    local_limit: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy/pandas default,
     Spark ``percentile``, DuckDB ``quantile_cont``) by distributed selection —
     no task ever holds a whole column:
@@ -139,6 +144,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets:
     Returns (column, prob, value)."""
     import math
     spark = df.sparkSession
+    local_limit = LOCAL_PERCENTILE_LIMIT if local_limit is None else local_limit
     counts = df.agg(*[F.count(c).alias(c) for c in cols]).collect()[0]
     if max(counts[c] for c in cols) <= local_limit:
         # size-checked: every column's buffer is bounded by local_limit values
