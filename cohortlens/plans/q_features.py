@@ -266,3 +266,7 @@ register("h2_welch_t",
                      f"avg({c}) FILTER (WHERE appendicitis = 0) AS m0, var_samp({c}) FILTER (WHERE appendicitis = 0) AS v0 "
                      f"FROM scored) g" for c in H]),
          doubles=["t_stat", "df"], family="stats")(lambda s, d: ST.welch_t(sc(s, d), H, "appendicitis"))
+
+
+register("h2_welch_t_p_values", family="stats")(
+    lambda s, d: ST.welch_t_test(sc(s, d), H, "appendicitis"))

@@ -49,3 +49,10 @@ def test_split_is_deterministic(spark):
     a = train_test_split(df, "id").where("split = 'test'").select("id").toPandas()["id"].tolist()
     b = train_test_split(df.repartition(7), "id").where("split = 'test'").select("id").toPandas()["id"].tolist()
     assert sorted(a) == sorted(b)
+
+
+def test_student_t_two_sided_p_known_values():
+    from cohortlens.operators.stats_tests import t_two_sided_p
+    # reference values of the Student-t distribution (two-sided)
+    got = t_two_sided_p([2.0, 1.0, 3.0, 0.0, 2.228138852], [10.0, 5.0, 30.0, 7.0, 10.0])
+    assert got == pytest.approx([0.07338803, 0.36321744, 0.00538996, 1.0, 0.05], abs=1e-6)
