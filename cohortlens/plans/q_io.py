@@ -34,10 +34,11 @@ register("s01_csv_scan_schema", ENC + "SELECT * FROM encounters", doubles=DBL, f
 def _q_s3(s, d):
     e = FX.encounters(s, d)
     root = scratch_path(s, "s3")
-    for site in ["click", "error", "purchase", "signup", "view"]:
-        e.where(F.col("site") == site).coalesce(1).write.option("header", True).csv(f"{root}/encounters_{site}")
+    # one distributed write: a folder of files per site (several training files)
+    e.withColumn("_group", F.concat(F.lit("encounters_"), F.col("site"))).write.partitionBy("_group") \
+        .option("header", True).csv(root)
     got = FI.read_many_csv(s, root, e.schema)
-    first = F.regexp_extract(F.input_file_name(), r"encounters_([a-z]+)/", 1)
+    first = F.regexp_extract(F.input_file_name(), r"_group=encounters_([a-z]+)/", 1)
     return got.withColumn("file_group", first).groupBy("file_group").agg(F.count(F.lit(1)).alias("n_rows"),
                                                                            F.avg("age").alias("mean_age"))
 
@@ -126,7 +127,7 @@ def _q_r1(s, d):
     src, sink, ck = scratch_path(s, "r1-src"), scratch_path(s, "r1-sink"), scratch_path(s, "r1-ckpt")
     e = FX.encounters(s, d)
     # arriving files: one per day of seen_at
-    e.repartition(8, F.to_date("seen_at")).write.parquet(src)
+    e.repartition(F.to_date("seen_at")).write.parquet(src)
     q = start_scoring_stream(s, src, e.schema, sink, ck)
     q.awaitTermination()
     return s.read.parquet(sink)
