@@ -239,3 +239,35 @@ def knn_exact_small(df: DataFrame, id_col: str, vec_col: str, k: int, max_rows:
         order = [j for j in np.lexsort((ids, D[i])) if j != i][:k]
         rows += [(int(ids[i]), int(ids[j]), float(D[i, j]), r + 1) for r, j in enumerate(order)]
     return df.sparkSession.createDataFrame(rows, "id long, nbr long, dist double, rank int")
+
+
+def knn_projection(df: DataFrame, id_col: str, vec_col: str, k: int = 20, n_proj: int = 16, window: int | None = None,
+                   seed: int = 42) -> DataFrame:
+    """J8 (default): approximate kNN by sorted neighbourhoods on seeded
+    random projections.  Points are ranked along each projection with a
+    distributed row number; the ±``window`` rank neighbours on every
+    projection are the candidates (a fixed number per point, so no hot
+    bucket and no all-pairs group), exact distances are computed for the
+    candidates and the k nearest kept.  Returns (id, nbr, dist, rank)."""
+    from ..functions.ordering import global_row_number
+    w = window or max(4 * k, 64)
+    dim = df.select(F.size(vec_col)).first()[0]
+    R = np.random.default_rng(seed).normal(size=(n_proj, dim))
+    vec = F.col(vec_col).cast("array<double>")
+    dots = []
+    for p in range(n_proj):
+        coef = F.array(*[F.lit(float(x)) for x in R[p]])
+        dots.append(F.struct(F.lit(p).alias("p"), F.aggregate(F.zip_with(vec, coef, lambda a, b: a * b), F.lit(0.0),
+                                                              lambda acc, x: acc + x).alias("proj")))
+    pts = df.select(F.col(id_col).alias("id"), F.inline(F.array(*dots)))
+    ranked = global_row_number(pts, ["proj", "id"], ["p"], name="rn")
+    offs = df.sparkSession.range(-w, w + 1).where("id <> 0").select(F.col("id").alias("off"))
+    cand = (ranked.crossJoin(F.broadcast(offs))                      # 2·window rows per point and projection
+            .select("id", "p", (F.col("rn") + F.col("off")).alias("rn")))
+    pairs = cand.join(ranked.select("p", "rn", F.col("id").alias("nbr")), ["p", "rn"]).select("id", "nbr").distinct()
+    v = df.select(F.col(id_col).alias("id"), vec.alias("va"))
+    d = (pairs.join(v, "id").join(v.select(F.col("id").alias("nbr"), F.col("va").alias("vb")), "nbr")
+         .select("id", "nbr", F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
+                                                 lambda acc, x: acc + x)).alias("dist")))
+    win = Window.partitionBy("id").orderBy("dist", "nbr")
+    return d.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= k)

@@ -218,15 +218,23 @@ register("d13_robust_mahalanobis", family="outliers")(_q_mcd)
 
 
 def _q_knn(s, d):
+    emb = read_table(s, d, "embeddings")
+    return MV.knn_projection(emb, "vec_id", "embedding", k=20)
+
+
+register("j08_knn_embeddings", family="joins")(_q_knn)
+
+
+def _q_knn_lsh(s, d):
     emb = read_table(s, d, "embeddings")
     return MV.knn_lsh(emb, "vec_id", "embedding", k=20)
 
 
-register("j08_knn_lsh_embeddings", family="joins")(_q_knn)
+register("j08_knn_lsh_embeddings", family="joins")(_q_knn_lsh)
 
 
 def _q_lof(s, d):
-    nb = MV.knn_lsh(read_table(s, d, "embeddings"), "vec_id", "embedding", k=20)
+    nb = MV.knn_projection(read_table(s, d, "embeddings"), "vec_id", "embedding", k=20)
     lof = MV.lof_from_neighbours(nb, 20)
     thr = lof.approxQuantile("lof", [0.95], 0.0001)[0]
     return lof.withColumn("is_outlier", F.col("lof") > thr)

@@ -37,14 +37,16 @@ def test_isolation_forest_contamination(spark):
     assert out.loc[out["id"] >= 950, "is_outlier"].mean() > 0.5
 
 
-def test_lsh_knn_recall_vs_exact(spark):
-    from cohortlens.operators.multivariate import knn_exact_small, knn_lsh
+def test_knn_recall_vs_exact(spark):
+    from cohortlens.operators.multivariate import knn_exact_small, knn_lsh, knn_projection
     emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     k = 5
     ex = knn_exact_small(emb, "vec_id", "embedding", k).toPandas()
-    ap = knn_lsh(emb, "vec_id", "embedding", k=k, threshold=100.0).toPandas()
-    hit = len(ex.merge(ap, on=["id", "nbr"]))
-    assert hit / len(ex) > 0.5
+    for ap in (knn_lsh(emb, "vec_id", "embedding", k=k, threshold=100.0).toPandas(),
+               knn_projection(emb, "vec_id", "embedding", k=k).toPandas()):
+        hit = len(ex.merge(ap, on=["id", "nbr"]))
+        assert hit / len(ex) > 0.8
+        assert (ap.groupby("id").size() <= k).all()
 
 
 def test_stream_equals_batch(spark):
