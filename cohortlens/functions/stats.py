@@ -34,8 +34,6 @@ def column_stats(df: DataFrame, cols: list[str], stats: list[str], extra: list[C
     row = df.agg(F.count(F.lit(1)).alias("__rows"), *stat_exprs(cols, stats), *extra).collect()[0].asDict()
     out = {c: {s: row[f"{c}__{s}"] for s in stats} for c in cols}
     out["__rows"] = row["__rows"]
-    for e in extra:
-        pass
     for k, v in row.items():
         if "__" not in k or k == "__rows":
             out[k] = v

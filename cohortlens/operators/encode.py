@@ -20,14 +20,12 @@ MAX_LEVELS = 1000
 def fit_levels(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS) -> dict:
     """Sorted distinct non-null levels per column.  One job; refuses to pull
     more than ``max_levels`` levels of a column to the driver."""
-    agg = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cols],
-                 *[F.approx_count_distinct(c).alias(f"{c}__n") for c in cols])
-    # collect_set is bounded by the distinct check below; guard first
+    # guard first: collect_set is only run once every column is known small
     n = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).collect()[0]
     for c in cols:
         if n[c] > max_levels:
             raise ValueError(f"{c} has ~{n[c]} levels > max_levels={max_levels}; hash-encode it instead")
-    row = agg.collect()[0]
+    row = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cols]).collect()[0]
     return {c: list(row[c]) for c in cols}
 
 

@@ -235,7 +235,7 @@ register("e24_stratified_split_70_30",
     lambda s, d: train_test_split(FX.encounters(s, d), "encounter_id", 0.3, stratify="appendicitis")
     .select("encounter_id", "appendicitis", "split"))
 
-H = FX.CONTINUOUS + ["alvarado_score", "symptom_flags"] if False else FX.CONTINUOUS + ["alvarado_score"]
+H = FX.CONTINUOUS + ["alvarado_score"]
 
 
 def _mw_sql():
