@@ -128,8 +128,56 @@ def cumulative_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 LOCAL_PERCENTILE_LIMIT = 0 if _FORCE else 2_000_000
 
 
+def _refine_ranges(df: DataFrame, ranges: dict, buckets: int, limit: int, targets) -> dict:
+    """Split target ranges holding more than ``limit`` rows again (sketch
+    bounds + bucket counts restricted to each range) until every range a
+    target rank falls in is small, or holds a single distinct value (one
+    row after value counting).  Each round shrinks a range ~buckets×."""
+    from pyspark.ml.feature import Bucketizer
+    ranges = dict(ranges)
+    final = set()
+    for _ in range(8):
+        big = [(k, v) for k, v in ranges.items() if v[1] > limit and k not in final]
+        if not big:
+            return ranges
+        fr = [i / buckets for i in range(1, buckets)]
+        xs = []
+        for i, ((c, lo, hi), _) in enumerate(big):
+            x = F.col(c).cast("double")
+            xs.append(F.when((x >= F.lit(lo)) & (x < F.lit(hi)), x).alias(f"_r{i}"))
+        sub = df.select(*xs)
+        a = sub.agg(*[F.percentile_approx(f"_r{i}", fr, 2 * buckets).alias(f"_r{i}") for i in range(len(big))]).collect()[0]
+        work = []
+        for i, ((c, lo, hi), info) in enumerate(big):
+            inner = sorted({float(b) for b in (a[f"_r{i}"] or []) if lo < b < hi})
+            if not inner:                  # one distinct value (or none) left in the range
+                final.add((c, lo, hi))
+            else:
+                work.append((i, (c, lo, hi), info, [lo] + inner + [hi]))
+        if not work:
+            return ranges
+        bz = Bucketizer(splitsArray=[w[3] for w in work], inputCols=[f"_r{w[0]}" for w in work],
+                        outputCols=[f"_s{w[0]}" for w in work], handleInvalid="keep")
+        bkt = bz.transform(sub)
+        per = (bkt.select(F.explode(F.array(*[F.struct(F.lit(w[0]).alias("r"), F.col(f"_s{w[0]}").cast("int").alias("b"))
+                                              for w in work])).alias("t"))
+               .select("t.*").where(F.col("b").isNotNull()).groupBy("r", "b").agg(F.count(F.lit(1)).alias("rows")))
+        counts = {(r["r"], r["b"]): r["rows"] for r in per.collect()}
+        for i, key, (offset, rows, positions), spl in work:
+            del ranges[key]
+            c = key[0]
+            cum = offset
+            for b in range(len(spl) - 1):
+                rb = counts.get((i, b), 0)
+                inside = {q for q in positions if cum <= q < cum + rb}
+                if inside:
+                    ranges.setdefault((c, spl[b], spl[b + 1]), [cum, rb, set()])[2].update(inside)
+                cum += rb
+    return ranges
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets: int = 256,
-                    local_limit: int | None = None) -> DataFrame:
+                    local_limit: int | None = None, refine_limit: int = 4_000_000) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy/pandas default,
     Spark ``percentile``, DuckDB ``quantile_cont``) by distributed selection —
     no task ever holds a whole column:
@@ -176,7 +224,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets:
                .groupBy("column", "bk").agg(F.count(F.lit(1)).alias("rows")))
         for r in per.collect():                       # ≤ #columns × buckets rows
             cnt[(r["column"], r["bk"])] = r["rows"]
-    targets, need = [], {}
+    targets, ranges = [], {}          # ranges: (column, lo, hi) -> [offset, rows]
     for c in live:
         nb = len(splits[c]) - 1
         cum, starts = 0, []
@@ -189,22 +237,23 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets:
             targets.append((c, float(p), float(h), lo, hi))
             for pos in {lo, hi}:
                 b = max(i for i in range(nb) if starts[i] <= pos)
-                need.setdefault(c, {})[b] = starts[b]
+                key = (c, splits[c][b], splits[c][b + 1])
+                ranges.setdefault(key, [starts[b], cnt.get((c, b), 0), set()])[2].add(pos)
     if not targets:
         return spark.createDataFrame([], "column string, prob double, value double")
-    # C: value counts inside the target buckets only, ranked within bucket —
-    # one stacked scan; each column keeps only rows of its target buckets
-    long = stack_long(df, list(need)).where(F.col("value").isNotNull())
+    ranges = _refine_ranges(df, ranges, buckets, refine_limit, [t for t in targets])
+    # C: value counts inside the target ranges only, ranked within range —
+    # one stacked scan; each column keeps only rows of its target ranges
+    keyed = list(ranges.items())
+    long = stack_long(df, sorted({c for (c, _, _), _ in keyed})).where(F.col("value").isNotNull())
     x = F.col("value")
     bk = None
-    for c, bks in need.items():
-        for b in bks:
-            cond = (F.col("column") == c) & (x >= F.lit(splits[c][b])) & (x < F.lit(splits[c][b + 1]))
-            bk = F.when(cond, F.lit(b)) if bk is None else bk.when(cond, F.lit(b))
-    off = F.create_map(*[v for c, bks in need.items() for b, st in bks.items()
-                         for v in (F.lit(f"{c}|{b}"), F.lit(st))])
+    for i, ((c, lo_v, hi_v), _) in enumerate(keyed):
+        cond = (F.col("column") == c) & (x >= F.lit(lo_v)) & (x < F.lit(hi_v))
+        bk = F.when(cond, F.lit(i)) if bk is None else bk.when(cond, F.lit(i))
+    off = F.create_map(*[v for i, (_, info) in enumerate(keyed) for v in (F.lit(i), F.lit(info[0]))])
     u = long.select("column", bk.alias("bk"), "value").where(F.col("bk").isNotNull())
-    u = u.withColumn("offset", off[F.concat_ws("|", F.col("column"), F.col("bk").cast("string"))])
+    u = u.withColumn("offset", off[F.col("bk")])
     vc = u.groupBy("column", "bk", "offset", "value").agg(F.count(F.lit(1)).alias("cnt"))
     w = Window.partitionBy("column", "bk").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = vc.withColumn("cum_cnt", F.col("offset") + F.sum("cnt").over(w)).withColumn(

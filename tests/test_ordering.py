@@ -83,3 +83,17 @@ def test_running_sum_local_path_equals_bucketed(spark):
     a = running_sum(df, "v", "w", ["g"], descending=True, local_limit=0).toPandas().sort_values(["g", "v"])
     b = running_sum(df, "v", "w", ["g"], descending=True).toPandas().sort_values(["g", "v"])
     assert a["cum_w"].tolist() == b["cum_w"].tolist()
+
+
+def test_quantile_range_refinement(spark):
+    """Force refinement rounds (tiny refine_limit, few buckets) and compare
+    with numpy, including ties and a hot value holding a third of rows."""
+    from cohortlens.functions.ordering import exact_quantiles
+    rng = np.random.default_rng(21)
+    a = np.concatenate([np.full(4000, 7.0), rng.normal(size=8000).round(3)])
+    df = spark.createDataFrame([(float(v),) for v in a], "a double")
+    probs = [0.0, 0.1, 0.33, 0.5, 0.9, 1.0]
+    got = {r["prob"]: r["value"] for r in
+           exact_quantiles(df, ["a"], probs, buckets=4, local_limit=0, refine_limit=50).collect()}
+    for p in probs:
+        assert got[p] == pytest.approx(np.quantile(a, p))
