@@ -43,7 +43,7 @@ def hash_key_sql(id_sql: str, seed: int = SEED) -> str:
 
 def _bucketize(df: DataFrame, order_col: str, part: list[str], buckets: int) -> DataFrame:
     probs = [i / buckets for i in range(1, buckets)]
-    agg = F.percentile_approx(F.col(order_col), probs, 10000)
+    agg = F.percentile_approx(F.col(order_col), probs, max(10000, 2 * buckets))
     bnd = df.groupBy(*part).agg(agg.alias("_bnd"))
     bnd = bnd.select(*part, F.coalesce(F.array_sort(F.array_distinct("_bnd")), F.array()).alias("_bnd"))
     # one row per partition key, `buckets` values each: a proven bound.
@@ -71,11 +71,12 @@ def running_sum(df: DataFrame, order_cols: list[str] | str, weights: list[str] |
     part = list(partition_cols)
     oc = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
     local_limit = LOCAL_WINDOW_LIMIT if local_limit is None else local_limit
-    if local_limit > 0:
-        biggest = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).collect()[0][0] or 0
-        if biggest <= local_limit:
-            w = Window.partitionBy(*part).orderBy(*oc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            return df.select(*[F.col(c) for c in df.columns], *[F.sum(x).over(w).alias(f"{prefix}{x}") for x in weights])
+    biggest = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).collect()[0][0] or 0
+    if local_limit > 0 and biggest <= local_limit:
+        w = Window.partitionBy(*part).orderBy(*oc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*[F.col(c) for c in df.columns], *[F.sum(x).over(w).alias(f"{prefix}{x}") for x in weights])
+    # enough buckets that one window task holds ~2M rows (bounded sketch size)
+    buckets = int(min(max(buckets, -(-biggest // 2_000_000)), 65536))
     tb = _bucketize(df, order_cols[0], part, buckets)
     tot = tb.groupBy(*part, "_bk").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
     bo = F.col("_bk").desc() if descending else F.col("_bk").asc()
