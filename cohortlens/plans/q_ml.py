@@ -306,7 +306,7 @@ register("x07_calibrated_explanation", family="attribution")(_q_x7)
 
 
 def _q_registry(s, d):
-    from ..sources.registry import choose_model, save_model
+    from ..sources.registry import save_model
     root = scratch_path(s, "registry")
     t = _standardized(s, d)
     base = dt.datetime(2024, 1, 1)
@@ -317,10 +317,23 @@ def _q_registry(s, d):
         r["train_seconds"] = secs
         save_model(s, m, root, name, kind, r, base + dt.timedelta(hours=i), calibrated=cal)
     reg = s.read.parquet(f"{root}/model_registry")
-    return choose_model(reg).select("name", "kind", "version", "priority")
+    return reg
 
 
-register("s10_s11_model_registry", family="sources")(_q_registry)
+def _q_registry_choice(s, d):
+    from ..sources.registry import choose_model
+    return choose_model(_q_registry(s, d)).select("name", "kind", "version", "priority")
+
+
+register("s10_s11_model_registry", family="sources")(_q_registry_choice)
+
+
+def _q_efficiency(s, d):
+    from ..sources.registry import efficiency
+    return efficiency(_q_registry(s, d))
+
+
+register("m23_efficiency", family="train")(_q_efficiency)
 
 
 def _q_x1_sampled(s, d):
