@@ -124,27 +124,32 @@ def importances(model, feats: list[str]) -> list[tuple[str, float]]:
 
 
 def cross_validate(df: DataFrame, features: list[str], kind: str, label: str = "label", fold_col: str = "fold",
-                   k: int = 5, **kw) -> dict:
-    """M6/M7: k-fold AUC (folds from the stratified hash order); mean and
-    population std over folds."""
-    aucs = []
+                   k: int = 5, scoring: str = "auc", **kw) -> dict:
+    """M6/M7: k-fold score (folds from the stratified hash order), AUC or F1
+    of the positive class; mean and population std over folds."""
+    from .metrics import confusion, with_rates
+    vals = []
     for f in range(k):
         tr, va = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
         m, feats, _ = fit_model(tr, features, kind, label, **dict(kw))
         sc = score(m, va, features, kind)
-        aucs.append(auc_of(sc, label, "score").collect()[0]["auc"])
-    return {"mean_auc": float(np.mean(aucs)), "std_auc": float(np.std(aucs)), "fold_auc": aucs}
+        if scoring == "f1":
+            vals.append(with_rates(confusion(sc, label, "pred")).collect()[0]["f1"])
+        else:
+            vals.append(auc_of(sc, label, "score").collect()[0]["auc"])
+    return {"mean_auc": float(np.mean(vals)), "std_auc": float(np.std(vals)), "fold_auc": vals,
+            "scoring": scoring}
 
 
 def grid_search(df: DataFrame, features: list[str], kind: str, grid: list[dict], label: str = "label", k: int = 5,
-                parallelism: int = 4) -> list:
+                parallelism: int = 4, scoring: str = "auc") -> list:
     """M6: grid × folds, candidates evaluated concurrently (driver threads
     submitting Spark jobs, as ``CrossValidator(parallelism=…)``); returns
     [(params, mean_auc, std_auc)] best first."""
     from concurrent.futures import ThreadPoolExecutor
 
     def one(params):
-        cv = cross_validate(df, features, kind, label, k=k, **params)
+        cv = cross_validate(df, features, kind, label, k=k, scoring=scoring, **params)
         return params, cv["mean_auc"], cv["std_auc"]
     with ThreadPoolExecutor(parallelism) as ex:
         res = list(ex.map(one, grid))

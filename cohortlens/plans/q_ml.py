@@ -97,6 +97,16 @@ def _q_grid(s, d):
 register("m06_m07_grid_search_cv", family="train")(_q_grid)
 
 
+def _q_grid_f1(s, d):
+    t = kfold(_standardized(s, d).where("split = 'train'"), "encounter_id", 5, stratify="label")
+    res = TR.grid_search(t, FEATS, "decision_tree", [{"maxDepth": 3}, {"maxDepth": 5}, {"maxDepth": 8}], "label", 5,
+                         scoring="f1")
+    return s.createDataFrame([(str(p), m, sd) for p, m, sd in res], "params string, mean_f1 double, std_f1 double")
+
+
+register("m06_grid_search_cv_f1", family="train")(_q_grid_f1)
+
+
 def _q_perm(s, d):
     t = _standardized(s, d)
     m, feats, _, _ = _eval_kind(t, "logistic")
