@@ -243,3 +243,52 @@ def flag_against_stats(df: DataFrame, stats: dict, threshold: float = 3.0) -> Da
     cnt = sum((F.coalesce(F.abs((F.col(c) - F.lit(stats[c][0])) / F.lit(stats[c][1])) > threshold, F.lit(False))
                .cast("int") for c in cols), F.lit(0))
     return df.select("*", cnt.alias("z_flag_count"), F.concat_ws(",", *hits).alias("z_flagged"))
+
+
+def handle_outliers_model(df: DataFrame, cols: list[str], method: str, id_col: str, treatment: str = "cap",
+                          contamination: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """D3-D8 for the model-based per-column methods: ``dbscan`` (1-D DBSCAN
+    noise on the population-standardised column, eps .5, min 5) and
+    ``isolation_forest`` (one forest per column, contamination .05).  Flags
+    are joined back (by value for DBSCAN — distinct values, never pairs — and
+    by id for the forest); treatments as in :func:`treat_expr` with
+    mean ± 3·sd capping.  Returns (treated frame, statistics frame)."""
+    st = column_stats(df, cols, ["mean", "std_samp", "std_pop"])
+    flagged = df
+    if method == "dbscan":
+        noise = dbscan_noise_values(df, cols).where("noise").select("column", "value")
+        for c in cols:
+            if st[c]["std_pop"] in (None, 0):
+                continue
+            z = (F.col(c) - F.lit(st[c]["mean"])) / F.lit(st[c]["std_pop"])
+            nz = noise.where(F.col("column") == c).select(F.col("value").alias(f"_z_{c}"), F.lit(True).alias(f"{c}__outlier"))
+            flagged = flagged.withColumn(f"_z_{c}", z).join(nz, f"_z_{c}", "left").drop(f"_z_{c}")
+    elif method == "isolation_forest":
+        from .multivariate import isolation_forest
+        for c in cols:
+            f = isolation_forest(df.select(id_col, c).where(F.col(c).isNotNull()), [c], id_col,
+                                 contamination=contamination).select(id_col, F.col("is_outlier").alias(f"{c}__outlier"))
+            flagged = flagged.join(f, id_col, "left")
+    else:
+        raise ValueError(method)
+    flags = {c: F.coalesce(F.col(f"{c}__outlier"), F.lit(False)) for c in cols if f"{c}__outlier" in flagged.columns}
+    b = {c: {"mean": st[c]["mean"], "sd": st[c]["std_samp"]} for c in flags}
+    med = quantile_dict(df, list(flags), [0.5]) if treatment == "median" else {}
+
+    def treat(c):
+        x = F.col(c)
+        if treatment == "cap":
+            return clip(c, b[c]["mean"] - 3 * b[c]["sd"], b[c]["mean"] + 3 * b[c]["sd"])
+        if treatment == "mean":
+            return F.when(flags[c], F.lit(b[c]["mean"])).otherwise(x)
+        if treatment == "median":
+            return F.when(flags[c], F.lit(med[(c, 0.5)])).otherwise(x)
+        return x
+    drop = F.lit(False)
+    if treatment == "remove":
+        for c in flags:
+            drop = drop | flags[c]
+    base = flagged.where(~drop) if treatment == "remove" else flagged
+    treated = base.select(*[treat(c).alias(c) if c in flags else F.col(c) for c in df.columns])
+    stats = outlier_stats(flagged, flags, {c: (method, treatment) for c in flags}, drop)
+    return treated, stats

@@ -475,3 +475,22 @@ def _p13_sql():
 
 register("p13_row_validation", _p13_sql(), family="projection")(
     lambda s, d: validate_rows(FX.scored_encounters(s, d)).select("encounter_id", "violations", "is_clean"))
+
+
+def _q_dbscan_stats(s, d):
+    _, st = OU.handle_outliers_model(FX.scored_encounters(s, d), DB, "dbscan", "encounter_id", "cap")
+    return st.select("column", "method", "treatment", "n_outliers")
+
+
+register("d08_outlier_stats_dbscan",
+         SC + "SELECT \"column\", 'dbscan' AS method, 'cap' AS treatment, n_noise AS n_outliers FROM (" +
+         _dbscan_sql()[len(SC):] + ") t", family="outliers")(_q_dbscan_stats)
+
+
+def _q_iforest_stats(s, d):
+    e = FX.encounters(s, d)
+    _, st = OU.handle_outliers_model(e, FX.CONTINUOUS, "isolation_forest", "encounter_id", "cap")
+    return st
+
+
+register("d08_outlier_stats_isolation_forest", family="outliers")(_q_iforest_stats)
