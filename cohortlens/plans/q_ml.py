@@ -210,8 +210,10 @@ register("c5_conditional_recalibration", family="calibration")(_q_c5)
 
 
 def _q_iforest(s, d):
+    """D11 on all continuous columns together (contamination .1); the
+    per-column variant (.05) is ``d08_outlier_stats_isolation_forest``."""
     e = impute(FX.encounters(s, d), "median", cols=FX.LABS)
-    return MV.isolation_forest(e, FX.CONTINUOUS, "encounter_id", contamination=0.05).select(
+    return MV.isolation_forest(e, FX.CONTINUOUS, "encounter_id", contamination=0.1).select(
         "encounter_id", "anomaly_score", "is_outlier")
 
 
