@@ -126,13 +126,21 @@ register("s09_importance_csv", _s9_sql(), doubles=["mean_abs_contribution"], fam
 def _q_r1(s, d):
     src, sink, ck = scratch_path(s, "r1-src"), scratch_path(s, "r1-sink"), scratch_path(s, "r1-ckpt")
     e = FX.encounters(s, d)
+    # stored statistics: fitted once in batch on the training split
+    from ..operators.outliers import fit_reference_stats
+    sc = FX.scored_encounters(s, d)
+    tr = train_test_split(sc, "encounter_id").where("split = 'train'")
+    stats = {r["column"]: (r["mean"], r["sd"]) for r in fit_reference_stats(tr, STREAM_Z).collect()}
     # arriving files: one per day of seen_at
     e.repartition(F.to_date("seen_at")).write.parquet(src)
-    q = start_scoring_stream(s, src, e.schema, sink, ck)
+    q = start_scoring_stream(s, src, e.schema, sink, ck, stats=stats)
     q.awaitTermination()
     return s.read.parquet(sink)
 
 
+STREAM_Z = FX.CONTINUOUS + ["alvarado_score"]
+
+
 def _r1_sql():
     from .q_prep import FIELD_RULES
     v = []
@@ -142,8 +150,15 @@ def _r1_sql():
             e = f"WHEN {f} IS NULL THEN '{f}:missing' " + e
         v.append(f"CASE {e} END")
     p = "least(greatest(alvarado_score / 10.0, 0.05), 0.95)"
-    return (SC + f"SELECT encounter_id, seen_at, {p} AS probability, CAST({p} > 0.5 AS INTEGER) AS prediction, "
-            f"{risk_band_sql(p, 'app')} AS risk_band, concat_ws(',', {', '.join(v)}) AS violations FROM scored")
+    tr = f"SELECT * FROM (SELECT *, {split_sql_expr('encounter_id')} AS split FROM scored) WHERE split = 'train'"
+    st = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in STREAM_Z)
+    z = {c: f"coalesce(abs(({c} - m_{c}) / s_{c}) > 3, false)" for c in STREAM_Z}
+    cnt = " + ".join(f"CAST({z[c]} AS INTEGER)" for c in STREAM_Z)
+    lst = ", ".join(f"CASE WHEN {z[c]} THEN '{c}' END" for c in STREAM_Z)
+    return (SC + f", st AS (SELECT {st} FROM ({tr}) t) SELECT encounter_id, seen_at, {p} AS probability, "
+            f"CAST({p} > 0.5 AS INTEGER) AS prediction, {risk_band_sql(p, 'app')} AS risk_band, "
+            f"concat_ws(',', {', '.join(v)}) AS violations, {cnt} AS z_flag_count, concat_ws(',', {lst}) AS z_flagged "
+            "FROM scored, st")
 
 
 register("r1_scoring_stream_equals_batch", _r1_sql(), doubles=["probability"], family="streaming")(_q_r1)

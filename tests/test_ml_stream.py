@@ -54,10 +54,15 @@ def test_stream_equals_batch(spark):
     from cohortlens.plans.catalog import REGISTRY
     sf = "/root/testdata/sf0.001"
     st = REGISTRY["r1_scoring_stream_equals_batch"].run(spark, sf)
+    from cohortlens.operators.outliers import fit_reference_stats
+    from cohortlens.operators.split import train_test_split
     from cohortlens.plans import fixtures as FX
-    from cohortlens.streaming.score_stream import score_rows
+    from cohortlens.plans.q_io import STREAM_Z
     from cohortlens.plans.registry import round_doubles
-    b = round_doubles(score_rows(FX.encounters(spark, sf)))
+    from cohortlens.streaming.score_stream import score_rows
+    tr = train_test_split(FX.scored_encounters(spark, sf), "encounter_id").where("split = 'train'")
+    stats = {r["column"]: (r["mean"], r["sd"]) for r in fit_reference_stats(tr, STREAM_Z).collect()}
+    b = round_doubles(score_rows(FX.encounters(spark, sf), stats))
     assert st.exceptAll(b).count() == 0 and b.exceptAll(st).count() == 0
 
 
