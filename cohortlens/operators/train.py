@@ -247,3 +247,29 @@ def permutation_importance(df: DataFrame, model, features: list[str], kind: str,
 
 
 from ..functions.ordering import hash_key  # noqa: E402
+
+
+def platt_kfold(df: DataFrame, features: list[str], kind: str, label: str = "label", fold_col: str = "fold",
+                k: int = 3, **kw):
+    """C1, k-fold form: for each fold, fit the learner on the other folds and
+    Platt-scale it on the held-out fold; the calibrated probability of a new
+    row is the mean of the k calibrated predictors.  Returns a function
+    ``DataFrame -> DataFrame`` adding ``calibrated``."""
+    members = []
+    for f in range(k):
+        tr, va = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
+        m, _, _ = fit_model(tr, features, kind, label, **dict(kw))
+        a, b = fit_platt(score(m, va, features, kind), "score", label)
+        members.append((m, a, b))
+
+    def apply(rows: DataFrame, id_col: str) -> DataFrame:
+        parts = []
+        for i, (m, a, b) in enumerate(members):
+            sc = score(m, rows, features, kind).select(id_col, (1.0 / (1.0 + F.exp(-(F.col("score") * a + b))))
+                                                       .alias("p"))
+            parts.append(sc)
+        u = parts[0]
+        for p_ in parts[1:]:
+            u = u.unionByName(p_)
+        return rows.join(u.groupBy(id_col).agg(F.avg("p").alias("calibrated")), id_col)
+    return apply

@@ -183,6 +183,21 @@ def _q_platt(s, d):
 register("c1_platt_scaling", family="calibration")(_q_platt)
 
 
+def _q_platt_kfold(s, d):
+    t = _standardized(s, d)
+    tr = kfold(t.where("split = 'train'"), "encounter_id", 3, stratify="label")
+    cal = TR.platt_kfold(tr, FEATS, "logistic", "label", k=3)
+    te = t.where("split = 'test'")
+    raw = ME.loss_scores(TR.score(TR.fit_model(t.where("split = 'train'"), FEATS, "logistic", "label")[0], te, FEATS,
+                                  "logistic")).select(F.col("brier").alias("brier_single_model"))
+    after = ME.loss_scores(cal(te, "encounter_id").withColumn("score", F.col("calibrated"))).select(
+        F.col("brier").alias("brier_kfold_calibrated"))
+    return raw.crossJoin(after)
+
+
+register("c1_platt_scaling_kfold", family="calibration")(_q_platt_kfold)
+
+
 def _q_iso(s, d):
     sc = _rf_scores(s, d).select("encounter_id", "label", "score").cache()
     m = TR.fit_isotonic(sc)
