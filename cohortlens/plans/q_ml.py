@@ -379,3 +379,23 @@ def _q_x1_sampled(s, d):
 
 
 register("x01_sampled_shapley_forest", family="attribution")(_q_x1_sampled)
+
+
+MH = ["age", "duration"]
+
+
+def _q_mahalanobis(s, d):
+    """D13 classical single-pass variant (population covariance)."""
+    e = FX.encounters(s, d)
+    return MV.classical_mahalanobis(e, MH).select("encounter_id", "mahalanobis_sq")
+
+
+def _mahalanobis_sql():
+    a, b = MH
+    return (FX.with_views("encounters") + f", m AS (SELECT avg({a}) AS ma, avg({b}) AS mb, var_pop({a}) AS vaa, "
+            f"var_pop({b}) AS vbb, covar_pop({a}, {b}) AS cab FROM encounters) SELECT encounter_id, "
+            f"(vbb * ({a} - ma) * ({a} - ma) - 2 * cab * ({a} - ma) * ({b} - mb) + vaa * ({b} - mb) * ({b} - mb)) / "
+            "(vaa * vbb - cab * cab) AS mahalanobis_sq FROM encounters, m")
+
+
+register("d13_classical_mahalanobis", _mahalanobis_sql(), doubles=["mahalanobis_sq"], family="outliers")(_q_mahalanobis)
