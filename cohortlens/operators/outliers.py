@@ -292,3 +292,16 @@ def handle_outliers_model(df: DataFrame, cols: list[str], method: str, id_col: s
     treated = base.select(*[treat(c).alias(c) if c in flags else F.col(c) for c in df.columns])
     stats = outlier_stats(flagged, flags, {c: (method, treatment) for c in flags}, drop)
     return treated, stats
+
+
+def neighbour_counts(df: DataFrame, cols: list[str], eps: float = 0.5) -> DataFrame:
+    """For every row, the number of rows within ±eps of its
+    population-standardised value (itself included), per column — one
+    running sum over value and query events, no pairs.  Returns
+    (column, value, cnt, in_range) per distinct value."""
+    st = column_stats(df, cols, ["mean", "std_pop"])
+    use = [c for c in cols if st[c]["std_pop"] not in (None, 0)]
+    zexpr = {c: (F.col(c) - F.lit(st[c]["mean"])) / F.lit(st[c]["std_pop"]) for c in use}
+    long = stack_long(df.select(*[zexpr[c].alias(c) for c in use]), use).where(F.col("value").isNotNull())
+    vals = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    return vals.join(_range_counts(vals, eps, "cnt"), ["column", "value"])

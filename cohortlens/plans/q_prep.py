@@ -494,3 +494,21 @@ def _q_iforest_stats(s, d):
 
 
 register("d08_outlier_stats_isolation_forest", family="outliers")(_q_iforest_stats)
+
+
+def _q_w7(s, d):
+    nc = OU.neighbour_counts(FX.scored_encounters(s, d), DB)
+    return nc.groupBy("column").agg(F.sum("cnt").cast("bigint").alias("n_rows"),
+                                    F.sum(F.col("cnt") * F.col("in_range")).cast("bigint").alias("sum_neighbours"),
+                                    F.max("in_range").cast("bigint").alias("max_neighbours"))
+
+
+def _w7_sql():
+    return SC + union([
+        f"SELECT '{c}' AS \"column\", count(*) AS n_rows, CAST(sum(nb) AS BIGINT) AS sum_neighbours, "
+        f"CAST(max(nb) AS BIGINT) AS max_neighbours FROM (SELECT count(*) OVER (ORDER BY z RANGE BETWEEN 0.5 PRECEDING "
+        f"AND 0.5 FOLLOWING) AS nb FROM (SELECT ({c} - (SELECT avg({c}) FROM scored)) / (SELECT stddev_pop({c}) FROM scored)"
+        f" AS z FROM scored WHERE {c} IS NOT NULL) z0) z1" for c in DB])
+
+
+register("w7_neighbour_counts_within_eps", _w7_sql(), family="windows")(_q_w7)
