@@ -192,13 +192,16 @@ def composite_score(metrics: DataFrame) -> DataFrame:
                               + 0.20 * F.col("recall") + 0.25 * F.col("f1") + 0.20 * F.col("auc"))
 
 
-def best_per_metric(metrics: DataFrame, key: str, names: list[str]) -> DataFrame:
-    """The best ``key`` for every metric (max; ties -> first
-    in name order).  ``metrics`` holds one row per model (small)."""
+def best_per_metric(metrics: DataFrame, key: str, names: list[str], lower_is_better: list[str] | tuple = ()) -> DataFrame:
+    """The best ``key`` for every metric — idxmax, or idxmin
+    for ``lower_is_better`` metrics; ties -> first in ``key`` order.
+    ``metrics`` holds one row per model (small)."""
     long = metrics.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double")
                                                             .alias("value")) for n in names])).alias("m"))
     long = long.select(key, "m.metric", "m.value")
-    w = Window.partitionBy("metric").orderBy(F.desc("value"), key)
+    signed = F.when(F.col("metric").isin(list(lower_is_better)), -F.col("value")).otherwise(F.col("value")) \
+        if lower_is_better else F.col("value")
+    w = Window.partitionBy("metric").orderBy(signed.desc(), key)
     return long.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 

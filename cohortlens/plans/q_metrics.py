@@ -318,3 +318,21 @@ register("c3_doc_quality_calibration",
          "avg(CAST(label AS DOUBLE)) AS fraction_positive, count(*) AS n FROM ms GROUP BY 1",
          doubles=["mean_predicted", "fraction_positive"], family="calibration")(
     lambda s, d: ME.calibration_curve(doc_model(s, d)))
+
+
+
+def _q_t4(s, d):
+    ms = model_scores(s, d)
+    ev = ME.evaluate(ms, by=["model"]).join(ME.loss_scores(ms, by=["model"]), "model")
+    return ME.best_per_metric(ev, "model", NAMES + ["log_loss", "brier"], lower_is_better=["log_loss", "brier"])
+
+
+register("t4_best_model_per_metric",
+         MS + ", " + EVAL_SQL + ", ls AS (SELECT model, avg(-(label * ln(least(greatest(score, 1e-15), 1 - 1e-15)) + "
+         "(1 - label) * ln(1 - least(greatest(score, 1e-15), 1 - 1e-15)))) AS log_loss, avg((score - label) * "
+         "(score - label)) AS brier FROM ms GROUP BY model), e2 AS (SELECT * FROM ev JOIN ls USING (model)), long AS ("
+         + " UNION ALL ".join(f"SELECT model, '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM e2"
+                              for n in NAMES + ["log_loss", "brier"])
+         + ") SELECT model, metric, value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN "
+         "metric IN ('log_loss', 'brier') THEN -value ELSE value END DESC, model) AS r FROM long) WHERE r = 1",
+         doubles=["value"], family="topk")(_q_t4)
