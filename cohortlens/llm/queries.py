@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import ensure_checkpoint_dir
 
-from . import bpe
+from . import bpe, decontam
 from .common import read_table
 
 QUERIES: dict = {}
@@ -38,3 +38,37 @@ def op1_byte_bpe(spark, sf_dir):
     done = bpe.decode(bpe.encode(docs, path), path)
     return done.select("doc_id", "n_tokens", F.sha2(bpe.id_text(F.col("ids"), bpe.id_bytes(path)), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+OP8_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+pats AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS m, array_to_string(list_slice(w, s, s + least(10, len(w)) - 1), ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM bw WHERE len(w) > 0) a),
+lens AS (SELECT DISTINCT m FROM pats),
+dwin AS (
+  SELECT doc_id, m, s, array_to_string(list_slice(w, s, s + m - 1), ' ') AS win
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM dw, lens WHERE len(w) >= m) b),
+hits AS (SELECT d.doc_id, d.m, d.s, p.item_id FROM dwin d JOIN pats p ON d.m = p.m AND d.win = p.win),
+cov AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(s, s + m)) AS pos FROM hits) c GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) e GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, coalesce(cov.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items,
+       sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(cov.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cov ON cov.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw.doc_id
+"""
+
+
+@query(OP8_SQL)
+def op8_decontamination(spark, sf_dir):
+    """Words of whole documents that lie inside occurrences of benchmark windows."""
+    found = decontam.contamination(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                   read_table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
