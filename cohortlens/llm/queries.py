@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import ensure_checkpoint_dir
 
-from . import bpe, decontam
+from . import bpe, decontam, maxscore
 from .common import read_table
 
 QUERIES: dict = {}
@@ -72,3 +72,23 @@ def op8_decontamination(spark, sf_dir):
     ids = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                         F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) r
+WHERE rank <= 10
+"""
+
+
+@query(OP10_SQL)
+def op10_maxscore(spark, sf_dir):
+    """The ten best partners of every hundredth vector."""
+    return maxscore.top_k(read_table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
