@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import ensure_checkpoint_dir
 
-from . import bpe, decontam, maxscore
+from . import bpe, decontam, maxscore, sharding
 from .common import read_table
 
 QUERIES: dict = {}
@@ -92,3 +92,11 @@ WHERE rank <= 10
 def op10_maxscore(spark, sf_dir):
     """The ten best partners of every hundredth vector."""
     return maxscore.top_k(read_table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
+@query()
+def op4_sharding(spark, sf_dir):
+    """All documents in 24 shards of near equal bytes; equal texts share a shard."""
+    done = sharding.shard_documents(read_table(spark, sf_dir, "documents"), 24)
+    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
