@@ -36,7 +36,7 @@ FRESH, LETTERS, DIGITS, OTHERS, SPACE, BLANKS, TAKE1, TAKE2 = range(8)
 LETTER, DIGIT, OTHER, CONTR2, CONTR3, BLANK, LAST_SPACE, LAST_BLANK, STOP = range(9)
 BLOCK = 512
 SLICE_BYTES = 2 << 20
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 CACHED_PIECE = 64
 LONG_PIECE = 96
 MERGED_AT_ONCE = 8192
@@ -178,13 +178,33 @@ def piece_starts(points: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """Token bytes and ranks of a file in the ``base64 rank`` form."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
+
+
+def id_type(ranks: dict[bytes, int]) -> np.dtype:
+    return np.dtype("<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4")
+
+
+class Words:
+    """Token bytes by id, for decoding."""
+
+    def __init__(self, data: bytes):
+        ranks = read_ranks(data)
+        self.dtype = id_type(ranks)
+        self.words = {i: w for w, i in ranks.items()}
+
+    def decode(self, ids: bytes | None) -> bytes:
+        return b"".join(map(self.words.__getitem__, np.frombuffer(ids or b"", self.dtype).tolist()))
+
+
 class Ranks:
-    """Merge ranks of a vocabulary file in the ``base64 rank`` form."""
+    """Merge ranks of a vocabulary, for encoding."""
 
     def __init__(self, data: bytes):
-        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
-        self.words = {i: w for w, i in self.ranks.items()}
-        self.dtype = np.dtype("<u2" if max(self.words, default=0) < 1 << 16 else "<u4")
+        self.ranks = read_ranks(data)
+        self.dtype = id_type(self.ranks)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)])
         self.pairs = {(self.ranks[w[:k]], self.ranks[w[k:]]): i for w, i in self.ranks.items()
                       for k in range(1, len(w)) if w[:k] in self.ranks and w[k:] in self.ranks}
@@ -336,11 +356,8 @@ class Ranks:
             first = end + 1
         return out
 
-    def decode(self, ids: bytes | None) -> bytes:
-        return b"".join(map(self.words.__getitem__, np.frombuffer(ids or b"", self.dtype).tolist()))
-
 
-_LOADED: dict[bytes, Ranks] = {}
+_LOADED: dict = {}
 
 
 class SharedRanks:
@@ -354,11 +371,12 @@ class SharedRanks:
         self.digest = hashlib.sha256(data).digest()
         self.data = spark.sparkContext.broadcast(data)
 
-    def table(self) -> Ranks:
-        if self.digest not in _LOADED:
+    def table(self, kind):
+        """The worker's ``Ranks`` or ``Words`` of this file."""
+        if (kind, self.digest) not in _LOADED:
             _LOADED.clear()
-            _LOADED[self.digest] = Ranks(self.data.value)
-        return _LOADED[self.digest]
+            _LOADED[kind, self.digest] = kind(self.data.value)
+        return _LOADED[kind, self.digest]
 
 
 def id_bytes(path: str) -> int:
@@ -377,7 +395,7 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False)
                           + ([T.StructField("piece_offsets", T.ArrayType(T.LongType()))] if offsets else []))
 
     def run(batches):
-        ranks = shared.table()
+        ranks = shared.table(Ranks)
         for whole in batches:
             for batch in text_slices(whole, 0, SLICE_BYTES):
                 done = ranks.encode(batch.column(0).to_pylist())
@@ -400,11 +418,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
     at = keep.index(ids)
 
     def run(batches):
-        ranks = shared.table()
+        words = shared.table(Words)
         for whole in batches:
             for batch in text_slices(whole, at, SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(map(ranks.decode, batch.column(at).to_pylist()), pa.binary())], [*keep, into])
+                    [*batch.columns, pa.array(map(words.decode, batch.column(at).to_pylist()), pa.binary())], [*keep, into])
 
     return df.select(*keep).mapInArrow(run, schema)
 
