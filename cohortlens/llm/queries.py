@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import ensure_checkpoint_dir
 
-from . import bpe, decontam, maxscore, sharding
+from . import bpe, decontam, maxscore, quality, sharding
 from .common import read_table
 
 QUERIES: dict = {}
@@ -100,3 +100,13 @@ def op4_sharding(spark, sf_dir):
     done = sharding.shard_documents(read_table(spark, sf_dir, "documents"), 24)
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op9_compression_quality(spark, sf_dir):
+    """A quality score for every whole text; rows with remainder 2 teach nothing."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    labels = read_table(spark, sf_dir, "labels").filter(remainder != 2).select("doc_id", "quality")
+    scored = quality.score(docs.withColumn("held_out", F.coalesce(remainder == 2, F.lit(False))), quality.fit(docs, labels))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
