@@ -32,3 +32,38 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
             break
         now = then
     return w
+
+
+def lbfgs(loss_and_gradient, start: np.ndarray, rounds: int = 200, memory: int = 8) -> np.ndarray:
+    """Minimise a smooth function by limited-memory BFGS with backtracking."""
+    x = start.copy()
+    loss, g = loss_and_gradient(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        d, alphas = -g, []
+        for s, y in reversed(past):
+            a = (s @ d) / (s @ y)
+            alphas.append(a)
+            d = d - a * y
+        if past:
+            s, y = past[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y), a in zip(past, reversed(alphas)):
+            d = d + s * (a - (y @ d) / (s @ y))
+        slope = g @ d
+        if slope > -1e-10:
+            break
+        size = 1.0 if past else min(1.0, 1.0 / (np.abs(g).sum() + 1e-12))
+        while True:
+            then, h = loss_and_gradient(x + size * d)
+            if then <= loss + 1e-4 * size * slope or size < 1e-10:
+                break
+            size /= 2
+        s, y = size * d, h - g
+        if s @ y > 1e-12:
+            past = [*past, (s, y)][-memory:]
+        x, g = x + s, h
+        if loss - then < 1e-9 * max(1.0, abs(loss)):
+            break
+        loss = then
+    return x

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import ensure_checkpoint_dir
 
-from . import bpe, decontam, maxscore, quality, sharding
+from . import bpe, decontam, maxscore, quality, sharding, toxicity
 from .common import read_table
 
 QUERIES: dict = {}
@@ -110,3 +110,11 @@ def op9_compression_quality(spark, sf_dir):
     labels = read_table(spark, sf_dir, "labels").filter(remainder != 2).select("doc_id", "quality")
     scored = quality.score(docs.withColumn("held_out", F.coalesce(remainder == 2, F.lit(False))), quality.fit(docs, labels))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op2_toxicity(spark, sf_dir):
+    """Expected severity of every whole text; toxic from a chance of one half on."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", "severity", "p_toxic", "grade", (F.col("p_toxic") >= 0.5).alias("toxic"))
