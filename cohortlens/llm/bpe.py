@@ -40,6 +40,7 @@ CACHE_ENTRIES = 400_000
 CACHED_PIECE = 64
 LONG_PIECE = 96
 MERGED_AT_ONCE = 8192
+WIDTHS = [-(-n // 5) if n <= 20 else n.bit_length() + 5 for n in range(LONG_PIECE + 1)]
 FAR = 1 << 60
 EMPTY = np.uint64((1 << 64) - 1)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -184,7 +185,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 def id_type(ranks: dict[bytes, int]) -> np.dtype:
-    return np.dtype("<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4")
+    return np.dtype("<u2" if max(ranks.values(), default=0) < (1 << 16) - 1 else "<u4")
 
 
 class Words:
@@ -292,7 +293,7 @@ class Ranks:
                 ids = self._merge_long(self.single[np.frombuffer(piece, np.uint8)].tolist())
                 out[i] = np.array(ids, self.dtype).tobytes()
             else:
-                by_width.setdefault(len(piece).bit_length() if len(piece) > 16 else -(-len(piece) // 6), []).append(i)
+                by_width.setdefault(WIDTHS[len(piece)], []).append(i)
         for group in by_width.values():
             for k in range(0, len(group), MERGED_AT_ONCE):
                 part = group[k:k + MERGED_AT_ONCE]
@@ -323,12 +324,13 @@ class Ranks:
         cache = self.cache
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        new = list(set(pieces).difference(cache))
-        cache.update(zip(new, self.merge(new)))
-        out = list(map(cache.__getitem__, pieces))
-        for piece in new:
-            if len(piece) > CACHED_PIECE:
-                del cache[piece]
+        out = list(map(cache.get, pieces))
+        missed = [i for i, ids in enumerate(out) if ids is None]
+        new = list({pieces[i] for i in missed})
+        found = dict(zip(new, self.merge(new)))
+        for i in missed:
+            out[i] = found[pieces[i]]
+        cache.update((p, ids) for p, ids in found.items() if len(p) <= CACHED_PIECE)
         return out
 
     def encode(self, texts: list[bytes | None]) -> list[tuple[bytes, np.ndarray]]:
@@ -340,13 +342,14 @@ class Ranks:
         stops = np.zeros(len(points), bool)
         stops[ends] = True
         starts = piece_starts(points, stops)
-        width = np.ones(len(points), np.uint8)
-        for low in (0x80, 0x800, 0x10000):
-            width += points >= low
-        place = np.zeros(len(points) + 1, np.int64)
-        np.cumsum(width, out=place[1:])
         raw = joined.encode("utf-8")
-        cut = place[starts].tolist()
+        cut = starts
+        if len(raw) != len(points):
+            width = np.ones(len(points), np.uint8)
+            for low in (0x80, 0x800, 0x10000):
+                width += points >= low
+            cut = (np.cumsum(width, dtype=np.int64) - width)[starts]
+        cut = cut.tolist()
         pieces = [raw[a:b] for a, b in zip(cut, cut[1:] + [len(raw)])]
         ids = self.lookup(pieces)
         out, first = [], 0
@@ -379,10 +382,15 @@ class SharedRanks:
         return _LOADED[kind, self.digest]
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the highest id: the first id that no token has."""
+    with open(path, "rb") as f:
+        return 1 + max((int(x.split()[1]) for x in f if x.strip()), default=-1)
+
+
 def id_bytes(path: str) -> int:
     """Bytes of one id in the packed form."""
-    with open(path, "rb") as f:
-        return 2 if max((int(x.split()[1]) for x in f if x.strip()), default=0) < 1 << 16 else 4
+    return 2 if vocabulary_size(path) < 1 << 16 else 4  # with room for one id beyond the vocabulary
 
 
 def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False) -> DataFrame:

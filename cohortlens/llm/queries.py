@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import ensure_checkpoint_dir
 
-from . import bpe, decontam, maxscore, quality, sharding, toxicity
+from . import bpe, decontam, maxscore, packing, quality, sharding, toxicity
 from .common import read_table
 
 QUERIES: dict = {}
@@ -118,3 +118,14 @@ def op2_toxicity(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score(docs, model).select("doc_id", "severity", "p_toxic", "grade", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
+@query()
+def op3_packing(spark, sf_dir):
+    """All documents' ids packed into rows of 2,048; one result row per packed row."""
+    path = rank_file()
+    width = bpe.id_bytes(path)
+    encoded = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    rows = packing.rows_of(packing.pack(encoded, width, pad=bpe.vocabulary_size(path)), width)
+    return rows.select("pack", "row", "doc_ids", "pieces", "cu_seqlens", F.element_at("cu_seqlens", -1).alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
