@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import ensure_checkpoint_dir
 
-from . import bpe, decontam, maxscore, packing, quality, sharding, toxicity
+from . import bpe, decontam, maxscore, packing, quality, sharding, toxicity, urlfilter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -129,3 +129,59 @@ def op3_packing(spark, sf_dir):
     rows = packing.rows_of(packing.pack(encoded, width, pad=bpe.vocabulary_size(path)), width)
     return rows.select("pack", "row", "doc_ids", "pieces", "cu_seqlens", F.element_at("cu_seqlens", -1).alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
+
+
+#: The rules that the query applies.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def _op7_sql() -> str:
+    steps = ["""
+WITH u AS (
+  SELECT page_id, CASE WHEN coalesce(position('://' IN url), 0) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.www.example.com' AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule FROM p),
+m AS (SELECT doc_id AS id, 1 - min(quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1)
+      GROUP BY doc_id HAVING min(quality) = max(quality)),
+t0 AS (SELECT page_id, host, path, rule, bad, '' AS template,
+       CASE WHEN regexp_replace(path, '^/|/$', '', 'g') = '' THEN [] ELSE string_split(regexp_replace(path, '^/|/$', '', 'g'), '/') END AS segs
+       FROM r LEFT JOIN m ON m.id = r.page_id),
+o AS (SELECT CASE WHEN count(bad) > 0 THEN 1.0 - CAST(sum(bad) AS DOUBLE) / count(bad) ELSE 1.0 END AS share FROM t0)"""]
+    for k in (1, 2, 3):
+        steps.append(f""",
+k{k} AS (SELECT host, template, segs[{k}] AS seg, count(*) AS n, count(bad) AS marked, coalesce(sum(bad), 0) AS bad FROM t{k - 1}
+        WHERE len(segs) >= {k} GROUP BY ALL),
+p{k} AS (SELECT host, template, count(*) AS kinds, sum(n) AS nrows,
+        (CAST(sum(bad) AS DOUBLE) + 1.0) / (CAST(sum(marked) AS DOUBLE) + 2.0) AS share FROM k{k} GROUP BY ALL
+        HAVING NOT (count(*) >= 8 AND count(*) >= 0.5 * sum(n))),
+d{k} AS (SELECT k.host, k.template, k.seg FROM k{k} k JOIN p{k} p ON k.host = p.host AND k.template = p.template
+        WHERE abs(k.bad - p.share * k.marked) > 3.0 * sqrt(p.share * (1.0 - p.share) * k.marked)),
+t{k} AS (SELECT t.page_id, t.host, t.path, t.rule, t.bad, t.segs,
+        CASE WHEN len(t.segs) < {k} THEN t.template ELSE t.template || '/' || coalesce(d.seg, '*') END AS template
+        FROM t{k - 1} t LEFT JOIN d{k} d ON len(t.segs) >= {k} AND d.host = t.host AND d.template = t.template AND d.seg = t.segs[{k}])""")
+    steps.append(""",
+f AS (SELECT * REPLACE (CASE WHEN len(segs) > 3 THEN template || '/**' ELSE template END AS template) FROM t3),
+g AS (SELECT host, template, (count(bad) - coalesce(sum(bad), 0) + 10.0 * any_value(share)) / (count(bad) + 10.0) AS purity FROM f, o GROUP BY host, template)
+SELECT page_id, f.host, path, rule,
+  CASE rule WHEN 'www.example.com/en/' THEN 'allow' WHEN 'com/' THEN 'allow' WHEN 'example.com/en/' THEN 'block' WHEN 'net/es/' THEN 'block'
+       WHEN 'net/fr/' THEN 'block' ELSE CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END END AS verdict,
+  f.template FROM f JOIN g ON g.host = f.host AND g.template = f.template""")
+    return "".join(steps)
+
+
+@query(_op7_sql())
+def op7_url_filter(spark, sf_dir):
+    """Every page's url judged by the rules, else by its host's path templates.  A page's label is the
+    quality mark of its own id, the only labels the tables have."""
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("good"))
+    done = urlfilter.judge(read_table(spark, sf_dir, "pages"), URL_RULES, labels)
+    return done.select("page_id", "host", "path", "rule", "verdict", "template")
