@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import ensure_checkpoint_dir
 
-from . import bpe, decontam, maxscore, packing, quality, sharding, toxicity, urlfilter
+from . import bpe, decontam, maxscore, ngram_join, packing, quality, sharding, toxicity, urlfilter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -185,3 +185,31 @@ def op7_url_filter(spark, sf_dir):
     labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("good"))
     done = urlfilter.judge(read_table(spark, sf_dir, "pages"), URL_RULES, labels)
     return done.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(4, len(w)) - 1), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM w WHERE len(w) > 0) a),
+n AS (SELECT doc_id, count(*) AS n, bit_xor(hash(s)) AS h FROM s GROUP BY doc_id),
+same AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY n, h) AS rep FROM n),
+reps AS (SELECT s.doc_id, s.s, r.n FROM s JOIN same r ON r.doc_id = s.doc_id AND r.rep = r.doc_id),
+o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, count(*) AS c
+  FROM reps a JOIN reps b ON a.s = b.s AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM o WHERE 100 * c >= 85 * (total - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT doc_id AS node, doc_id AS seen FROM same WHERE rep = doc_id UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.seen),
+m AS (SELECT node, min(seen) AS component FROM c GROUP BY node)
+SELECT w.doc_id, coalesce(same.n, 0) AS n_shingles, coalesce(m.component, w.doc_id) AS component_id
+FROM w LEFT JOIN same ON same.doc_id = w.doc_id LEFT JOIN m ON m.node = same.rep
+"""
+
+
+@query(OP5_SQL)
+def op5_ngram_join(spark, sf_dir):
+    """Components of documents whose 4-word shingle sets reach a Jaccard similarity of 0.85."""
+    return ngram_join.join(read_table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, share=(85, 100))
