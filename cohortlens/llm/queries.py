@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import ensure_checkpoint_dir
 
-from . import bpe, decontam, maxscore, ngram_join, packing, quality, sharding, toxicity, urlfilter
+from . import bpe, decontam, maxscore, ngram_join, packing, quality, sharding, suffix_dedup, toxicity, urlfilter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -213,3 +213,11 @@ FROM w LEFT JOIN same ON same.doc_id = w.doc_id LEFT JOIN m ON m.node = same.rep
 def op5_ngram_join(spark, sf_dir):
     """Components of documents whose 4-word shingle sets reach a Jaccard similarity of 0.85."""
     return ngram_join.join(read_table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, share=(85, 100))
+
+
+@query()
+def op6_suffix_dedup(spark, sf_dir):
+    """Bytes of every whole text that 50-byte strings of earlier documents cover, removed."""
+    done = suffix_dedup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", (F.length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed",
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
