@@ -41,3 +41,9 @@ def text_slices(batch, column: int, max_bytes: int):
         size += n
     if batch.num_rows > start:
         yield batch.slice(start)
+
+
+def sheltered(df: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of these names set aside under others, and the names to put back."""
+    aside = {c: f"__aside_{c}" for c in df.columns if c in names}
+    return df.withColumnsRenamed(aside), {v: k for k, v in aside.items()}

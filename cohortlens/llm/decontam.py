@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices, utf8
+from .common import sheltered, text_slices, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -182,8 +182,7 @@ def span_type_name() -> str:
     return "array<struct<first:int,last:int>>"
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shortest: int = 1) -> DataFrame:
-    """Documents in which no window of the benchmark occurs; items of fewer than ``shortest`` words do not count."""
-    long_enough = items.filter(F.size(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), " "))
-                               >= shortest) if shortest > 1 else items
-    return contamination(docs, long_enough, window=window).filter("n_hit = 0").select(*docs.columns)
+def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Documents in which no window of the benchmark occurs, with the columns they had."""
+    apart, back = sheltered(docs, ADDED)
+    return contamination(apart, items, window=window).filter("n_hit = 0").select(*apart.columns).withColumnsRenamed(back)

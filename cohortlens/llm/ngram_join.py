@@ -336,3 +336,18 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
     left = own.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     right = own.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100), row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without those that link, directly or not, with a document of smaller id.
+
+    An id stays if any of its rows is the smallest of its component; rows that repeat an id and all columns stay once; rows without an id stay.
+    """
+    found = join(docs, k, share, row_id, text)
+    per_id = (found.filter(F.col(row_id).isNotNull()).groupBy(F.col(row_id).cast("long").alias("__id"))
+              .agg(F.max((F.col("component_id") == F.col(row_id)).cast("int")).alias("first"), F.count("*").alias("rows")))
+    per_id = shared_table(per_id.filter("first = 0 or rows > 1"), "near-copies")
+    here = F.col(row_id).cast("long") == F.col("__id")
+    single = docs.join(per_id.select("__id"), here, "left_anti")
+    repeated = docs.join(per_id.filter("first = 1").select("__id"), here, "left_semi").dropDuplicates()
+    return single.unionByName(repeated).select(*docs.columns)

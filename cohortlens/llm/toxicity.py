@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_table, text_slices, utf8
+from .common import shared_table, sheltered, text_slices, utf8
 from .fitting import lbfgs, sigmoid
 
 SAMPLE_ROWS = 20_000
@@ -39,6 +39,7 @@ Z = 4.0
 STRONG = 2.0
 DENSITY = 200
 GRADES = 3
+ADDED = ("severity", "p_toxic", "grade")
 RIDGE = 0.05
 SLICE_BYTES = 8 << 20
 KNOWN_WORDS = 300_000
@@ -186,7 +187,7 @@ _LOADED: dict = {}
 
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """Every row with expected ``severity``, ``p_toxic`` = P(grade >= 1) and the likeliest ``grade``."""
-    names = ["severity", "p_toxic", "grade"]
+    names = list(ADDED)
     kept = [f for f in docs.schema.fields if f.name not in names]
     schema = T.StructType(kept + [T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("grade", T.IntegerType())])
     packed = pickle.dumps(model)
@@ -218,5 +219,6 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
-    """Documents whose P(grade >= 1) stays below ``least``."""
-    return score(docs, model).filter(F.col("p_toxic") < least).select(*docs.columns)
+    """Documents whose P(grade >= 1) stays below ``least``, with the columns they had."""
+    apart, back = sheltered(docs, ADDED)
+    return score(apart, model).filter(F.col("p_toxic") < least).select(*apart.columns).withColumnsRenamed(back)
