@@ -159,7 +159,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
                         words = words_of(body)
                         found, of = table.spans(words)
                         if had:
-                            found = merged([(x["first"], x["last"]) for x in had] + found)
+                            found = merged([[x["first"], x["last"]] for x in had] + found)
                         n_words.append(len(words))
                         n_hit.append(sum(b - a + 1 for a, b in found))
                         spans.append([{"first": a, "last": b} for a, b in found])
