@@ -9,7 +9,7 @@ b pairs of minimum hashes, b chosen so that two sets at the threshold share no b
 
 1. Buckets are dealt into chunks of about ``CHUNK`` classes; each chunk is joined through its tree, with the sets at hand, and only a
    spanning forest of its links leaves.  Two independent dealings connect a group of near copies, however large.
-2. Buckets that still hold different components are joined completely: cells of two chunks of the bucket, tree by tree, leaving out pairs already
+2. Buckets that still hold different components are joined completely: cells of two chunks of about ``CELL`` classes, tree by tree, leaving out pairs already
    in one component and pairs that met in an earlier bucket.  Surviving pairs are verified.
 
 So no task holds a bucket, no group is spelled out as pairs, and no link between different components is left out.
@@ -34,6 +34,7 @@ from .components import components
 
 MISS = 1e-12
 CHUNK = 48
+CELL = 512
 FIRST_BUCKETS = 2
 COARSE = 64
 FINEST = 4096
@@ -99,11 +100,11 @@ def vector_of(s: np.ndarray) -> bytes:
 
 
 class Point:
-    """A class in a tree: its size, vectors folded to any coarser G, and, where at hand, its set."""
+    """A class in a tree: its size, its vector, folded to any coarser G on demand, and, where at hand, its set."""
 
-    def __init__(self, rep, n, vector, digest, component=None, keys=None, shingles=None):
-        self.rep, self.n, self.digest, self.component, self.keys = rep, n, digest, component, keys
-        fine = np.frombuffer(vector, f"<u{vector[0]}", offset=1).astype(np.int64)
+    def __init__(self, rep, n, vector, component=None, keys=None, shingles=None):
+        self.rep, self.n, self.component, self.keys = rep, n, component, keys
+        fine = np.frombuffer(vector, f"<u{vector[0]}", offset=1).astype(np.int32)
         self.folded = {len(fine): fine}
         self.coarse = self.fold(COARSE)
         self.fine = len(fine)
@@ -124,10 +125,6 @@ class Threshold:
     def reached(self, overlap, sizes):
         return (self.up + self.down) * overlap >= self.up * sizes
 
-    def bound_allows(self, a: Point, b: Point) -> bool:
-        size = min(a.fine, b.fine)
-        return bool(self.reached(np.minimum(a.fold(size), b.fold(size)).sum(), a.n + b.n))
-
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         small, large = (a, b) if len(a) <= len(b) else (b, a)
         at = np.minimum(np.searchsorted(large, small), len(large) - 1) if len(large) else np.zeros(0, np.int64)
@@ -136,22 +133,35 @@ class Threshold:
 
 class CountTree:
     """A packed R-tree over count vectors: points are sorted by size, leaves hold ``LEAF`` points, and every node
-    keeps its coordinate maxima and its smallest size."""
+    keeps its coordinate maxima and its smallest size.  Leaves check the finest vectors that both sides have."""
 
     def __init__(self, points: list[Point], threshold: Threshold):
         self.points = sorted(points, key=lambda p: p.n)
         self.threshold = threshold
         self.vectors = np.array([p.coarse for p in self.points])
         self.sizes = np.array([p.n for p in self.points])
+        self.fines = np.array([p.fine for p in self.points])
         self.levels = []
         top, least = self.vectors, self.sizes
         while len(top) > 1:
             cut = np.arange(0, len(top), LEAF)
             top, least = np.maximum.reduceat(top, cut), np.minimum.reduceat(least, cut)
             self.levels.append((top, least))
-
-    def near(self, q: Point):
-        """Points whose bounds with ``q`` reach the threshold."""
+        self.matrices: dict[tuple, tuple] = {}
+
+    def _matrix(self, fine: int, size: int):
+        """Vectors of the points with G = ``fine``, folded to ``size``, and each point's row there."""
+        if (fine, size) not in self.matrices:
+            on = np.flatnonzero(self.fines == fine)
+            row = np.full(len(self.points), -1)
+            row[on] = np.arange(len(on))
+            self.matrices[fine, size] = np.array([self.points[i].fold(size) for i in on.tolist()]), row
+        return self.matrices[fine, size]
+
+    def near(self, q: Point, allowed: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of the (allowed) points whose bounds with ``q`` reach the threshold."""
+        if not self.points:
+            return np.zeros(0, np.int64)
         at = np.zeros(1, np.int64)
         for height in range(len(self.levels) - 1, -1, -1):
             top, least = self.levels[height]
@@ -159,11 +169,16 @@ class CountTree:
             below = len(self.levels[height - 1][0]) if height else len(self.points)
             at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
             at = at[at < below]
-        at = at[self.threshold.reached(np.minimum(self.vectors[at], q.coarse).sum(axis=1), self.sizes[at] + q.n)] if len(self.points) else at[:0]
-        for i in at.tolist():
-            p = self.points[i]
-            if self.threshold.bound_allows(p, q):
-                yield p
+        if allowed is not None:
+            at = at[allowed[at]]
+        at = at[self.threshold.reached(np.minimum(self.vectors[at], q.coarse).sum(axis=1), self.sizes[at] + q.n)]
+        found = []
+        for fine in np.unique(self.fines[at]).tolist():
+            size = min(fine, q.fine)
+            matrix, row = self._matrix(fine, size)
+            own = at[self.fines[at] == fine]
+            found.append(own[self.threshold.reached(np.minimum(matrix[row[own]], q.fold(size)).sum(axis=1), self.sizes[own] + q.n)])
+        return np.concatenate(found) if found else at
 
 
 class Forest:
@@ -251,10 +266,10 @@ def _join_chunks(rows: DataFrame, threshold: Threshold) -> DataFrame:
     """Spanning links of every chunk (key, salt) whose rows carry sets."""
     def links(batches):
         for _, rows in _groups(batches, 2):
-            points = [Point(r["rep"], r["n"], r["vector"], r["digest"], shingles=r["shingles"]) for r in rows]
+            points = [Point(r["rep"], r["n"], r["vector"], shingles=r["shingles"]) for r in rows]
             tree, forest = CountTree(points, threshold), Forest()
             for q in tree.points:
-                for p in tree.near(q):
+                for p in (tree.points[i] for i in tree.near(q).tolist()):
                     if forest.root(p.rep) != forest.root(q.rep) and threshold.linked(p.shingles, q.shingles):
                         forest.join(p.rep, q.rep)
             for node in list(forest.parent):
@@ -268,16 +283,21 @@ def _cross_pairs(rows: DataFrame, threshold: Threshold) -> DataFrame:
     """Pairs of different components that the bound allows, in cells (key, i, j) of two chunks of a bucket."""
     def pairs(batches):
         for (_, i, j), rows in _groups(batches, 3):
-            points = [(r["chunk"], Point(r["rep"], r["n"], r["vector"], r["digest"], r["component"], r["keys"])) for r in rows]
-            band = rows[0]["band"]
+            points = [(r["chunk"], Point(r["rep"], r["n"], r["vector"], r["component"], np.array(r["keys"][:rows[0]["band"]]))) for r in rows]
             tree = CountTree([p for c, p in points if c == j], threshold)
+            reps, components = np.array([p.rep for p in tree.points]), np.array([p.component for p in tree.points])
+            keys = np.array([p.keys for p in tree.points])
             for c, q in points:
                 if c != i:
                     continue
-                for p in tree.near(q):
-                    new = p.component != q.component and (i != j or p.rep < q.rep)
-                    if new and not any(x == y for x, y in zip(p.keys[:band], q.keys[:band])):
-                        yield min(p.rep, q.rep), max(p.rep, q.rep)
+                allowed = components != q.component
+                if i == j:
+                    allowed &= reps < q.rep
+                if len(q.keys) and len(keys):
+                    allowed &= ~(keys == q.keys).any(axis=1)  # those met in an earlier bucket
+                if allowed.any():
+                    for rep in reps[tree.near(q, allowed)].tolist():
+                        yield min(rep, q.rep), max(rep, q.rep)
 
     return rows.mapInArrow(lambda batches: _edge_batches(pairs(batches)), "a long, b long")
 
@@ -287,6 +307,33 @@ def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
+def _cells(placed: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, once for every cell (i, j) they take part in.
+
+    Components of at most ``CELL`` rows of a bucket share chunks; a larger one has chunks of its own, which meet all others but
+    never one another.  So a bucket that is one large component and little else costs its size, not its square.
+    """
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    large = F.col("c") > CELL
+    buckets = (sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.when(large, 0).otherwise(F.col("c"))).alias("small"),
+                                        F.collect_list(F.when(large, F.struct("component", F.ceil(F.col("c") / CELL).alias("parts")))).alias("large"))
+               .filter("kinds > 1").withColumn("shared", F.ceil(F.col("small") / CELL)).select("key", "shared", "large"))
+    rows = placed.join(buckets, "key")
+    mine = F.get(F.filter("large", lambda x: x["component"] == F.col("component")), F.lit(0))
+
+    def name(component, part):
+        return F.concat_ws(":", component.cast("string"), part.cast("string"))
+
+    shared = F.when(F.col("shared") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("shared") - 1), lambda k: name(F.lit("s"), k)))
+    others = F.flatten(F.transform(F.filter("large", lambda x: x["component"] != F.col("component")),
+                                   lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["parts"] - 1), lambda k: name(x["component"], k))))
+    chunk = F.when(mine.isNull(), name(F.lit("s"), F.pmod(F.xxhash64("component"), F.col("shared")))).otherwise(
+        name(F.col("component"), F.pmod(F.xxhash64("rep"), mine["parts"])))
+    met = F.concat(F.coalesce(shared, F.array().cast("array<string>")), others)
+    return (rows.withColumn("chunk", chunk).withColumn("other", F.explode(met))
+            .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "band", "rep", "component", "digest"))
+
+
 def join(docs: DataFrame, k: int = 4, share: tuple[int, int] = (85, 100), row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row_id, n_shingles, component_id) for every row of ``docs``."""
     threshold, bands = Threshold(share), bands_for(share[0] / share[1])
@@ -302,18 +349,14 @@ def join(docs: DataFrame, k: int = 4, share: tuple[int, int] = (85, 100), row_id
     sets = shared_table(_sets(sets, k).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "vector", "shingles")]), "shingle-sets")
 
     first = met.filter(F.col("band") < FIRST_BUCKETS).withColumn("salt", F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("m") / CHUNK)))
-    chunks = _dealt(first.join(sets, "digest").select("key", "salt", "rep", "n", "vector", "digest", "shingles"), "key", "salt")
+    chunks = _dealt(first.join(sets, "digest").select("key", "salt", "rep", "n", "vector", "shingles"), "key", "salt")
     edges = shared_table(_join_chunks(chunks, threshold), "shingle-links")
     named = components(edges)
 
     placed = met.join(named, met["rep"] == named["node"], "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    rest = (placed.join(mixed, "key").withColumn("chunks", F.ceil(F.col("m") / CHUNK))
-            .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-            .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "band", "rep", "component", "digest"))
+    rest = _cells(placed)
     slim = sets.select("digest", "n", "vector").join(classes.select("digest", "keys"), "digest")
-    cells = _dealt(rest.join(slim, "digest").select("key", "i", "j", "chunk", "band", "rep", "component", "digest", "n", "vector", "keys"), "key", "i", "j")
+    cells = _dealt(rest.join(slim, "digest").select("key", "i", "j", "chunk", "band", "rep", "component", "n", "vector", "keys"), "key", "i", "j")
     pairs = shared_table(_cross_pairs(cells, threshold).distinct(), "shingle-pairs")
     more = _verified(pairs, classes, sets, threshold)
     named = components(edges.union(more))

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.llm import ngram_join
@@ -58,7 +59,10 @@ def family(seed, n, length, changes):
     return [" ".join(t) for t in out]
 
 
-def test_chains_cliques_and_thresholds(spark):
+@pytest.mark.parametrize("chunk, cell", [(48, 512), (3, 4)])
+def test_chains_cliques_and_thresholds(spark, monkeypatch, chunk, cell):
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    monkeypatch.setattr(ngram_join, "CELL", cell)
     texts = family(1, 60, 90, 3) + family(2, 60, 40, 1) + family(3, 40, 12, 1) + [" ".join(f"z{i}" for i in range(7))] * 30
     random.Random(9).shuffle(texts)
     rows = list(enumerate(texts))
@@ -87,10 +91,9 @@ def test_the_bound_never_drops_a_pair():
         b = np.unique(np.concatenate([a[r.random(len(a)) < 0.97], r.integers(0, 1 << 63, int(0.03 * n)).astype(np.uint64)]))
         if not len(b):
             continue
-        pa, pb = (ngram_join.Point(i, len(s), ngram_join.vector_of(s), b"") for i, s in enumerate((a, b)))
+        pa, pb = (ngram_join.Point(i, len(s), ngram_join.vector_of(s)) for i, s in enumerate((a, b)))
         if threshold.linked(a, b):
-            assert threshold.bound_allows(pa, pb)
-            assert pb in list(ngram_join.CountTree([pb], threshold).near(pa))
+            assert ngram_join.CountTree([pb], threshold).near(pa).tolist() == [0]
 
 
 def test_tree_finds_what_a_scan_finds():
@@ -98,13 +101,18 @@ def test_tree_finds_what_a_scan_finds():
     threshold = ngram_join.Threshold((80, 100))
     pool = [np.unique(r.integers(0, 1 << 63, int(r.integers(20, 400))).astype(np.uint64) * np.uint64(2)) for _ in range(12)]
     sets = [s[r.random(len(s)) < r.uniform(0.8, 1)] for s in pool for _ in range(8)]
-    points = [ngram_join.Point(i, len(s), ngram_join.vector_of(s), b"", shingles=s.tobytes()) for i, s in enumerate(sets)]
+    points = [ngram_join.Point(i, len(s), ngram_join.vector_of(s), shingles=s.tobytes()) for i, s in enumerate(sets)]
     tree = ngram_join.CountTree(points, threshold)
     for q in points:
         scanned = {p.rep for p in points if threshold.linked(p.shingles, q.shingles)}
-        found = {p.rep for p in tree.near(q)}
+        found = {tree.points[i].rep for i in tree.near(q).tolist()}
         assert scanned <= found
-        assert {p.rep for p in points if threshold.bound_allows(p, q) and threshold.reached(np.minimum(p.coarse, q.coarse).sum(), p.n + q.n)} == found
+
+        def allows(p):
+            size = min(p.fine, q.fine)
+            return threshold.reached(np.minimum(p.fold(size), q.fold(size)).sum(), p.n + q.n)
+
+        assert {p.rep for p in points if allows(p)} == found
 
 
 def test_components_of_long_chains(spark):
