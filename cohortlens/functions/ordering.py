@@ -1,31 +1,25 @@
 """Global ordering without one task.
 
 Running sums, ranks and exact quantiles over a whole table normally mean a
-window with no ``partitionBy`` — every row in one task.  Here they are built
-as a two-level prefix sum:
+window with no ``partitionBy`` — every row in one task.  A running sum here is a
+two-level prefix sum:
 
-1. range-bucket the order key with ``percentile_approx`` boundaries (a
-   bounded sketch: ``buckets`` values per partition key),
-2. total each bucket (``groupBy``, map-side combined),
-3. prefix-sum the small bucket table (≤ keys × buckets rows),
-4. broadcast those offsets back (size bounded by the same product) and run
-   the window inside each bucket only.
+1. range-partition by (partition keys, order keys), so that a range's size is
+   Spark's partition size whatever the keys hold, and write the ranges once,
+2. total each range (one row per range and key) and prefix-sum these totals,
+3. run the window inside each range only and add its range's offset.
 
-Buckets are quantiles of the rows being ordered, so each holds ~1/buckets of
-them, even when the values themselves cluster.
+Exact quantiles are a distributed selection (see ``exact_quantiles``).
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+from ..session import written
+
 SEED = 42
-# verification switch: force the distributed paths regardless of size
-_FORCE = os.environ.get("COHORTLENS_FORCE_DISTRIBUTED") == "1"
 
 
 def hash_key(id_col: str | Column, seed: int = SEED) -> Column:
@@ -41,54 +35,27 @@ def hash_key_sql(id_sql: str, seed: int = SEED) -> str:
     return f"substr(md5(CAST({id_sql} AS VARCHAR) || '|{seed}'), 1, 15)"
 
 
-def _bucketize(df: DataFrame, order_col: str, part: list[str], buckets: int) -> DataFrame:
-    probs = [i / buckets for i in range(1, buckets)]
-    agg = F.percentile_approx(F.col(order_col), probs, max(10000, 2 * buckets))
-    bnd = df.groupBy(*part).agg(agg.alias("_bnd"))
-    bnd = bnd.select(*part, F.coalesce(F.array_sort(F.array_distinct("_bnd")), F.array()).alias("_bnd"))
-    # one row per partition key, `buckets` values each: a proven bound.
-    joined = df.join(F.broadcast(bnd), part) if part else df.crossJoin(F.broadcast(bnd))
-    return joined.withColumn("_bk", F.size(F.filter("_bnd", lambda b: b < F.col(order_col)))).drop("_bnd")
-
-
-# A window task may hold at most this many rows; above it the two-level
-# (bucketed) prefix sum is used.
-LOCAL_WINDOW_LIMIT = 0 if _FORCE else 1_000_000
-
-
 def running_sum(df: DataFrame, order_cols: list[str] | str, weights: list[str] | str,
-                partition_cols: list[str] | tuple = (), descending: bool = False,
-                buckets: int = DEFAULT_BUCKETS, prefix: str = "cum_",
-                local_limit: int | None = None) -> DataFrame:
+                partition_cols: list[str] | tuple = (), descending: bool = False, prefix: str = "cum_") -> DataFrame:
     """Inclusive running sum of ``weights`` ordered by ``order_cols`` (a total
-    order within each partition), per partition.  Adds ``{prefix}{w}``.
-
-    Size-checked: one small job counts rows per partition key (≤ #keys rows
-    collected); when every key has ≤ ``local_limit`` rows a plain window is
-    bounded and cheapest, otherwise the bucketed two-level prefix sum runs."""
+    order within each partition), per partition.  Adds ``{prefix}{w}``."""
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     weights = [weights] if isinstance(weights, str) else list(weights)
     part = list(partition_cols)
     oc = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
-    local_limit = LOCAL_WINDOW_LIMIT if local_limit is None else local_limit
-    biggest = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).collect()[0][0] or 0
-    if local_limit > 0 and biggest <= local_limit:
-        w = Window.partitionBy(*part).orderBy(*oc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select(*[F.col(c) for c in df.columns], *[F.sum(x).over(w).alias(f"{prefix}{x}") for x in weights])
-    # enough buckets that one window task holds ~2M rows (bounded sketch size)
-    buckets = int(min(max(buckets, -(-biggest // 2_000_000)), 65536))
-    tb = _bucketize(df, order_cols[0], part, buckets)
-    tot = tb.groupBy(*part, "_bk").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
-    bo = F.col("_bk").desc() if descending else F.col("_bk").asc()
-    before = Window.partitionBy(*part).orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)
-    # bucket table: at most (#partition keys × buckets) rows
-    off = tot.select(*part, "_bk", *[F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}")
-                                      for w in weights])
-    res = tb.join(F.broadcast(off), part + ["_bk"])
-    inside = Window.partitionBy(*part, "_bk").orderBy(*oc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = written(df.repartitionByRange(*[F.col(p).asc() for p in part], *oc).withColumn("_range", F.spark_partition_id()))
+    tot = ranged.groupBy(*part, "_range").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
+    # one row per range (and key in it); ranges are numbered in the order asked for
+    before = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*[F.col(p).alias(f"_p_{p}") for p in part], F.col("_range").alias("_r"),
+                     *[F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}") for w in weights])
+    same = F.col("_range") == F.col("_r")
+    for p in part:
+        same = same & F.col(p).eqNullSafe(F.col(f"_p_{p}"))
+    inside = Window.partitionBy(*part, "_range").orderBy(*oc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = [F.col(c) for c in df.columns] + [
         (F.col(f"_o_{w}") + F.sum(w).over(inside)).alias(f"{prefix}{w}") for w in weights]
-    return res.select(*out)
+    return ranged.join(off, same).select(*out)
 
 
 def global_row_number(df: DataFrame, order_cols: list[str], partition_cols: list[str] | tuple = (),
@@ -116,19 +83,6 @@ def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def cumulative_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, value, cnt, cum_cnt, n_before) per distinct value."""
-    vc = value_counts_long(df, cols)
-    r = running_sum(vc, "value", "cnt", ["column"])
-    return r.withColumn("n_before", F.col("cum_cnt") - F.col("cnt"))
-
-
-# Above this many non-null values per column, Spark's ``percentile`` (whose
-# final buffer holds every distinct value of the column in one task) is not
-# used; the distributed selection below takes over.
-LOCAL_PERCENTILE_LIMIT = 0 if _FORCE else 2_000_000
-
-
 def _refine_ranges(df: DataFrame, ranges: dict, buckets: int, limit: int, targets) -> dict:
     """Split target ranges holding more than ``limit`` rows again (sketch
     bounds + bucket counts restricted to each range) until every range a
@@ -137,7 +91,7 @@ def _refine_ranges(df: DataFrame, ranges: dict, buckets: int, limit: int, target
     from pyspark.ml.feature import Bucketizer
     ranges = dict(ranges)
     final = set()
-    for _ in range(8):
+    while True:
         big = [(k, v) for k, v in ranges.items() if v[1] > limit and k not in final]
         if not big:
             return ranges
@@ -178,30 +132,24 @@ def _refine_ranges(df: DataFrame, ranges: dict, buckets: int, limit: int, target
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets: int = 256,
-                    local_limit: int | None = None, refine_limit: int = 4_000_000) -> DataFrame:
+                    refine_limit: int = 4_000_000) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy/pandas default,
     Spark ``percentile``, DuckDB ``quantile_cont``) by distributed selection —
-    no task ever holds a whole column:
+    no task ever holds a whole column.  The columns are written once, narrow, and
+    read by every step:
 
     A. one aggregate: non-null count and ``buckets`` approximate bounds per
        column (bounded sketches);
     B. one aggregate: rows per (column, bucket) — tells exactly which bucket
-       holds each target rank and how many rows precede it;
+       holds each target rank and how many rows precede it; buckets of over
+       ``refine_limit`` rows are cut again until they are smaller or one value;
     C. only the rows of those target buckets (≈ n/buckets each) are
        value-counted and ranked inside their bucket.
 
     Returns (column, prob, value)."""
     import math
     spark = df.sparkSession
-    local_limit = LOCAL_PERCENTILE_LIMIT if local_limit is None else local_limit
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).collect()[0]
-    if max(counts[c] for c in cols) <= local_limit:
-        # size-checked: every column's buffer is bounded by local_limit values
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), [float(p) for p in probs]).alias(c) for c in cols])
-        st = stack_long(row, cols, value_type="array<double>", value_col="vals")
-        pr = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "i int, prob double")
-        return st.crossJoin(F.broadcast(pr)).select("column", "prob",
-                                                    F.element_at("vals", F.col("i") + 1).alias("value"))
+    df = written(df.select(*dict.fromkeys(cols)))
     fr = [i / buckets for i in range(1, buckets)]
     a = df.agg(*[F.count(c).alias(f"{c}__n") for c in cols],
                *[F.percentile_approx(F.col(c).cast("double"), fr, 2 * buckets).alias(f"{c}__b") for c in cols]).collect()[0]

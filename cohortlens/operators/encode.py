@@ -1,7 +1,7 @@
 """Encoding, scaling, transformation and selection.
 
 Fits are aggregates whose output is bounded by the number of columns (or
-levels, checked against ``max_levels``); transforms are column expressions.
+levels, each a column of the result); transforms are column expressions.
 """
 
 from __future__ import annotations
@@ -14,19 +14,13 @@ from pyspark.sql import functions as F
 from ..functions.ordering import stack_long
 from ..functions.stats import column_stats
 
-MAX_LEVELS = 1000
 
-
-def fit_levels(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS) -> dict:
-    """Sorted distinct non-null levels per column.  One job; refuses to pull
-    more than ``max_levels`` levels of a column to the driver."""
-    # guard first: collect_set is only run once every column is known small
-    n = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).collect()[0]
-    for c in cols:
-        if n[c] > max_levels:
-            raise ValueError(f"{c} has ~{n[c]} levels > max_levels={max_levels}; hash-encode it instead")
-    row = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cols]).collect()[0]
-    return {c: list(row[c]) for c in cols}
+def fit_levels(df: DataFrame, cols: list[str]) -> dict:
+    """Sorted distinct non-null levels per column; each becomes a column of ``one_hot``, so they reach the driver as its schema does."""
+    found: dict = {c: [] for c in cols}
+    for r in stack_long(df, cols, "string").where(F.col("value").isNotNull()).distinct().collect():
+        found[r["column"]].append(r["value"])
+    return {c: sorted(v) for c, v in found.items()}
 
 
 def one_hot(df: DataFrame, levels: dict, drop_first: bool = True, prefix_sep: str = "_") -> DataFrame:

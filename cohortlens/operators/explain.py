@@ -1,74 +1,96 @@
 """Attribution.
 
 Linear scorers get exact interventional Shapley values in closed form:
-φ_j = w_j·(x_j − E_bg[x_j]) in logit space, with E over a background
-sample (the only capped input: ≤ 100 rows chosen by the seeded hash order).
-All per-row work is a long (id, feature, value, contribution) table;
-windows are partitioned by id (≤ #features rows per partition).
+φ_j = w_j·(x_j − E[x_j]) in logit space, with E over the whole table (one
+aggregate).  A row's contributions are one array column, so rankings,
+running totals and records are array expressions of that row: nothing is
+exploded to be grouped again.  ``long`` unrolls the array at the end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import hash_key
 
-
-def background_means(df: DataFrame, features: list[str], id_col: str, n: int = 100, seed: int = 42) -> DataFrame:
-    """X2 input: feature means over the ≤ n background rows (1 row)."""
-    bg = df.withColumn("_hk", hash_key(id_col, seed)).orderBy("_hk", id_col).limit(n)
-    return bg.agg(*[F.avg(c).alias(c) for c in features])
+def background_means(df: DataFrame, features: list[str]) -> DataFrame:
+    """X2 input: feature means over all rows (1 row)."""
+    return df.agg(*[F.avg(c).alias(c) for c in features])
 
 
 def linear_shapley(df: DataFrame, weights: dict, intercept: float, id_col: str, bg_means: DataFrame) -> DataFrame:
-    """Long (id, feature, value, contribution, base_value, prediction).
+    """(id, base_value, prediction, contributions), contributions an array of (feature, value, contribution).
     ``weights`` {feature: w} in logit space; X3 additivity:
     base_value + Σ contribution = prediction (logit)."""
     feats = list(weights)
     m = bg_means.select(*[F.col(c).alias(f"_m_{c}") for c in feats])
     base = sum((F.col(f"_m_{c}") * weights[c] for c in feats), F.lit(float(intercept)))
     pred = sum((F.col(c) * weights[c] for c in feats), F.lit(float(intercept)))
-    j = df.select(id_col, *feats).crossJoin(F.broadcast(m))        # 1-row background
+    j = df.select(id_col, *feats).crossJoin(F.broadcast(m))        # one row of means
     arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"),
                              ((F.col(c) - F.col(f"_m_{c}")) * weights[c]).alias("contribution")) for c in feats])
-    return j.select(id_col, base.alias("base_value"), pred.alias("prediction"), F.inline(arr))
+    return j.select(id_col, base.alias("base_value"), pred.alias("prediction"), arr.alias("contributions"))
+
+
+def long(contrib: DataFrame) -> DataFrame:
+    """One row per (row, feature)."""
+    return contrib.select(*[c for c in contrib.columns if c != "contributions"], F.inline("contributions"))
 
 
 def global_importance(contrib: DataFrame) -> DataFrame:
     """Mean |contribution| per feature."""
-    return contrib.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"))
+    return long(contrib).groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"))
+
+
+def _ranked(n: int) -> Column:
+    """The row's n contributions of largest size (ties by name), in order."""
+    keyed = F.transform("contributions", lambda x: F.struct((-F.abs(x["contribution"])).alias("k"), x["feature"].alias("feature"),
+                                                            x["contribution"].alias("contribution")))
+    return F.slice(F.array_sort(keyed), 1, n)
+
+
+def _direction(c: Column) -> Column:
+    return F.when(c > 0, "Increases risk").otherwise("Decreases risk")
 
 
 def top_features(contrib: DataFrame, id_col: str, n: int = 5) -> DataFrame:
     """Top-n features per row by |contribution| (ties by name) with a
     direction label."""
-    w = Window.partitionBy(id_col).orderBy(F.desc(F.abs("contribution")), "feature")
-    t = contrib.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    return t.withColumn("direction", F.when(F.col("contribution") > 0, "Increases risk").otherwise("Decreases risk"))
+    t = contrib.select(id_col, F.posexplode(_ranked(n)).alias("at", "x"))
+    return t.select(id_col, F.col("x.feature").alias("feature"), F.col("x.contribution").alias("contribution"),
+                    (F.col("at") + 1).alias("rank"), _direction(F.col("x.contribution")).alias("direction"))
 
 
 def waterfall(contrib: DataFrame, id_col: str, top: int = 10) -> DataFrame:
     """Contributions by |c| desc, top 10, running total from base value."""
-    w = Window.partitionBy(id_col).orderBy(F.desc(F.abs("contribution")), "feature")
-    t = contrib.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    run = Window.partitionBy(id_col).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return t.withColumn("running_total", F.col("base_value") + F.sum("contribution").over(run))
+    t = contrib.select(id_col, "base_value", _ranked(top).alias("r"))
+    total = F.aggregate(F.slice("r", 1, F.col("at") + 1), F.lit(0.0), lambda a, x: a + x["contribution"])
+    t = t.select(id_col, "base_value", "r", F.posexplode("r").alias("at", "x"))
+    return t.select(id_col, "base_value", F.col("x.feature").alias("feature"), F.col("x.contribution").alias("contribution"),
+                    (F.col("at") + 1).alias("rank"), (F.col("base_value") + total).alias("running_total"))
 
 
 def percent_scaled(contrib: DataFrame, id_col: str) -> DataFrame:
     """|c| as % of the row's max |c|; 5 % floor when |c| > .001; cap 100."""
-    mx = F.max(F.abs("contribution")).over(Window.partitionBy(id_col))
-    pct = F.try_divide(F.abs("contribution"), mx) * 100
+    t = contrib.select(id_col, F.array_max(F.transform("contributions", lambda x: F.abs(x["contribution"]))).alias("most"), "contributions")
+    t = long(t)
+    pct = F.try_divide(F.abs("contribution"), F.col("most")) * 100
     pct = F.when(F.abs("contribution") > 0.001, F.greatest(pct, F.lit(5.0))).otherwise(pct)
-    return contrib.withColumn("value_percent", F.least(pct, F.lit(100.0)))
+    return t.withColumn("value_percent", F.least(pct, F.lit(100.0))).drop("most")
 
 
 def explanation_records(contrib: DataFrame, id_col: str, n: int = 5) -> DataFrame:
-    """Per-row ordered list of (feature, contribution, direction)."""
-    t = top_features(contrib, id_col, n)
-    return t.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "feature", "contribution", "direction")))
-                                 .alias("explanation"))
+    """Per-row ordered list of (rank, feature, contribution, direction)."""
+    records = F.transform(_ranked(n), lambda x, i: F.struct((i + 1).alias("rank"), x["feature"].alias("feature"),
+                                                             x["contribution"].alias("contribution"), _direction(x["contribution"]).alias("direction")))
+    return contrib.select(id_col, records.alias("explanation"))
+
+
+def dependence(contrib: DataFrame, id_col: str, features: list[str], partner: str) -> DataFrame:
+    """Value and contribution of each listed feature beside the partner feature's value, row by row."""
+    beside = F.get(F.filter("contributions", lambda x: x["feature"] == partner), F.lit(0))["value"]
+    t = contrib.select(id_col, beside.alias("interaction_value"), F.inline(F.filter("contributions", lambda x: x["feature"].isin(features))))
+    return t.withColumn("interaction_feature", F.lit(partner))
 
 
 def sampled_shapley(df: DataFrame, model_score, features: list[str], id_col: str, background: DataFrame,
@@ -80,17 +102,18 @@ def sampled_shapley(df: DataFrame, model_score, features: list[str], id_col: str
     permutation are materialised (features in the coalition from the row,
     the rest from the background row).  All rows × permutations × (F+1)
     vectors are scored by ``model_score(df) -> df[score]`` in one Spark job;
-    φ_j = mean over permutations of f(S ∪ {j}) − f(S).  Background ≤ 100
-    rows (broadcast); windows are per (id, permutation) (F+1 rows each).
+    φ_j = mean over permutations of f(S ∪ {j}) − f(S): each scored prefix counts + for the feature just added and −
+    for the next one, so one aggregate per row, combined before the shuffle, gives all features.  ``background``
+    is a small sample (broadcast; its size is the caller's parameter).
     Returns long (id, feature, contribution, base_value)."""
     import numpy as np
     import pandas as pd
     from pyspark.sql import types as T
     k = len(features)
-    bg = background.select(*features).limit(100).toPandas().to_numpy(dtype=float)   # ≤ 100 rows
+    bg = background.select(*features).toPandas().to_numpy(dtype=float)
     bc = df.sparkSession.sparkContext.broadcast(bg)
-    out_schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("perm", T.IntegerType()),
-                               T.StructField("step", T.IntegerType()), T.StructField("added", T.IntegerType())]
+    out_schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("added", T.IntegerType()),
+                               T.StructField("next", T.IntegerType())]
                               + [T.StructField(f, T.DoubleType()) for f in features])
 
     def mix(x):
@@ -121,11 +144,10 @@ def sampled_shapley(df: DataFrame, model_score, features: list[str], id_col: str
                 Z = B[zi]                                                                 # n × M × k
                 inside = inv[:, :, None, :] < steps[None, None, :, None]                  # n × M × (k+1) × k
                 V = np.where(inside, X[:, None, None, :], Z[:, :, None, :])
-                added = np.concatenate([np.full((n, n_perm, 1), -1), perm], axis=2)      # n × M × (k+1)
+                none = np.full((n, n_perm, 1), -1)
                 cols = {id_col: np.repeat(ids, n_perm * (k + 1)),
-                        "perm": np.tile(np.repeat(np.arange(n_perm), k + 1), n).astype(np.int32),
-                        "step": np.tile(steps, n * n_perm).astype(np.int32),
-                        "added": added.reshape(-1).astype(np.int32)}
+                        "added": np.concatenate([none, perm], axis=2).reshape(-1).astype(np.int32),      # n × M × (k+1)
+                        "next": np.concatenate([perm, none], axis=2).reshape(-1).astype(np.int32)}
                 flat = V.reshape(-1, k)
                 for j, f in enumerate(features):
                     cols[f] = flat[:, j]
@@ -134,10 +156,11 @@ def sampled_shapley(df: DataFrame, model_score, features: list[str], id_col: str
     coal = df.select(F.col(id_col).cast("long").alias(id_col), *[F.col(f).cast("double") for f in features]) \
         .mapInPandas(expand, out_schema)
     scored = model_score(coal)
-    w = Window.partitionBy(id_col, "perm").orderBy("step")
-    d = scored.withColumn("delta", F.col("score") - F.lag("score").over(w))
-    base = scored.where(F.col("step") == 0).groupBy(id_col).agg(F.avg("score").alias("base_value"))
-    names = F.create_map(*[v for i, f in enumerate(features) for v in (F.lit(i), F.lit(f))])
-    phi = (d.where(F.col("step") > 0).groupBy(id_col, "added").agg(F.avg("delta").alias("contribution"))
-           .select(id_col, names[F.col("added")].alias("feature"), "contribution"))
-    return phi.join(base, id_col)
+    def sign(j):
+        return (F.col("added") == j).cast("double") - (F.col("next") == j).cast("double")
+
+    sums = [(F.sum(sign(j) * F.col("score")) / n_perm).alias(f"_phi_{j}") for j in range(k)]
+    base = (F.sum(F.when(F.col("added") < 0, F.col("score"))) / n_perm).alias("base_value")
+    per_row = scored.groupBy(id_col).agg(base, *sums)
+    return per_row.select(id_col, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_phi_{j}").alias("contribution"))
+                                                     for j, f in enumerate(features)])), "base_value")

@@ -28,17 +28,16 @@ def rating_summary(df: DataFrame, rating: str) -> DataFrame:
     return s.crossJoin(med).select("n", "mean", "median", "n_low", "n_high")
 
 
+def concordance_label(pred_col: str = "prediction_class", actual_col: str = "actual_diagnosis", mapping=CONCORDANCE):
+    """The mapping's label of a prediction and an outcome, or undetermined."""
+    fits = [F.when((F.col(pred_col) == p) & (F.col(actual_col) == a), F.lit(lab)) for p, a, lab in mapping]
+    return F.coalesce(*fits, F.lit(UNDETERMINED))
+
+
 def concordance(df: DataFrame, pred_col: str = "prediction_class", actual_col: str = "actual_diagnosis",
                 mapping=CONCORDANCE) -> DataFrame:
     """TP/TN/FP/FN/undetermined counts; the label mapping is an argument."""
-    e = F.lit(None)
-    first = True
-    for p, a, lab in mapping:
-        cond = (F.col(pred_col) == p) & (F.col(actual_col) == a)
-        e = F.when(cond, F.lit(lab)) if first else e.when(cond, F.lit(lab))
-        first = False
-    e = e.otherwise(F.lit(UNDETERMINED))
-    return df.groupBy(e.alias("concordance")).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(concordance_label(pred_col, actual_col, mapping).alias("concordance")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def usefulness_report(df: DataFrame, x: str = "diagnostic_accuracy", y: str = "usefulness_rating") -> DataFrame:

@@ -129,28 +129,27 @@ def loss_scores(df: DataFrame, label: str = "label", score: str = "score", by: l
 def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score", by: list[str] | tuple = (),
                     steps: int = 100) -> DataFrame:
     """Metrics at every threshold t = k/steps (p >= t), thresholds
-    where every row is predicted one class skipped.  Not a theta join: the
-    101 thresholds are merged into the distinct-score order as query events
-    and read off one descending running sum."""
+    where every row is predicted one class skipped.  Each score counts once, at the highest threshold it
+    reaches (map-side combined); a threshold's counts are the sums of those at or above it: at most steps + 2 rows a group."""
     by = list(by)
-    spark = df.sparkSession
-    g = df.groupBy(*by, F.col(score).cast("double").alias("key")).agg(
+    p, n = F.col(score).cast("double"), F.lit(float(steps))
+    k = F.floor(F.least(F.greatest(p, F.lit(-1.0)), F.lit(2.0)) * n)
+    # the product may round across a threshold: compare with k/steps itself
+    k = F.when((k + 1) / n <= p, k + 1).when(k / n > p, k - 1).otherwise(k)
+    bins = df.groupBy(*by, F.coalesce(F.greatest(F.least(k, F.lit(steps)), F.lit(-1)), F.lit(-1)).alias("k")).agg(
         F.count_if(F.col(label) == 1).cast("double").alias("pos"), F.count_if(F.col(label) == 0).cast("double").alias("neg"))
-    th = spark.range(0, steps + 1).select((F.col("id").cast("double") / F.lit(float(steps))).alias("key"))
-    keys = g.select(*by).distinct() if by else None
-    q = (keys.crossJoin(F.broadcast(th)) if by else th).select(*by, "key", F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"))
-    ev = g.withColumn("kind", F.lit(0)).unionByName(q.withColumn("kind", F.lit(1)))
-    # descending: data (kind 0) before a query at the same key -> counts p >= t
-    r = running_sum(ev.withColumn("_kind_desc", -F.col("kind")), ["key", "_kind_desc"], ["pos", "neg"], by,
-                    descending=True)
-    tot = g.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    r = r.where(F.col("kind") == 1)
-    r = r.join(F.broadcast(tot), by) if by else r.crossJoin(F.broadcast(tot))
-    tp, fp = F.col("cum_pos"), F.col("cum_neg")
+    per = bins.groupBy(*by).agg(F.collect_list(F.struct("k", "pos", "neg")).alias("bins"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    r = per.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+
+    def reached(x):
+        return F.aggregate(F.filter("bins", lambda b: b["k"] >= F.col("t")), F.lit(0.0), lambda a, b: a + b[x])
+
+    r = r.withColumn("tp_", reached("pos")).withColumn("fp_", reached("neg"))
+    tp, fp = F.col("tp_"), F.col("fp_")
     fn, tn = F.col("P") - tp, F.col("N") - fp
     sens, spec = _div(tp, tp + fn), _div(tn, tn + fp)
     ppv, npv = _div(tp, tp + fp), _div(tn, tn + fn)
-    out = r.select(*by, F.col("key").alias("threshold"), tp.cast("bigint").alias("tp"), fp.cast("bigint").alias("fp"),
+    out = r.select(*by, (F.col("t").cast("double") / n).alias("threshold"), tp.cast("bigint").alias("tp"), fp.cast("bigint").alias("fp"),
                    tn.cast("bigint").alias("tn"), fn.cast("bigint").alias("fn"), sens.alias("sensitivity"),
                    spec.alias("specificity"), ppv.alias("ppv"), npv.alias("npv"),
                    _div(tp + tn, F.col("P") + F.col("N")).alias("accuracy"), _div(2 * ppv * sens, ppv + sens).alias("f1"))
@@ -159,21 +158,14 @@ def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score", b
 
 def optimal_thresholds(sweep: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
     """Best threshold per criterion (max F1, accuracy, Youden,
-    2·sens+spec); ties -> the first (lowest) threshold.  Windows run over the
-    ≤ 101 sweep rows per group."""
+    2·sens+spec); ties -> the first (lowest) threshold.  The criteria are stacked, so the sweep runs once; the window
+    sees its ≤ 101 rows per group and criterion."""
     crit = {"f1": F.col("f1"), "accuracy": F.col("accuracy"),
             "youden": F.col("sensitivity") + F.col("specificity") - 1,
             "sens2_spec": 2 * F.col("sensitivity") + F.col("specificity")}
-    parts = []
-    for name, e in crit.items():
-        t = sweep.select(*by, "threshold", e.alias("value"))
-        w = Window.partitionBy(*by).orderBy(F.desc("value"), "threshold")
-        parts.append(t.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-                     .withColumn("criterion", F.lit(name)))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u
+    stacked = sweep.select(*by, "threshold", F.inline(F.array(*[F.struct(F.lit(n).alias("criterion"), e.alias("value")) for n, e in crit.items()])))
+    w = Window.partitionBy(*by, "criterion").orderBy(F.desc("value"), "threshold")
+    return stacked.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*by, "threshold", "value", "criterion")
 
 
 def calibration_curve(df: DataFrame, label: str = "label", score: str = "score", bins: int = 10,

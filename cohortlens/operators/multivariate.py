@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ordering import hash_key, quantile_dict
+from ..functions.ordering import quantile_dict
+from ..session import written
 
 
 def _c(n: int) -> float:
@@ -122,8 +123,11 @@ def isolation_forest(df: DataFrame, features: list[str], id_col: str, n_trees: i
         eh = total / len(bc.value)
         return pd.Series(np.power(2.0, -eh / cn))
 
-    scored = df.withColumn("anomaly_score", path_score(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]))
-    thr = quantile_dict(scored, ["anomaly_score"], [1 - contamination], "approx")[("anomaly_score", round(1 - contamination, 10))]
+    # nulls count as the column's median, here as in the trees; scores are written once, then cut by exact rank
+    fill = quantile_dict(df, features, [0.5])
+    scored = written(df.withColumn("anomaly_score", path_score(*[F.coalesce(F.col(c).cast("double"), F.lit(fill[(c, 0.5)]).cast("double"), F.lit(0.0))
+                                                                  for c in features])), "forest-scores")
+    thr = quantile_dict(scored, ["anomaly_score"], [1 - contamination])[("anomaly_score", round(1 - contamination, 10))]
     return scored.withColumn("is_outlier", F.col("anomaly_score") > F.lit(thr))
 
 
@@ -175,7 +179,7 @@ def robust_mahalanobis(df: DataFrame, features: list[str], contamination: float
     mu, cov = med, np.diag(mad ** 2)
     for _ in range(max_iter):
         d = data.withColumn("_d", dist)
-        cut = quantile_dict(d, ["_d"], [h / n], "approx")[("_d", round(h / n, 10))]
+        cut = quantile_dict(d, ["_d"], [h / n])[("_d", round(h / n, 10))]
         mu, cov = _moments(d.where(F.col("_d") <= cut), features)
         det = float(np.linalg.det(cov))
         inv = np.linalg.pinv(cov)
@@ -184,8 +188,8 @@ def robust_mahalanobis(df: DataFrame, features: list[str], contamination: float
             break
         prev_det = det
     out = df.withColumn("robust_distance", dist)
-    thr = quantile_dict(out.where(F.col("robust_distance").isNotNull()), ["robust_distance"], [1 - contamination],
-                        "approx")[("robust_distance", round(1 - contamination, 10))]
+    thr = quantile_dict(out.where(F.col("robust_distance").isNotNull()), ["robust_distance"], [1 - contamination])[
+        ("robust_distance", round(1 - contamination, 10))]
     return out.withColumn("is_outlier", F.coalesce(F.col("robust_distance") > thr, F.lit(False))), {
         "location": mu.tolist(), "covariance": cov.tolist(), "threshold": thr}
 
@@ -195,79 +199,3 @@ def classical_mahalanobis(df: DataFrame, features: list[str]) -> DataFrame:
     data = df.na.drop(subset=features)
     mu, cov = _moments(data, features)
     return df.withColumn("mahalanobis_sq", _distance_expr(features, mu, np.linalg.pinv(cov)))
-
-
-def knn_lsh(df: DataFrame, id_col: str, vec_col: str, k: int = 20, bucket_length: float = 2.0, n_tables: int = 4,
-            threshold: float = 10.0, seed: int = 42) -> DataFrame:
-    """Approximate k nearest neighbours — LSH candidate pairs within
-    ``threshold`` (Euclidean), then top-k per row by a WindowGroupLimit'ed
-    ``row_number``.  Returns (id, nbr, dist, rank)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    v = df.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=n_tables,
-                                      seed=seed).fit(v)
-    pairs = lsh.approxSimilarityJoin(v, v, threshold, distCol="dist").select(
-        F.col(f"datasetA.{id_col}").alias("id"), F.col(f"datasetB.{id_col}").alias("nbr"), "dist").where("id <> nbr")
-    w = Window.partitionBy("id").orderBy("dist", "nbr")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def lof_from_neighbours(nb: DataFrame, k: int) -> DataFrame:
-    """LOF from a (id, nbr, dist, rank) neighbour table (k per id):
-    k-distance, reach-dist = max(k-dist(nbr), dist), lrd, LOF."""
-    kd = nb.groupBy("id").agg(F.max("dist").alias("kdist"))
-    r = nb.join(kd.select(F.col("id").alias("nbr"), F.col("kdist").alias("nbr_kdist")), "nbr")
-    r = r.withColumn("reach", F.greatest("dist", "nbr_kdist"))
-    lrd = r.groupBy("id").agg((1.0 / F.avg("reach")).alias("lrd"))
-    j = nb.join(lrd.select(F.col("id").alias("nbr"), F.col("lrd").alias("nbr_lrd")), "nbr")
-    lof = j.groupBy("id").agg(F.avg("nbr_lrd").alias("m")).join(lrd, "id")
-    return lof.select("id", (F.col("m") / F.col("lrd")).alias("lof"))
-
-
-def knn_exact_small(df: DataFrame, id_col: str, vec_col: str, k: int, max_rows: int = 5000) -> DataFrame:
-    """Brute-force kNN oracle for small fixtures only (refuses larger input)."""
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"exact kNN is for fixtures ≤ {max_rows} rows, got {n}")
-    pdf = df.select(id_col, vec_col).toPandas()
-    X = np.array([np.asarray(v, dtype=float) for v in pdf[vec_col]])
-    ids = pdf[id_col].to_numpy()
-    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
-    rows = []
-    for i in range(n):
-        order = [j for j in np.lexsort((ids, D[i])) if j != i][:k]
-        rows += [(int(ids[i]), int(ids[j]), float(D[i, j]), r + 1) for r, j in enumerate(order)]
-    return df.sparkSession.createDataFrame(rows, "id long, nbr long, dist double, rank int")
-
-
-def knn_projection(df: DataFrame, id_col: str, vec_col: str, k: int = 20, n_proj: int = 16, window: int | None = None,
-                   seed: int = 42) -> DataFrame:
-    """J8 (default): approximate kNN by sorted neighbourhoods on seeded
-    random projections.  Points are ranked along each projection with a
-    distributed row number; the ±``window`` rank neighbours on every
-    projection are the candidates (a fixed number per point, so no hot
-    bucket and no all-pairs group), exact distances are computed for the
-    candidates and the k nearest kept.  Returns (id, nbr, dist, rank)."""
-    from ..functions.ordering import global_row_number
-    w = window or max(4 * k, 64)
-    dim = df.select(F.size(vec_col)).first()[0]
-    R = np.random.default_rng(seed).normal(size=(n_proj, dim))
-    vec = F.col(vec_col).cast("array<double>")
-    dots = []
-    for p in range(n_proj):
-        coef = F.array(*[F.lit(float(x)) for x in R[p]])
-        dots.append(F.struct(F.lit(p).alias("p"), F.aggregate(F.zip_with(vec, coef, lambda a, b: a * b), F.lit(0.0),
-                                                              lambda acc, x: acc + x).alias("proj")))
-    pts = df.select(F.col(id_col).alias("id"), F.inline(F.array(*dots)))
-    ranked = global_row_number(pts, ["proj", "id"], ["p"], name="rn")
-    offs = df.sparkSession.range(-w, w + 1).where("id <> 0").select(F.col("id").alias("off"))
-    cand = (ranked.crossJoin(F.broadcast(offs))                      # 2·window rows per point and projection
-            .select("id", "p", (F.col("rn") + F.col("off")).alias("rn")))
-    pairs = cand.join(ranked.select("p", "rn", F.col("id").alias("nbr")), ["p", "rn"]).select("id", "nbr").distinct()
-    v = df.select(F.col(id_col).alias("id"), vec.alias("va"))
-    d = (pairs.join(v, "id").join(v.select(F.col("id").alias("nbr"), F.col("va").alias("vb")), "nbr")
-         .select("id", "nbr", F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                                                 lambda acc, x: acc + x)).alias("dist")))
-    win = Window.partitionBy("id").orderBy("dist", "nbr")
-    return d.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= k)

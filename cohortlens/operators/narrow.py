@@ -23,22 +23,13 @@ INT_TYPES = ("tinyint", "smallint", "int", "bigint")
 FLOAT_TYPES = ("float", "double")
 
 
-def int_rule(mn: Column, mx: Column) -> Column:
-    """Smallest integer type for [mn, mx]; signed lower bounds strict."""
-    return (F.when(mn >= 0, F.when(mx < 2 ** 8, "uint8").when(mx < 2 ** 16, "uint16")
-                   .when(mx < 2 ** 32, "uint32").otherwise("uint64"))
-            .when((mn > -2 ** 7) & (mx < 2 ** 7), "int8").when((mn > -2 ** 15) & (mx < 2 ** 15), "int16")
-            .when((mn > -2 ** 31) & (mx < 2 ** 31), "int32").otherwise("int64"))
+# Integer types with the range each holds, smallest first: unsigned ones for columns without negatives; signed lower bounds are strict.
+UNSIGNED = [("uint8", 2 ** 8), ("uint16", 2 ** 16), ("uint32", 2 ** 32), ("uint64", None)]
+SIGNED = [("int8", 2 ** 7), ("int16", 2 ** 15), ("int32", 2 ** 31), ("int64", None)]
 
 
 def _int_rule(mn, mx) -> str:
-    if mn >= 0:
-        return "uint8" if mx < 2 ** 8 else "uint16" if mx < 2 ** 16 else "uint32" if mx < 2 ** 32 else "uint64"
-    if mn > -2 ** 7 and mx < 2 ** 7:
-        return "int8"
-    if mn > -2 ** 15 and mx < 2 ** 15:
-        return "int16"
-    return "int32" if (mn > -2 ** 31 and mx < 2 ** 31) else "int64"
+    return next(name for name, top in (UNSIGNED if mn >= 0 else SIGNED) if top is None or (mx < top and (mn >= 0 or mn > -top)))
 
 
 PLAN_SCHEMA = ("column string, original_type string, new_type string, spark_type string, bytes_before bigint, "

@@ -253,6 +253,8 @@ def handle_outliers_model(df: DataFrame, cols: list[str], method: str, id_col: s
     are joined back (by value for DBSCAN — distinct values, never pairs — and
     by id for the forest); treatments as in :func:`treat_expr` with
     mean ± 3·sd capping.  Returns (treated frame, statistics frame)."""
+    if treatment not in ("none", "remove", "cap", "mean", "median"):
+        raise ValueError(f"model-based methods have no treatment {treatment!r}")
     st = column_stats(df, cols, ["mean", "std_samp", "std_pop"])
     flagged = df
     if method == "dbscan":

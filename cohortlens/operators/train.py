@@ -12,11 +12,10 @@ import math
 import time
 
 import numpy as np
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import MinMaxScaler, PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,8 +178,9 @@ def apply_platt(df: DataFrame, a: float, b: float, score_col: str = "score", out
 
 def fit_isotonic(df: DataFrame, score_col: str = "score", label: str = "label"):
     """Isotonic calibration (Spark ML, pool-adjacent-violators)."""
-    d = assemble(df.select(F.col(score_col).alias("s"), F.col(label).cast("double").alias("y")), ["s"])
-    return IsotonicRegression(featuresCol="features", labelCol="y", isotonic=True).fit(d)
+    # one weighted row per score to 4 places, so that at most 10,001 rows are pooled at the driver
+    groups = df.groupBy(F.round(score_col, 4).alias("s")).agg(F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+    return IsotonicRegression(featuresCol="features", labelCol="y", weightCol="w", isotonic=True).fit(assemble(groups, ["s"]))
 
 
 def apply_isotonic(model, df: DataFrame, score_col: str = "score", out: str = "calibrated") -> DataFrame:
@@ -190,14 +190,28 @@ def apply_isotonic(model, df: DataFrame, score_col: str = "score", out: str = "c
 
 # ---- feature pipelines -------------------------------------------------------------------
 
-def column_group_pipeline(standard_cols: list[str], minmax_cols: list[str], passthrough: list[str]) -> Pipeline:
-    """Column groups each with their own transform, rest passed through."""
-    st = [VectorAssembler(inputCols=standard_cols, outputCol="_g_std", handleInvalid="keep"),
-          StandardScaler(inputCol="_g_std", outputCol="g_std", withMean=True, withStd=True)]
-    mm = [VectorAssembler(inputCols=minmax_cols, outputCol="_g_mm", handleInvalid="keep"),
-          MinMaxScaler(inputCol="_g_mm", outputCol="g_mm")]
-    fin = VectorAssembler(inputCols=["g_std", "g_mm"] + passthrough, outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=st + mm + [fin])
+class GroupScaler:
+    """The fitted column groups as expressions."""
+
+    def __init__(self, exprs):
+        self.exprs = exprs
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("features", array_to_vector(F.array(*self.exprs)))
+
+
+class column_group_pipeline:
+    """Column groups each with their own transform (standardised with the population sd, scaled to 0..1), rest passed through."""
+
+    def __init__(self, standard_cols: list[str], minmax_cols: list[str], passthrough: list[str]):
+        self.standard, self.minmax, self.rest = standard_cols, minmax_cols, passthrough
+
+    def fit(self, df: DataFrame) -> GroupScaler:
+        r = df.agg(*[f(c).cast("double").alias(f"{c}__{n}") for c in [*self.standard, *self.minmax]
+                     for n, f in (("m", F.avg), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max))]).first()
+        std = [(F.col(c) - r[f"{c}__m"]) / (r[f"{c}__s"] or 1.0) for c in self.standard]
+        mm = [(F.col(c) - r[f"{c}__lo"]) / ((r[f"{c}__hi"] - r[f"{c}__lo"]) or 1.0) for c in self.minmax]
+        return GroupScaler([x.cast("double") for x in [*std, *mm, *map(F.col, self.rest)]])
 
 
 def pca(df: DataFrame, features: list[str], k: int | None = None):

@@ -10,7 +10,7 @@ from ..operators.explain import global_importance
 from ..operators.split import split_sql_expr, train_test_split
 from ..session import scratch_path
 from ..sources import files as FI
-from ..streaming.feedback_stream import start_feedback_stream
+from ..streaming.feedback_stream import daily_concordance, start_feedback_stream
 from ..streaming.score_stream import start_scoring_stream
 from . import fixtures as FX
 from .registry import register
@@ -49,33 +49,38 @@ register("s03_many_files_per_file_profile",
 
 
 def _feedback_records(s, d):
+    """Feedback reports as the entry form saves them: every value but the patient's is text."""
     f = FX.feedback(s, d)
     e = FX.encounters(s, d)
     pd_ = e.select(F.col("encounter_id").alias("report_id"), F.struct(
         F.col("age"), F.col("gender"), F.lit(None).cast("double").alias("prediction"),
         F.lit(None).cast("string").alias("prediction_class"), F.lit(None).cast("double").alias("probability"),
         F.lit(False).alias("contains_outliers")).alias("patient_data"))
-    rec = f.join(pd_, "report_id", "left").select(
-        "report_id", "prediction_class", "prediction_probability", "diagnostic_accuracy", "usefulness_rating",
-        "actual_diagnosis", "other_diagnosis", "comments",
+    return f.join(pd_, "report_id", "left").select(
+        F.col("report_id").cast("string").alias("report_id"), "prediction_class", F.col("prediction_probability").cast("string").alias("prediction_probability"),
+        "diagnostic_accuracy", "usefulness_rating", "actual_diagnosis", "other_diagnosis", "comments",
         F.date_format(F.timestamp_seconds("ts_epoch"), "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "patient_data")
-    return rec
 
 
 def _q_s4(s, d):
     root = scratch_path(s, "s4")
     rec = _feedback_records(s, d)
-    rec.write.json(f"{root}/batch")
-    s.createDataFrame([("{not json",)], "value string").write.text(f"{root}/bad")
-    FI.append_json(rec.orderBy("report_id").limit(1).withColumn("report_id", F.lit(-1).cast("long")), f"{root}/batch")
-    good, bad = FI.read_feedback_json(s, f"{root}/*")
-    return good.select("report_id", "prediction_class", "actual_diagnosis", F.col("patient_data.age").alias("age"))
+    FI.append_json(rec, f"{root}/reports", "report_id")
+    s.createDataFrame([("{\n    \"report_id\": not json",)], "value string").write.text(f"{root}/bad")
+    one = rec.orderBy(F.col("report_id").cast("long")).limit(1).withColumn("report_id", F.lit("-1"))
+    FI.append_json(one, f"{root}/reports", "report_id")
+    good, bad = FI.read_feedback_json(s, root, f"{root}-corrupt")
+    return good.select("report_id", "prediction_class", "prediction_probability", "actual_diagnosis", F.col("patient_data.age").alias("age")).unionByName(
+        bad.select(F.lit("corrupt").alias("report_id")), allowMissingColumns=True)
 
 
 register("s04_s08_json_feedback_scan",
-         FX.with_views("feedback", "encounters") + "SELECT f.report_id, f.prediction_class, f.actual_diagnosis, e.age FROM feedback f "
-         "LEFT JOIN encounters e ON e.encounter_id = f.report_id UNION ALL SELECT -1, prediction_class, actual_diagnosis, e.age "
-         "FROM (SELECT * FROM feedback ORDER BY report_id LIMIT 1) f LEFT JOIN encounters e ON e.encounter_id = f.report_id",
+         FX.with_views("feedback", "encounters") + ", f AS (SELECT CAST(report_id AS VARCHAR) AS report_id, report_id AS n, prediction_class, "
+         "CAST(prediction_probability AS VARCHAR) AS prediction_probability, actual_diagnosis FROM feedback) "
+         "SELECT f.report_id, f.prediction_class, prediction_probability, f.actual_diagnosis, e.age FROM f "
+         "LEFT JOIN encounters e ON e.encounter_id = f.n UNION ALL SELECT '-1', prediction_class, prediction_probability, actual_diagnosis, e.age "
+         "FROM (SELECT * FROM f ORDER BY n LIMIT 1) f LEFT JOIN encounters e ON e.encounter_id = f.n "
+         "UNION ALL SELECT 'corrupt', NULL, NULL, NULL, NULL",
          doubles=["age"], family="sources")(_q_s4)
 
 
@@ -131,8 +136,8 @@ def _q_r1(s, d):
     sc = FX.scored_encounters(s, d)
     tr = train_test_split(sc, "encounter_id").where("split = 'train'")
     stats = {r["column"]: (r["mean"], r["sd"]) for r in fit_reference_stats(tr, STREAM_Z).collect()}
-    # arriving files: one per day of seen_at
-    e.repartition(F.to_date("seen_at")).write.parquet(src)
+    # arriving files, whatever tasks hold: a day may be many files
+    e.write.parquet(src)
     q = start_scoring_stream(s, src, e.schema, sink, ck, stats=stats)
     q.awaitTermination()
     return s.read.parquet(sink)
@@ -142,13 +147,7 @@ STREAM_Z = FX.CONTINUOUS + ["alvarado_score"]
 
 
 def _r1_sql():
-    from .q_prep import FIELD_RULES
-    v = []
-    for f, lo, hi, req in FIELD_RULES:
-        e = f"WHEN {f} < {lo} OR {f} > {hi} THEN '{f}'"
-        if req:
-            e = f"WHEN {f} IS NULL THEN '{f}:missing' " + e
-        v.append(f"CASE {e} END")
+    from .q_prep import VIOLATIONS_SQL
     p = "least(greatest(alvarado_score / 10.0, 0.05), 0.95)"
     tr = f"SELECT * FROM (SELECT *, {split_sql_expr('encounter_id')} AS split FROM scored) WHERE split = 'train'"
     st = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in STREAM_Z)
@@ -157,7 +156,7 @@ def _r1_sql():
     lst = ", ".join(f"CASE WHEN {z[c]} THEN '{c}' END" for c in STREAM_Z)
     return (SC + f", st AS (SELECT {st} FROM ({tr}) t) SELECT encounter_id, seen_at, {p} AS probability, "
             f"CAST({p} > 0.5 AS INTEGER) AS prediction, {risk_band_sql(p, 'app')} AS risk_band, "
-            f"concat_ws(',', {', '.join(v)}) AS violations, {cnt} AS z_flag_count, concat_ws(',', {lst}) AS z_flagged "
+            f"{VIOLATIONS_SQL} AS violations, {cnt} AS z_flag_count, concat_ws(',', {lst}) AS z_flagged "
             "FROM scored, st")
 
 
@@ -165,24 +164,25 @@ register("r1_scoring_stream_equals_batch", _r1_sql(), doubles=["probability"], f
 
 
 def _q_r2(s, d):
+    """Reports arrive in two rounds; every seventh comes again with another diagnosis, some a month late."""
     src, sink, ck = scratch_path(s, "r2-src"), scratch_path(s, "r2-sink"), scratch_path(s, "r2-ckpt")
     rec = _feedback_records(s, d)
-    rec.write.json(f"{src}/part1")
-    rec.where(F.col("report_id") % 7 == 0).write.json(f"{src}/part2")        # re-sent reports
-    schema = FI.FEEDBACK_SCHEMA
-    q = start_feedback_stream(s, f"{src}/*", schema, sink, ck)
-    q.awaitTermination()
-    return s.read.parquet(sink)
+    again = rec.where(F.col("report_id").cast("long") % 7 == 0)
+    late = F.to_timestamp("timestamp") + F.expr("INTERVAL 90 MINUTES")
+    again = again.withColumn("actual_diagnosis", F.lit("appendicite")).withColumn("timestamp", F.date_format(late, "yyyy-MM-dd HH:mm:ss"))
+    for part in (rec, again):
+        part.write.mode("append").json(src)
+        start_feedback_stream(s, src, FI.FEEDBACK_SCHEMA, sink, ck, multi_line=False).awaitTermination()
+    return daily_concordance(s.read.parquet(sink))
 
 
 def _r2_sql():
     from ..operators.feedback import CONCORDANCE, UNDETERMINED
     conc = " ".join(f"WHEN prediction_class = '{p}' AND actual_diagnosis = '{a}' THEN '{lab}'" for p, a, lab in CONCORDANCE)
-    # append mode emits a day once the watermark (max event time - 1 day) has passed its end
-    return (FX.with_views("feedback") + ", ev AS (SELECT DISTINCT report_id, prediction_class, actual_diagnosis, "
-            "to_timestamp(ts_epoch)::TIMESTAMP AS t FROM feedback), wm AS (SELECT max(t) - INTERVAL 1 DAY AS w FROM ev) "
+    return (FX.with_views("feedback") + ", ev AS (SELECT report_id, prediction_class, CASE WHEN report_id % 7 = 0 THEN 'appendicite' ELSE actual_diagnosis END "
+            "AS actual_diagnosis, to_timestamp(ts_epoch + CASE WHEN report_id % 7 = 0 THEN 5400 ELSE 0 END)::TIMESTAMP AS t FROM feedback) "
             f"SELECT strftime(date_trunc('day', t), '%Y-%m-%d') AS day, CASE {conc} ELSE '{UNDETERMINED}' END AS concordance, "
-            "count(*) AS n FROM ev, wm WHERE date_trunc('day', t) + INTERVAL 1 DAY <= w GROUP BY 1, 2")
+            "count(*) AS n FROM ev GROUP BY 1, 2")
 
 
 register("r2_feedback_stream_daily_concordance", _r2_sql(), family="streaming")(_q_r2)

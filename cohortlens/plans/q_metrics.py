@@ -11,6 +11,7 @@ from ..operators import features as FE
 from ..operators import metrics as ME
 from ..operators.missing import impute
 from ..operators.profile import crosstab
+from ..operators.split import split_sql_expr, train_test_split
 from . import fixtures as FX
 from .registry import register
 from .sqlgen import median_fill
@@ -18,14 +19,18 @@ from .sqlgen import median_fill
 MODELS = ["rule", "logit", "weak"]
 
 
-def model_scores(s, d):
-    """(encounter_id, label, model, score, pred) for the three scorers."""
+def wide_scores(s, d):
+    """(encounter_id, label, rule, logit, weak): every scorer on its row."""
     e = impute(FX.scored_encounters(s, d), "median", cols=FX.LABS)
     w = FE.weak_label(e)
-    base = w.select("encounter_id", F.col("appendicitis").alias("label"),
+    return w.select("encounter_id", F.col("appendicitis").alias("label"),
                     FE.rule_probability().alias("rule"), FE.logit_probability().alias("logit"),
                     F.col("weak_score").alias("weak"))
-    long = base.select("encounter_id", "label", F.inline(F.array(*[
+
+
+def model_scores(s, d):
+    """(encounter_id, label, model, score, pred) for the three scorers."""
+    long = wide_scores(s, d).select("encounter_id", "label", F.inline(F.array(*[
         F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("score")) for m in MODELS])))
     return long.withColumn("pred", (F.col("score") > 0.5).cast("int"))
 
@@ -204,17 +209,12 @@ register("a28_discrimination_power",
         .alias("discrimination")))
 
 
-def _wide(s, d):
-    ms = model_scores(s, d)
-    return ms.groupBy("encounter_id", "label").pivot("model", MODELS).agg(F.first("score"))
-
-
 register("a29_score_difference",
          MS + ", wide AS (SELECT encounter_id, max(score) FILTER (WHERE model = 'rule') AS rule, "
          "max(score) FILTER (WHERE model = 'logit') AS logit FROM ms GROUP BY 1) "
          "SELECT avg(abs(rule - logit)) AS mean_abs_diff, max(abs(rule - logit)) AS max_abs_diff FROM wide",
          doubles=["mean_abs_diff", "max_abs_diff"], family="metrics")(
-    lambda s, d: _wide(s, d).agg(F.avg(F.abs(F.col("rule") - F.col("logit"))).alias("mean_abs_diff"),
+    lambda s, d: wide_scores(s, d).agg(F.avg(F.abs(F.col("rule") - F.col("logit"))).alias("mean_abs_diff"),
                                  F.max(F.abs(F.col("rule") - F.col("logit"))).alias("max_abs_diff")))
 
 register("t3_top5_score_difference",
@@ -222,19 +222,19 @@ register("t3_top5_score_difference",
          "max(score) FILTER (WHERE model = 'logit') AS logit FROM ms GROUP BY 1) "
          "SELECT encounter_id, abs(rule - logit) AS diff FROM wide ORDER BY diff DESC, encounter_id LIMIT 5",
          doubles=["diff"], family="topk")(
-    lambda s, d: _wide(s, d).select("encounter_id", F.abs(F.col("rule") - F.col("logit")).alias("diff"))
+    lambda s, d: wide_scores(s, d).select("encounter_id", F.abs(F.col("rule") - F.col("logit")).alias("diff"))
     .orderBy(F.desc("diff"), "encounter_id").limit(5))
 
 register("t6_challenging_cases",
          MS + "SELECT encounter_id, CAST(count_if(pred <> label) AS BIGINT) AS n_models_wrong FROM ms GROUP BY 1 "
          "HAVING bool_or(pred <> label)", family="topk")(
-    lambda s, d: model_scores(s, d).groupBy("encounter_id").agg(
-        F.count_if(F.col("pred") != F.col("label")).cast("bigint").alias("n_models_wrong"),
-        F.bool_or(F.col("pred") != F.col("label")).alias("_any")).where("_any").drop("_any"))
+    lambda s, d: wide_scores(s, d).select("encounter_id", sum(
+        [((F.col(m) > 0.5).cast("int") != F.col("label")).cast("bigint") for m in MODELS], F.lit(0).cast("bigint")).alias("n_models_wrong"))
+    .where("n_models_wrong > 0"))
 
-register("t5_models_by_auc", MS + ", " + EVAL_SQL + "SELECT model, auc FROM ev ORDER BY auc DESC",
+register("t5_models_by_auc", MS + ", " + EVAL_SQL + "SELECT model, auc FROM ev ORDER BY auc DESC, model",
          doubles=["auc"], family="topk")(
-    lambda s, d: ME.evaluate(model_scores(s, d), by=["model"]).select("model", "auc").orderBy(F.desc("auc")))
+    lambda s, d: ME.evaluate(model_scores(s, d), by=["model"]).select("model", "auc").orderBy(F.desc("auc"), "model"))
 
 
 def _q_m21(s, d):
@@ -264,22 +264,22 @@ register("m24_decision_simulation",
 
 
 def _q_c4(s, d):
-    from ..operators.profile import prob_histogram
-    ms = model_scores(s, d).where("model = 'rule'")
-    raw = ME.loss_scores(ms).select(F.col("brier").alias("brier_before"))
-    # recalibrated score: per-bin observed rate of the calibration curve (histogram binning)
-    cc = ME.calibration_curve(ms).select("bin", F.col("fraction_positive").alias("cal"))
-    b = ms.withColumn("bin", F.least(F.floor(F.col("score") * 10), F.lit(9)).cast("int")).join(F.broadcast(cc), "bin")
-    after = ME.loss_scores(b.withColumn("score", F.col("cal"))).select(F.col("brier").alias("brier_after"))
-    return raw.crossJoin(after).select("brier_before", "brier_after",
-                                       ((F.col("brier_before") - F.col("brier_after")) / F.col("brier_before") * 100)
-                                       .alias("improvement_pct"))
+    """Bin rates of the training rows recalibrate the held-out rows; a bin without training rows keeps its score."""
+    ms = train_test_split(model_scores(s, d).where("model = 'rule'"), "encounter_id")
+    # recalibrated score: per-bin observed rate of the calibration curve (histogram binning, ten bins)
+    cc = ME.calibration_curve(ms.where("split = 'train'")).select("bin", F.col("fraction_positive").alias("cal"))
+    te = ms.where("split = 'test'").withColumn("bin", F.least(F.floor(F.col("score") * 10), F.lit(9)).cast("int"))
+    b = te.join(F.broadcast(cc), "bin", "left").withColumn("cal", F.coalesce("cal", "score"))
+    y = F.col("label").cast("double")
+    return b.agg(F.avg((F.col("score") - y) ** 2).alias("brier_before"), F.avg((F.col("cal") - y) ** 2).alias("brier_after")).select(
+        "*", ((F.col("brier_before") - F.col("brier_after")) / F.col("brier_before") * 100).alias("improvement_pct"))
 
 
 register("c4_calibration_before_after",
-         MS + ", r AS (SELECT * FROM ms WHERE model = 'rule'), cc AS (SELECT CAST(least(floor(score * 10), 9) AS INTEGER) AS bin, "
-         "avg(CAST(label AS DOUBLE)) AS cal FROM r GROUP BY 1), b AS (SELECT r.*, cc.cal FROM r JOIN cc ON "
-         "CAST(least(floor(r.score * 10), 9) AS INTEGER) = cc.bin), x AS (SELECT avg((score - label) * (score - label)) AS "
+         MS + f", r AS (SELECT *, CAST(least(floor(score * 10), 9) AS INTEGER) AS bin, {split_sql_expr('encounter_id')} AS split FROM ms WHERE model = 'rule'), "
+         "cc AS (SELECT bin, avg(CAST(label AS DOUBLE)) AS cal FROM r WHERE split = 'train' GROUP BY 1), "
+         "b AS (SELECT r.score, r.label, coalesce(cc.cal, r.score) AS cal FROM r LEFT JOIN cc ON cc.bin = r.bin WHERE r.split = 'test'), "
+         "x AS (SELECT avg((score - label) * (score - label)) AS "
          "brier_before, avg((cal - label) * (cal - label)) AS brier_after FROM b) "
          "SELECT brier_before, brier_after, (brier_before - brier_after) / brier_before * 100 AS improvement_pct FROM x",
          doubles=["brier_before", "brier_after", "improvement_pct"], family="calibration")(_q_c4)

@@ -103,7 +103,7 @@ def _imp(s, d):
 
 def contributions(s, d):
     e = _imp(s, d)
-    return XP.linear_shapley(e, LIN_W, LIN_B, "encounter_id", XP.background_means(e, LIN_F, "encounter_id"))
+    return XP.linear_shapley(e, LIN_W, LIN_B, "encounter_id", XP.background_means(e, LIN_F))
 
 
 def _dbl(x):
@@ -112,17 +112,14 @@ def _dbl(x):
 
 _BASE = " + ".join([_dbl(LIN_B)] + [f"m_{c} * {_dbl(LIN_W[c])}" for c in LIN_F])
 _PRED = " + ".join([_dbl(LIN_B)] + [f"{c} * {_dbl(LIN_W[c])}" for c in LIN_F])
-CONTRIB = (SC + f", imp AS ({median_fill('scored', FX.LABS)}), bg AS (SELECT * FROM imp ORDER BY "
-           f"{hash_key_sql('encounter_id')}, encounter_id LIMIT 100), m AS (SELECT "
-           + ", ".join(f"avg({c}) AS m_{c}" for c in LIN_F) + "), "
+CONTRIB = (SC + f", imp AS ({median_fill('scored', FX.LABS)}), m AS (SELECT "
+           + ", ".join(f"avg({c}) AS m_{c}" for c in LIN_F) + " FROM imp), "
            "contrib AS (" + union([f"SELECT encounter_id, {_BASE} AS base_value, {_PRED} AS prediction, '{c}' AS feature, "
                                    f"CAST({c} AS DOUBLE) AS value, ({c} - m_{c}) * {_dbl(LIN_W[c])} AS contribution FROM imp, m"
                                    for c in LIN_F]) + ") ")
-CONTRIB = CONTRIB.replace("m AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}" for c in LIN_F) + ")",
-                          "m AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}" for c in LIN_F) + " FROM bg)")
 
 register("x01_linear_shapley", CONTRIB + "SELECT * FROM contrib",
-         doubles=["base_value", "prediction", "value", "contribution"], family="attribution")(contributions)
+         doubles=["base_value", "prediction", "value", "contribution"], family="attribution")(lambda s, d: XP.long(contributions(s, d)))
 
 register("x02_base_value", CONTRIB + "SELECT DISTINCT base_value FROM contrib", doubles=["base_value"],
          family="attribution")(lambda s, d: contributions(s, d).select("base_value").distinct())
@@ -130,8 +127,9 @@ register("x02_base_value", CONTRIB + "SELECT DISTINCT base_value FROM contrib",
 register("x03_additivity_check",
          CONTRIB + "SELECT count_if(abs(b + s - p) > 1e-9) AS n_violations, count(*) AS n_rows FROM (SELECT encounter_id, "
          "max(base_value) AS b, sum(contribution) AS s, max(prediction) AS p FROM contrib GROUP BY 1) t", family="attribution")(
-    lambda s, d: contributions(s, d).groupBy("encounter_id").agg(
-        F.max("base_value").alias("b"), F.sum("contribution").alias("s"), F.max("prediction").alias("p"))
+    lambda s, d: contributions(s, d).select(
+        F.col("base_value").alias("b"), F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x["contribution"]).alias("s"),
+        F.col("prediction").alias("p"))
     .agg(F.count_if(F.abs(F.col("b") + F.col("s") - F.col("p")) > 1e-9).alias("n_violations"),
          F.count(F.lit(1)).alias("n_rows")))
 
@@ -142,15 +140,10 @@ register("x04_a30_global_importance",
 
 def _q_x5(s, d):
     c = contributions(s, d)
-    imp = XP.global_importance(c)
-    imp = imp.withColumn("_a", F.round("mean_abs_contribution", 9))     # order-free float noise
-    top = imp.orderBy(F.desc("_a"), "feature").limit(3)     # 3 rows
-    first = imp.orderBy(F.desc("_a"), "feature").limit(1).select(F.col("feature").alias("interaction_feature"))
-    sel = c.join(F.broadcast(top.select("feature")), "feature")
-    inter = c.join(F.broadcast(first), c["feature"] == first["interaction_feature"]).select(
-        "encounter_id", "interaction_feature", F.col("value").alias("interaction_value"))
-    return sel.join(inter, "encounter_id").select("encounter_id", "feature", "value", "contribution",
-                                                  "interaction_feature", "interaction_value")
+    size = F.round("mean_abs_contribution", 9)     # order-free float noise
+    top = [r["feature"] for r in XP.global_importance(c).orderBy(F.desc(size), "feature").limit(3).collect()]     # 3 rows
+    return XP.dependence(c, "encounter_id", top, top[0]).select("encounter_id", "feature", "value", "contribution",
+                                                                "interaction_feature", "interaction_value")
 
 
 register("x05_dependence_top3",
@@ -314,14 +307,11 @@ J4_MODELS = {"logit": (LIN_W, LIN_B),
 
 def _q_j4(s, d):
     e = _imp(s, d)
-    rows = [(m, f, float(w)) for m, (ws, _) in J4_MODELS.items() for f, w in ws.items()]
-    wt = s.createDataFrame(rows, "model string, feature string, weight double")
-    ic = s.createDataFrame([(m, float(b)) for m, (_, b) in J4_MODELS.items()], "model string, intercept double")
-    long = stack_long(e, LIN_F, keep=["encounter_id"], name_col="feature")
-    j = long.join(F.broadcast(wt), "feature")            # weights: models × features rows
-    g = j.groupBy("model", "encounter_id").agg(F.sum(F.col("value") * F.col("weight")).alias("z"))
-    g = g.join(F.broadcast(ic), "model")
-    return g.select("model", "encounter_id", SF.sigmoid(F.col("z") + F.col("intercept")).alias("score"))
+    scores = []
+    for m, (ws, b) in J4_MODELS.items():
+        z = sum((F.col(f).cast("double") * float(w) for f, w in ws.items()), F.lit(0.0))
+        scores.append(F.struct(F.lit(m).alias("model"), SF.sigmoid(z + F.lit(float(b))).alias("score")))
+    return e.select("encounter_id", F.inline(F.array(*scores)))     # every model on its row: no shuffle
 
 
 def _j4_sql():

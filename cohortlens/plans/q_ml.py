@@ -12,7 +12,10 @@ from ..operators import train as TR
 from ..operators.missing import impute
 from ..operators.profile import with_class_weight
 from ..operators.split import growing_subsets, kfold, train_test_split
-from ..session import scratch_path
+from ..functions.ordering import quantile_dict
+from ..operators import neighbours as NB
+from ..session import scratch_path, written
+from .sqlgen import median_fill
 from ..sources.tables import read_table
 from . import fixtures as FX
 from .registry import register
@@ -166,17 +169,23 @@ register("m22_learning_curve", family="train")(_q_curve)
 
 
 def _rf_scores(s, d):
+    """Forest scores of the held-out rows, halved by hash: ``part`` calibrate or judge.  The forest saw neither."""
     t = _standardized(s, d)
     m, _, _, _ = _eval_kind(t, "random_forest")
-    return TR.score(m, t.where("split = 'test'"), FEATS, "random_forest")
+    sc = TR.score(m, t.where("split = 'test'"), FEATS, "random_forest").select("encounter_id", "label", "score")
+    sc = train_test_split(written(sc, "forest-scores"), "encounter_id", 0.5, seed=43)
+    return sc.where("split = 'train'").drop("split"), sc.where("split = 'test'").drop("split")
+
+
+def _brier(df, score="score"):
+    return ME.loss_scores(df.withColumn("score", F.col(score)))
 
 
 def _q_platt(s, d):
-    sc = _rf_scores(s, d).select("encounter_id", "label", "score").cache()
-    a, b = TR.fit_platt(sc)
-    cal = TR.apply_platt(sc, a, b)
-    before = ME.loss_scores(sc).select(F.col("brier").alias("brier_before"))
-    after = ME.loss_scores(cal.withColumn("score", F.col("calibrated"))).select(F.col("brier").alias("brier_after"))
+    fit, judge = _rf_scores(s, d)
+    a, b = TR.fit_platt(fit)
+    before = _brier(judge).select(F.col("brier").alias("brier_before"))
+    after = _brier(TR.apply_platt(judge, a, b), "calibrated").select(F.col("brier").alias("brier_after"))
     return before.crossJoin(after).select("*", F.lit(a).alias("platt_a"), F.lit(b).alias("platt_b"))
 
 
@@ -188,10 +197,9 @@ def _q_platt_kfold(s, d):
     tr = kfold(t.where("split = 'train'"), "encounter_id", 3, stratify="label")
     cal = TR.platt_kfold(tr, FEATS, "logistic", "label", k=3)
     te = t.where("split = 'test'")
-    raw = ME.loss_scores(TR.score(TR.fit_model(t.where("split = 'train'"), FEATS, "logistic", "label")[0], te, FEATS,
-                                  "logistic")).select(F.col("brier").alias("brier_single_model"))
-    after = ME.loss_scores(cal(te, "encounter_id").withColumn("score", F.col("calibrated"))).select(
-        F.col("brier").alias("brier_kfold_calibrated"))
+    raw = _brier(TR.score(TR.fit_model(t.where("split = 'train'"), FEATS, "logistic", "label")[0], te, FEATS,
+                          "logistic")).select(F.col("brier").alias("brier_single_model"))
+    after = _brier(cal(te, "encounter_id"), "calibrated").select(F.col("brier").alias("brier_kfold_calibrated"))
     return raw.crossJoin(after)
 
 
@@ -199,11 +207,10 @@ register("c1_platt_scaling_kfold", family="calibration")(_q_platt_kfold)
 
 
 def _q_iso(s, d):
-    sc = _rf_scores(s, d).select("encounter_id", "label", "score").cache()
-    m = TR.fit_isotonic(sc)
-    cal = TR.apply_isotonic(m, sc)
-    before = ME.loss_scores(sc).select(F.col("brier").alias("brier_before"))
-    after = ME.loss_scores(cal.withColumn("score", F.col("calibrated"))).select(F.col("brier").alias("brier_after"))
+    fit, judge = _rf_scores(s, d)
+    cal = TR.apply_isotonic(TR.fit_isotonic(fit), judge)
+    before = _brier(judge).select(F.col("brier").alias("brier_before"))
+    after = _brier(cal, "calibrated").select(F.col("brier").alias("brier_after"))
     return before.crossJoin(after)
 
 
@@ -211,12 +218,13 @@ register("c2_isotonic_calibration", family="calibration")(_q_iso)
 
 
 def _q_c5(s, d):
-    sc = _rf_scores(s, d).select("encounter_id", "label", "score").cache()
-    b0 = ME.loss_scores(sc).collect()[0]["brier"]
+    """Recalibrate when the fitting half's Brier score is over .1; the other half says whether that helped."""
+    fit, judge = _rf_scores(s, d)
+    b0 = _brier(judge).collect()[0]["brier"]
     decision, b1 = "kept (brier <= .1)", b0
-    if b0 > 0.1:
-        a, b = TR.fit_platt(sc)
-        b1 = ME.loss_scores(TR.apply_platt(sc, a, b).withColumn("score", F.col("calibrated"))).collect()[0]["brier"]
+    if _brier(fit).collect()[0]["brier"] > 0.1:
+        a, b = TR.fit_platt(fit)
+        b1 = _brier(TR.apply_platt(judge, a, b), "calibrated").collect()[0]["brier"]
         decision = "recalibrated" if b1 < b0 else "kept (no gain)"
     return s.createDataFrame([(b0, b1, decision)], "brier_before double, brier_after double, decision string")
 
@@ -244,42 +252,47 @@ def _q_mcd(s, d):
 register("d13_robust_mahalanobis", family="outliers")(_q_mcd)
 
 
-def _q_knn(s, d):
-    emb = read_table(s, d, "embeddings")
-    return MV.knn_projection(emb, "vec_id", "embedding", k=20)
-
-
-register("j08_knn_embeddings", family="joins")(_q_knn)
+KNN_SQL = ("nb AS (SELECT id, nbr, dist, CAST(rank AS INTEGER) AS rank FROM (SELECT id, nbr, dist, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank "
+           "FROM (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist "
+           "FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) p) q WHERE rank <= 20)")
 
-
-def _q_knn_lsh(s, d):
-    emb = read_table(s, d, "embeddings")
-    return MV.knn_lsh(emb, "vec_id", "embedding", k=20)
-
-
-register("j08_knn_lsh_embeddings", family="joins")(_q_knn_lsh)
+register("j08_knn_embeddings", "WITH " + KNN_SQL + " SELECT * FROM nb", doubles=["dist"], family="joins")(
+    lambda s, d: NB.knn(read_table(s, d, "embeddings"), "vec_id", "embedding", k=20))
 
 
 def _q_lof(s, d):
-    nb = MV.knn_projection(read_table(s, d, "embeddings"), "vec_id", "embedding", k=20)
-    lof = MV.lof_from_neighbours(nb, 20)
-    thr = lof.approxQuantile("lof", [0.95], 0.0001)[0]
-    return lof.withColumn("is_outlier", F.col("lof") > thr)
-
-
-register("d14_lof_embeddings", family="outliers")(_q_lof)
+    nb = written(NB.knn(read_table(s, d, "embeddings"), "vec_id", "embedding", k=20), "knn")
+    lof = written(NB.lof(nb), "lof")
+    cut = quantile_dict(lof, ["lof"], [0.95])[("lof", 0.95)]
+    return lof.withColumn("is_outlier", F.col("lof") > cut)
+
+
+register("d14_lof_embeddings",
+         "WITH " + KNN_SQL + ", kd AS (SELECT id, max(dist) AS kdist FROM nb GROUP BY id), lrd AS (SELECT nb.id, "
+         "1.0 / (avg(greatest(nb.dist, kd.kdist)) + 1e-10) AS lrd FROM nb JOIN kd ON kd.id = nb.nbr GROUP BY nb.id), l AS (SELECT nb.id, "
+         "avg(n.lrd) / any_value(o.lrd) AS lof FROM nb JOIN lrd n ON n.id = nb.nbr JOIN lrd o ON o.id = nb.id GROUP BY nb.id) "
+         "SELECT id, lof, lof > (SELECT quantile_cont(lof, 0.95) FROM l) AS is_outlier FROM l", doubles=["lof"], family="outliers")(_q_lof)
+
+
+def ensemble_flags(df, cols, id_col, contamination=0.05):
+    """(id, mcd, lof, iforest) over the columns that are neither over 30 % null nor constant (P9), nulls filled with
+    the median, scaled by mean and population sd."""
+    from ..operators.encode import apply_standard, fit_standard
+    n = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in cols], *[F.var_pop(c).alias(f"{c}__v") for c in cols]).first()
+    use = [c for c in cols if n["n"] and n[c] >= 0.7 * n["n"] and (n[f"{c}__v"] or 0) > 0]
+    filled = impute(df.select(id_col, *[F.col(c).cast("double").alias(c) for c in use]), "median", cols=use)
+    x = written(apply_standard(filled, fit_standard(filled, use)), "ensemble")
+    mcd, _ = MV.robust_mahalanobis(x, use, contamination=contamination)
+    lof = NB.lof_outliers(x, use, id_col, min(20, max(1, n["n"] - 1)), contamination)
+    iso = MV.isolation_forest(x, use, id_col, contamination=contamination)
+    j = mcd.select(id_col, F.col("is_outlier").alias("mcd")).join(lof.select(id_col, F.col("is_outlier").alias("lof")), id_col)
+    return j.join(iso.select(id_col, F.col("is_outlier").alias("iforest")), id_col)
 
 
 def _q_ensemble(s, d):
-    e = impute(FX.encounters(s, d), "median", cols=FX.LABS)
-    mcd, _ = MV.robust_mahalanobis(e, FX.CONTINUOUS, contamination=0.05)
-    iso = MV.isolation_forest(e, FX.CONTINUOUS, "encounter_id", contamination=0.05)
-    j = mcd.select("encounter_id", F.col("is_outlier").alias("mcd")).join(
-        iso.select("encounter_id", F.col("is_outlier").alias("iforest")), "encounter_id")
-    j = j.withColumn("ensemble", F.col("mcd") | F.col("iforest"))
-    n = F.count(F.lit(1))
-    agg = j.agg(n.alias("n"), *[F.count_if(c).alias(c) for c in ["mcd", "iforest", "ensemble"]])
-    return agg.selectExpr("stack(3, 'mcd', mcd, 'iforest', iforest, 'ensemble', ensemble) AS (detector, n_outliers)", "n") \
+    j = ensemble_flags(FX.encounters(s, d), FX.CONTINUOUS, "encounter_id").withColumn("ensemble", F.col("mcd") | F.col("lof") | F.col("iforest"))
+    agg = j.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(c) for c in ["mcd", "lof", "iforest", "ensemble"]])
+    return agg.selectExpr("stack(4, 'mcd', mcd, 'lof', lof, 'iforest', iforest, 'ensemble', ensemble) AS (detector, n_outliers)", "n") \
         .withColumn("pct", F.col("n_outliers") * 100.0 / F.col("n")).drop("n")
 
 
@@ -287,14 +300,24 @@ register("d15_ensemble_vote", family="outliers")(_q_ensemble)
 
 
 def _q_pipeline(s, d):
+    from pyspark.ml.functions import vector_to_array
     t = training_frame(s, d)
     p = TR.column_group_pipeline(FX.LABS, ["age", "duration"], FX.SYMPTOM_FLAGS).fit(t.where("split = 'train'"))
-    out = p.transform(t)
-    from pyspark.ml.functions import vector_to_array
-    return out.select("encounter_id", "split", F.size(vector_to_array("features")).alias("n_features"))
+    v = vector_to_array("features")
+    return p.transform(t).select("encounter_id", "split", *[v[i].alias(c) for i, c in enumerate([*FX.LABS, "age", "duration", *FX.SYMPTOM_FLAGS])])
 
 
-register("e20_column_group_pipeline", family="features")(_q_pipeline)
+def _e20_sql():
+    labs = ", ".join(f"(f.{c} - avg(f.{c}) FILTER (WHERE f.split = 'train') OVER ()) / stddev_pop(f.{c}) FILTER (WHERE f.split = 'train') OVER () AS {c}" for c in FX.LABS)
+    span = ", ".join(f"(f.{c} - min(f.{c}) FILTER (WHERE f.split = 'train') OVER ()) / (max(f.{c}) FILTER (WHERE f.split = 'train') OVER () - "
+                     f"min(f.{c}) FILTER (WHERE f.split = 'train') OVER ()) AS {c}" for c in ("age", "duration"))
+    flags = ", ".join(f"CAST(f.{c} AS DOUBLE) AS {c}" for c in FX.SYMPTOM_FLAGS)
+    from ..operators.split import split_sql_expr
+    return (FX.with_views("scored") + f", imp AS ({median_fill('scored', FX.LABS)}), f AS (SELECT *, "
+            f"{split_sql_expr('encounter_id', partition='appendicitis')} AS split FROM imp) SELECT encounter_id, split, {labs}, {span}, {flags} FROM f")
+
+
+register("e20_column_group_pipeline", _e20_sql(), doubles=[*FX.LABS, "age", "duration", *FX.SYMPTOM_FLAGS], family="features")(_q_pipeline)
 
 
 def _q_pca(s, d):
@@ -317,16 +340,16 @@ register("e22_pca_projection", family="features")(_q_pca_proj)
 
 
 def _q_x7(s, d):
+    """Platt scaling fitted on the training rows, the strongest feature beside it, on the row itself."""
     from .q_misc import contributions
     from ..operators.explain import top_features
     c = contributions(s, d)
-    pred = c.select("encounter_id", "prediction").distinct()
-    lab = FX.encounters(s, d).select("encounter_id", F.col("appendicitis").alias("label"))
-    sc = pred.join(lab, "encounter_id").withColumn("score", 1.0 / (1.0 + F.exp(-F.col("prediction"))))
-    a, b = TR.fit_platt(sc)
-    cal = TR.apply_platt(sc, a, b)
-    top = top_features(c, "encounter_id", 1).select("encounter_id", F.col("feature").alias("top_feature"), "direction")
-    return cal.join(top, "encounter_id").select("encounter_id", "score", "calibrated", "top_feature", "direction")
+    top = top_features(c.withColumn("contributions", F.col("contributions")), "encounter_id", 1)
+    c = written(c.select("encounter_id", (1.0 / (1.0 + F.exp(-F.col("prediction")))).alias("score")), "explained")
+    lab = train_test_split(FX.encounters(s, d).select("encounter_id", F.col("appendicitis").alias("label")), "encounter_id")
+    a, b = TR.fit_platt(c.join(lab.where("split = 'train'"), "encounter_id"))
+    top = top.select("encounter_id", F.col("feature").alias("top_feature"), "direction")
+    return TR.apply_platt(c, a, b).join(top, "encounter_id").select("encounter_id", "score", "calibrated", "top_feature", "direction")
 
 
 register("x07_calibrated_explanation", family="attribution")(_q_x7)
@@ -363,19 +386,21 @@ def _q_efficiency(s, d):
 register("m23_efficiency", family="train")(_q_efficiency)
 
 
+#: Rows that stand for the others where a feature is absent: a parameter of the sampling method.
+BACKGROUND_ROWS = 100
+
+
 def _q_x1_sampled(s, d):
-    """X1 (any model): sampled Shapley values of the random forest on the
-    held-out rows; background = ≤ 100 training rows by hash order."""
-    from ..operators.explain import background_means, sampled_shapley  # noqa: F401
+    """X1 (any model): sampled Shapley values of the random forest on every row."""
+    from ..operators.explain import sampled_shapley
     from ..functions.ordering import hash_key
     t = _standardized(s, d)
     m, _, _, _ = _eval_kind(t, "random_forest")
-    test = t.where("split = 'test'")
-    bg = t.where("split = 'train'").withColumn("_hk", hash_key("encounter_id")).orderBy("_hk", "encounter_id").limit(100)
+    bg = t.where("split = 'train'").withColumn("_hk", hash_key("encounter_id")).orderBy("_hk", "encounter_id").limit(BACKGROUND_ROWS)
 
     def model_score(frame):
         return TR.score(m, frame, FEATS, "random_forest")
-    return sampled_shapley(test, model_score, FEATS, "encounter_id", bg, n_perm=10)
+    return sampled_shapley(t, model_score, FEATS, "encounter_id", bg, n_perm=10)
 
 
 register("x01_sampled_shapley_forest", family="attribution")(_q_x1_sampled)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -39,10 +37,9 @@ def get_session(master: str | None = None, app: str = "cohortlens",
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``.  Only when the session has none (local runs,
-    tests) a private scratch folder is created and registered."""
+    ``spark.checkpoint.dir`` and register it; where none is named, a
+    folder in the session's warehouse, never a machine's own temp folder."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    sc = None
     try:
         sc = spark.sparkContext            # absent on Spark Connect sessions
     except Exception:  # noqa: BLE001
@@ -50,8 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
-        # only for local runs and tests: a cluster names its shared folder
-        d = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
+        # like the checkpoint folder of a cluster, the warehouse is a place that all executors reach
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
@@ -61,10 +58,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared checkpoint folder for
     materialised intermediate tables and file round trips."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name: str = "table"):
+    """``df`` as a Parquet table in the shared folder, read back: written once, read by any number of later steps."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df):

@@ -23,7 +23,7 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext in (".xlsx", ".xls"):
         raise ValueError(f"Unsupported file format: {ext} (no Spark Excel source; export to CSV or Parquet)")
-    if ext == ".csv" or (os.path.isdir(path) and ext == ""):
+    if ext in (".csv", ""):              # a path without an extension is a folder of CSV files
         r = spark.read.option("header", True).option("timestampNTZFormat", TS_FORMAT).option("timestampFormat", TS_FORMAT)
         r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
         return r.csv(path)
@@ -43,9 +43,9 @@ def read_many_csv(spark: SparkSession, root: str, schema, glob: str = "*.csv") -
 
 
 FEEDBACK_SCHEMA = T.StructType([
-    T.StructField("report_id", T.LongType()),
+    T.StructField("report_id", T.StringType()),
     T.StructField("prediction_class", T.StringType()),
-    T.StructField("prediction_probability", T.DoubleType()),
+    T.StructField("prediction_probability", T.StringType()),
     T.StructField("diagnostic_accuracy", T.StringType()),
     T.StructField("usefulness_rating", T.StringType()),
     T.StructField("actual_diagnosis", T.StringType()),
@@ -60,19 +60,19 @@ FEEDBACK_SCHEMA = T.StructType([
 ])
 
 
-def read_feedback_json(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
-    """JSON feedback directory, explicit schema, PERMISSIVE; returns
-    (clean records, corrupt records side table)."""
-    df = (spark.read.schema(FEEDBACK_SCHEMA).option("mode", "PERMISSIVE").option("multiLine", multi_line)
+def read_feedback_json(spark: SparkSession, path: str, corrupt_path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """JSON feedback folder, one indented object per file (or, without ``multi_line``, one per line), explicit schema.
+    Corrupt records are appended to the Parquet table ``corrupt_path``; returns (clean records, that table)."""
+    df = (spark.read.schema(FEEDBACK_SCHEMA).option("mode", "PERMISSIVE").option("multiLine", multi_line).option("recursiveFileLookup", True)
           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    bad = df.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
-    good = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return good, bad
+    df.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record", "report_id", F.input_file_name().alias("file")).write.mode("append").parquet(corrupt_path)
+    return df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), spark.read.parquet(corrupt_path)
 
 
-def append_json(df: DataFrame, path: str) -> None:
-    """Append records as JSON."""
-    df.write.mode("append").json(path)
+def append_json(df: DataFrame, path: str, key: str) -> None:
+    """Append records as indented JSON, one file per record (a folder for every value of ``key``)."""
+    record = F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    df.select(record.alias("value"), F.col(key).alias("_key")).write.mode("append").partitionBy("_key").text(path)
 
 
 def write_split_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

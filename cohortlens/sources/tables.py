@@ -13,7 +13,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return nan_to_null(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -34,6 +34,6 @@ def numeric_columns(df: DataFrame, exclude: list[str] | tuple = ()) -> list[str]
             if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
-def string_columns(df: DataFrame, exclude: list[str] | tuple = ()) -> list[str]:
-    return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, T.StringType) and f.name not in exclude]
+def column_difference(before: DataFrame, after: DataFrame) -> list[str]:
+    """Columns of ``before`` that ``after`` lacks, in their order."""
+    return [c for c in before.columns if c not in after.columns]

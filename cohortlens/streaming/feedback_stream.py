@@ -1,9 +1,8 @@
-"""R2: feedback JSON files as they land; running concordance per day.
+"""R2: feedback JSON files as they land; concordance per day.
 
-JSON file stream with explicit schema -> event time from the record ->
-``withWatermark(1 day)`` -> ``dropDuplicatesWithinWatermark(report_id)``
-(a re-sent report counts once) -> tumbling 1-day window × concordance class
-counts.  Append mode emits a day once the watermark has passed it.
+The stream appends every report version to a table with its arrival time (exactly once, no watermark: no report is too late).
+``daily_concordance`` reads the table: of several versions of a report the last one counts, as a saved file is
+overwritten, and every day with reports is there, open or closed.
 """
 
 from __future__ import annotations
@@ -11,27 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.feedback import CONCORDANCE, UNDETERMINED
+from ..operators.feedback import concordance_label
 
 
-def concordance_col(pred="prediction_class", actual="actual_diagnosis"):
-    e = None
-    for p, a, lab in CONCORDANCE:
-        c = (F.col(pred) == p) & (F.col(actual) == a)
-        e = F.when(c, F.lit(lab)) if e is None else e.when(c, F.lit(lab))
-    return e.otherwise(F.lit(UNDETERMINED))
+def daily_concordance(reports: DataFrame) -> DataFrame:
+    """(day, concordance, n) over the last version of every report."""
+    version = F.struct("event_time", "arrived", "prediction_class", "actual_diagnosis")
+    last = reports.groupBy("report_id").agg(F.max(version).alias("v")).select("report_id", "v.*")
+    return (last.groupBy(F.date_format("event_time", "yyyy-MM-dd").alias("day"), concordance_label().alias("concordance"))
+            .agg(F.count(F.lit(1)).alias("n")))
 
 
-def daily_concordance(events: DataFrame, ts: str = "event_time", delay: str = "1 day") -> DataFrame:
-    d = events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["report_id"])
-    return (d.groupBy(F.window(ts, "1 day").alias("day"), concordance_col().alias("concordance"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select(F.date_format(F.col("day.start"), "yyyy-MM-dd").alias("day"), "concordance", "n"))
-
-
-def start_feedback_stream(spark, source_dir: str, schema, sink_dir: str, checkpoint_dir: str):
-    raw = spark.readStream.schema(schema).json(source_dir)
-    ev = raw.withColumn("event_time", F.to_timestamp("timestamp"))
-    out = daily_concordance(ev)
+def start_feedback_stream(spark, source_dir: str, schema, sink_dir: str, checkpoint_dir: str, multi_line: bool = True):
+    """One file per report, indented, as the entry form saves them (``multi_line``), or one report a line."""
+    raw = (spark.readStream.schema(schema).option("multiLine", multi_line).option("recursiveFileLookup", True).json(source_dir)
+           .select("*", F.col("_metadata.file_modification_time").alias("arrived")))
+    out = raw.withColumn("event_time", F.to_timestamp("timestamp"))
     return (out.writeStream.outputMode("append").format("parquet").option("path", sink_dir)
             .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())

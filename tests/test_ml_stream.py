@@ -37,16 +37,50 @@ def test_isolation_forest_contamination(spark):
     assert out.loc[out["id"] >= 950, "is_outlier"].mean() > 0.5
 
 
-def test_knn_recall_vs_exact(spark):
-    from cohortlens.operators.multivariate import knn_exact_small, knn_lsh, knn_projection
-    emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    k = 5
-    ex = knn_exact_small(emb, "vec_id", "embedding", k).toPandas()
-    for ap in (knn_lsh(emb, "vec_id", "embedding", k=k, threshold=100.0).toPandas(),
-               knn_projection(emb, "vec_id", "embedding", k=k).toPandas()):
-        hit = len(ex.merge(ap, on=["id", "nbr"]))
-        assert hit / len(ex) > 0.8
-        assert (ap.groupby("id").size() <= k).all()
+def _brute_knn(x, ids, k):
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    out = set()
+    for i in range(len(x)):
+        order = [j for j in np.lexsort((ids, d[i])) if j != i][:k]
+        out |= {(int(ids[i]), int(ids[j]), r + 1) for r, j in enumerate(order)}
+    return out, d
+
+
+@pytest.mark.parametrize("block_rows", [1024, 40])
+def test_knn_is_exact(spark, block_rows):
+    from cohortlens.operators.neighbours import knn
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, 1, (120, 3)), rng.normal(6, 0.2, (150, 3)), np.tile([[2.0, 2.0, 2.0]], (30, 1))])
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, x)] + [(None, [1.0, 1.0, 1.0]), (999, None)],
+                               "id long, v array<double>").repartition(4)
+    got = {(r["id"], r["nbr"], r["rank"]) for r in knn(df, "id", "v", 5, block_rows).collect()}
+    assert got == _brute_knn(x, ids, 5)[0]
+
+
+def test_lof_against_brute_force(spark):
+    from cohortlens.operators.neighbours import lof_outliers
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(0, 1, (190, 2)), rng.normal(9, 3, (10, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, a double, b double")
+    got = {r["id"]: (r["lof"], r["is_outlier"]) for r in lof_outliers(df, ["a", "b"], "id", 10, 0.05).collect()}
+    nb, d = _brute_knn(x, np.arange(len(x)), 10)
+    near = [[j for i, j, _ in nb if i == q] for q in range(len(x))]
+    kd = np.array([max(d[q, n]) for q, n in enumerate(near)])
+    lrd = np.array([1 / (np.mean([max(d[q, j], kd[j]) for j in n]) + 1e-10) for q, n in enumerate(near)])
+    lof = np.array([lrd[n].mean() / lrd[q] for q, n in enumerate(near)])
+    assert np.allclose([got[q][0] for q in range(len(x))], lof)
+    assert sum(o for _, o in got.values()) == 10
+
+
+def test_ensemble_flags_vote7(spark):
+    """The seven-row fixture with two extreme rows: at least one row is flagged; a constant column is left out."""
+    from cohortlens.plans.q_ml import ensemble_flags
+    rows = [(i, float(a), float(b), float(c), 1.0) for i, (a, b, c) in enumerate(zip(
+        (1, 2, 100, 3, 4, 5, 200), (5, 6, 7, 8, 9, 10, 100), range(10, 80, 10)))]
+    df = spark.createDataFrame(rows, "id long, feature1 double, feature2 double, feature3 double, constant double")
+    flags = ensemble_flags(df, ["feature1", "feature2", "feature3", "constant"], "id", 0.15).collect()
+    assert len(flags) == 7 and any(r["mcd"] or r["lof"] or r["iforest"] for r in flags)
 
 
 def test_stream_equals_batch(spark):

@@ -15,7 +15,7 @@ def test_running_sum_matches_cumsum(spark):
     w = rng.integers(1, 5, 500)
     pdf = pd.DataFrame({"g": g, "v": v, "w": w}).drop_duplicates(["g", "v"])
     df = spark.createDataFrame(pdf)
-    got = running_sum(df, "v", "w", ["g"], buckets=16, local_limit=0).toPandas().sort_values(["g", "v"])
+    got = running_sum(df, "v", "w", ["g"]).toPandas().sort_values(["g", "v"])
     exp = pdf.sort_values(["g", "v"]).groupby("g")["w"].cumsum()
     assert got["cum_w"].tolist() == exp.tolist()
 
@@ -23,7 +23,7 @@ def test_running_sum_matches_cumsum(spark):
 def test_running_sum_descending(spark):
     from cohortlens.functions.ordering import running_sum
     pdf = pd.DataFrame({"v": np.arange(100.0), "w": np.ones(100)})
-    got = running_sum(spark.createDataFrame(pdf), "v", "w", descending=True, buckets=8, local_limit=0).toPandas().sort_values("v")
+    got = running_sum(spark.createDataFrame(pdf), "v", "w", descending=True).toPandas().sort_values("v")
     assert got["cum_w"].tolist() == list(np.arange(100, 0, -1.0))
 
 
@@ -33,10 +33,9 @@ def test_exact_quantiles_match_numpy(spark, xs):
     from cohortlens.functions.ordering import exact_quantiles
     df = spark.createDataFrame([(float(x),) for x in xs], "x double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    for limit in (0, 10 ** 9):          # 0 forces the distributed selection path
-        q = {r["prob"]: r["value"] for r in exact_quantiles(df, ["x"], probs, buckets=8, local_limit=limit).collect()}
-        for p in probs:
-            assert q[p] == pytest.approx(float(np.quantile(xs, p)), rel=1e-9, abs=1e-9)
+    q = {r["prob"]: r["value"] for r in exact_quantiles(df, ["x"], probs, buckets=8).collect()}
+    for p in probs:
+        assert q[p] == pytest.approx(float(np.quantile(xs, p)), rel=1e-9, abs=1e-9)
 
 
 def test_distributed_quantiles_with_ties_and_nulls(spark):
@@ -47,7 +46,7 @@ def test_distributed_quantiles_with_ties_and_nulls(spark):
     pdf = pd.DataFrame({"a": a, "b": b})
     df = spark.createDataFrame(pdf).selectExpr("a", "CASE WHEN isnan(b) THEN NULL ELSE b END AS b")
     probs = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-    got = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, ["a", "b"], probs, local_limit=0).collect()}
+    got = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, ["a", "b"], probs).collect()}
     for p in probs:
         assert got[("a", p)] == pytest.approx(np.quantile(a, p))
         assert got[("b", p)] == pytest.approx(np.quantile(b[~np.isnan(b)], p))
@@ -75,14 +74,33 @@ def test_dbscan_noise_matches_brute_force(spark):
     assert n_noise == sum(noise)
 
 
-def test_running_sum_local_path_equals_bucketed(spark):
+def test_running_sum_keeps_null_keys(spark):
     from cohortlens.functions.ordering import running_sum
     rng = np.random.default_rng(11)
-    pdf = pd.DataFrame({"g": rng.integers(0, 4, 3000), "v": rng.normal(size=3000), "w": rng.integers(1, 9, 3000)})
-    df = spark.createDataFrame(pdf.drop_duplicates(["g", "v"]))
-    a = running_sum(df, "v", "w", ["g"], descending=True, local_limit=0).toPandas().sort_values(["g", "v"])
-    b = running_sum(df, "v", "w", ["g"], descending=True).toPandas().sort_values(["g", "v"])
-    assert a["cum_w"].tolist() == b["cum_w"].tolist()
+    rows = [(None if g == 3 else int(g), float(v), int(w)) for g, v, w in zip(rng.integers(0, 4, 3000), rng.normal(size=3000), rng.integers(1, 9, 3000))]
+    got = running_sum(spark.createDataFrame(rows, "g int, v double, w int").repartition(5), "v", "w", ["g"], descending=True).collect()
+    assert len(got) == len(rows)
+    for g in (None, 0, 1, 2):
+        own = sorted((r["v"], r["cum_w"]) for r in got if r["g"] == g)
+        expected = np.cumsum([w for k, v, w in sorted(rows, key=lambda r: -r[1]) if k == g])
+        assert [c for _, c in reversed(own)] == expected.tolist()
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 1000])
+def test_split_cutoffs_are_exact(spark, monkeypatch, n):
+    from cohortlens.functions.ordering import hash_key
+    from cohortlens.operators import split
+    monkeypatch.setattr(split, "READ_ROWS", 3)          # force finer prefixes
+    df = spark.range(n).withColumn("label", (F.col("id") % 7 == 0).cast("int")).withColumn("h", hash_key("id"))
+    rows = sorted((r["h"], r["id"], r["label"]) for r in df.collect())
+    whole = {r["id"]: r["split"] for r in split.train_test_split(df, "id").collect()}
+    assert [i for _, i, _ in rows if whole[i] == "test"] == [i for _, i, _ in rows][:int(np.ceil(n * 0.2))]
+    by = {r["id"]: r["split"] for r in split.train_test_split(df, "id", 0.3, stratify="label").collect()}
+    for lab in (0, 1):
+        own = [i for _, i, k in rows if k == lab]
+        assert [i for i in own if by[i] == "test"] == own[:int(np.ceil(len(own) * 0.3))]
+    folds = [r["fold"] for r in split.kfold(df, "id", 5).collect()]
+    assert len(folds) == n and (n < 5 or max(folds.count(f) for f in range(5)) - min(folds.count(f) for f in range(5)) <= 1)
 
 
 def test_quantile_range_refinement(spark):
@@ -94,6 +112,6 @@ def test_quantile_range_refinement(spark):
     df = spark.createDataFrame([(float(v),) for v in a], "a double")
     probs = [0.0, 0.1, 0.33, 0.5, 0.9, 1.0]
     got = {r["prob"]: r["value"] for r in
-           exact_quantiles(df, ["a"], probs, buckets=4, local_limit=0, refine_limit=50).collect()}
+           exact_quantiles(df, ["a"], probs, buckets=4, refine_limit=50).collect()}
     for p in probs:
         assert got[p] == pytest.approx(np.quantile(a, p))
