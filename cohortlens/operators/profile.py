@@ -55,9 +55,13 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
 def distinct_profile(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """A5: distinct non-null values, ratio to rows, binary / target-candidate
     flags.  ``approx`` -> HyperLogLog++ for wide profiling at scale."""
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[fn(c).alias(c) for c in cols])
-    long = stack_long(row, cols, "bigint", keep=["_rows"], value_col="n_distinct")
+    if approx:
+        row = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.approx_count_distinct(c).alias(c) for c in cols])
+        long = stack_long(row, cols, "bigint", keep=["_rows"], value_col="n_distinct")
+    else:
+        # one row per (column, value), combined in the tasks; a null row per column keeps columns without values
+        values = stack_long(df, cols, "string").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        long = values.groupBy("column").agg(F.count("value").alias("n_distinct"), F.sum("n").alias("_rows"))
     return long.select("column", "n_distinct", (F.col("n_distinct") / F.col("_rows")).alias("distinct_ratio"),
                        (F.col("n_distinct") == 2).alias("is_binary"),
                        (F.col("n_distinct") <= 2).alias("target_candidate"))
