@@ -35,6 +35,7 @@ from .components import components
 MISS = 1e-12
 CHUNK = 48
 CELL = 512
+MOST_BITS = 26
 FIRST_BUCKETS = 2
 COARSE = 64
 FINEST = 4096
@@ -217,11 +218,39 @@ def _sketch(docs: DataFrame, row_id: str, text: str, k: int, bands: int) -> Data
     return docs.select(F.col(row_id).cast("long"), utf8(text)).mapInArrow(run, "id long, n long, digest binary, keys array<long>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(digest, n, vector, shingles) of the rows (body)."""
+class Filter:
+    """A Bloom filter over ids of at most 2**MOST_BITS bits (8 MB), whatever the number of ids; it only spares work, rows it lets
+    through in error are removed by a join."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        bits = max(10, min(MOST_BITS, (16 * ids.count()).bit_length()))
+        self.shift = 64 - bits
+        spots = ids.select(F.explode(F.array(*[F.shiftrightunsigned(h, self.shift) for h in self.hashes(column)])).alias("at"))
+        words = spots.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("v")).collect()
+        self.words = np.zeros(max(1, (1 << bits) >> 6), np.uint64)
+        self.words[[r["w"] for r in words]] = np.array([r["v"] for r in words], np.int64).view(np.uint64)
+
+    @staticmethod
+    def hashes(column: str) -> list:
+        return [F.xxhash64(F.col(column), F.lit(i)) for i in range(3)]
+
+    def holds(self, hashes: list[np.ndarray]) -> np.ndarray:
+        out = np.ones(len(hashes[0]), bool)
+        for h in hashes:
+            at = h.view(np.uint64) >> np.uint64(self.shift)
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def _sets(docs: DataFrame, k: int, wanted: Filter) -> DataFrame:
+    """(digest, n, vector, shingles) of the rows (id, body) whose id the filter holds; texts are not shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
     def run(batches):
         hashes = WordHashes()
-        for whole in batches:
+        for every in batches:
+            keep = shared.value.holds([every.column(i).to_numpy() for i in range(3)])
+            whole = every.select([3]).filter(pa.array(keep))
             for batch in text_slices(whole, 0, SLICE_BYTES):
                 sets = [shingle_set(t, k, hashes) for t in batch.column(0).to_pylist()]
                 sets = [s for s in sets if len(s)]
@@ -230,7 +259,8 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                      pa.array([vector_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                     ["digest", "n", "vector", "shingles"])
 
-    return docs.mapInArrow(run, "digest binary, n long, vector binary, shingles binary")
+    hashed = docs.where("id is not null").select(*[h.alias(f"h{i}") for i, h in enumerate(Filter.hashes("id"))], "body")
+    return hashed.mapInArrow(run, "digest binary, n long, vector binary, shingles binary")
 
 
 def _groups(batches, key_columns: int):
@@ -343,10 +373,11 @@ def join(docs: DataFrame, k: int = 4, share: tuple[int, int] = (85, 100), row_id
     keyed = classes.select("rep", "digest", "keys", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key", "m")
     met = shared_table(keyed.join(shared, "key").select("key", "band", "rep", "digest", "m"), "shingle-met")
-    ids = met.select(F.col("rep").alias("__rep")).distinct()
-    sets = docs.select(F.col(row_id).cast("long").alias("__rep"), utf8(text).alias("body")).join(ids, "__rep", "left_semi").select("body")
-    # of texts with one id only the class's own is met again, through its digest
-    sets = shared_table(_sets(sets, k).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "vector", "shingles")]), "shingle-sets")
+    wanted = Filter(met.select("rep").distinct(), "rep")
+    sets = _sets(docs.select(F.col(row_id).cast("long").alias("id"), utf8(text).alias("body")), k, wanted)
+    # one row per class; of what the filter lets through in error nothing has a class in a bucket
+    sets = sets.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "vector", "shingles")])
+    sets = shared_table(sets.join(met.select("digest").distinct(), "digest", "left_semi"), "shingle-sets")
 
     first = met.filter(F.col("band") < FIRST_BUCKETS).withColumn("salt", F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("m") / CHUNK)))
     chunks = _dealt(first.join(sets, "digest").select("key", "salt", "rep", "n", "vector", "shingles"), "key", "salt")
