@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices, utf8
+from .common import resident, text_slices, utf8
 
 # states
 FRESH, LETTERS, DIGITS, OTHERS, SPACE, BLANKS, TAKE1, TAKE2 = range(8)
@@ -35,8 +35,8 @@ FRESH, LETTERS, DIGITS, OTHERS, SPACE, BLANKS, TAKE1, TAKE2 = range(8)
 # last of its run, with something behind it; STOP: between two texts
 LETTER, DIGIT, OTHER, CONTR2, CONTR3, BLANK, LAST_SPACE, LAST_BLANK, STOP = range(9)
 BLOCK = 512
-SLICE_BYTES = 2 << 20
-CACHE_ENTRIES = 400_000
+SLICE_BYTES = 1 << 20
+CACHE_ENTRIES = 250_000
 CACHED_PIECE = 64
 LONG_PIECE = 96
 MERGED_AT_ONCE = 8192
@@ -207,15 +207,15 @@ class Ranks:
         self.ranks = read_ranks(data)
         self.dtype = id_type(self.ranks)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)])
-        self.pairs = {(self.ranks[w[:k]], self.ranks[w[k:]]): i for w, i in self.ranks.items()
-                      for k in range(1, len(w)) if w[:k] in self.ranks and w[k:] in self.ranks}
         self.probe = self._probe_table()
         self.cache: dict[bytes, bytes] = {}
 
     def _probe_table(self):
         """Pair ranks as an open-addressed table for array lookups: keys, ranks, longest probe."""
-        pairs = np.array([(a << 32) | b for a, b in self.pairs], np.uint64)
-        ranks = np.fromiter(self.pairs.values(), np.int64, len(self.pairs))
+        known = [((self.ranks[w[:k]] << 32) | self.ranks[w[k:]], i) for w, i in self.ranks.items()
+                 for k in range(1, len(w)) if w[:k] in self.ranks and w[k:] in self.ranks]
+        pairs = np.array([k for k, _ in known], np.uint64)
+        ranks = np.array([i for _, i in known], np.int64)
         bits = max(8, int(4 * len(pairs)).bit_length())
         keys, values = np.full(1 << bits, EMPTY, np.uint64), np.full(1 << bits, FAR, np.int64)
         slot, left, longest = (pairs * SPREAD) >> np.uint64(64 - bits), np.arange(len(pairs)), 0
@@ -304,19 +304,30 @@ class Ranks:
     def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = self.pairs.get
-        heap = [(r, i) for i, r in enumerate(rank(p, FAR) for p in zip(ids, ids[1:])) if r != FAR]
+        ranks = self.pair_ranks(np.array(ids[:-1]), np.array(ids[1:])).tolist()  # of each position's pair
+        heap = [(r, i) for i, r in enumerate(ranks) if r != FAR]
         heapq.heapify(heap)
+        ranks.append(FAR)
+        known: dict[tuple, int] = {}
+
+        def rank(a, b):
+            if (a, b) not in known:
+                known[a, b] = int(self.pair_ranks(np.array([a]), np.array([b]))[0])
+            return known[a, b]
+
         while heap:
             low, i = heapq.heappop(heap)
-            if ids[i] < 0 or (j := after[i]) >= n or rank((ids[i], ids[j])) != low:
+            if ids[i] < 0 or ranks[i] != low:
                 continue  # one of the pair has been joined meanwhile
+            j = after[i]
             ids[i], ids[j], after[i] = low, -1, after[j]
             if after[i] < n:
                 ahead[after[i]] = i
             for k in (i, ahead[i]):
-                if k >= 0 and after[k] < n and (r := rank((ids[k], ids[after[k]]), FAR)) != FAR:
-                    heapq.heappush(heap, (r, k))
+                if k >= 0:
+                    ranks[k] = rank(ids[k], ids[after[k]]) if after[k] < n else FAR
+                    if ranks[k] != FAR:
+                        heapq.heappush(heap, (ranks[k], k))
         return [i for i in ids if i >= 0]
 
     def lookup(self, pieces: list[bytes]) -> list[bytes]:
@@ -360,9 +371,6 @@ class Ranks:
         return out
 
 
-_LOADED: dict = {}
-
-
 class SharedRanks:
     """A broadcast rank file; each Python worker builds one table and keeps it between tasks."""
 
@@ -376,10 +384,7 @@ class SharedRanks:
 
     def table(self, kind):
         """The worker's ``Ranks`` or ``Words`` of this file."""
-        if (kind, self.digest) not in _LOADED:
-            _LOADED.clear()
-            _LOADED[kind, self.digest] = kind(self.data.value)
-        return _LOADED[kind, self.digest]
+        return resident((kind.__name__, self.digest), lambda: kind(self.data.value))
 
 
 def vocabulary_size(path: str) -> int:

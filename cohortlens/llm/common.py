@@ -47,3 +47,15 @@ def sheltered(df: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with columns of these names set aside under others, and the names to put back."""
     aside = {c: f"__aside_{c}" for c in df.columns if c in names}
     return df.withColumnsRenamed(aside), {v: k for k, v in aside.items()}
+
+
+_RESIDENT: dict = {}
+
+
+def resident(key, make):
+    """What a Python worker keeps between tasks: the one value made last.  A task with another key replaces it, so that a worker
+    never holds the tables of several operators."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sheltered, text_slices, utf8
+from .common import resident, sheltered, text_slices, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -111,9 +111,6 @@ def merged(spans) -> list:
     return out
 
 
-_LOADED: dict[str, Searches] = {}
-
-
 def benchmark_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int):
     """The items in blocks of bounded text, read one partition at a time."""
     block, size = [], 0
@@ -147,10 +144,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
         names = [f.name for f in kept]
 
         def run(batches):
-            if name not in _LOADED:
-                _LOADED.clear()
-                _LOADED[name] = Searches(pickle.loads(shared.value), window)
-            table = _LOADED[name]
+            table = resident(name, lambda: Searches(pickle.loads(shared.value), window))
             for whole in batches:
                 for batch in text_slices(whole, 0, SLICE_BYTES):
                     n_words, n_hit, spans, ids = [], [], [], []

@@ -40,8 +40,8 @@ FIRST_BUCKETS = 2
 COARSE = 64
 FINEST = 4096
 LEAF = 8
-SLICE_BYTES = 4 << 20
-KNOWN_WORDS = 300_000
+SLICE_BYTES = 2 << 20
+KNOWN_WORDS = 200_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices, utf8
+from .common import resident, text_slices, utf8
 from .fitting import logistic, sigmoid
 
 DICTIONARY_ROWS = 2000
@@ -31,7 +31,7 @@ DICTIONARY_CHARS = 4000
 DICTIONARY_BYTES = 112_640
 CALIBRATION_ROWS = 20_000
 LEVEL = 3
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def _dictionary(samples: list[bytes]):
@@ -60,14 +60,8 @@ class Compressors:
         return np.column_stack([(bad - good) / (bad + good), (bad - good) / n, np.log((good + 1) / n), np.log((plain + 1) / n), np.log(n)])
 
 
-_LOADED: dict = {}
-
-
 def _compressors(key, shared) -> Compressors:
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Compressors(pickle.loads(shared.value)["dictionaries"])
-    return _LOADED[key]
+    return resident(("compressors", key), lambda: Compressors(pickle.loads(shared.value)["dictionaries"]))
 
 
 def _mapped(df: DataFrame, text: str, shared, key, names: list[str], fields: list, values) -> DataFrame:

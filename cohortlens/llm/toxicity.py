@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_table, sheltered, text_slices, utf8
+from .common import resident, shared_table, sheltered, text_slices, utf8
 from .fitting import lbfgs, sigmoid
 
 SAMPLE_ROWS = 20_000
@@ -41,8 +41,8 @@ DENSITY = 200
 GRADES = 3
 ADDED = ("severity", "p_toxic", "grade")
 RIDGE = 0.05
-SLICE_BYTES = 8 << 20
-KNOWN_WORDS = 300_000
+SLICE_BYTES = 4 << 20
+KNOWN_WORDS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -182,9 +182,6 @@ def _ordinal(rows, width: int) -> dict:
     return {"weights": w, "cuts": cuts}
 
 
-_LOADED: dict = {}
-
-
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """Every row with expected ``severity``, ``p_toxic`` = P(grade >= 1) and the likeliest ``grade``."""
     names = list(ADDED)
@@ -194,11 +191,11 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     shared, key = docs.sparkSession.sparkContext.broadcast(packed), hash(packed)
 
     def run(batches):
-        if key not in _LOADED:
-            _LOADED.clear()
+        def make():
             own = pickle.loads(shared.value)
-            _LOADED[key] = own, Lookup(own["features"], own.get("strong", ()))
-        own, lookup = _LOADED[key]
+            return own, Lookup(own["features"], own.get("strong", ()))
+
+        own, lookup = resident(("toxicity", key), make)
         for whole in batches:
             for batch in text_slices(whole, 0, SLICE_BYTES):
                 sums = np.zeros(batch.num_rows)
