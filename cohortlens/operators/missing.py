@@ -84,9 +84,3 @@ def prepare_impute(df: DataFrame, exclude=()) -> tuple[DataFrame, dict]:
     params = fit_imputer(df, "median", exclude=exclude)
     out = apply_imputer(df, params)
     return out, params
-
-
-def remaining_nulls(df: DataFrame) -> DataFrame:
-    """D2 check: total nulls left (must be 0 after imputation)."""
-    return df.agg(sum((F.count(F.lit(1)) - F.count(F.col(c)) for c in df.columns), F.lit(0)).cast("bigint")
-                  .alias("remaining_nulls"))

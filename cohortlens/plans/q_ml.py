@@ -110,6 +110,26 @@ def _q_grid_f1(s, d):
 register("m06_grid_search_cv_f1", family="train")(_q_grid_f1)
 
 
+# Candidates of the learners beside the logistic and tree grids above.
+GRIDS = {
+    "svm_linear": [{"regParam": 0.001}, {"regParam": 0.1}],
+    "svm_rbf": [{"regParam": 0.001}, {"regParam": 0.1}],
+    "random_forest": [{"numTrees": 50, "maxDepth": 5}, {"numTrees": 50, "maxDepth": 10}],
+    "gbt": [{"maxIter": 20, "maxDepth": 3}, {"maxIter": 20, "maxDepth": 5}],
+}
+
+
+def _q_grid_learners(s, d):
+    """M6 for SVM, forest and boosting, and M19: the candidate with the best cross-validated AUC is chosen (ties by name)."""
+    t = kfold(_standardized(s, d).where("split = 'train'"), "encounter_id", 3, stratify="label")
+    rows = [(kind, str(p), m, sd) for kind, grid in GRIDS.items() for p, m, sd in TR.grid_search(t, FEATS, kind, grid, "label", 3)]
+    best = min(rows, key=lambda r: (-r[2], r[0], r[1]))
+    return s.createDataFrame([(*r, r == best) for r in rows], "model string, params string, mean_auc double, std_auc double, chosen boolean")
+
+
+register("m06_m19_grid_search_learners", family="train")(_q_grid_learners)
+
+
 def _q_perm(s, d):
     t = _standardized(s, d)
     m, feats, _, _ = _eval_kind(t, "logistic")
