@@ -59,3 +59,13 @@ def resident(key, make):
         _RESIDENT.clear()
         _RESIDENT[key] = make()
     return _RESIDENT[key]
+
+
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let whole texts reach Python in batches of at most ``ARROW_ROWS`` rows (Spark's default of 10,000 texts takes tens of MB on both sides)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
