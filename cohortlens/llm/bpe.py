@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import resident, text_slices, utf8
+from .common import resident, small_batches, text_slices, utf8
 
 # states
 FRESH, LETTERS, DIGITS, OTHERS, SPACE, BLANKS, TAKE1, TAKE2 = range(8)
@@ -36,7 +36,7 @@ FRESH, LETTERS, DIGITS, OTHERS, SPACE, BLANKS, TAKE1, TAKE2 = range(8)
 LETTER, DIGIT, OTHER, CONTR2, CONTR3, BLANK, LAST_SPACE, LAST_BLANK, STOP = range(9)
 BLOCK = 512
 SLICE_BYTES = 1 << 20
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 CACHED_PIECE = 64
 LONG_PIECE = 96
 MERGED_AT_ONCE = 8192
@@ -401,6 +401,7 @@ def id_bytes(path: str) -> int:
 def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False) -> DataFrame:
     """Add ``ids`` (little-endian unsigned integers of ``id_bytes(path)`` bytes), ``n_tokens``
     and, on demand, ``piece_offsets`` (first byte of every pre-token).  The text column is replaced by these."""
+    small_batches(df.sparkSession)
     shared = SharedRanks(df.sparkSession, path)
     keep = [c for c in df.columns if c not in (text, "ids", "n_tokens", "piece_offsets")]
     schema = T.StructType([f for f in df.schema.fields if f.name in keep]
@@ -425,6 +426,7 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False)
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add ``into``: the bytes of the packed ids; null ids give no bytes."""
+    small_batches(df.sparkSession)
     shared = SharedRanks(df.sparkSession, path)
     keep = [c for c in df.columns if c != into]
     schema = T.StructType([f for f in df.schema.fields if f.name in keep] + [T.StructField(into, T.BinaryType())])

@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import resident, sheltered, text_slices, utf8
+from .common import resident, sheltered, small_batches, text_slices, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 ADDED = ("n_words", "n_hit", "hit_spans", "item_ids")
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
                for b in range(256))
@@ -130,6 +130,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     """``docs`` with n_words, n_hit (words inside occurrences), hit_spans (merged
     first/last word positions) and item_ids (items with an occurring window, ascending)."""
     spark = docs.sparkSession
+    small_batches(spark)
     kept = [f for f in docs.schema.fields if f.name not in ADDED]
     span = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),

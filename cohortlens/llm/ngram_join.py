@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table, text_slices, utf8
+from .common import shared_table, small_batches, text_slices, utf8
 from .components import components
 
 MISS = 1e-12
@@ -40,8 +40,8 @@ FIRST_BUCKETS = 2
 COARSE = 64
 FINEST = 4096
 LEAF = 8
-SLICE_BYTES = 2 << 20
-KNOWN_WORDS = 200_000
+SLICE_BYTES = 1 << 20
+KNOWN_WORDS = 120_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -366,6 +366,7 @@ def _cells(placed: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, k: int = 4, share: tuple[int, int] = (85, 100), row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row_id, n_shingles, component_id) for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     threshold, bands = Threshold(share), bands_for(share[0] / share[1])
     sketch = shared_table(_sketch(docs, row_id, text, k, bands), "shingle-sketch")
     classes = shared_table(sketch.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import resident, text_slices, utf8
+from .common import resident, small_batches, text_slices, utf8
 from .fitting import logistic, sigmoid
 
 DICTIONARY_ROWS = 2000
@@ -31,7 +31,7 @@ DICTIONARY_CHARS = 4000
 DICTIONARY_BYTES = 112_640
 CALIBRATION_ROWS = 20_000
 LEVEL = 3
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def _dictionary(samples: list[bytes]):
@@ -65,6 +65,7 @@ def _compressors(key, shared) -> Compressors:
 
 
 def _mapped(df: DataFrame, text: str, shared, key, names: list[str], fields: list, values) -> DataFrame:
+    small_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name not in (text, *names)]
     schema = T.StructType(kept + fields)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import resident, shared_table, sheltered, text_slices, utf8
+from .common import resident, shared_table, sheltered, small_batches, text_slices, utf8
 from .fitting import lbfgs, sigmoid
 
 SAMPLE_ROWS = 20_000
@@ -41,8 +41,8 @@ DENSITY = 200
 GRADES = 3
 ADDED = ("severity", "p_toxic", "grade")
 RIDGE = 0.05
-SLICE_BYTES = 4 << 20
-KNOWN_WORDS = 200_000
+SLICE_BYTES = 2 << 20
+KNOWN_WORDS = 120_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -122,6 +122,7 @@ def _vectors(rows: DataFrame, features: list[str], strong: list[int]) -> DataFra
 def fit(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
     """Features, shared weights and ordered cuts from labelled documents."""
     spark = docs.sparkSession
+    small_batches(spark)
     marked = (labels.filter(F.col(label).isin(0, 1) & F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("__id"))
               .agg(F.min(label).alias("low"), F.max(label).cast("int").alias("y")).filter("low = y").select("__id", "y"))
     chosen = marked.orderBy(F.xxhash64("__id", F.lit(2)), "__id").limit(SAMPLE_ROWS).collect()
@@ -187,6 +188,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     names = list(ADDED)
     kept = [f for f in docs.schema.fields if f.name not in names]
     schema = T.StructType(kept + [T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("grade", T.IntegerType())])
+    small_batches(docs.sparkSession)
     packed = pickle.dumps(model)
     shared, key = docs.sparkSession.sparkContext.broadcast(packed), hash(packed)
 
