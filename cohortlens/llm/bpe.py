@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import resident, small_batches, text_slices, utf8
+from .common import resident, small_batches, text_slices, tidy, utf8
 
 # states
 FRESH, LETTERS, DIGITS, OTHERS, SPACE, BLANKS, TAKE1, TAKE2 = range(8)
@@ -421,7 +421,7 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False)
                     names.append("piece_offsets")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return df.select(utf8(text).alias("__text"), *keep).mapInArrow(run, schema)
+    return df.select(utf8(text).alias("__text"), *keep).mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -439,7 +439,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(map(words.decode, batch.column(at).to_pylist()), pa.binary())], [*keep, into])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep).mapInArrow(tidy(run), schema)
 
 
 def id_text(ids, width: int):

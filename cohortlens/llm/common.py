@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +72,41 @@ def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
         spark.conf.set(name, str(ARROW_ROWS))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers stay for the next stage, and an executor's tasks share one limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A batch function that gives memory back when its task ends."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return wrapped
+
+
+def tidy_group(run):
+    """A function of one group that gives memory back after every group."""
+    def wrapped(table):
+        out = run(table)
+        give_back()
+        return out
+    return wrapped
+
+
+def tidy_pair(run):
+    """A function of two grouped tables that gives memory back after every group."""
+    def wrapped(left, right):
+        out = run(left, right)
+        give_back()
+        return out
+    return wrapped

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import resident, sheltered, small_batches, text_slices, utf8
+from .common import resident, sheltered, small_batches, text_slices, tidy, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -164,7 +164,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
                          pa.array(spans, spans_type), pa.array(ids, pa.list_(pa.int64()))],
                         [*names, *ADDED])
 
-        return df.select(utf8(text).alias("__text"), *names, "hit_spans", "item_ids").mapInArrow(run, schema)
+        return df.select(utf8(text).alias("__text"), *names, "hit_spans", "item_ids").mapInArrow(tidy(run), schema)
 
     blocks = 0
     for block in benchmark_blocks(items, item_id, item_text, block_bytes):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table, small_batches, text_slices, utf8
+from .common import shared_table, small_batches, text_slices, tidy, utf8
 from .components import components
 
 MISS = 1e-12
@@ -215,7 +215,7 @@ def _sketch(docs: DataFrame, row_id: str, text: str, k: int, bands: int) -> Data
                      pa.array([bucket_keys(s, bands) if len(s) else None for s in sets], pa.list_(pa.int64()))],
                     ["id", "n", "digest", "keys"])
 
-    return docs.select(F.col(row_id).cast("long"), utf8(text)).mapInArrow(run, "id long, n long, digest binary, keys array<long>")
+    return docs.select(F.col(row_id).cast("long"), utf8(text)).mapInArrow(tidy(run), "id long, n long, digest binary, keys array<long>")
 
 
 class Filter:
@@ -260,7 +260,7 @@ def _sets(docs: DataFrame, k: int, wanted: Filter) -> DataFrame:
                     ["digest", "n", "vector", "shingles"])
 
     hashed = docs.where("id is not null").select(*[h.alias(f"h{i}") for i, h in enumerate(Filter.hashes("id"))], "body")
-    return hashed.mapInArrow(run, "digest binary, n long, vector binary, shingles binary")
+    return hashed.mapInArrow(tidy(run), "digest binary, n long, vector binary, shingles binary")
 
 
 def _groups(batches, key_columns: int):
@@ -306,7 +306,7 @@ def _join_chunks(rows: DataFrame, threshold: Threshold) -> DataFrame:
                 if forest.root(node) != node:
                     yield forest.root(node), node
 
-    return rows.mapInArrow(lambda batches: _edge_batches(links(batches)), "a long, b long")
+    return rows.mapInArrow(tidy(lambda batches: _edge_batches(links(batches))), "a long, b long")
 
 
 def _cross_pairs(rows: DataFrame, threshold: Threshold) -> DataFrame:
@@ -329,7 +329,7 @@ def _cross_pairs(rows: DataFrame, threshold: Threshold) -> DataFrame:
                     for rep in reps[tree.near(q, allowed)].tolist():
                         yield min(rep, q.rep), max(rep, q.rep)
 
-    return rows.mapInArrow(lambda batches: _edge_batches(pairs(batches)), "a long, b long")
+    return rows.mapInArrow(tidy(lambda batches: _edge_batches(pairs(batches))), "a long, b long")
 
 
 def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
@@ -410,7 +410,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
 
     left = own.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     right = own.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100), row_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import resident, small_batches, text_slices, utf8
+from .common import resident, small_batches, text_slices, tidy, utf8
 from .fitting import logistic, sigmoid
 
 DICTIONARY_ROWS = 2000
@@ -76,7 +76,7 @@ def _mapped(df: DataFrame, text: str, shared, key, names: list[str], fields: lis
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *values(compressors.features(batch.column(0).to_pylist()))],
                                                  [*(f.name for f in kept), *names])
 
-    return df.select(utf8(text).alias("__text"), *[f.name for f in kept]).mapInArrow(run, schema)
+    return df.select(utf8(text).alias("__text"), *[f.name for f in kept]).mapInArrow(tidy(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str = "text", label: str = "quality") -> dict:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import resident, shared_table, sheltered, small_batches, text_slices, utf8
+from .common import resident, shared_table, sheltered, small_batches, text_slices, tidy, utf8
 from .fitting import lbfgs, sigmoid
 
 SAMPLE_ROWS = 20_000
@@ -100,7 +100,7 @@ def _count_features(rows: DataFrame, only: list[str] | None) -> DataFrame:
             part = names[k:k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([total[f] for f in part], pa.int64())], ["f", "n"])
 
-    return rows.select(utf8("body")).mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    return rows.select(utf8("body")).mapInArrow(tidy(run), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
 
 
 def _vectors(rows: DataFrame, features: list[str], strong: list[int]) -> DataFrame:
@@ -116,7 +116,7 @@ def _vectors(rows: DataFrame, features: list[str], strong: list[int]) -> DataFra
                 [*batch.columns[1:], pa.array([list(c) for c, _ in counts], pa.list_(pa.int32())),
                  pa.array([list(c.values()) for c, _ in counts], pa.list_(pa.int32())), pa.array([n for _, n in counts], pa.int32())], [*(f.name for f in fields), "at", "n", "words"])
 
-    return rows.select(utf8("body"), *[f.name for f in fields]).mapInArrow(run, schema)
+    return rows.select(utf8("body"), *[f.name for f in fields]).mapInArrow(tidy(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(over.sum(axis=1)), pa.array(over[:, 0]),
                                                   pa.array(each.argmax(axis=1), pa.int32())], [*(f.name for f in kept), *names])
 
-    return docs.select(utf8(text).alias("__text"), *[f.name for f in kept]).mapInArrow(run, schema)
+    return docs.select(utf8(text).alias("__text"), *[f.name for f in kept]).mapInArrow(tidy(run), schema)
 
 
 def remove_toxic(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
