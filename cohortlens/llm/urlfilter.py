@@ -8,8 +8,10 @@ path, decides.  For the other urls a tree of path templates is grown per host, o
 * elsewhere, a branch whose share of bad labels does not differ from its parent's by ``Z`` standard errors is merged
   into ``*`` with its like; a branch that differs keeps its name.
 
-Segments from level ``LEVELS`` + 1 on become one ``**``.  A template's purity is its share of good labels, smoothed by
-``WEIGHT`` rows of the overall share; templates below ``LEAST_PURITY`` are rejected.
+Levels are grown to the end of the paths, each written to the shared folder.  Growth of a template stops only where no level below
+it can hold a differing branch (fewer than ``LEAST_MARKED`` labelled rows go deeper, or all have one label): the segments left
+become ``*`` each, as the levels would have made them.  A template's purity is its share of good labels, smoothed by ``WEIGHT``
+rows of the overall share; templates below ``LEAST_PURITY`` are rejected.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, no rule and the method's verdict for the template of
 that empty host; without labels the overall share is 1 and nothing is rejected but by rules; ids labelled both ways count as unlabelled.
@@ -17,15 +19,19 @@ that empty host; without labels the overall share is 1 and nothing is rejected b
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_table
 
-LEVELS = 3
 LEAST_KINDS = 8
 VARIABLE = 0.5
 Z = 3.0
+#: With the smoothed share of ``_level``, m alike labels of a branch differ by Z only among more than Z² (m + 1) / m + m - 1 labelled rows.
+LEAST_MARKED = 1 + math.floor(min(Z * Z * (m + 1) / m + m - 1 for m in range(1, 100)))
 WEIGHT = 10.0
 LEAST_PURITY = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,6 +77,30 @@ def _level(rows: DataFrame, k: int) -> DataFrame:
             .drop("seg", "kept"))
 
 
+def _growing(rows: DataFrame, k: int) -> DataFrame:
+    """The templates below which a branch can differ at level ``k`` or deeper."""
+    return (rows.filter(F.size("segments") > k).groupBy("host", "template").agg(F.count("bad").alias("marked"), F.sum("bad").alias("bad"))
+            .filter((F.col("marked") >= LEAST_MARKED) & (F.col("bad") > 0) & (F.col("bad") < F.col("marked")))
+            .select("host", "template", F.lit(True).alias("grows")))
+
+
+def _grown(rows: DataFrame) -> DataFrame:
+    """Every row with its whole template."""
+    done, k = [], 0
+    while True:
+        growing = _growing(rows, k)
+        last = growing.isEmpty()
+        if not last:
+            rows = rows.join(growing, ["host", "template"], "left").withColumn("grows", F.coalesce("grows", F.lit(False)) & (F.size("segments") > k))
+        closed = rows if last else rows.filter(~F.col("grows")).drop("grows")
+        rest = F.array_repeat(F.lit("/*"), F.greatest(F.size("segments") - k, F.lit(0)))
+        done.append(closed.withColumn("template", F.concat("template", F.array_join(rest, ""))))
+        if last:
+            return reduce(DataFrame.unionByName, done)
+        rows = shared_table(_level(rows.filter("grows").drop("grows"), k), f"url-level-{k + 1}")
+        k += 1
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, template, purity, verdict) for every row.  ``labels`` has (id, good 0/1) of some pages."""
     marks = (labels.filter("id is not null and good in (0, 1)").groupBy("id").agg(F.min("good").alias("low"), F.max("good").alias("high"))
@@ -83,9 +113,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame
     rows = shared_table(rows, "url-rows")
     total = rows.agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
     overall = 1.0 - total["bad"] / total["n"] if total["n"] else 1.0
-    for k in range(LEVELS):
-        rows = _level(rows, k)
-    rows = rows.withColumn("template", F.when(F.size("segments") > LEVELS, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+    rows = _grown(rows)
     purity = (F.count("bad") - F.coalesce(F.sum("bad"), F.lit(0)) + WEIGHT * overall) / (F.count("bad") + WEIGHT)
     pure = rows.groupBy("host", "template").agg(purity.alias("purity"))
     method = F.when(F.col("purity") < LEAST_PURITY, F.lit("block")).otherwise(F.lit("allow"))

@@ -85,6 +85,40 @@ def test_templates_generalise_merge_and_reject(spark):
     assert all((r["verdict"] == "block") == ("/spam/" in r["path"]) for r in out)
 
 
+def host_pages(spark, paths):
+    """One host's pages, all labelled: (path, good) in, and page by page the verdict and template out."""
+    df = spark.createDataFrame([(n, "http://h.org" + path) for n, (path, _) in enumerate(paths)], "page_id long, url string")
+    labels = spark.createDataFrame([(n, good) for n, (_, good) in enumerate(paths)], "id long, good int")
+    out = {r["page_id"]: (r["verdict"], r["template"]) for r in urlfilter.judge(df, [], labels).collect()}
+    assert sorted(out) == list(range(len(paths)))
+    return [(path, good, *out[n]) for n, (path, good) in enumerate(paths)]
+
+
+def test_a_deep_branch_is_judged_by_itself(spark):
+    """The bad branch stands at segments 4 and 6; shorter, longer and pure paths lie beside it."""
+    paths = [(f"/a/b/c/{'spam' if n % 3 == 0 else 'ok'}/{n}", int(n % 3 != 0)) for n in range(240)]
+    paths += [(f"/x/y/z/u/v/{'bad' if n % 2 else 'good'}/{n}/{n}.html", 1 - n % 2) for n in range(120)]
+    paths += [("/a/b", 1), ("/a/b/c", 1), ("/x", 1), ("", 1), ("/a/b/c/ok/" + "t/" * 30, 1)]
+    out = host_pages(spark, paths)
+    assert all((verdict == "block") == (good == 0) for _, good, verdict, _ in out)
+    assert all(len(t.split("/")) == len([s for s in path.split("/") if s]) + 1 for path, _, _, t in out)
+    assert {t.split("/")[4] for path, _, _, t in out if "/spam/" in path} == {"spam"}
+    assert {t.split("/")[6] for path, _, _, t in out if "/bad/" in path} == {"bad"}
+
+
+def test_a_template_stops_only_where_nothing_can_differ():
+    def splits(n, bad, m, b):
+        share = (bad + 1) / (n + 2)
+        return abs(b - share * m) > urlfilter.Z * math.sqrt(share * (1 - share) * m)
+
+    def any_split(n, bads):
+        return any(splits(n, bad, m, b) for bad in bads for m in range(1, n + 1) for b in range(max(0, m - n + bad), min(m, bad) + 1))
+
+    assert not any(any_split(n, range(n + 1)) for n in range(urlfilter.LEAST_MARKED))
+    assert any_split(urlfilter.LEAST_MARKED, range(urlfilter.LEAST_MARKED + 1))
+    assert not any(any_split(n, (0, n)) for n in range(1, 80))
+
+
 def test_the_main_path_runs_no_python(spark):
     df = spark.createDataFrame([(r[0], r[1]) for r in URLS], "page_id long, url string")
     plan = urlfilter.judge(df, queries.URL_RULES, spark.createDataFrame([], "id long, good int"))._jdf.queryExecution().executedPlan().toString()
