@@ -3,10 +3,10 @@
 Rules come first: the longest rule whose host is the url's host or a parent of it, and whose path starts the url's
 path, decides.  For the other urls a tree of path templates is grown per host, one level of segments after another:
 
-* a level is variable where most rows bring a value of their own (at least ``LEAST_KINDS`` kinds, and at
-  least ``VARIABLE`` kinds a row): all its segments become ``*``;
-* elsewhere, a branch whose share of bad labels does not differ from its parent's by ``Z`` standard errors is merged
-  into ``*`` with its like; a branch that differs keeps its name.
+* a branch whose share of bad labels differs from its parent's by ``Z`` standard errors keeps its name; the others are merged
+  into ``*``;
+* a level is variable where most rows bring a value of their own (at least ``LEAST_KINDS`` kinds, and at least ``VARIABLE`` kinds a
+  row): there a branch needs ``LEAST_HOT`` labelled rows as well to keep its name, so that rare values always become ``*``.
 
 Levels are grown to the end of the paths, each written to the shared folder.  Growth of a template stops only where no level below
 it can hold a differing branch (fewer than ``LEAST_MARKED`` labelled rows go deeper, or all have one label): the segments left
@@ -29,6 +29,7 @@ from .common import shared_table
 
 LEAST_KINDS = 8
 VARIABLE = 0.5
+LEAST_HOT = 8
 Z = 3.0
 #: With the smoothed share of ``_level``, m alike labels of a branch differ by Z only among more than Z² (m + 1) / m + m - 1 labelled rows.
 LEAST_MARKED = 1 + math.floor(min(Z * Z * (m + 1) / m + m - 1 for m in range(1, 100)))
@@ -67,10 +68,11 @@ def _level(rows: DataFrame, k: int) -> DataFrame:
              .agg(F.count("*").alias("n"), F.count("bad").alias("marked"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
     parents = (kinds.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows"), F.sum("marked").alias("all_marked"),
                                                      F.sum("bad").alias("all_bad"))
-               .filter(~((F.col("kinds") >= LEAST_KINDS) & (F.col("kinds") >= VARIABLE * F.col("rows")))))
+               .withColumn("variable", (F.col("kinds") >= LEAST_KINDS) & (F.col("kinds") >= VARIABLE * F.col("rows"))))
     share = (F.col("all_bad") + 1.0) / (F.col("all_marked") + 2.0)
     differs = F.abs(F.col("bad") - share * F.col("marked")) > Z * F.sqrt(share * (1.0 - share) * F.col("marked"))
-    own = (kinds.join(parents, ["host", "template"]).filter(differs).select("host", "template", "seg", F.lit(True).alias("kept")))
+    own = (kinds.join(parents, ["host", "template"]).filter(differs & (~F.col("variable") | (F.col("marked") >= LEAST_HOT)))
+           .select("host", "template", "seg", F.lit(True).alias("kept")))
     return (known.join(own, ["host", "template", "seg"], "left")
             .withColumn("template", F.when(F.col("seg").isNull(), F.col("template"))
                         .otherwise(F.concat("template", F.lit("/"), F.when(F.col("kept"), F.col("seg")).otherwise(F.lit("*")))))

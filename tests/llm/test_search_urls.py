@@ -106,6 +106,14 @@ def test_a_deep_branch_is_judged_by_itself(spark):
     assert {t.split("/")[6] for path, _, _, t in out if "/bad/" in path} == {"bad"}
 
 
+def test_a_hot_branch_of_a_variable_level_is_judged_by_itself(spark):
+    """Unique segments at both levels, a third of the pages in one bad branch; and a single bad page that stays in ``*``."""
+    paths = [(f"/u{n}/{n}", int(n != 5)) for n in range(1000)] + [(f"/spam/{n}", 0) for n in range(500)]
+    out = host_pages(spark, paths)
+    assert {(verdict, t) for path, _, verdict, t in out if path.startswith("/spam/")} == {("block", "/spam/*")}
+    assert {(verdict, t) for path, _, verdict, t in out if path.startswith("/u")} == {("allow", "/*/*")}
+
+
 def test_a_template_stops_only_where_nothing_can_differ():
     def splits(n, bad, m, b):
         share = (bad + 1) / (n + 2)
