@@ -55,9 +55,11 @@ def make_learner(kind: str, label: str = "label", weight_col: str | None = None,
     """M1-M5 estimators with reference-like defaults."""
     common = {"labelCol": label, "featuresCol": "features"}
     if kind in ("svm_linear", "svm_rbf", "svm_poly"):
-        est = LinearSVC(maxIter=kw.get("maxIter", 50), regParam=kw.get("regParam", 0.01), **common)
+        reg = 1.0 / (kw["C"] * max(n_rows or 1, 1)) if "C" in kw else kw.get("regParam", 0.01)
+        est = LinearSVC(maxIter=kw.get("maxIter", 50), regParam=reg, **common)
     elif kind == "random_forest":
-        est = RandomForestClassifier(numTrees=kw.get("numTrees", 100), maxDepth=kw.get("maxDepth", 10), seed=42, **common)
+        est = RandomForestClassifier(numTrees=kw.get("numTrees", 100), maxDepth=kw.get("maxDepth", 10),
+                                     minInstancesPerNode=kw.get("minInstancesPerNode", 1), seed=42, **common)
     elif kind == "gbt":
         est = GBTClassifier(maxIter=kw.get("maxIter", 50), maxDepth=kw.get("maxDepth", 3), stepSize=kw.get("stepSize", 0.1),
                             seed=42, **common)
@@ -74,11 +76,20 @@ def make_learner(kind: str, label: str = "label", weight_col: str | None = None,
     return est
 
 
-def prepare_matrix(df: DataFrame, features: list[str], kind: str) -> tuple[DataFrame, list[str]]:
+def rbf_gamma(df: DataFrame, features: list[str], gamma: float | str | None) -> float | None:
+    """A kernel width by name: ``auto`` is 1/k, ``scale`` 1/(k·variance of all entries of ``df``)."""
+    if gamma == "scale":
+        values = F.array(*[F.col(f).cast("double") for f in features])
+        var = df.select(F.explode(values).alias("v")).agg(F.var_pop("v").alias("v")).first()["v"]
+        return 1.0 / (len(features) * (var or 1.0))
+    return 1.0 / len(features) if gamma == "auto" else gamma
+
+
+def prepare_matrix(df: DataFrame, features: list[str], kind: str, gamma: float | None = None) -> tuple[DataFrame, list[str]]:
     """Feature columns for a learner kind: RBF -> RFF columns, poly -> E19
     degree-2 products, others as is."""
     if kind == "svm_rbf":
-        cols = rff_columns(features)
+        cols = rff_columns(features, gamma=gamma)
         out = df.select("*", *cols)
         return out, [f"rff_{i}" for i in range(len(cols))]
     if kind == "svm_poly":
@@ -90,7 +101,7 @@ def prepare_matrix(df: DataFrame, features: list[str], kind: str) -> tuple[DataF
 
 def fit_model(df: DataFrame, features: list[str], kind: str, label: str = "label", weight_col: str | None = None, **kw):
     """Train one model; returns (fitted PipelineModel-like, feature list)."""
-    data, feats = prepare_matrix(df, features, kind)
+    data, feats = prepare_matrix(df, features, kind, kw.pop("gamma", None))
     data = assemble(data, feats)
     est = make_learner(kind, label, weight_col, n_rows=kw.pop("n_rows", None), **kw)
     t0 = time.time()
@@ -98,10 +109,10 @@ def fit_model(df: DataFrame, features: list[str], kind: str, label: str = "label
     return model, feats, time.time() - t0
 
 
-def score(model, df: DataFrame, features: list[str], kind: str) -> DataFrame:
+def score(model, df: DataFrame, features: list[str], kind: str, gamma: float | None = None) -> DataFrame:
     """Class + probability.  Models without probabilities (SVM) get the
     decision value min-max scaled over the scored table (the fallback)."""
-    data, feats = prepare_matrix(df, features, kind)
+    data, feats = prepare_matrix(df, features, kind, gamma)
     out = model.transform(assemble(data, feats))
     if "probability" in out.columns:
         return out.withColumn("score", vector_to_array("probability")[1]).withColumn("pred", F.col("prediction").cast("int"))
@@ -130,8 +141,9 @@ def cross_validate(df: DataFrame, features: list[str], kind: str, label: str = "
     vals = []
     for f in range(k):
         tr, va = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
-        m, feats, _ = fit_model(tr, features, kind, label, **dict(kw))
-        sc = score(m, va, features, kind)
+        gamma = rbf_gamma(tr, features, kw.get("gamma"))
+        m, feats, _ = fit_model(tr, features, kind, label, **{**kw, "gamma": gamma})
+        sc = score(m, va, features, kind, gamma)
         if scoring == "f1":
             vals.append(with_rates(confusion(sc, label, "pred")).collect()[0]["f1"])
         else:
@@ -141,14 +153,14 @@ def cross_validate(df: DataFrame, features: list[str], kind: str, label: str = "
 
 
 def grid_search(df: DataFrame, features: list[str], kind: str, grid: list[dict], label: str = "label", k: int = 5,
-                parallelism: int = 4, scoring: str = "auc") -> list:
+                parallelism: int = 4, scoring: str = "auc", **fixed) -> list:
     """M6: grid × folds, candidates evaluated concurrently (driver threads
     submitting Spark jobs, as ``CrossValidator(parallelism=…)``); returns
     [(params, mean_auc, std_auc)] best first."""
     from concurrent.futures import ThreadPoolExecutor
 
     def one(params):
-        cv = cross_validate(df, features, kind, label, k=k, scoring=scoring, **params)
+        cv = cross_validate(df, features, kind, label, k=k, scoring=scoring, **params, **fixed)
         return params, cv["mean_auc"], cv["std_auc"]
     with ThreadPoolExecutor(parallelism) as ex:
         res = list(ex.map(one, grid))

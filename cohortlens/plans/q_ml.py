@@ -110,19 +110,24 @@ def _q_grid_f1(s, d):
 register("m06_grid_search_cv_f1", family="train")(_q_grid_f1)
 
 
-# Candidates of the learners beside the logistic and tree grids above.
+# The reference's axes as far as Spark ML has them: gamma is the RBF kernel's alone; trees without a depth limit have Spark's 30;
+# min_samples_split and num_leaves have no counterpart.
 GRIDS = {
-    "svm_linear": [{"regParam": 0.001}, {"regParam": 0.1}],
-    "svm_rbf": [{"regParam": 0.001}, {"regParam": 0.1}],
-    "random_forest": [{"numTrees": 50, "maxDepth": 5}, {"numTrees": 50, "maxDepth": 10}],
-    "gbt": [{"maxIter": 20, "maxDepth": 3}, {"maxIter": 20, "maxDepth": 5}],
+    "svm_linear": [{"C": c} for c in (0.1, 1.0, 10.0, 100.0)],
+    "svm_rbf": [{"C": c, "gamma": g} for c in (0.1, 1.0, 10.0, 100.0) for g in ("scale", "auto", 0.01, 0.1)],
+    "random_forest": [{"numTrees": n, "maxDepth": d, "minInstancesPerNode": m}
+                      for n in (100, 200, 300) for d in (10, 20, 30) for m in (1, 2, 4)],
+    "gbt": [{"maxIter": n, "stepSize": r, "maxDepth": d} for n in (100, 200, 300) for r in (0.01, 0.05, 0.1) for d in (3, 5, 7, 9)],
+    "logistic": [{"C": 0.1}, {"C": 1.0}, {"C": 10.0}],
 }
 
 
 def _q_grid_learners(s, d):
-    """M6 for SVM, forest and boosting, and M19: the candidate with the best cross-validated AUC is chosen (ties by name)."""
-    t = kfold(_standardized(s, d).where("split = 'train'"), "encounter_id", 3, stratify="label")
-    rows = [(kind, str(p), m, sd) for kind, grid in GRIDS.items() for p, m, sd in TR.grid_search(t, FEATS, kind, grid, "label", 3)]
+    """M6 for every tuned learner, and M19: the candidate with the best cross-validated AUC is chosen (ties by name)."""
+    t = kfold(_standardized(s, d).where("split = 'train'"), "encounter_id", 5, stratify="label").cache()
+    n = t.count() * 4 // 5  # rows of a fold's fit, for C
+    rows = [(kind, str(p), m, sd) for kind, grid in GRIDS.items() for p, m, sd in TR.grid_search(t, FEATS, kind, grid, "label", 5, n_rows=n)]
+    t.unpersist()
     best = min(rows, key=lambda r: (-r[2], r[0], r[1]))
     return s.createDataFrame([(*r, r == best) for r in rows], "model string, params string, mean_auc double, std_auc double, chosen boolean")
 

@@ -27,6 +27,40 @@ def test_platt_monotone(spark):
     assert out["calibrated"].is_monotonic_increasing
 
 
+def test_grid_search_covers_the_references_axes(spark, monkeypatch):
+    from cohortlens.operators import train
+    from cohortlens.plans import q_ml
+    asked = {}
+
+    def search(df, features, kind, grid, label, k, **fixed):
+        assert k == 5 and df.select("fold").distinct().count() == 5 and fixed["n_rows"] > 0
+        asked[kind] = {a: {p[a] for p in grid} for a in grid[0]}
+        assert len({str(p) for p in grid}) == len(grid) == np.prod([len(v) for v in asked[kind].values()])
+        return [(p, 0.9 if kind == "logistic" else 0.5, 0.0) for p in grid]
+
+    monkeypatch.setattr(train, "grid_search", search)
+    out = q_ml._q_grid_learners(spark, "/root/testdata/sf0.001").collect()
+    C = {0.1, 1.0, 10.0, 100.0}
+    assert asked == {"svm_linear": {"C": C}, "svm_rbf": {"C": C, "gamma": {"scale", "auto", 0.01, 0.1}},
+                     "random_forest": {"numTrees": {100, 200, 300}, "maxDepth": {10, 20, 30}, "minInstancesPerNode": {1, 2, 4}},
+                     "gbt": {"maxIter": {100, 200, 300}, "stepSize": {0.01, 0.05, 0.1}, "maxDepth": {3, 5, 7, 9}}, "logistic": {"C": {0.1, 1.0, 10.0}}}
+    assert len(out) == 86 and [r["model"] for r in out if r["chosen"]] == ["logistic"]
+
+
+def test_grid_parameters_reach_the_learner(spark):
+    from cohortlens.operators.train import cross_validate, make_learner, rbf_gamma
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 2, (160, 2))
+    rows = [(float(a), float(b), int(a * a + b * b > 6), i % 2) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, label int, fold int")
+    assert rbf_gamma(df, ["a", "b"], "auto") == 0.5 and rbf_gamma(df, ["a", "b"], 0.1) == 0.1
+    assert rbf_gamma(df, ["a", "b"], "scale") == pytest.approx(1 / (2 * x.var()))
+    aucs = [cross_validate(df, ["a", "b"], "svm_rbf", k=2, C=1.0, gamma=g, n_rows=80)["mean_auc"] for g in ("scale", 1e-6)]
+    assert aucs[0] > 0.9 and aucs[0] > aucs[1] + 0.01
+    assert make_learner("random_forest", minInstancesPerNode=4).getMinInstancesPerNode() == 4
+    assert make_learner("svm_linear", C=10.0, n_rows=100).getRegParam() == pytest.approx(0.001)
+
+
 def test_isolation_forest_contamination(spark):
     from cohortlens.operators.multivariate import isolation_forest
     rng = np.random.default_rng(2)
