@@ -4,9 +4,10 @@ Two zstandard dictionaries are trained from good and from bad labelled text.  A
 whole with either dictionary and with none; the normalised difference of the compressed sizes, with
 the two rates and the length beside it, goes through a logistic calibration to a score.
 
-The fit uses a bounded sample, the labelled rows of lowest hash: per class at most ``DICTIONARY_ROWS`` rows of at most
-``DICTIONARY_CHARS`` characters for the dictionaries, and at most ``CALIBRATION_ROWS`` other rows, compressed whole, for the
-calibration.  Scoring covers every whole text.
+The fit uses a bounded sample, the labelled rows of lowest hash: per class at most ``DICTIONARY_ROWS`` rows for the dictionaries, whose
+whole texts are cut into chunks of ``CHUNK_CHARS`` characters (beyond ``DICTIONARY_CHUNKS`` chunks a class those of lowest hash, from
+anywhere in the texts), and at most ``CALIBRATION_ROWS`` other rows, compressed whole, for the calibration.  Scoring covers every
+whole text.
 
 Defined cases: null texts are scored as empty; labels other than 0 and 1 and ids marked both ways teach nothing; with one class
 missing every score is the share of good labels, with no label 0.5.  Added columns replace equal names.
@@ -27,7 +28,8 @@ from .common import resident, small_batches, text_slices, tidy, utf8
 from .fitting import logistic, sigmoid
 
 DICTIONARY_ROWS = 2000
-DICTIONARY_CHARS = 4000
+DICTIONARY_CHUNKS = 4000
+CHUNK_CHARS = 4000
 DICTIONARY_BYTES = 112_640
 CALIBRATION_ROWS = 20_000
 LEVEL = 3
@@ -93,9 +95,13 @@ def fit(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str =
         ids = spark.createDataFrame([(r["__id"], int(r["y"])) for r in rows], "__id long, y int")
         return docs.join(F.broadcast(ids), docs[row_id] == ids["__id"]).select("__id", "y", F.coalesce(F.col(text), F.lit("")).alias("__body"))
 
-    found = texts(teach).select("y", F.substring("__body", 1, DICTIONARY_CHARS).alias("t"), "__id").collect()
-    found = sorted(((r["y"], r["__id"], r["t"].encode()) for r in found))
-    parts = [[t for y, _, t in found if y == side] for side in (1, 0)]
+    last = F.floor(F.greatest(F.length("__body") - 1, F.lit(0)) / CHUNK_CHARS).cast("int")
+    chunks = (texts(teach).select("y", "__id", "__body", F.explode(F.sequence(F.lit(0), last)).alias("part"))
+              .select("y", "__id", "part", F.expr(f"substring(__body, part * {CHUNK_CHARS} + 1, {CHUNK_CHARS})").alias("t"),
+                      F.xxhash64("__id", "part", F.lit(9)).alias("h")))
+    found = [r for y in (0, 1) for r in chunks.filter(F.col("y") == y).orderBy("h", "__id", "part", "t").limit(DICTIONARY_CHUNKS).collect()]
+    found = sorted(((r["y"], r["__id"], r["part"], r["t"].encode()) for r in found))
+    parts = [[t for y, _, _, t in found if y == side] for side in (1, 0)]
     model = {"dictionaries": [_dictionary(p) for p in parts]}
     shared = spark.sparkContext.broadcast(pickle.dumps(model))
     rows = _mapped(texts(judge), "__body", shared, hash(pickle.dumps(model)), ["x"], [T.StructField("x", T.ArrayType(T.DoubleType()))],

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +56,28 @@ def test_quality_on_held_out_labels(marked):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_dictionaries_learn_from_whole_texts(spark, monkeypatch):
+    """The marks of quality stand after 4,000 characters only; every chunk is taught, or, above the bound, some of every depth."""
+    def text(i):
+        return f"{i} " + "same words for both sides " * 200 + (" excellent prose" if i % 2 else " dreadful noise") * 600
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen, train = [], quality._dictionary
+    monkeypatch.setattr(quality, "_dictionary", lambda samples: (seen.append(samples), train(samples))[1])
+    rows = quality.score(docs, quality.fit(docs, labels)).collect()
+    assert all((r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in rows)
+    good, bad = (b"".join(s).decode() for s in seen)
+    for side in (good, bad):
+        ids = [int(i) for i in re.findall(r"(\d+) same words", side)]
+        assert ids and side == "".join(map(text, ids))
+    assert max(len(t) for s in seen for t in s) <= 4000
+    monkeypatch.setattr(quality, "DICTIONARY_CHUNKS", 12)
+    seen.clear()
+    quality.fit(docs, labels)
+    assert [len(s) for s in seen] == [12, 12] and any(b"excellent" in t for t in seen[0]) and any(b"same words" in t for t in seen[0])
+
+
 def test_fits_do_not_depend_on_row_order(marked):
     docs, labels, remainder = marked
     some = labels.filter(remainder == 1)
