@@ -188,10 +188,26 @@ def apply_platt(df: DataFrame, a: float, b: float, score_col: str = "score", out
     return df.withColumn(out, 1.0 / (1.0 + F.exp(-(F.col(score_col) * a + b))))
 
 
+POOLED = 5_000
+
+
+def score_groups(df: DataFrame, score_col: str = "score", label: str = "label") -> DataFrame:
+    """Neighbouring scores in at most 2 × ``POOLED`` groups: (s, y, w), the mean score, the share of label 1 and the rows.  The edges are
+    exact quantiles of the rows and of the distinct scores, so up to ``POOLED`` distinct scores stay apart whatever lies between them."""
+    from ..functions.ordering import running_sum
+    each = (df.where(F.col(score_col).isNotNull()).groupBy(F.col(score_col).cast("double").alias("s"))
+            .agg(F.sum(F.col(label).cast("double")).alias("good"), F.count(label).alias("n"), F.lit(1).cast("bigint").alias("one")).where("n > 0"))
+    at = running_sum(each, "s", ["n", "one"], prefix="to_")
+    # the totals are the last running sums: one row
+    at = at.crossJoin(F.broadcast(at.agg(F.max("to_n").alias("rows"), F.max("to_one").alias("kinds"))))
+    cell = [F.floor((F.col(f"to_{c}") - F.col(c)) * F.lit(POOLED) / F.col(total)).alias(f"by_{c}") for c, total in (("n", "rows"), ("one", "kinds"))]
+    mean = F.when(F.min("s") == F.max("s"), F.min("s")).otherwise(F.sum(F.col("s") * F.col("n")) / F.sum("n"))
+    return at.groupBy(*cell).agg(mean.alias("s"), (F.sum("good") / F.sum("n")).alias("y"), F.sum("n").cast("double").alias("w")).select("s", "y", "w")
+
+
 def fit_isotonic(df: DataFrame, score_col: str = "score", label: str = "label"):
-    """Isotonic calibration (Spark ML, pool-adjacent-violators)."""
-    # one weighted row per score to 4 places, so that at most 10,001 rows are pooled at the driver
-    groups = df.groupBy(F.round(score_col, 4).alias("s")).agg(F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+    """Isotonic calibration (Spark ML, pool-adjacent-violators), one weighted row per group of ``score_groups`` at the driver."""
+    groups = score_groups(df, score_col, label)
     return IsotonicRegression(featuresCol="features", labelCol="y", weightCol="w", isotonic=True).fit(assemble(groups, ["s"]))
 
 

@@ -27,6 +27,20 @@ def test_platt_monotone(spark):
     assert out["calibrated"].is_monotonic_increasing
 
 
+def test_isotonic_resolution_follows_the_scores(spark, monkeypatch):
+    """Scores of a rare class, all below 1e-4: every distinct score is its own step; above the bound, groups stay bounded and even."""
+    from cohortlens.operators import train
+    rows = [(k * 1e-7, int(n < k)) for k in range(1, 21) for n in range(20)] + [(None, 1), (0.9, None)]
+    df = spark.createDataFrame(rows, "score double, label int").repartition(3)
+    out = train.apply_isotonic(train.fit_isotonic(df), df.where("score < 0.5")).select("score", "calibrated").distinct().collect()
+    assert {round(r["score"] * 1e7): round(r["calibrated"], 9) for r in out} == {k: k / 20 for k in range(1, 21)}
+    monkeypatch.setattr(train, "POOLED", 10)
+    hot = [(0.5, i % 2) for i in range(3000)] + [(i / 1000, i % 2) for i in range(1000) if i != 500]
+    groups = sorted(tuple(r) for r in train.score_groups(spark.createDataFrame(hot, "score double, label int").repartition(3)).collect())
+    assert len(groups) <= 20 and sum(w for _, _, w in groups) == len(hot)
+    assert max(w for _, _, w in groups if w < 3000) <= 101 and sum(w >= 3000 for _, _, w in groups) == 1
+
+
 def test_grid_search_covers_the_references_axes(spark, monkeypatch):
     from cohortlens.operators import train
     from cohortlens.plans import q_ml
