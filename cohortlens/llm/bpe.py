@@ -195,6 +195,17 @@ class Words:
         ranks = read_ranks(data)
         self.dtype = id_type(ranks)
         self.words = {i: w for w, i in ranks.items()}
+        self.sizes = np.zeros(1 + max(self.words, default=-1), np.int64)
+        for i, w in self.words.items():
+            self.sizes[i] = len(w)
+
+    def check(self, ids: bytes | None, offsets: np.ndarray) -> None:
+        """Refuse piece offsets that are not ascending, from 0 on, at first bytes of tokens."""
+        sizes = self.sizes[np.frombuffer(ids or b"", self.dtype)]
+        starts = np.cumsum(sizes) - sizes
+        right = len(offsets) <= len(starts) and starts[:1].tolist() == offsets[:1].tolist() and (np.diff(offsets) > 0).all()
+        if not right or not np.array_equal(starts[np.minimum(np.searchsorted(starts, offsets), max(len(starts) - 1, 0))], offsets):
+            raise ValueError("piece offsets do not fit the ids")
 
     def decode(self, ids: bytes | None) -> bytes:
         return b"".join(map(self.words.__getitem__, np.frombuffer(ids or b"", self.dtype).tolist()))
@@ -424,8 +435,9 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False)
     return df.select(utf8(text).alias("__text"), *keep).mapInArrow(tidy(run), schema)
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """Add ``into``: the bytes of the packed ids; null ids give no bytes."""
+def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded", offsets: str | None = None) -> DataFrame:
+    """Add ``into``: the bytes of the packed ids; null ids give no bytes.  With ``offsets``, the column of the pieces' first bytes, these
+    must stand at first bytes of tokens in what is decoded (null offsets are not checked)."""
     small_batches(df.sparkSession)
     shared = SharedRanks(df.sparkSession, path)
     keep = [c for c in df.columns if c != into]
@@ -436,6 +448,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
         words = shared.table(Words)
         for whole in batches:
             for batch in text_slices(whole, at, SLICE_BYTES):
+                if offsets:
+                    column = batch.column(keep.index(offsets))
+                    cuts, values = column.offsets.to_numpy(), column.values.to_numpy()
+                    for i, packed in enumerate(batch.column(at).to_pylist()):
+                        if column[i].is_valid:
+                            words.check(packed, values[cuts[i]:cuts[i + 1]])
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(map(words.decode, batch.column(at).to_pylist()), pa.binary())], [*keep, into])
 

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -66,3 +67,25 @@ def test_awkward_rows_round_trip(awkward, library):
 
 def test_empty_table(empty):
     assert bpe.decode(bpe.encode(empty, PATH), PATH).collect() == []
+
+
+def test_op1_keeps_offsets_and_decoding_checks_them(spark):
+    from cohortlens.llm.queries import QUERIES
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    for r in QUERIES["op1_byte_bpe"](spark, "/root/testdata/sf0.001").collect():
+        raw, at = docs[r["doc_id"]].encode(), r["piece_offsets"]
+        pieces = [raw[a:b].decode() for a, b in zip(at, at[1:] + [len(raw)])]
+        assert pieces == regex.findall(public_tokenizers.PATTERN, docs[r["doc_id"]])
+    with open(PATH, "rb") as f:
+        words = bpe.Words(f.read())
+    df = spark.createDataFrame([(1, "one two three"), (2, ""), (3, None)], "doc_id long, text string")
+    rows = bpe.encode(df, PATH, offsets=True).collect()
+    for r in rows:
+        words.check(bytes(r["ids"]), np.array(r["piece_offsets"], np.int64))
+    ids = bytes(rows[0]["ids"])
+    for wrong in ([], [1, 3], [0, 1], [0, 3, 3], [0, 7, 3], [0, 3, 13], [0, 3, 99]):
+        with pytest.raises(ValueError):
+            words.check(ids, np.array(wrong, np.int64))
+    with pytest.raises(Exception, match="piece offsets do not fit"):
+        bad = bpe.encode(df, PATH, offsets=True).withColumn("piece_offsets", F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))
+        bpe.decode(bad, PATH, offsets="piece_offsets").collect()
