@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import ensure_checkpoint_dir
 
-from . import bpe, decontam, maxscore, ngram_join, packing, quality, sharding, suffix_dedup, toxicity, urlfilter
+from . import (bpe, conversation_repair, decontam, divergence, maxscore, ngram_join, packing, quality, quality_rules, sharding, suffix_dedup, toxicity,
+               urlfilter)
 from .common import read_table
 
 QUERIES: dict = {}
@@ -221,3 +222,122 @@ def op6_suffix_dedup(spark, sf_dir):
     done = suffix_dedup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", (F.length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed",
                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op11_quality_rules(spark, sf_dir):
+    """Counted rules and the n-gram model's verdict on every whole text."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.judge(docs, quality_rules.fit(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality")))
+
+
+def _op12_sql() -> str:
+    def best(options):
+        return "list_sort([x FOR x IN [" + ", ".join(options) + "] IF x IS NOT NULL])[1]"
+
+    # cost, audit and repaired rows from a row on, for each state; the least of cost and audit is the least tuple
+    def then(cost, letter, row, rest):
+        return (f"CASE WHEN {rest} IS NOT NULL THEN {{'c': {rest}.c + {cost}, 'a': '{letter}' || {rest}.a, "
+                f"'o': {f'list_prepend({row}, {rest}.o)' if row else f'{rest}.o'}}} END")
+
+    stays, more = "r.fault IN (0, 3)", "CASE WHEN r.fault = 3 THEN 5 ELSE 0 END"
+    own = "r.role || ':' || r.text"
+
+    def edits(state):  # of one row, without insertions before it
+        follow = {"n": "u", "s": "u", "u": "a", "a": "u"}[state]
+        name = {"u": "user", "a": "assistant"}[follow]
+        keeps = {"n": (("s", "s"), ("u", "u")), "s": (("u", "u"),), "u": (("a", "a"),), "a": (("u", "u"),)}[state]
+        out = [then("2", "D", None, f"b.{state}")]
+        out += [f"CASE WHEN {stays} AND left(r.role, 1) = '{i}' THEN {then(more, 'K', own, f'b.{to}')} END" for i, to in keeps]
+        out.append(f"CASE WHEN {stays} THEN {then(f'(1 + {more})', 'R', f"'{name}:' || r.text", f'b.{follow}')} END")
+        return best(out)
+
+    def inserted(state, table):  # up to two insertions before the row
+        u, a = f"{table}.u", f"{table}.a"
+        once = {"n": (u, "user"), "s": (u, "user"), "u": (a, "assistant"), "a": (u, "user")}[state]
+        twice = a if once[0] == u else u
+        second = "assistant" if once[1] == "user" else "user"
+        return best([f"{table}.{state}", then("5", "I", f"'{once[1]}:'", once[0]),
+                     then("10", "II", None, twice).replace("'o': " + f"{twice}.o", f"'o': list_concat(['{once[1]}:', '{second}:'], {twice}.o)")])
+
+    states = "nsua"
+    return r"""
+WITH RECURSIVE bits AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS k
+  FROM conversations),
+dealt AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), k), lambda c, x: xor(c >> 8, bits.t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM keyed, bits),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM dealt WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM damaged),
+r AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2
+                 WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM placed),
+sizes AS (SELECT conv_id, max(pos) AS n FROM r GROUP BY conv_id),
+""" + ("tail AS (SELECT conv_id, n + 1 AS pos, {'c': 0, 'a': '', 'o': CAST([] AS VARCHAR[])} AS n, {'c': 10, 'a': 'II', 'o': ['user:', 'assistant:']} AS s, "
+           "{'c': 5, 'a': 'I', 'o': ['assistant:']} AS u, {'c': 0, 'a': '', 'o': CAST([] AS VARCHAR[])} AS a FROM sizes), "
+           "back AS (SELECT * FROM tail UNION ALL SELECT e.conv_id, e.pos, " + ", ".join(f"{inserted(q, 'e')} AS {q}" for q in states)
+           + " FROM (SELECT b.conv_id, r.pos, " + ", ".join(f"{edits(q)} AS {q}" for q in states)
+           + " FROM back b JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.pos = b.pos - 1) e),") + """
+told AS (SELECT conv_id, n.c AS cost, n.a AS audit, n.o AS o FROM back WHERE pos = 1),
+steps AS (SELECT *, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM r),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM steps GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(o, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
+@query(_op12_sql())
+def op12_conversation_repair(spark, sf_dir):
+    """Every conversation damaged by its rows' crc32, then repaired at least cost."""
+    rows = read_table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(rows, conversation_repair.damage(rows))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w,
+         row_number() OVER () AS row FROM documents),
+k AS (SELECT lang, term FROM (SELECT lang, row, unnest(list_distinct(w)) AS term FROM d) a GROUP BY lang, term HAVING count(*) >= 30),
+v AS (SELECT g.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM d) g LEFT JOIN k ON k.lang = g.lang GROUP BY g.lang),
+c AS (SELECT o.lang, source, o.term, count(*) AS c FROM (SELECT lang, source, unnest(w) AS term FROM d) o JOIN k ON k.lang = o.lang AND k.term = o.term GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (
+  SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 5)) // (n.n + 5 * v.v) AS p
+  FROM n JOIN v ON v.lang = n.lang JOIN k ON k.lang = n.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+q AS (
+  SELECT k.lang, k.term, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(l.c, 0) + 5)) // (t.n + 5 * v.v) AS q
+  FROM k JOIN v ON v.lang = k.lang JOIN (SELECT lang, sum(n) AS n FROM n GROUP BY lang) t ON t.lang = k.lang
+  LEFT JOIN (SELECT lang, term, sum(c) AS c FROM c GROUP BY ALL) l ON l.lang = k.lang AND l.term = k.term),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(max(s.f), 0) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source
+             GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source GROUP BY ALL),
+term AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q.q AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.c > 0 AND p.p > q.q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) u) r
+WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query(OP13_SQL)
+def op13_source_divergence(spark, sf_dir):
+    """Differences between the sources of each language, and the terms that set a source apart."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
