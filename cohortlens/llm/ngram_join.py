@@ -7,12 +7,14 @@ R-tree over vectors the same holds for a query and the coordinate maxima of a no
 Where the join runs.  Texts with equal sets are one class from the start.  A class meets others in buckets: one for each of
 b pairs of minimum hashes, b chosen so that two sets at the threshold share no bucket with probability at most ``MISS``.
 
-1. Buckets are dealt into chunks of about ``CHUNK`` classes; each chunk is joined through its tree, with the sets at hand, and only a
-   spanning forest of its links leaves.  Two independent dealings connect a group of near copies, however large.
-2. Buckets that still hold different components are joined completely: cells of two chunks of about ``CELL`` classes, tree by tree, leaving out pairs already
-   in one component and pairs that met in an earlier bucket.  Surviving pairs are verified.
+1. The first buckets are dealt into chunks of about ``CHUNK`` classes; each chunk is joined through its tree, with the sets at hand, and only a
+   spanning forest of its links leaves.  Two independent dealings connect a group of near copies, however large, before any complete comparison.
+2. Buckets that still hold different components are joined completely, the first ones, then, after new components, the rest: cells of two chunks of about
+   ``CELL`` units of ``UNIT`` shingles, tree by tree, leaving out pairs already in one component and pairs that met in an earlier bucket.  What
+   the bound lets through is verified in the cell, where the sets are at hand; again only spanning links leave.
 
-So no task holds a bucket, no group is spelled out as pairs, and no link between different components is left out.
+So no task holds a bucket, no pair leaves a task unless it joins two components there, and no link between different components is left out.  A row
+travels once for every chunk that its chunk has to meet: a large bucket of texts that are near but unlinked costs its size times its size in chunks.
 
 Defined cases: texts without words have the empty set and link with nothing; a text of fewer words is one shingle; a row
 with a null id takes the name of its class's smallest id, if there is one; rows are told apart by their sets, and classes with one smallest id are one node.
@@ -34,7 +36,8 @@ from .components import components
 
 MISS = 1e-12
 CHUNK = 48
-CELL = 512
+CELL = 2048
+UNIT = 256
 MOST_BITS = 26
 FIRST_BUCKETS = 2
 COARSE = 64
@@ -309,12 +312,12 @@ def _join_chunks(rows: DataFrame, threshold: Threshold) -> DataFrame:
     return rows.mapInArrow(tidy(lambda batches: _edge_batches(links(batches))), "a long, b long")
 
 
-def _cross_pairs(rows: DataFrame, threshold: Threshold) -> DataFrame:
-    """Pairs of different components that the bound allows, in cells (key, i, j) of two chunks of a bucket."""
-    def pairs(batches):
+def _join_cells(rows: DataFrame, threshold: Threshold) -> DataFrame:
+    """Links between different components, a spanning forest of those in each cell (key, i, j) of two chunks of a bucket."""
+    def links(batches):
         for (_, i, j), rows in _groups(batches, 3):
-            points = [(r["chunk"], Point(r["rep"], r["n"], r["vector"], r["component"], np.array(r["keys"][:rows[0]["band"]]))) for r in rows]
-            tree = CountTree([p for c, p in points if c == j], threshold)
+            points = [(r["chunk"], Point(r["rep"], r["n"], r["vector"], r["component"], np.array(r["keys"][:rows[0]["band"]]), r["shingles"])) for r in rows]
+            tree, forest = CountTree([p for c, p in points if c == j], threshold), Forest()
             reps, components = np.array([p.rep for p in tree.points]), np.array([p.component for p in tree.points])
             keys = np.array([p.keys for p in tree.points])
             for c, q in points:
@@ -326,10 +329,12 @@ def _cross_pairs(rows: DataFrame, threshold: Threshold) -> DataFrame:
                 if len(q.keys) and len(keys):
                     allowed &= ~(keys == q.keys).any(axis=1)  # those met in an earlier bucket
                 if allowed.any():
-                    for rep in reps[tree.near(q, allowed)].tolist():
-                        yield min(rep, q.rep), max(rep, q.rep)
+                    for p in (tree.points[k] for k in tree.near(q, allowed).tolist()):
+                        if forest.root(p.component) != forest.root(q.component) and threshold.linked(p.shingles, q.shingles):
+                            forest.join(p.component, q.component)
+                            yield p.component, q.component
 
-    return rows.mapInArrow(tidy(lambda batches: _edge_batches(pairs(batches))), "a long, b long")
+    return rows.mapInArrow(tidy(lambda batches: _edge_batches(links(batches))), "a long, b long")
 
 
 def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
@@ -340,10 +345,10 @@ def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
 def _cells(placed: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components, once for every cell (i, j) they take part in.
 
-    Components of at most ``CELL`` rows of a bucket share chunks; a larger one has chunks of its own, which meet all others but
-    never one another.  So a bucket that is one large component and little else costs its size, not its square.
+    A row weighs one unit for every ``UNIT`` shingles begun, so that a cell is bounded in bytes.  Components of at most ``CELL`` units of a bucket
+    share chunks; a larger one has chunks of its own, which meet all others but never one another.  So a bucket that is one large component and little else costs its size, not its square.
     """
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    sizes = placed.groupBy("key", "component").agg(F.sum(F.ceil(F.col("n") / UNIT)).alias("c"))
     large = F.col("c") > CELL
     buckets = (sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.when(large, 0).otherwise(F.col("c"))).alias("small"),
                                         F.collect_list(F.when(large, F.struct("component", F.ceil(F.col("c") / CELL).alias("parts")))).alias("large"))
@@ -371,9 +376,9 @@ def join(docs: DataFrame, k: int = 4, share: tuple[int, int] = (85, 100), row_id
     sketch = shared_table(_sketch(docs, row_id, text, k, bands), "shingle-sketch")
     classes = shared_table(sketch.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
                            .filter("rep is not null"), "shingle-classes")
-    keyed = classes.select("rep", "digest", "keys", F.posexplode("keys").alias("band", "key"))
+    keyed = classes.select("rep", "digest", "n", "keys", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key", "m")
-    met = shared_table(keyed.join(shared, "key").select("key", "band", "rep", "digest", "m"), "shingle-met")
+    met = shared_table(keyed.join(shared, "key").select("key", "band", "rep", "digest", "n", "m"), "shingle-met")
     wanted = Filter(met.select("rep").distinct(), "rep")
     sets = _sets(docs.select(F.col(row_id).cast("long").alias("id"), utf8(text).alias("body")), k, wanted)
     # one row per class; of what the filter lets through in error nothing has a class in a bucket
@@ -381,38 +386,23 @@ def join(docs: DataFrame, k: int = 4, share: tuple[int, int] = (85, 100), row_id
     sets = shared_table(sets.join(met.select("digest").distinct(), "digest", "left_semi"), "shingle-sets")
 
     first = met.filter(F.col("band") < FIRST_BUCKETS).withColumn("salt", F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("m") / CHUNK)))
-    chunks = _dealt(first.join(sets, "digest").select("key", "salt", "rep", "n", "vector", "shingles"), "key", "salt")
+    chunks = _dealt(first.drop("n").join(sets, "digest").select("key", "salt", "rep", "n", "vector", "shingles"), "key", "salt")
     edges = shared_table(_join_chunks(chunks, threshold), "shingle-links")
     named = components(edges)
 
-    placed = met.join(named, met["rep"] == named["node"], "left").withColumn("component", F.coalesce("component", "rep"))
-    rest = _cells(placed)
-    slim = sets.select("digest", "n", "vector").join(classes.select("digest", "keys"), "digest")
-    cells = _dealt(rest.join(slim, "digest").select("key", "i", "j", "chunk", "band", "rep", "component", "n", "vector", "keys"), "key", "i", "j")
-    pairs = shared_table(_cross_pairs(cells, threshold).distinct(), "shingle-pairs")
-    more = _verified(pairs, classes, sets, threshold)
-    named = components(edges.union(more))
+    slim = sets.join(classes.select("digest", "keys"), "digest")
+    for own in (F.col("band") < FIRST_BUCKETS, F.col("band") >= FIRST_BUCKETS):
+        part = met.filter(own)
+        placed = part.join(named, part["rep"] == named["node"], "left").withColumn("component", F.coalesce("component", "rep"))
+        cells = _dealt(_cells(placed).join(slim, "digest").select("key", "i", "j", "chunk", "band", "rep", "component", "n", "vector", "keys", "shingles"), "key", "i", "j")
+        edges = edges.union(shared_table(_join_cells(cells, threshold), "shingle-links"))
+        named = components(edges)
 
     found = (sketch.select("id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")
              .join(named, F.col("rep") == F.col("node"), "left"))
     return found.select(F.col("id").alias(row_id), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """The pairs whose sets link."""
-    own = classes.select("rep", "digest").join(sets.select("digest", "shingles"), "digest").select("rep", "shingles")
-
-    def run(batches):
-        for batch in batches:
-            keep = [threshold.linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))
-                    for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=EDGES).filter(pa.array(keep, pa.bool_()))
-
-    left = own.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    right = own.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
-
-
 def one_of_each(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100), row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without those that link, directly or not, with a document of smaller id.
 

@@ -131,3 +131,44 @@ def test_one_document_of_each_group_stays(awkward, empty):
     assert sorted(i for i in ids if i is not None) == sorted(i for i in first if i is not None)
     assert ids.count(None) == sum(own is None for own, _ in rows)
     assert ngram_join.one_of_each(empty).count() == 0
+
+
+def test_only_spanning_links_leave_a_task(spark, monkeypatch):
+    """A large group of texts that are near, mostly unlinked: what leaves the tasks grows with its size, not with its square."""
+    made = {}
+    written = ngram_join.shared_table
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "shingle-links":
+            made["links"] = made.get("links", 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "shared_table", counted)
+    left = {}
+    for n in (150, 450):
+        r = random.Random(4)
+        base = [f"q{i}" for i in range(300)]
+        texts = []
+        for i in range(n):
+            text = list(base)
+            for _ in range(5):
+                text[r.randrange(300)] = f"own{r.randrange(10 ** 6)}"
+            texts.append(" ".join(text))
+        made.clear()
+        rows = list(enumerate(texts))
+        assert joined(spark.createDataFrame(rows, "doc_id long, text string"), k=5, share=(80, 100)) == brute(rows, 5, 80, 100)
+        left[n] = made["links"]
+    assert left[450] <= 3 * left[150] + 450 and left[450] < 4 * 450
+
+
+def test_chance_to_miss_a_bucket_is_as_computed():
+    """Pairs at the threshold, few bands: the share without a common bucket is the one that the number of bands is computed from."""
+    r = np.random.default_rng(3)
+    bands, missed, pairs = 3, 0, 1500
+    for _ in range(pairs):
+        both, own = r.integers(0, 1 << 64, 160, np.uint64), r.integers(0, 1 << 64, 40, np.uint64)  # Jaccard 0.8
+        a, b = np.unique(np.concatenate([both, own[:20]])), np.unique(np.concatenate([both, own[20:]]))
+        missed += not (ngram_join.bucket_keys(a, bands) == ngram_join.bucket_keys(b, bands)).any()
+    want = (1 - 0.8 ** 2) ** bands
+    assert abs(missed / pairs - want) < 4 * (want * (1 - want) / pairs) ** 0.5
