@@ -35,7 +35,8 @@ BLOCK = 100_000
 ROUND_BYTES = 64 << 20
 TERMS = 4096
 SOURCES = 128
-HELD = 400_000
+HELD = 400_000      # terms with their counts that a task holds
+SUMMED = 2_000_000  # ordinals with their counts, as arrays
 SLICE_BYTES = 2 << 20
 SCALE_STEPS, STEP = 3, 1000  # 10**9 in steps whose products stay within 64 bits
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -208,8 +209,15 @@ def _recount(shared):
 
     def run(batches):
         vocabulary = Vocabulary(shared.value)
-        sums: dict[tuple, list] = {}
-        held = 0
+        counts: dict[tuple, Counter] = {}  # terms not looked up yet
+        sums: dict[tuple, list] = {}       # ordinals and counts
+
+        def look_up():
+            for key, of_group in counts.items():
+                found = vocabulary.look_up(key[0], of_group)
+                if len(found[0]):
+                    sums.setdefault(key, []).append(found)
+            counts.clear()
 
         def summed(parts):
             o, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -229,21 +237,14 @@ def _recount(shared):
 
         for whole in batches:
             for batch in text_slices(whole, 2, SLICE_BYTES):
-                counts: dict[tuple, Counter] = {}
                 for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
                     if lang in vocabulary.of:
                         counts.setdefault((lang, source), Counter()).update(terms_of(text))
-                for key, of_group in counts.items():
-                    found = vocabulary.look_up(key[0], of_group)
-                    if len(found[0]):
-                        sums.setdefault(key, []).append(found)
-                        held += len(found[0])
-            if held > HELD:
-                sums = {key: [summed(parts)] for key, parts in sums.items()}
-                held = sum(len(p[0][0]) for p in sums.values())
-                if held > HELD // 2:
-                    yield from flush()
-                    held = 0
+                if sum(map(len, counts.values())) > HELD // 2:
+                    look_up()
+                    if sum(len(p[0]) for parts in sums.values() for p in parts) > SUMMED:
+                        yield from flush()
+        look_up()
         yield from flush()
     return run
 
