@@ -143,8 +143,10 @@ def _sparse(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())),
                                                   pa.array([v[a] for v, a in zip(values, at)], pa.list_(pa.float64()))], ["y", "at", "v"])
 
-    vector = F.udf(lambda at, v: Vectors.sparse(2 * BUCKETS, at, v), VectorUDT())
-    return rows.select("__body", "y").mapInArrow(tidy(run), "y int, at array<int>, v array<double>").select(F.col("y").cast("double").alias("label"), vector("at", "v").alias("features"))
+    vector = F.udf(lambda at, v: Vectors.sparse(2 * BUCKETS, at, v), VectorUDT())  # of the sample's rows only
+    # written in between, so that no task has two Python workers at once
+    hashed = shared_table(rows.select("__body", "y").mapInArrow(tidy(run), "y int, at array<int>, v array<double>"), "quality-hashed")
+    return hashed.select(F.col("y").cast("double").alias("label"), vector("at", "v").alias("features"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str = "text", label: str = "quality") -> dict:
