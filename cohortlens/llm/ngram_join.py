@@ -377,7 +377,10 @@ def join(docs: DataFrame, k: int = 4, share: tuple[int, int] = (85, 100), row_id
     classes = shared_table(sketch.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
                            .filter("rep is not null"), "shingle-classes")
     keyed = classes.select("rep", "digest", "n", "keys", F.posexplode("keys").alias("band", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key", "m")
+    # of buckets that hold the same classes, recognised by their number and 128 bits, the first says it all
+    buckets = (keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.min("band").alias("first"),
+                                        *[F.bit_xor(F.xxhash64("digest", F.lit(i))).alias(f"x{i}") for i in (1, 2)]).filter("low < high"))
+    shared = buckets.groupBy("m", "x1", "x2").agg(F.min(F.struct("first", "key")).alias("b")).select("b.key", "m")
     met = shared_table(keyed.join(shared, "key").select("key", "band", "rep", "digest", "n", "m"), "shingle-met")
     wanted = Filter(met.select("rep").distinct(), "rep")
     sets = _sets(docs.select(F.col(row_id).cast("long").alias("id"), utf8(text).alias("body")), k, wanted)
