@@ -35,11 +35,11 @@ FRESH, LETTERS, DIGITS, OTHERS, SPACE, BLANKS, TAKE1, TAKE2 = range(8)
 # last of its run, with something behind it; STOP: between two texts
 LETTER, DIGIT, OTHER, CONTR2, CONTR3, BLANK, LAST_SPACE, LAST_BLANK, STOP = range(9)
 BLOCK = 512
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 CACHE_ENTRIES = 200_000
 CACHED_PIECE = 64
 LONG_PIECE = 96
-MERGED_AT_ONCE = 8192
+MERGED_AT_ONCE = 4096
 WIDTHS = [-(-n // 5) if n <= 20 else n.bit_length() + 5 for n in range(LONG_PIECE + 1)]
 FAR = 1 << 60
 EMPTY = np.uint64((1 << 64) - 1)
