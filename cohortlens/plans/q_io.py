@@ -10,7 +10,7 @@ from ..operators.explain import global_importance
 from ..operators.split import split_sql_expr, train_test_split
 from ..session import scratch_path
 from ..sources import files as FI
-from ..streaming.feedback_stream import daily_concordance, start_feedback_stream
+from ..streaming.feedback_stream import day_table, start_concordance_stream
 from ..streaming.score_stream import start_scoring_stream
 from . import fixtures as FX
 from .registry import register
@@ -163,6 +163,56 @@ def _r1_sql():
 register("r1_scoring_stream_equals_batch", _r1_sql(), doubles=["probability"], family="streaming")(_q_r1)
 
 
+def logistic_expr(model, fills):
+    """The serving pipeline's score written out from its numbers: fill, scale, coefficients, Platt's line."""
+    learner, calibration = model.stages[2], model.stages[3] if len(model.stages) > 3 else None
+    z = F.lit(float(learner.intercept))
+    for k, c in enumerate(FX.MODEL_FEATURES):
+        m, sd = fills[c][1], fills[c][2]
+        z = z + (F.coalesce(F.col(c).cast("double"), F.lit(fills[c][0])) - m) / sd * float(learner.coefficients[k])
+    p = 1.0 / (1.0 + F.exp(-z))
+    if calibration is None:
+        return p
+    return 1.0 / (1.0 + F.exp(-(p * calibration.getOrDefault("slope") + calibration.getOrDefault("offset"))))
+
+
+def _q_r1_model(s, d):
+    """Two waves of encounters; a calibrated model is saved between them, so the first wave has the standard one's scores and the second the
+    calibrated one's.  ``n_off`` counts rows that differ from the score written out from the model's numbers."""
+    import datetime as dt
+
+    from ..operators.calibrated import medians, serving_pipeline
+    from ..operators.encode import fit_standard
+    from ..session import written
+    from ..sources.registry import save_model
+    from ..streaming.model_stream import scored_rows, start_model_stream
+    root, src, sink, ck = (scratch_path(s, f"r1m-{n}") for n in ("models", "src", "sink", "ckpt"))
+    feats = FX.MODEL_FEATURES
+    rows = written(FX.scored_encounters(s, d).select("encounter_id", *feats, F.col("appendicitis").alias("label")), "arrivals")
+    split = train_test_split(rows, "encounter_id", 0.2)
+    tr, hold = written(split.where("split = 'train'"), "fit-rows"), split.where("split = 'test'")
+    fills = medians(tr, feats)
+    params = fit_standard(tr.select(*[F.coalesce(F.col(c).cast("double"), F.lit(fills[c])).alias(c) for c in feats]), feats)
+    numbers = {c: (fills[c], float(params[c][0]), float(params[c][1] or 1.0)) for c in feats}
+    made = {}
+    for wave, (name, calibrate) in enumerate([("standard_lr", None), ("calibrated_lr", hold)]):
+        made[name] = serving_pipeline(tr, feats, "logistic", "label", fills, calibrate, n_rows=1000)
+        save_model(s, made[name], root, name, "logistic", {}, dt.datetime(2024, 1, 1) + dt.timedelta(days=wave), calibrated=calibrate is not None)
+        rows.where(F.col("encounter_id") % 2 == wave).write.mode("append").parquet(src)
+        start_model_stream(s, src, rows.schema, root, sink, ck, keep=["encounter_id", *feats]).awaitTermination()
+    out = scored_rows(s, sink)
+    want = F.coalesce(*[F.when(F.col("model") == n, logistic_expr(m, numbers)) for n, m in made.items()])
+    return (out.groupBy(F.col("batch").cast("int").alias("batch"), "model", "version")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("encounter_id") % 2 != F.col("batch")).alias("n_other_wave"),
+                 F.count_if(F.abs(F.col("score") - want) > 1e-9).alias("n_off"), F.count_if(F.col("score").isNull()).alias("n_unscored")))
+
+
+register("r1_model_stream_registry_version",
+         ENC + "SELECT CAST(encounter_id % 2 AS INTEGER) AS batch, CASE encounter_id % 2 WHEN 0 THEN 'standard_lr' ELSE 'calibrated_lr' END AS model, "
+         "CASE encounter_id % 2 WHEN 0 THEN '20240101_000000' ELSE '20240102_000000' END AS version, count(*) AS n_rows, 0 AS n_other_wave, 0 AS n_off, "
+         "0 AS n_unscored FROM encounters GROUP BY 1, 2, 3", family="streaming")(_q_r1_model)
+
+
 def _q_r2(s, d):
     """Reports arrive in two rounds; every seventh comes again with another diagnosis, some a month late."""
     src, sink, ck = scratch_path(s, "r2-src"), scratch_path(s, "r2-sink"), scratch_path(s, "r2-ckpt")
@@ -172,8 +222,8 @@ def _q_r2(s, d):
     again = again.withColumn("actual_diagnosis", F.lit("appendicite")).withColumn("timestamp", F.date_format(late, "yyyy-MM-dd HH:mm:ss"))
     for part in (rec, again):
         part.write.mode("append").json(src)
-        start_feedback_stream(s, src, FI.FEEDBACK_SCHEMA, sink, ck, multi_line=False).awaitTermination()
-    return daily_concordance(s.read.parquet(sink))
+        start_concordance_stream(s, src, FI.FEEDBACK_SCHEMA, sink, ck, multi_line=False).awaitTermination()
+    return day_table(s, sink)
 
 
 def _r2_sql():

@@ -22,6 +22,12 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def save_model(spark: SparkSession, model, root: str, name: str, kind: str, metrics: dict, created_at,
                calibrated: bool = False) -> DataFrame:
     """Write the model and append one registry row."""

@@ -1,30 +1,96 @@
-"""R2: feedback JSON files as they land; concordance per day.
+"""R2: feedback JSON files as they land; concordance per day, kept up to date.
 
-The stream appends every report version to a table with its arrival time (exactly once, no watermark: no report is too late).
-``daily_concordance`` reads the table: of several versions of a report the last one counts, as a saved file is
-overwritten, and every day with reports is there, open or closed.
+Of several versions of a report the last one counts, as a saved file is overwritten.  The stream is keyed by report and holds its last version as state.
+A newer version takes back what the report counted for and counts anew: one row of -1 and one of +1 per (day, concordance).  Each
+batch folds these per day and writes them under its own number, so a batch that runs again overwrites itself.  A batch costs what arrived in it: no
+history is read again, and no report is too late.
+
+``daily_concordance`` states the same over all versions at once; the tests hold the stream against it.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.feedback import concordance_label
+from ..session import scratch_path
+
+VERSION = ("event_time", "arrived", "prediction_class", "actual_diagnosis")
+STATE = "event_us long, arrived_us long, prediction_class string, actual_diagnosis string, day string, concordance string"
+CHANGE = "day string, concordance string, change int"
+BEFORE_ALL = -(1 << 62)
 
 
 def daily_concordance(reports: DataFrame) -> DataFrame:
     """(day, concordance, n) over the last version of every report."""
-    version = F.struct("event_time", "arrived", "prediction_class", "actual_diagnosis")
-    last = reports.groupBy("report_id").agg(F.max(version).alias("v")).select("report_id", "v.*")
+    last = reports.groupBy("report_id").agg(F.max(F.struct(*VERSION)).alias("v")).select("report_id", "v.*")
     return (last.groupBy(F.date_format("event_time", "yyyy-MM-dd").alias("day"), concordance_label().alias("concordance"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def start_feedback_stream(spark, source_dir: str, schema, sink_dir: str, checkpoint_dir: str, multi_line: bool = True):
-    """One file per report, indented, as the entry form saves them (``multi_line``), or one report a line."""
+def _versions(spark, source_dir: str, schema, multi_line: bool) -> DataFrame:
+    """Every report version with its arrival time; files hold one indented report each (``multi_line``), or one a line."""
     raw = (spark.readStream.schema(schema).option("multiLine", multi_line).option("recursiveFileLookup", True).json(source_dir)
            .select("*", F.col("_metadata.file_modification_time").alias("arrived")))
-    out = raw.withColumn("event_time", F.to_timestamp("timestamp"))
-    return (out.writeStream.outputMode("append").format("parquet").option("path", sink_dir)
+    return raw.withColumn("event_time", F.try_to_timestamp("timestamp"))
+
+
+def _latest(key, frames, state):
+    """The changes that a report's new versions bring about; the state is its last version."""
+    held = state.get if state.exists else None
+    last = held
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            version = (int(row.event_us), int(row.arrived_us), row.prediction_class, row.actual_diagnosis, row.day if isinstance(row.day, str) else None, row.concordance)
+            if last is None or version[:4] > tuple(last[:4]):
+                last = version
+    out = []
+    if last is not held:
+        state.update(last)
+        if held is None or tuple(held[4:]) != tuple(last[4:]):
+            out = ([] if held is None else [(held[4], held[5], -1)]) + [(last[4], last[5], 1)]
+    yield pd.DataFrame(out, columns=["day", "concordance", "change"]).astype({"day": object, "concordance": object, "change": "int32"})
+
+
+def changes(versions: DataFrame) -> DataFrame:
+    """Per report, what its versions take back and add.  Rows without a report id (unreadable records) are no reports."""
+    def micros(c):
+        return F.coalesce(F.unix_micros(c), F.lit(BEFORE_ALL))
+
+    rows = versions.where(F.col("report_id").isNotNull()).select(
+        "report_id", micros("event_time").alias("event_us"), micros("arrived").alias("arrived_us"), F.coalesce("prediction_class", F.lit("")).alias("prediction_class"),
+        F.coalesce("actual_diagnosis", F.lit("")).alias("actual_diagnosis"), F.date_format("event_time", "yyyy-MM-dd").alias("day"),
+        concordance_label().alias("concordance"))
+    return rows.groupBy("report_id").applyInPandasWithState(_latest, CHANGE, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def start_concordance_stream(spark, source_dir: str, schema, sink_dir: str, checkpoint_dir: str, multi_line: bool = True):
+    """Read what has arrived, keep the last version of each report as state, and write the batch's changes per day."""
+    def fold(batch: DataFrame, number: int):
+        folded = batch.groupBy("day", "concordance").agg(F.sum("change").alias("change")).where("change <> 0")
+        folded.write.mode("overwrite").parquet(f"{sink_dir}/batch={number}")
+
+    return (changes(_versions(spark, source_dir, schema, multi_line)).writeStream.outputMode("append").foreachBatch(fold)
+            .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+
+
+def day_table(spark, sink_dir: str) -> DataFrame:
+    """(day, concordance, n) from the batches' folded changes: a few rows per touched day and batch."""
+    folded = spark.read.schema(CHANGE.replace("change int", "change long")).option("basePath", sink_dir).parquet(f"{sink_dir}/batch=*")
+    return folded.groupBy("day", "concordance").agg(F.sum("change").alias("n")).where("n <> 0")
+
+
+def compact(spark, sink_dir: str) -> str:
+    """Fold all batches so far into a new folder that ``day_table`` reads, for a sink of very many batches; returns it."""
+    target = scratch_path(spark, "days")
+    day_table(spark, sink_dir).withColumnRenamed("n", "change").write.parquet(f"{target}/batch=0")
+    return target
+
+
+def start_feedback_stream(spark, source_dir: str, schema, sink_dir: str, checkpoint_dir: str, multi_line: bool = True):
+    """The archive: every report version appended to a table."""
+    return (_versions(spark, source_dir, schema, multi_line).writeStream.outputMode("append").format("parquet").option("path", sink_dir)
             .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
