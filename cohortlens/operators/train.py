@@ -154,16 +154,30 @@ def cross_validate(df: DataFrame, features: list[str], kind: str, label: str = "
 
 def grid_search(df: DataFrame, features: list[str], kind: str, grid: list[dict], label: str = "label", k: int = 5,
                 parallelism: int = 4, scoring: str = "auc", **fixed) -> list:
-    """M6: grid × folds, candidates evaluated concurrently (driver threads
-    submitting Spark jobs, as ``CrossValidator(parallelism=…)``); returns
-    [(params, mean_auc, std_auc)] best first."""
+    """M6: grid × folds, evaluated concurrently (driver threads submitting Spark jobs, as ``CrossValidator(parallelism=…)``); returns
+    [(params, mean_auc, std_auc)] best first.  Boosting and forests are fitted once for all rounds, sizes and depths
+    (``staged``); every other candidate is fitted by itself."""
     from concurrent.futures import ThreadPoolExecutor
 
-    def one(params):
-        cv = cross_validate(df, features, kind, label, k=k, scoring=scoring, **params, **fixed)
-        return params, cv["mean_auc"], cv["std_auc"]
-    with ThreadPoolExecutor(parallelism) as ex:
-        res = list(ex.map(one, grid))
+    from . import staged
+    if scoring == "auc" and any(a in p for p in grid for a in staged.NESTED.get(kind, ())):
+        def fit(rows, params):
+            return fit_model(rows, features, kind, label, **params, **fixed)[0]
+
+        jobs = [(f, g) for g in staged.groups(kind, grid) for f in range(k)]
+        with ThreadPoolExecutor(parallelism) as ex:
+            each = list(ex.map(lambda j: staged.fold_aucs(df.where(F.col("fold") != j[0]), df.where(F.col("fold") == j[0]), features, kind, label, j[1], fit), jobs))
+        aucs: dict[str, list] = {}
+        for found in each:
+            for params, value in found:
+                aucs.setdefault(str(sorted(params.items())), []).append(value)
+        res = [(p, float(np.mean(v)), float(np.std(v))) for p in grid for v in [aucs[str(sorted(p.items()))]]]
+    else:
+        def one(params):
+            cv = cross_validate(df, features, kind, label, k=k, scoring=scoring, **params, **fixed)
+            return params, cv["mean_auc"], cv["std_auc"]
+        with ThreadPoolExecutor(parallelism) as ex:
+            res = list(ex.map(one, grid))
     return sorted(res, key=lambda r: (-r[1], str(r[0])))
 
 

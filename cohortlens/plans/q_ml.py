@@ -110,7 +110,7 @@ def _q_grid_f1(s, d):
 register("m06_grid_search_cv_f1", family="train")(_q_grid_f1)
 
 
-# The reference's axes as far as Spark ML has them: gamma is the RBF kernel's alone; trees without a depth limit have Spark's 30;
+# The reference's axes as far as Spark ML has them: gamma is the RBF kernel's alone; trees without a depth limit have Spark's 30;
 # min_samples_split and num_leaves have no counterpart.
 GRIDS = {
     "svm_linear": [{"C": c} for c in (0.1, 1.0, 10.0, 100.0)],
@@ -124,9 +124,12 @@ GRIDS = {
 
 def _q_grid_learners(s, d):
     """M6 for every tuned learner, and M19: the candidate with the best cross-validated AUC is chosen (ties by name)."""
-    t = kfold(_standardized(s, d).where("split = 'train'"), "encounter_id", 5, stratify="label").cache()
+    from ..session import partitions_for_iterations
+    # one partition per core at most: a fit is many small jobs, and several fits run at a time
+    t = partitions_for_iterations(written(kfold(_standardized(s, d).where("split = 'train'"), "encounter_id", 5, stratify="label"), "folds")).cache()
     n = t.count() * 4 // 5  # rows of a fold's fit, for C
-    rows = [(kind, str(p), m, sd) for kind, grid in GRIDS.items() for p, m, sd in TR.grid_search(t, FEATS, kind, grid, "label", 5, n_rows=n)]
+    rows = [(kind, str(p), m, sd) for kind, grid in GRIDS.items()
+            for p, m, sd in TR.grid_search(t, FEATS, kind, grid, "label", 5, parallelism=8, n_rows=n)]
     t.unpersist()
     best = min(rows, key=lambda r: (-r[2], r[0], r[1]))
     return s.createDataFrame([(*r, r == best) for r in rows], "model string, params string, mean_auc double, std_auc double, chosen boolean")

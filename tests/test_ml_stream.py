@@ -170,3 +170,40 @@ def test_sampled_shapley_additivity_linear(spark):
     xs = {i: {"a": a, "b": b, "c": c} for i, a, b, c in rows}
     for _, r in phi.iterrows():
         assert abs(r["contribution"] - w[r["feature"]] * (xs[r["id"]][r["feature"]] - z[r["feature"]])) < 1e-9
+
+
+@pytest.fixture(scope="module")
+def folds(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (300, 3))
+    y = (x[:, 0] * x[:, 1] + x[:, 2] + rng.normal(0, 0.5, 300) > 0).astype(int)
+    return spark.createDataFrame([(*map(float, r), int(c), i % 2) for i, (r, c) in enumerate(zip(x, y))], "a double, b double, c double, label int, fold int").coalesce(1).cache()
+
+
+def test_staged_boosting_equals_separate_fits(spark, folds):
+    from cohortlens.operators.train import cross_validate, grid_search
+    grid = [{"maxIter": n, "stepSize": r, "maxDepth": 3} for n in (2, 4, 6) for r in (0.1, 0.3)]
+    got = {str(p): (m, sd) for p, m, sd in grid_search(folds, ["a", "b", "c"], "gbt", grid, k=2, n_rows=150)}
+    assert len(got) == 6
+    for p in grid:
+        one = cross_validate(folds, ["a", "b", "c"], "gbt", k=2, **p)
+        assert got[str(p)] == pytest.approx((one["mean_auc"], one["std_auc"]), abs=1e-9)
+
+
+def test_forest_parts(spark, folds):
+    """The whole forest scores as Spark's own; its parts are forests of fewer trees or levels, read off by hand."""
+    from cohortlens.operators import staged
+    from cohortlens.operators.train import fit_model, grid_search, score
+    feats = ["a", "b", "c"]
+    model, _, _ = fit_model(folds, feats, "random_forest", numTrees=6, maxDepth=5)
+    trees = staged.Trees(spark, model, False)
+    rows = staged.scored(folds, feats, "label", trees, "random_forest", [[2, 6], [0, 2, 30]]).toPandas()
+    own = score(model, folds, feats, "random_forest").toPandas()["score"]
+    assert np.allclose(sorted(rows[rows["candidate"] == 5]["score"]), sorted(own))
+    top = np.mean([trees.value[i] for i in trees.first[:2]])  # two trees, roots alone
+    assert np.allclose(rows[rows["candidate"] == 0]["score"], top)
+    assert rows[rows["candidate"] == 1]["score"].nunique() <= 16
+    grid = [{"numTrees": n, "maxDepth": d, "minInstancesPerNode": m} for n in (2, 4) for d in (2, 5) for m in (1, 3)]
+    out = grid_search(folds, feats, "random_forest", grid, k=2, n_rows=150)
+    assert [p for p, _, _ in out] != [] and {str(p) for p, _, _ in out} == {str(p) for p in grid} and all(0.5 < m <= 1 for _, m, _ in out)
+    assert [len(g[2]) for g in staged.groups("random_forest", grid)] == [4, 4]
