@@ -35,6 +35,37 @@ def hash_key_sql(id_sql: str, seed: int = SEED) -> str:
     return f"substr(md5(CAST({id_sql} AS VARCHAR) || '|{seed}'), 1, 15)"
 
 
+def grid_sides(n: int, tries: int = 200_000) -> tuple[int, int]:
+    """(a, b) near the root of n with a * b >= n as tightly as possible: the domain of a permutation of n places."""
+    import numpy as np
+    root = max(1, int(np.sqrt(n)))
+    a = np.arange(root, root + min(tries, root + 1), dtype=np.int64)
+    over = -(-n // a) * a - n
+    best = int(a[over.argmin()])
+    return best, -(-n // best)
+
+
+def permuted_position(position, n: int, key, seed: int = SEED, rounds: int = 6):
+    """A bijection of the positions 0..n-1, another one for every value of ``key``, as an expression: no sort, no exchange.
+
+    A Feistel network over the grid a x b: in turn each coordinate moves by a hash of the other.  Places of the grid beyond n - 1 (at most
+    a * b - n) walk on along their cycle until they are inside."""
+    a, b = grid_sides(n)
+
+    def step(x):
+        left, right = F.floor(x / F.lit(b)).cast("bigint"), F.pmod(x, F.lit(b))
+        for r in range(rounds):
+            if r % 2 == 0:
+                left = F.pmod(left + F.pmod(F.xxhash64(right, key, F.lit(seed * 100 + r)), F.lit(a)), F.lit(a))
+            else:
+                right = F.pmod(right + F.pmod(F.xxhash64(left, key, F.lit(seed * 100 + r)), F.lit(b)), F.lit(b))
+        return left * F.lit(b) + right
+
+    out = step(position.cast("bigint"))
+    over = a * b - n
+    return F.aggregate(F.sequence(F.lit(1), F.lit(over)), out, lambda x, _: F.when(x >= n, step(x)).otherwise(x)) if over else out
+
+
 def running_sum(df: DataFrame, order_cols: list[str] | str, weights: list[str] | str,
                 partition_cols: list[str] | tuple = (), descending: bool = False, prefix: str = "cum_") -> DataFrame:
     """Inclusive running sum of ``weights`` ordered by ``order_cols`` (a total

@@ -5,11 +5,9 @@ Mahalanobis / MCD, D14 LOF) and the J8 neighbour join.
   seeded hash (a bounded group), inside ``applyInPandas`` keyed by tree; the
   forest (trees × ≤ 511 nodes) is broadcast and every row is scored by an
   Arrow-batched pandas UDF.
-* MCD: C-steps; each step is one aggregate of the h closest rows (k + k² sums)
-  and a distance expression built from the k×k inverse on the driver.
-* LOF: neighbours from ``BucketedRandomProjectionLSH.approxSimilarityJoin``
-  (approximate; the exact brute force is used only in tests on small
-  fixtures), then k-distance, reachability, lrd and LOF as group-bys.
+* MCD: random starts on a bounded sample, then C-steps of all finalists at once on the whole table; each step is one quantile call and one
+  aggregate (k + k² sums a finalist), and a distance expression built from the k×k inverse on the driver.
+* LOF: exact neighbours (``neighbours``), then k-distance, reachability, lrd and LOF as group-bys.
 """
 
 from __future__ import annotations
@@ -156,42 +154,141 @@ def _moments(df: DataFrame, features: list[str]):
     return mu, cov
 
 
-def robust_mahalanobis(df: DataFrame, features: list[str], contamination: float = 0.05, max_iter: int = 10,
-                       support_fraction: float | None = None) -> tuple[DataFrame, dict]:
-    """Minimum-covariance-determinant style fit by C-steps, then flag the
-    top ``contamination`` share by robust distance.  Start: coordinate
-    median/MAD distance."""
-    # the C-steps rescan the rows ~2×max_iter times: materialise the narrow
-    # projection once in the shared checkpoint folder
-    from ..session import cut_lineage
-    data = cut_lineage(df.select(*features).na.drop(subset=features))
-    n = data.count()
+#: Fast MCD: random starts, rows of a group and of the merged sample, candidates that go on to the whole table.
+STARTS, GROUP_ROWS, GROUPS, FINALISTS = 500, 300, 5, 10
+
+
+def chi2_cdf(x: float, k: int) -> float:
+    """P(chi-square with k degrees <= x): the regularised incomplete gamma function by its series, or its continued fraction."""
+    a, z = k / 2.0, x / 2.0
+    if z <= 0:
+        return 0.0
+    front = math.exp(-z + a * math.log(z) - math.lgamma(a))
+    if z < a + 1:
+        term = total = 1.0 / a
+        n = a
+        while abs(term) > 1e-17 * abs(total):
+            n += 1
+            term *= z / n
+            total += term
+        return front * total
+    b, c = z + 1 - a, 1e300
+    d = h = 1.0 / b
+    for i in range(1, 500):
+        an = -i * (i - a)
+        b += 2
+        d, c = 1.0 / (an * d + b), b + an / c
+        h *= d * c
+        if abs(d * c - 1) < 1e-16:
+            break
+    return 1.0 - front * h
+
+
+def chi2_quantile(p: float, k: int) -> float:
+    low, high = 0.0, 1.0
+    while chi2_cdf(high, k) < p:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_cdf(mid, k) < p else (low, mid)
+    return (low + high) / 2
+
+
+def _c_step(x: np.ndarray, mu: np.ndarray, cov: np.ndarray, h: int):
+    """Mean and covariance of the h rows nearest by (mu, cov), and the determinant."""
+    d = x - mu
+    near = np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.pinv(cov), d), kind="stable")[:h]
+    mu, cov = x[near].mean(axis=0), np.atleast_2d(np.cov(x[near], rowvar=False, bias=True))
+    return mu, cov, float(np.linalg.det(cov))
+
+
+def _sample_starts(x: np.ndarray, share: float, seed: int) -> list[tuple]:
+    """The best (mu, cov) of many random starts, refined on groups of the sample, then on the whole sample."""
+    rng = np.random.default_rng(seed)
+    n, k = x.shape
+    x = x[rng.permutation(n)]
+    parts = np.array_split(x, GROUPS) if n >= 2 * GROUP_ROWS else [x]
+    found = []
+    for part in parts:
+        h = min(len(part), max(k + 1, int(math.ceil(share * len(part)))))
+        own = []
+        for _ in range(STARTS // len(parts)):
+            size = k + 1
+            while True:  # a subset with a singular covariance grows
+                subset = part[rng.choice(len(part), min(size, len(part)), replace=False)]
+                cov = np.atleast_2d(np.cov(subset, rowvar=False, bias=True))
+                if size >= len(part) or np.linalg.det(cov) > 0:
+                    break
+                size += 1
+            mu, cov, det = _c_step(part, subset.mean(axis=0), cov, h)
+            own.append((*_c_step(part, mu, cov, h),))
+        found += sorted(own, key=lambda c: c[2])[:FINALISTS]
+    if len(parts) > 1:
+        h = max(k + 1, int(math.ceil(share * n)))
+        found = [_c_step(x, *_c_step(x, mu, cov, h)[:2], h) for mu, cov, _ in found]
+    return [(mu, cov) for mu, cov, _ in sorted(found, key=lambda c: c[2])[:FINALISTS]]
+
+
+def _whole_table_steps(data: DataFrame, features: list[str], fits: list[tuple], h: int, n: int, max_iter: int) -> tuple:
+    """C-steps of all candidates at once until their determinants stand still: one quantile call and one aggregate a step."""
     k = len(features)
-    h = int(support_fraction * n) if support_fraction else (n + k + 1) // 2
-    q = quantile_dict(data, features, [0.5], "exact")
-    med = np.array([q[(f, 0.5)] for f in features])
-    mad_row = data.select(*[F.abs(F.col(f) - float(med[i])).alias(f) for i, f in enumerate(features)])
-    mq = quantile_dict(mad_row, features, [0.5], "exact")
-    mad = np.array([mq[(f, 0.5)] or 1.0 for f in features])
-    mad = np.where(mad == 0, 1.0, mad)
-    dist = sum(((F.col(f) - float(med[i])) / float(mad[i])) ** 2 for i, f in enumerate(features))
-    prev_det = None
-    mu, cov = med, np.diag(mad ** 2)
+    live = [(mu, cov, math.inf) for mu, cov in fits]
+    done = []
     for _ in range(max_iter):
-        d = data.withColumn("_d", dist)
-        cut = quantile_dict(d, ["_d"], [h / n])[("_d", round(h / n, 10))]
-        mu, cov = _moments(d.where(F.col("_d") <= cut), features)
-        det = float(np.linalg.det(cov))
-        inv = np.linalg.pinv(cov)
-        dist = _distance_expr(features, mu, inv)
-        if prev_det is not None and abs(prev_det - det) <= 1e-12 * max(abs(prev_det), 1.0):
+        dist = [_distance_expr(features, mu, np.linalg.pinv(cov)).alias(f"d{c}") for c, (mu, cov, _) in enumerate(live)]
+        d = written(data.select(*features, *dist), "mcd-step")
+        cut = quantile_dict(d, [f"d{c}" for c in range(len(live))], [h / n])
+        aggs = []
+        for c in range(len(live)):
+            near = F.col(f"d{c}") <= cut[(f"d{c}", round(h / n, 10))]
+            aggs += [F.count_if(near).alias(f"n{c}")] + [F.sum(F.when(near, F.col(f))).alias(f"s{c}_{a}") for a, f in enumerate(features)]
+            aggs += [F.sum(F.when(near, F.col(features[a]) * F.col(features[b]))).alias(f"p{c}_{a}_{b}") for a in range(k) for b in range(a, k)]
+        r = d.agg(*aggs).first()
+        after = []
+        for c, (_, _, before) in enumerate(live):
+            mu = np.array([r[f"s{c}_{a}"] / r[f"n{c}"] for a in range(k)])
+            cov = np.array([[r[f"p{c}_{min(a, b)}_{max(a, b)}"] / r[f"n{c}"] - mu[a] * mu[b] for b in range(k)] for a in range(k)])
+            det = float(np.linalg.det(cov))
+            (done if abs(before - det) <= 1e-12 * max(abs(det), 1.0) or det <= 0 else after).append((mu, cov, det))
+        # candidates that came to the same place go on as one
+        live = list({round(math.log(c[2]), 9): c for c in after}.values())
+        if not live:
             break
-        prev_det = det
-    out = df.withColumn("robust_distance", dist)
-    thr = quantile_dict(out.where(F.col("robust_distance").isNotNull()), ["robust_distance"], [1 - contamination])[
-        ("robust_distance", round(1 - contamination, 10))]
+    return min(done + live, key=lambda c: c[2])
+
+
+def fast_mcd(data: DataFrame, features: list[str], support_fraction: float | None = None, max_iter: int = 10, seed: int = 42) -> dict:
+    """Minimum covariance determinant: many random starts on a bounded, hash-chosen sample, the ten best run out on the whole table, then the covariance
+    scaled to the normal median and one reweighted step over the rows within the 97.5 percentile of chi-square."""
+    data = written(data.select(*[F.col(f).cast("double").alias(f) for f in features]).na.drop(), "mcd-rows")
+    n, k = data.count(), len(features)
+    if n <= k:
+        raise ValueError(f"{n} complete rows do not give a covariance of {k} columns")
+    h = min(n, max(k + 1, int(math.ceil(support_fraction * n)) if support_fraction else (n + k + 1) // 2))
+    sample = data.orderBy(F.xxhash64(*features, F.lit(seed)), *features).limit(GROUP_ROWS * GROUPS).collect()
+    starts = _sample_starts(np.array([list(r) for r in sample], float), h / n, seed)
+    mu, cov, det = _whole_table_steps(data, features, starts, h, n, max_iter)
+    raw = {"location": mu, "covariance": cov, "determinant": det, "support": h, "rows": n}
+    if det <= 0:  # h rows lie in a plane: their distances say it all
+        return raw | {"scale": 1.0}
+    d = data.select(*features, _distance_expr(features, mu, np.linalg.inv(cov)).alias("d"))
+    scale = quantile_dict(d, ["d"], [0.5])[("d", 0.5)] / chi2_quantile(0.5, k)
+    scale = scale if scale > 0 else 1.0
+    mu, cov = _moments(d.where(F.col("d") / scale < chi2_quantile(0.975, k)), features)
+    return raw | {"scale": scale, "raw_location": raw["location"], "raw_covariance": raw["covariance"], "location": mu, "covariance": cov}
+
+
+def robust_mahalanobis(df: DataFrame, features: list[str], contamination: float = 0.05, max_iter: int = 10,
+                       support_fraction: float | None = None, percentile: float | None = None) -> tuple[DataFrame, dict]:
+    """Squared robust distance of every row by ``fast_mcd``; flagged are the ``contamination`` share with the largest distance, or those above a
+    ``percentile`` of it (97.5 in the other form of the check).  Rows with a null have no distance and no flag."""
+    fit = fast_mcd(df, features, support_fraction, max_iter)
+    mu, cov = fit["location"], fit["covariance"]
+    at = round(percentile / 100.0 if percentile is not None else 1 - contamination, 10)
+    out = df.withColumn("robust_distance", _distance_expr(features, mu, np.linalg.pinv(cov)))
+    thr = quantile_dict(out.where(F.col("robust_distance").isNotNull()), ["robust_distance"], [at])[("robust_distance", at)]
     return out.withColumn("is_outlier", F.coalesce(F.col("robust_distance") > thr, F.lit(False))), {
-        "location": mu.tolist(), "covariance": cov.tolist(), "threshold": thr}
+        "location": mu.tolist(), "covariance": cov.tolist(), "threshold": thr, "determinant": fit["determinant"], "scale": fit["scale"]}
 
 
 def classical_mahalanobis(df: DataFrame, features: list[str]) -> DataFrame:

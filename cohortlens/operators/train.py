@@ -274,37 +274,28 @@ def pca(df: DataFrame, features: list[str], k: int | None = None):
 
 def permutation_importance(df: DataFrame, model, features: list[str], kind: str, id_col: str, label: str = "label",
                            repeats: int = 10, seed: int = 42) -> DataFrame:
-    """M9: AUC drop when one feature is shuffled, per (feature, repeat), then
-    mean and population std per feature.  The shuffle is a hash-rank
-    self-join: the row at position p (id order) takes the value of the row
-    whose seeded hash rank is p — all (feature, repeat) pairs in one job."""
-    from ..functions.ordering import global_row_number
-    spark = df.sparkSession
+    """M9: AUC drop when one feature is shuffled, per (feature, repeat), then mean and population std per feature.
+
+    Rows get a position; a repeat's shuffle is a keyed bijection of the positions (``permuted_position``), so every row knows by itself where its values go.
+    One narrow row (position, repeat, values) a row and repeat is exchanged and serves all features; the (feature, repeat) variants are made
+    and scored on the row that received it.  A feature's column is permuted as it is alone: the others stay in place."""
+    from ..functions.ordering import global_row_number, permuted_position
+    from ..session import written
     base_auc = auc_of(score(model, df, features, kind), label, "score").collect()[0]["auc"]
-    pos = global_row_number(df.select(id_col), [id_col], name="pos")
-    fr = spark.createDataFrame([(f, r) for f in features for r in range(repeats)], "feature string, rep int")
-    keyed = pos.crossJoin(F.broadcast(fr))
-    hk = hash_key(F.concat_ws("|", F.col(id_col).cast("string"), F.col("feature"), F.col("rep").cast("string")), seed)
-    perm = global_row_number(keyed.withColumn("_h", hk), ["_h", id_col], ["feature", "rep"], name="ppos")
-    from ..functions.ordering import stack_long
-    vals = stack_long(df.join(pos, id_col), features, keep=["pos"], name_col="feature", value_col="pval")
-    # row at position p receives the value of the row whose permuted rank is p
-    src = perm.select("feature", "rep", F.col("ppos").alias("pos"), F.col(id_col).alias("_src"))
-    srcv = src.join(pos.select(F.col(id_col).alias("_src"), F.col("pos").alias("_spos")), "_src")
-    srcv = srcv.join(vals.select("feature", F.col("pos").alias("_spos"), "pval"), ["feature", "_spos"])
-    tgt = df.join(pos, id_col).crossJoin(F.broadcast(fr)).join(srcv.select("feature", "rep", "pos", "pval"),
-                                                              ["feature", "rep", "pos"])
-    for f in features:
-        tgt = tgt.withColumn(f, F.when(F.col("feature") == f, F.col("pval")).otherwise(F.col(f)))
-    sc = score(model, tgt.drop("pval", "pos"), features, kind)
-    a = auc_of(sc, label, "score", by=["feature", "rep"])
+    placed = global_row_number(df.select(id_col, label, *features), [id_col], name="_at")
+    rows = written(placed.withColumn("_at", F.col("_at") - 1), "placed")
+    n = rows.count()
+    target = permuted_position(F.col("_at"), n, F.col("rep"), seed)
+    sent = (rows.select("_at", F.array(*[F.col(f).cast("double") for f in features]).alias("_sent"), F.explode(F.array(*map(F.lit, range(repeats)))).alias("rep"))
+            .select(target.alias("_at"), "rep", "_sent"))
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.get("_sent", F.lit(i)).alias("value")) for i, f in enumerate(features)])
+    met = rows.join(sent, "_at").select(label, *features, "rep", F.explode(each).alias("_v")).select(label, *features, "rep", "_v.*")
+    mixed = met.select(label, "rep", "feature", *[F.when(F.col("feature") == f, F.col("value")).otherwise(F.col(f)).alias(f) for f in features])
+    a = auc_of(score(model, mixed, features, kind), label, "score", by=["feature", "rep"])
     return a.groupBy("feature").agg((F.lit(base_auc) - F.avg("auc")).alias("importance_mean"),
                                     F.stddev_pop("auc").alias("importance_std"))
 
 
-from ..functions.ordering import hash_key  # noqa: E402
-
-
 def platt_kfold(df: DataFrame, features: list[str], kind: str, label: str = "label", fold_col: str = "fold",
                 k: int = 3, **kw):
     """C1, k-fold form: for each fold, fit the learner on the other folds and

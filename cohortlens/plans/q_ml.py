@@ -280,6 +280,25 @@ def _q_mcd(s, d):
 register("d13_robust_mahalanobis", family="outliers")(_q_mcd)
 
 
+def _q_mcd_checks(s, d):
+    """What holds of the robust fit whatever the random starts: the flagged number under both cuts, and a determinant no larger than that of the fit that
+    starts from the classical moments."""
+    import math
+    e = written(impute(FX.encounters(s, d), "median", cols=FX.LABS).select("encounter_id", *FX.CONTINUOUS), "mcd-checks")
+    n = e.count()
+    share, by_share = MV.robust_mahalanobis(e, FX.CONTINUOUS, contamination=0.05)
+    cut, _ = MV.robust_mahalanobis(e, FX.CONTINUOUS, percentile=97.5)
+    data = e.select(*[F.col(c).cast("double").alias(c) for c in FX.CONTINUOUS])
+    single = MV._whole_table_steps(data, FX.CONTINUOUS, [MV._moments(data, FX.CONTINUOUS)], (n + len(FX.CONTINUOUS) + 1) // 2, n, 10)
+    ok = by_share["determinant"] <= single[2] * (1 + 1e-9) and math.isfinite(by_share["scale"]) and by_share["scale"] > 0
+    flags = share.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("is_outlier").alias("n_share")).crossJoin(cut.agg(F.count_if("is_outlier").alias("n_percentile")))
+    return flags.withColumn("determinant_ok", F.lit(bool(ok)))
+
+
+register("d13_fast_mcd_checks", FX.with_views("encounters") + "SELECT count(*) AS n_rows, count(*) - 1 - CAST(floor((count(*) - 1) * 0.95) AS BIGINT) AS n_share, "
+         "count(*) - 1 - CAST(floor((count(*) - 1) * 0.975) AS BIGINT) AS n_percentile, true AS determinant_ok FROM encounters", family="outliers")(_q_mcd_checks)
+
+
 KNN_SQL = ("nb AS (SELECT id, nbr, dist, CAST(rank AS INTEGER) AS rank FROM (SELECT id, nbr, dist, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank "
            "FROM (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist "
            "FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) p) q WHERE rank <= 20)")
