@@ -114,6 +114,11 @@ def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")))
 
 
+def _inside(x, lo: float, hi: float):
+    """x in [lo, hi), where the last range holds +inf as well and none holds NaN."""
+    return (x >= F.lit(lo)) & ((x <= F.lit(hi)) if hi == float("inf") else (x < F.lit(hi)))
+
+
 def _refine_ranges(df: DataFrame, ranges: dict, buckets: int, limit: int, targets) -> dict:
     """Split target ranges holding more than ``limit`` rows again (sketch
     bounds + bucket counts restricted to each range) until every range a
@@ -130,7 +135,7 @@ def _refine_ranges(df: DataFrame, ranges: dict, buckets: int, limit: int, target
         xs = []
         for i, ((c, lo, hi), _) in enumerate(big):
             x = F.col(c).cast("double")
-            xs.append(F.when((x >= F.lit(lo)) & (x < F.lit(hi)), x).alias(f"_r{i}"))
+            xs.append(F.when(_inside(x, lo, hi), x).alias(f"_r{i}"))
         sub = df.select(*xs)
         a = sub.agg(*[F.percentile_approx(f"_r{i}", fr, 2 * buckets).alias(f"_r{i}") for i in range(len(big))]).collect()[0]
         work = []
@@ -162,8 +167,19 @@ def _refine_ranges(df: DataFrame, ranges: dict, buckets: int, limit: int, target
     return ranges
 
 
+WIDE = "decimal(38,18)"
+
+
+def _native(df: DataFrame, c: str):
+    """A column's value as a number that keeps all its digits: whole numbers, decimals, and times in microseconds; null for doubles."""
+    kind = dict(df.dtypes)[c]
+    if kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal"):
+        return F.col(c).try_cast(WIDE)
+    return F.lit(None).cast(WIDE)
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets: int = 256,
-                    refine_limit: int = 4_000_000) -> DataFrame:
+                    refine_limit: int = 4_000_000, neighbours: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy/pandas default,
     Spark ``percentile``, DuckDB ``quantile_cont``) by distributed selection —
     no task ever holds a whole column.  The columns are written once, narrow, and
@@ -177,10 +193,17 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets:
     C. only the rows of those target buckets (≈ n/buckets each) are
        value-counted and ranked inside their bucket.
 
-    Returns (column, prob, value)."""
+    Buckets are cut by the value as a double, which keeps the order of longs, decimals and times (though not their last digits); inside a bucket
+    the native value decides.  Infinities are values like others, NaN and null are none.
+
+    Returns (column, prob, value); with ``neighbours`` also (low, high), the two values that the quantile lies between with all their
+    digits (null for columns of doubles)."""
     import math
     spark = df.sparkSession
-    df = written(df.select(*dict.fromkeys(cols)))
+    kinds = dict(df.dtypes)
+    df = df.select(*[F.unix_micros(F.col(c).cast("timestamp")).alias(c) if kinds[c] in ("timestamp", "timestamp_ntz", "date")
+                     else F.when(~F.isnan(c), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in dict.fromkeys(cols)])
+    df = written(df)
     fr = [i / buckets for i in range(1, buckets)]
     a = df.agg(*[F.count(c).alias(f"{c}__n") for c in cols],
                *[F.percentile_approx(F.col(c).cast("double"), fr, 2 * buckets).alias(f"{c}__b") for c in cols]).collect()[0]
@@ -188,7 +211,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets:
     bounds = {c: sorted(set(a[f"{c}__b"] or [])) for c in cols}
     live = [c for c in cols if n[c]]
     # bucket i = [splits[i], splits[i+1]) with splits = -inf, bounds..., +inf
-    splits = {c: [float("-inf")] + [float(b) for b in bounds[c]] + [float("inf")] for c in live}
+    splits = {c: [float("-inf")] + [float(b) for b in bounds[c] if math.isfinite(b)] + [float("inf")] for c in live}
     cnt = {}
     if live:
         from pyspark.ml.feature import Bucketizer
@@ -220,22 +243,25 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets:
                 key = (c, splits[c][b], splits[c][b + 1])
                 ranges.setdefault(key, [starts[b], cnt.get((c, b), 0), set()])[2].add(pos)
     if not targets:
-        return spark.createDataFrame([], "column string, prob double, value double")
+        return spark.createDataFrame([], "column string, prob double, value double" + (f", low {WIDE}, high {WIDE}" if neighbours else ""))
     ranges = _refine_ranges(df, ranges, buckets, refine_limit, [t for t in targets])
     # C: value counts inside the target ranges only, ranked within range —
     # one stacked scan; each column keeps only rows of its target ranges
     keyed = list(ranges.items())
-    long = stack_long(df, sorted({c for (c, _, _), _ in keyed})).where(F.col("value").isNotNull())
+    wanted = sorted({c for (c, _, _), _ in keyed})
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"),
+                                                  (_native(df, c) if neighbours else F.lit(None).cast(WIDE)).alias("native")) for c in wanted])).alias("t"))
+    long = long.select("t.*").where(F.col("value").isNotNull())
     x = F.col("value")
     bk = None
     for i, ((c, lo_v, hi_v), _) in enumerate(keyed):
-        cond = (F.col("column") == c) & (x >= F.lit(lo_v)) & (x < F.lit(hi_v))
+        cond = (F.col("column") == c) & _inside(x, lo_v, hi_v)
         bk = F.when(cond, F.lit(i)) if bk is None else bk.when(cond, F.lit(i))
     off = F.create_map(*[v for i, (_, info) in enumerate(keyed) for v in (F.lit(i), F.lit(info[0]))])
-    u = long.select("column", bk.alias("bk"), "value").where(F.col("bk").isNotNull())
+    u = long.select("column", bk.alias("bk"), "value", "native").where(F.col("bk").isNotNull())
     u = u.withColumn("offset", off[F.col("bk")])
-    vc = u.groupBy("column", "bk", "offset", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("column", "bk").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    vc = u.groupBy("column", "bk", "offset", "value", "native").agg(F.count(F.lit(1)).alias("cnt"))
+    w = Window.partitionBy("column", "bk").orderBy("value", "native").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = vc.withColumn("cum_cnt", F.col("offset") + F.sum("cnt").over(w)).withColumn(
         "n_before", F.col("cum_cnt") - F.col("cnt"))
     tg = spark.createDataFrame(targets, "_qcol string, prob double, h double, lo bigint, hi bigint")
@@ -244,14 +270,18 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets:
                       (F.col("pos") >= F.col("n_before")) & (F.col("pos") < F.col("cum_cnt")))
     g = hit.groupBy("column", "prob", "h", "lo", "hi").agg(
         F.max(F.when(F.col("pos") == F.col("lo"), F.col("value"))).alias("lo_v"),
-        F.max(F.when(F.col("pos") == F.col("hi"), F.col("value"))).alias("hi_v"))
-    val = F.when(F.col("lo") == F.col("hi"), F.col("lo_v")).otherwise(
+        F.max(F.when(F.col("pos") == F.col("hi"), F.col("value"))).alias("hi_v"),
+        F.max(F.when(F.col("pos") == F.col("lo"), F.col("native"))).alias("low"),
+        F.max(F.when(F.col("pos") == F.col("hi"), F.col("native"))).alias("high"))
+    # equal neighbours are the value itself: infinities do not weigh
+    val = F.when((F.col("lo") == F.col("hi")) | (F.col("lo_v") == F.col("hi_v")), F.col("lo_v")).otherwise(
         (F.col("hi") - F.col("h")) * F.col("lo_v") + (F.col("h") - F.col("lo")) * F.col("hi_v"))
-    res = g.select("column", "prob", val.alias("value"))
+    more = ["low", "high"] if neighbours else []
+    res = g.select("column", "prob", val.alias("value"), *more)
     empty = [c for c in cols if not n[c]]
     if empty:
         res = res.unionByName(spark.createDataFrame([(c, float(p), None) for c in empty for p in probs],
-                                                    "column string, prob double, value double"))
+                                                    "column string, prob double, value double"), allowMissingColumns=True)
     return res
 
 

@@ -236,7 +236,7 @@ def _whole_table_steps(data: DataFrame, features: list[str], fits: list[tuple],
     done = []
     for _ in range(max_iter):
         dist = [_distance_expr(features, mu, np.linalg.pinv(cov)).alias(f"d{c}") for c, (mu, cov, _) in enumerate(live)]
-        d = written(data.select(*features, *dist), "mcd-step")
+        d = data.select(*features, *dist)  # expressions of the written rows; the quantiles write their narrow copy
         cut = quantile_dict(d, [f"d{c}" for c in range(len(live))], [h / n])
         aggs = []
         for c in range(len(live)):
@@ -279,10 +279,10 @@ def fast_mcd(data: DataFrame, features: list[str], support_fraction: float | Non
 
 
 def robust_mahalanobis(df: DataFrame, features: list[str], contamination: float = 0.05, max_iter: int = 10,
-                       support_fraction: float | None = None, percentile: float | None = None) -> tuple[DataFrame, dict]:
+                       support_fraction: float | None = None, percentile: float | None = None, fit: dict | None = None) -> tuple[DataFrame, dict]:
     """Squared robust distance of every row by ``fast_mcd``; flagged are the ``contamination`` share with the largest distance, or those above a
-    ``percentile`` of it (97.5 in the other form of the check).  Rows with a null have no distance and no flag."""
-    fit = fast_mcd(df, features, support_fraction, max_iter)
+    ``percentile`` of it (97.5 in the other form of the check).  Rows with a null have no distance and no flag.  A ``fit`` made before is used as it is."""
+    fit = fit or fast_mcd(df, features, support_fraction, max_iter)
     mu, cov = fit["location"], fit["covariance"]
     at = round(percentile / 100.0 if percentile is not None else 1 - contamination, 10)
     out = df.withColumn("robust_distance", _distance_expr(features, mu, np.linalg.pinv(cov)))

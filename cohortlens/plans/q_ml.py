@@ -286,8 +286,9 @@ def _q_mcd_checks(s, d):
     import math
     e = written(impute(FX.encounters(s, d), "median", cols=FX.LABS).select("encounter_id", *FX.CONTINUOUS), "mcd-checks")
     n = e.count()
-    share, by_share = MV.robust_mahalanobis(e, FX.CONTINUOUS, contamination=0.05)
-    cut, _ = MV.robust_mahalanobis(e, FX.CONTINUOUS, percentile=97.5)
+    fit = MV.fast_mcd(e, FX.CONTINUOUS)
+    share, by_share = MV.robust_mahalanobis(e, FX.CONTINUOUS, contamination=0.05, fit=fit)
+    cut, _ = MV.robust_mahalanobis(e, FX.CONTINUOUS, percentile=97.5, fit=fit)
     data = e.select(*[F.col(c).cast("double").alias(c) for c in FX.CONTINUOUS])
     single = MV._whole_table_steps(data, FX.CONTINUOUS, [MV._moments(data, FX.CONTINUOUS)], (n + len(FX.CONTINUOUS) + 1) // 2, n, 10)
     ok = by_share["determinant"] <= single[2] * (1 + 1e-9) and math.isfinite(by_share["scale"]) and by_share["scale"] > 0

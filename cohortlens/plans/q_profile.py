@@ -198,3 +198,35 @@ register("a32_class_weights",
          ENC + "SELECT appendicitis, count(*) AS n_c, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight "
          "FROM encounters GROUP BY 1", doubles=["weight"], family="profile")(
     lambda s, d: PR.class_weights(FX.encounters(s, d), "appendicitis"))
+
+
+# A8 with all digits: whole numbers beyond 2**53, decimals, times, and doubles with infinities
+WIDE_EXPRS = [("wide", "9007199254740993 + encounter_id * 3"), ("price", "CAST(CAST(encounter_id * 7919 % 10007 AS DECIMAL(18,4)) / 16 AS DECIMAL(18,4))"),
+              ("seen_us", "{micros}"), ("spread", "CASE encounter_id % 25 WHEN 0 THEN CAST('Infinity' AS DOUBLE) WHEN 1 THEN -CAST('Infinity' AS DOUBLE) ELSE age END")]
+WIDE_PROBS = [0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]
+
+
+def _q_wide(s, d):
+    from ..functions.ordering import exact_quantiles
+    e = FX.encounters(s, d)
+    t = e.selectExpr(*[f"{x.format(micros='seen_at')} AS {c}" for c, x in WIDE_EXPRS])
+    out = exact_quantiles(t, [c for c, _ in WIDE_EXPRS], WIDE_PROBS, neighbours=True)
+    ends = F.when(F.abs("value") == float("inf"), F.when(F.col("value") > 0, "above").otherwise("below"))
+    return out.select("column", "prob", *[F.col(c).cast("decimal(30,4)").alias(c) for c in ("low", "high")], ends.alias("beyond"))
+
+
+def _wide_sql():
+    base = FX.with_views("encounters") + ", t AS (SELECT " + ", ".join(f"{x.format(micros='epoch_us(seen_at)')} AS {c}" for c, x in WIDE_EXPRS) + " FROM encounters)"
+    parts = []
+    for c, _ in WIDE_EXPRS:
+        for p in WIDE_PROBS:
+            at = f"(len(v) - 1) * CAST({p} AS DOUBLE)"
+            low, high = f"v[CAST(floor({at}) AS BIGINT) + 1]", f"v[CAST(ceil({at}) AS BIGINT) + 1]"
+            seen = ("CAST(NULL AS DECIMAL(30,4))",) * 2 if c == "spread" else (f"CAST({low} AS DECIMAL(30,4))", f"CAST({high} AS DECIMAL(30,4))")
+            beyond = f"CASE WHEN {low} = 'Infinity' OR {high} = 'Infinity' THEN 'above' WHEN {low} = '-Infinity' THEN 'below' END" if c == "spread" else "NULL"
+            parts.append(f"SELECT '{c}' AS \"column\", CAST({p} AS DOUBLE) AS prob, {seen[0]} AS low, {seen[1]} AS high, {beyond} AS beyond "
+                         f"FROM (SELECT list_sort(list({c})) AS v FROM t) q")
+    return base + " " + " UNION ALL ".join(parts)
+
+
+register("a08_exact_order_statistics", _wide_sql(), family="profile")(_q_wide)

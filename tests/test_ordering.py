@@ -115,3 +115,27 @@ def test_quantile_range_refinement(spark):
            exact_quantiles(df, ["a"], probs, buckets=4, refine_limit=50).collect()}
     for p in probs:
         assert got[p] == pytest.approx(np.quantile(a, p))
+
+
+def test_quantiles_keep_digits_and_infinities(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    import numpy as np
+    from cohortlens.functions.ordering import exact_quantiles
+    inf, n = float("inf"), 40
+    rows = [(2 ** 53 + i, Decimal(i) + Decimal("0.000000000000000001"), inf if i % 4 == 0 else -inf if i % 4 == 1 else float("nan") if i % 4 == 2 else float(i),
+             dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=i)) for i in range(n)]
+    df = spark.createDataFrame(rows, "a bigint, b decimal(38,18), c double, t timestamp").repartition(3)
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {(r["column"], r["prob"]): r for r in exact_quantiles(df, ["a", "b", "c", "t"], probs, buckets=4, refine_limit=5, neighbours=True).collect()}
+    finite = sorted(x for _, _, x, _ in rows if x == x)
+    for p in probs:
+        low, high = int(np.floor((n - 1) * p)), int(np.ceil((n - 1) * p))
+        for c, k in (("a", 0), ("b", 1)):
+            assert (got[c, p]["low"], got[c, p]["high"]) == (rows[low][k], rows[high][k])
+        assert got["t", p]["high"] - got["t", p]["low"] == high - low
+        x, y = finite[int(np.floor((len(finite) - 1) * p))], finite[int(np.ceil((len(finite) - 1) * p))]
+        assert got["c", p]["low"] is None
+        assert got["c", p]["value"] == (x if x == y else x + (y - x) * ((len(finite) - 1) * p % 1)) or abs(got["c", p]["value"]) == inf
+    assert got["c", 1.0]["value"] == inf and got["c", 0.0]["value"] == -inf
