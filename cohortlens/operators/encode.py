@@ -125,6 +125,78 @@ def fit_yeo_johnson(df: DataFrame, cols: list[str], grid: list[float] | None = N
                     (-F.col("n") / 2.0 * F.log(F.col("v")) + (F.col("lambda") - 1) * F.col("s")).alias("llf"))
 
 
+def _yj(x, lam: float):
+    """The transform at one literal lambda."""
+    up = F.log1p(x) if abs(lam) < 1e-12 else (F.pow(x + 1, F.lit(lam)) - 1) / F.lit(lam)
+    down = -F.log1p(-x) if abs(lam - 2) < 1e-12 else -(F.pow(1 - x, F.lit(2 - lam)) - 1) / F.lit(2 - lam)
+    return F.when(x >= 0, up).otherwise(down)
+
+
+def search_yeo_johnson(df: DataFrame, cols: list[str], low: float = -2.0, high: float = 2.0, points: int = 8, width: float = 1e-7) -> dict:
+    """E18 fit without a grid's error: column -> lambda.  Every column has a bracket; a round evaluates the log-likelihood at ``points`` inner places of all
+    brackets in one aggregate and keeps the neighbours of the best.  Brackets shrink by 2 / (points + 1) a round; nothing but sums leaves the
+    tasks.  Constant and empty columns keep lambda 1."""
+    from ..session import written
+    data = written(df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys(cols)]))
+    first = data.agg(*[f(F.col(c)).alias(f"{n}_{c}") for c in cols for n, f in (("n", F.count), ("v", F.var_pop))],
+                     *[F.sum(F.signum(c) * F.log1p(F.abs(c))).alias(f"s_{c}") for c in cols]).first()
+    found = {c: 1.0 for c in cols}
+    brackets = {c: (low, high) for c in cols if first[f"n_{c}"] and first[f"v_{c}"]}
+    while brackets:
+        places = {c: [a + (b - a) * i / (points + 1) for i in range(points + 2)] for c, (a, b) in brackets.items()}
+        r = data.agg(*[F.var_pop(_yj(F.col(c), lam)).alias(f"{c}_{i}") for c, lams in places.items() for i, lam in enumerate(lams)]).first()
+        after = {}
+        for c, lams in places.items():
+            n, s = first[f"n_{c}"], first[f"s_{c}"]
+            llf = [-n / 2.0 * math.log(v) + (lam - 1) * s if (v := r[f"{c}_{i}"]) and v > 0 and math.isfinite(v) else -math.inf for i, lam in enumerate(lams)]
+            best = max(range(len(lams)), key=lambda i: llf[i])
+            found[c] = lams[best]
+            edge = lams[max(0, best - 1)], lams[min(len(lams) - 1, best + 1)]
+            if edge[1] - edge[0] > width:
+                after[c] = edge
+        brackets = after
+    return found
+
+
+def fit_power(df: DataFrame, cols: list[str]) -> dict:
+    """Column -> (lambda, mean, population sd) of the transformed column."""
+    lams = search_yeo_johnson(df, cols)
+    stats = fit_standard(df.select(*[_yj(F.col(c).cast("double"), lams[c]).alias(c) for c in cols]), cols)
+    return {c: (lams[c], *stats[c]) for c in cols}
+
+
+def apply_power(df: DataFrame, params: dict) -> DataFrame:
+    """E18 transform: Yeo-Johnson, then mean 0 and sd 1; nulls stay null."""
+    return df.select(*[((_yj(F.col(c).cast("double"), params[c][0]) - F.lit(params[c][1])) / F.lit(params[c][2] or 1.0)).alias(c) if c in params else F.col(c)
+                       for c in df.columns])
+
+
+def level_dictionary(df: DataFrame, cols: list[str], drop_first: bool = False) -> DataFrame:
+    """E13/E14 fit for columns of any number of levels: (column, level, index).  Levels are numbered per column in order by a distributed prefix sum, each column
+    after those before it; only one count a column reaches the driver."""
+    from ..functions.ordering import global_row_number
+    from ..session import written
+    each = stack_long(df, cols, "string").where(F.col("value").isNotNull()).distinct()
+    ranked = written(global_row_number(each, ["value"], ["column"], name="place"), "levels")
+    sizes = {r["column"]: r["n"] for r in ranked.groupBy("column").agg(F.max("place").alias("n")).collect()}
+    skip = 1 if drop_first else 0
+    base, at = [], 0
+    for c in cols:
+        base += [F.lit(c), F.lit(at - 1 - skip).cast("bigint")]
+        at += max(0, sizes.get(c, 0) - skip)
+    return ranked.where(F.col("place") > skip).select("column", F.col("value").alias("level"), (F.create_map(*base)[F.col("column")] + F.col("place")).alias("index"))
+
+
+def sparse_one_hot(df: DataFrame, cols: list[str], levels: DataFrame, out: str = "indices") -> DataFrame:
+    """E13/E14 transform: the columns give way to the ascending indices of the row's levels (a sparse 0/1 vector).  Null, unknown and dropped levels have
+    no index.  One join a column; a frequent level is split by the adaptive join, a short dictionary is broadcast by it."""
+    rest = [c for c in df.columns if c not in cols]
+    for i, c in enumerate(cols):
+        own = levels.where(F.col("column") == c).select(F.col("level").alias(f"__l{i}"), F.col("index").alias(f"__i{i}"))
+        df = df.join(own, F.col(c).cast("string") == F.col(f"__l{i}"), "left")
+    return df.select(*rest, F.array_compact(F.array(*[F.col(f"__i{i}") for i in range(len(cols))])).alias(out))
+
+
 def polynomial2(df: DataFrame, cols: list[str]) -> DataFrame:
     """Degree-2 expansion without bias: x_i, x_i·x_j (i ≤ j)."""
     out = [F.col(c) for c in cols]

@@ -270,3 +270,42 @@ register("h2_welch_t",
 
 register("h2_welch_t_p_values", family="stats")(
     lambda s, d: ST.welch_t_test(sc(s, d), H, "appendicitis"))
+
+
+def _q_e18_power(s, d):
+    """E18 whole: lambda by bracketed search, transform, standardise; no worse than the best of the grid."""
+    from ..session import written
+    e = written(sc(s, d).select(*FX.CONTINUOUS), "power")
+    params = EN.fit_power(e, FX.CONTINUOUS)
+    out = stack_long(EN.apply_power(e, params), FX.CONTINUOUS).groupBy("column").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    grid = {r["column"]: r["lambda"] for r in EN.fit_yeo_johnson(e, FX.CONTINUOUS).collect()}
+    near = F.create_map(*[x for c in FX.CONTINUOUS for x in (F.lit(c), F.lit(abs(params[c][0] - grid[c]) <= 0.05))])
+    return out.withColumn("near_grid", near[F.col("column")])
+
+
+register("e18_power_transform", SC + per_col(FX.CONTINUOUS, "SELECT '{c}' AS \"column\", count({c}) AS n, 0.0 AS mean, 1.0 AS sd, true AS near_grid FROM scored"),
+         doubles=["mean", "sd"], family="scaling")(_q_e18_power)
+
+SPARSE = ["site", "us_finding", "patient_id"]
+
+
+def _sparse(drop_first):
+    def run(s, d):
+        e = FX.encounters(s, d).select("encounter_id", *SPARSE)
+        known = EN.level_dictionary(e.where("site <> 'view'"), SPARSE, drop_first)  # levels seen in training only
+        return EN.sparse_one_hot(e, SPARSE, known).select("encounter_id", F.array_join("indices", ",").alias("indices"))
+    return run
+
+
+def _sparse_sql(drop_first):
+    skip = int(drop_first)
+    levels = union([f"SELECT DISTINCT {i} AS k, CAST({c} AS VARCHAR) AS level FROM encounters WHERE site <> 'view' AND {c} IS NOT NULL" for i, c in enumerate(SPARSE)])
+    cells = union([f"SELECT encounter_id, {i} AS k, CAST({c} AS VARCHAR) AS level FROM encounters" for i, c in enumerate(SPARSE)])
+    return (ENC + f", l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY level) AS place FROM ({levels}) u), i AS (SELECT k, level, "
+            f"row_number() OVER (ORDER BY k, level) - 1 AS idx FROM l WHERE place > {skip}), c AS ({cells}) SELECT c.encounter_id, "
+            "coalesce(string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx), '') AS indices FROM c LEFT JOIN i ON i.k = c.k AND i.level = c.level GROUP BY 1")
+
+
+register("e14_sparse_one_hot_dictionary", _sparse_sql(False), family="encoding")(_sparse(False))
+register("e13_sparse_one_hot_drop_first", _sparse_sql(True), family="encoding")(_sparse(True))
