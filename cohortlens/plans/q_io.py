@@ -84,6 +84,30 @@ register("s04_s08_json_feedback_scan",
          doubles=["age"], family="sources")(_q_s4)
 
 
+def _q_s4_ledger(s, d):
+    """Two waves of report files and an unreadable record; every wave is ingested twice, the second time adds nothing."""
+    from ..sources import ledger as LG
+    src, table = scratch_path(s, "reports"), scratch_path(s, "ingested")
+    rec = _feedback_records(s, d)
+    day = F.substring("timestamp", 1, 10)
+    for wave in (0, 1):
+        LG.append_records(rec.where(F.col("report_id").cast("long") % 2 == wave), f"{src}/wave{wave}", day)
+        if wave:
+            s.createDataFrame([("{ \"report_id\": not json",)], "value string").write.text(f"{src}/bad")
+        first = LG.ingest(s, src, table, FI.FEEDBACK_SCHEMA, day, multi_line=False)
+        again = LG.ingest(s, src, table, FI.FEEDBACK_SCHEMA, day, multi_line=False)
+        if not first or again:
+            raise RuntimeError(f"wave {wave}: {first} files read, then {again}")
+    good = LG.latest(LG.reports(s, table)).select("report_id", "prediction_class", "actual_diagnosis", F.col("day").cast("string").alias("day"), "batch")
+    return good.unionByName(LG.corrupt(s, table).select(F.lit("corrupt").alias("report_id"), "batch"), allowMissingColumns=True)
+
+
+register("s04_s08_ledger_ingest",
+         FX.with_views("feedback") + "SELECT CAST(report_id AS VARCHAR) AS report_id, prediction_class, actual_diagnosis, "
+         "strftime(to_timestamp(ts_epoch)::TIMESTAMP, '%Y-%m-%d') AS day, CAST(report_id % 2 AS INTEGER) AS batch FROM feedback "
+         "UNION ALL SELECT 'corrupt', NULL, NULL, NULL, 1", family="sources")(_q_s4_ledger)
+
+
 def _q_s5(s, d):
     p = scratch_path(s, "s5")
     sp = train_test_split(FX.encounters(s, d), "encounter_id")

@@ -54,3 +54,36 @@ def test_unknown_treatments_of_model_methods_are_refused(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(20)], "id long, x double")
     with pytest.raises((ValueError, TypeError)):
         handle_outliers(df, ["x"], "dbscan", "winsorise")
+
+
+def test_ledger_reads_every_file_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from cohortlens.sources import files as FI
+    from cohortlens.sources import ledger as LG
+    monkeypatch.setattr(LG, "PATHS", 2)
+    src, table, day = tmp_path / "src", str(tmp_path / "table"), F.substring("timestamp", 1, 10)
+    src.mkdir()
+
+    def put(name, text):
+        (src / name).write_text(text)
+
+    def ingest():
+        return LG.ingest(spark, str(src), table, FI.FEEDBACK_SCHEMA, day)
+
+    for i in range(5):
+        put(f"r{i}.json", '{\n "report_id": "%d",\n "actual_diagnosis": "autre",\n "timestamp": "2024-01-0%d 10:00:00"\n}' % (i, i % 2 + 1))
+    put("bad.json", '{\n "report_id": oops')
+    assert [ingest(), ingest()] == [6, 0]
+    assert LG.reports(spark, table).count() == 5 and LG.corrupt(spark, table).count() == 1
+    # a changed report and a new one; a run that failed before it was noted is repeated
+    put("r3.json", '{\n "report_id": "3",\n "actual_diagnosis": "appendicite",\n "timestamp": "2024-01-05 10:00:00" }')
+    put("r9.json", '{ "report_id": "9", "timestamp": "2024-01-05 10:00:00" }')
+    spark.createDataFrame([("half", "2024-01-09")], "report_id string, day string").write.partitionBy("day").parquet(f"{table}/rows/batch=1")
+    assert [ingest(), ingest()] == [2, 0]
+    rows = LG.latest(LG.reports(spark, table)).collect()
+    assert {r["report_id"]: r["actual_diagnosis"] for r in rows} == {**{str(i): "autre" for i in (0, 1, 2, 4)}, "3": "appendicite", "9": None}
+    assert {(r["report_id"], str(r["day"]), r["batch"]) for r in rows} >= {("3", "2024-01-05", 1), ("0", "2024-01-01", 0)}
+    small = LG.compact(spark, table)
+    assert LG.reports(spark, small).count() == 7 and LG.corrupt(spark, small).count() == 1
+    assert LG.new_files(spark, str(src), small).count() == 0
