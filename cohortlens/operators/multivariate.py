@@ -60,75 +60,113 @@ def _grow(X: np.ndarray, rng, max_depth: int):
     return feat, thr, left, right, size
 
 
-def isolation_forest(df: DataFrame, features: list[str], id_col: str, n_trees: int = 100, sample_size: int = 256,
-                     contamination: float = 0.05, seed: int = 42) -> DataFrame:
-    """Adds ``anomaly_score`` (= -score_samples, higher = more anomalous)
-    and ``is_outlier`` (score above the (1-contamination) quantile)."""
-    spark = df.sparkSession
-    n = df.count()
-    psi = min(sample_size, n)
+def _grow_forests(df: DataFrame, groups: dict[str, list], id_col: str, n_trees: int, sample_size: int, seed: int) -> dict:
+    """Trees of several forests from one scan: group -> (psi, [(feat, thr, left, right, size), ...]).
 
+    ``groups`` names a forest's feature columns (column expressions of doubles); rows where one of them is null are not drawn.  A pool of about
+    4 * trees * psi rows per forest, independent of the table's size, is kept by a hash of the id; each of its rows picks its trees by a further
+    hash, on the row, and a tree keeps the psi rows of lowest hash."""
     def unif(*cols):       # seeded 64-bit hash -> [0, 1), codegen'd, no strings
         return (F.xxhash64(*cols, F.lit(seed)).cast("double") / F.lit(float(2 ** 64))) + F.lit(0.5)
 
-    # 1) one pass keeps a pool of ~4·trees·psi rows (independent of n), so the
-    #    per-tree draw below never multiplies the whole table by the tree count
-    pool_frac = min(1.0, 4.0 * n_trees * psi / max(n, 1))
-    pool = df.select(id_col, *[F.col(c).cast("double") for c in features]).where(unif(F.col(id_col)) < pool_frac)
-    pool_n = min(n, int(4 * n_trees * psi)) if pool_frac < 1.0 else n
-    # 2) each tree draws ~4·psi pool rows by a per-(row, tree) hash and keeps
-    #    the psi smallest: every tree group is bounded
-    frac = min(1.0, 4.0 * psi / max(pool_n, 1))
-    trees = spark.range(n_trees).withColumnRenamed("id", "tree")
-    x = pool.crossJoin(F.broadcast(trees))
-    x = x.withColumn("_u", unif(F.col(id_col), F.col("tree"))).where(F.col("_u") < frac)
-    w = Window.partitionBy("tree").orderBy("_u", id_col)
-    samp = x.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r", "_u", id_col)
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
+    def whole(feats):
+        ok = feats[0].isNotNull()
+        for f in feats[1:]:
+            ok = ok & f.isNotNull()
+        return ok
+
+    n = df.agg(*[F.count_if(whole(feats)).alias(g) for g, feats in groups.items()]).first().asDict()
+    psi = {g: min(sample_size, n[g]) for g in groups}
+    picks = []
+    for g, feats in groups.items():
+        pool = min(1.0, 4.0 * n_trees * psi[g] / max(n[g], 1))
+        pool_n = min(n[g], 4 * n_trees * psi[g])
+        mine = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t, f=min(1.0, 4.0 * psi[g] / max(pool_n, 1)): unif(F.col("__id"), t.cast("bigint")) < f)
+        picks.append(F.when(whole(feats) & (unif(F.col("__id")) < pool), F.struct(F.lit(g).alias("forest"), F.array(*feats).alias("x"), mine.alias("trees"))))
+    rows = df.withColumn("__id", F.col(id_col)).select("__id", F.explode(F.array_compact(F.array(*picks))).alias("p"))
+    rows = rows.select("__id", "p.forest", "p.x", F.explode("p.trees").alias("tree")).withColumn("_u", unif(F.col("__id"), F.col("tree").cast("bigint")))
+    w = Window.partitionBy("forest", "tree").orderBy("_u", "__id")
+    sizes = F.create_map(*[v for g in groups for v in (F.lit(g), F.lit(psi[g]))])
+    drawn = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sizes[F.col("forest")]).select("forest", "tree", "x")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng(seed * 100003 + t)
-        X = pdf[features].to_numpy(dtype=float)
-        X = np.where(np.isnan(X), np.nanmedian(X, axis=0), X)
-        fe, th, le, ri, sz = _grow(X, rng, max_depth)
-        return pd.DataFrame({"tree": [t], "feat": [fe], "thr": [th], "left": [le], "right": [ri], "size": [sz]})
-
-    schema = "tree long, feat array<int>, thr array<double>, left array<int>, right array<int>, size array<int>"
-    forest = samp.groupBy("tree").applyInPandas(build, schema).collect()   # n_trees × ≤ 2·psi nodes
-    # per node: leaf path-length correction c(size) precomputed once
-    model = [(np.array(r["feat"]), np.array(r["thr"]), np.array(r["left"]), np.array(r["right"]),
-              np.array([_c(int(v)) for v in r["size"]])) for r in forest]
-    bc = spark.sparkContext.broadcast(model)
-    cn = _c(psi)
-
-    @F.pandas_udf(T.DoubleType())
-    def path_score(*cols: pd.Series) -> pd.Series:
-        X = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        total = np.zeros(len(X))
-        for fe, th, le, ri, csz in bc.value:
-            node = np.zeros(len(X), dtype=int)
-            depth = np.zeros(len(X))
+        fe, th, le, ri, sz = _grow(np.array(pdf["x"].tolist(), float), np.random.default_rng(seed * 100003 + t),
+                                   int(math.ceil(math.log2(max(len(pdf), 2)))))
+        return pd.DataFrame({"forest": [pdf["forest"].iloc[0]], "tree": [t], "feat": [fe], "thr": [th], "left": [le], "right": [ri], "size": [sz]})
+
+    schema = "forest string, tree long, feat array<int>, thr array<double>, left array<int>, right array<int>, size array<int>"
+    made: dict = {g: (psi[g], []) for g in groups}
+    for r in sorted(drawn.groupBy("forest", "tree").applyInPandas(build, schema).collect(), key=lambda r: (r["forest"], r["tree"])):  # ≤ forests × trees × 2·psi nodes
+        made[r["forest"]][1].append((np.array(r["feat"]), np.array(r["thr"]), np.array(r["left"]), np.array(r["right"]), np.array([_c(int(v)) for v in r["size"]])))
+    return made
+
+
+def _path_lengths(trees: list, x: np.ndarray) -> np.ndarray:
+    """Summed path lengths of rows through all trees."""
+    total = np.zeros(len(x))
+    for fe, th, le, ri, csz in trees:
+        node, depth = np.zeros(len(x), dtype=int), np.zeros(len(x))
+        active = fe[node] >= 0
+        while active.any():
+            f = fe[node[active]]
+            node[active] = np.where(x[active, f] < th[node[active]], le[node[active]], ri[node[active]])
+            depth[active] += 1
             active = fe[node] >= 0
-            while active.any():
-                f = fe[node[active]]
-                go_left = X[active, f] < th[node[active]]
-                nxt = np.where(go_left, le[node[active]], ri[node[active]])
-                node[active] = nxt
-                depth[active] += 1
-                active = fe[node] >= 0
-            total += depth + csz[node]
-        eh = total / len(bc.value)
-        return pd.Series(np.power(2.0, -eh / cn))
-
-    # nulls count as the column's median, here as in the trees; scores are written once, then cut by exact rank
+        total += depth + csz[node]
+    return total
+
+
+def isolation_forest(df: DataFrame, features: list[str], id_col: str, n_trees: int = 100, sample_size: int = 256,
+                     contamination: float = 0.05, seed: int = 42) -> DataFrame:
+    """Adds ``anomaly_score`` (= -score_samples, higher = more anomalous)
+    and ``is_outlier`` (score above the (1-contamination) quantile).  A null counts as its column's median, in the trees as in the scores."""
     fill = quantile_dict(df, features, [0.5])
-    scored = written(df.withColumn("anomaly_score", path_score(*[F.coalesce(F.col(c).cast("double"), F.lit(fill[(c, 0.5)]).cast("double"), F.lit(0.0))
-                                                                  for c in features])), "forest-scores")
+    cols = [F.coalesce(F.col(c).cast("double"), F.lit(fill[(c, 0.5)]).cast("double"), F.lit(0.0)) for c in features]
+    psi, trees = _grow_forests(df, {"all": cols}, id_col, n_trees, sample_size, seed)["all"]
+    bc, cn = df.sparkSession.sparkContext.broadcast(trees), _c(psi) or 1.0
+
+    @F.pandas_udf(T.DoubleType())
+    def path_score(*values: pd.Series) -> pd.Series:
+        own = bc.value
+        return pd.Series(np.power(2.0, -_path_lengths(own, np.column_stack([v.to_numpy(dtype=float) for v in values])) / max(len(own), 1) / cn))
+
+    # scores are written once, then cut by exact rank
+    scored = written(df.withColumn("anomaly_score", path_score(*cols)), "forest-scores")
     thr = quantile_dict(scored, ["anomaly_score"], [1 - contamination])[("anomaly_score", round(1 - contamination, 10))]
     return scored.withColumn("is_outlier", F.col("anomaly_score") > F.lit(thr))
 
 
+def column_forests(df: DataFrame, cols: list[str], id_col: str, n_trees: int = 100, sample_size: int = 256,
+                   contamination: float = 0.05, seed: int = 42) -> DataFrame:
+    """D11 per column: ``df`` with ``{c}__outlier`` for every column, null where the value is null.
+
+    One scan draws the samples of all columns and one job grows all trees.  A forest on one column is a step function of the value, so a
+    column's scores are one binary search in its table of at most 2 * trees * psi steps; all columns are scored in one Arrow pass and cut by one
+    quantile call.  Nothing is joined."""
+    forests = _grow_forests(df, {c: [F.col(c).cast("double")] for c in cols}, id_col, n_trees, sample_size, seed)
+    tables = {}
+    for c, (psi, trees) in forests.items():
+        edges = np.unique(np.concatenate([th[fe >= 0] for fe, th, *_ in trees] or [np.zeros(0)]))
+        # a value on an edge goes right: each step is [edge, next edge)
+        at = np.concatenate([[edges[0] - 1.0] if len(edges) else [0.0], edges])
+        tables[c] = edges, np.power(2.0, -_path_lengths(trees, at[:, None]) / max(len(trees), 1) / (_c(psi) or 1.0))
+    bc = df.sparkSession.sparkContext.broadcast([tables[c] for c in cols])
+
+    @F.pandas_udf("array<double>")
+    def scores(*values: pd.Series) -> pd.Series:
+        out = []
+        for (edges, steps), v in zip(bc.value, values):
+            x = v.to_numpy(dtype=float)
+            out.append(np.where(np.isnan(x), np.nan, steps[np.searchsorted(edges, x, side="right")]))
+        return pd.Series(list(np.column_stack(out)))
+
+    scored = df.withColumn("__scores", scores(*[F.col(c).cast("double") for c in cols]))
+    scored = written(scored.select(*df.columns, *[F.when(F.col(c).isNotNull(), F.get("__scores", F.lit(i))).alias(f"{c}__score") for i, c in enumerate(cols)]), "forest-scores")
+    cut = quantile_dict(scored, [f"{c}__score" for c in cols], [1 - contamination])
+    return scored.select(*df.columns, *[(F.col(f"{c}__score") > F.lit(cut[(f"{c}__score", round(1 - contamination, 10))])).alias(f"{c}__outlier") for c in cols])
+
+
 def _distance_expr(features: list[str], mu: np.ndarray, inv: np.ndarray):
     d = [F.col(f) - float(mu[i]) for i, f in enumerate(features)]
     terms = []

@@ -250,8 +250,8 @@ def handle_outliers_model(df: DataFrame, cols: list[str], method: str, id_col: s
     """D3-D8 for the model-based per-column methods: ``dbscan`` (1-D DBSCAN
     noise on the population-standardised column, eps .5, min 5) and
     ``isolation_forest`` (one forest per column, contamination .05).  Flags
-    are joined back (by value for DBSCAN — distinct values, never pairs — and
-    by id for the forest); treatments as in :func:`treat_expr` with
+    are joined back by value for DBSCAN (distinct values, never pairs) and come
+    on the row for the forests; treatments as in :func:`treat_expr` with
     mean ± 3·sd capping.  Returns (treated frame, statistics frame)."""
     if treatment not in ("none", "remove", "cap", "mean", "median"):
         raise ValueError(f"model-based methods have no treatment {treatment!r}")
@@ -266,11 +266,8 @@ def handle_outliers_model(df: DataFrame, cols: list[str], method: str, id_col: s
             nz = noise.where(F.col("column") == c).select(F.col("value").alias(f"_z_{c}"), F.lit(True).alias(f"{c}__outlier"))
             flagged = flagged.withColumn(f"_z_{c}", z).join(nz, f"_z_{c}", "left").drop(f"_z_{c}")
     elif method == "isolation_forest":
-        from .multivariate import isolation_forest
-        for c in cols:
-            f = isolation_forest(df.select(id_col, c).where(F.col(c).isNotNull()), [c], id_col,
-                                 contamination=contamination).select(id_col, F.col("is_outlier").alias(f"{c}__outlier"))
-            flagged = flagged.join(f, id_col, "left")
+        from .multivariate import column_forests
+        flagged = column_forests(df, cols, id_col, contamination=contamination)
     else:
         raise ValueError(method)
     flags = {c: F.coalesce(F.col(f"{c}__outlier"), F.lit(False)) for c in cols if f"{c}__outlier" in flagged.columns}

@@ -116,6 +116,12 @@ def growing_subsets(df: DataFrame, id_col: str, fractions=(0.1, 0.2, 0.3, 0.4, 0
     return df.withColumn("fraction", F.explode(F.filter(F.array(*sizes), lambda f: f.isNotNull())))
 
 
+def subset_since(df: DataFrame, id_col: str, fractions, seed: int = SEED, out: str = "since") -> DataFrame:
+    """The smallest of the (rising) fractions whose subset holds the row: ``growing_subsets`` as one column, without copies of rows."""
+    cuts = cutoffs(df, id_col, list(fractions), seed)
+    return df.withColumn(out, F.coalesce(*[F.when(_within(id_col, seed, cuts, k, None), F.lit(float(f))) for k, f in enumerate(fractions)]))
+
+
 def split_sql_expr(id_sql: str, frac: float = 0.2, seed: int = SEED, partition: str | None = None) -> str:
     from ..functions.ordering import hash_key_sql
     part = f"PARTITION BY {partition} " if partition else ""

@@ -11,7 +11,7 @@ from ..operators import multivariate as MV
 from ..operators import train as TR
 from ..operators.missing import impute
 from ..operators.profile import with_class_weight
-from ..operators.split import growing_subsets, kfold, train_test_split
+from ..operators.split import kfold, subset_since, train_test_split
 from ..functions.ordering import quantile_dict
 from ..operators import neighbours as NB
 from ..session import scratch_path, written
@@ -163,12 +163,13 @@ def _q_curve(s, d, parallelism: int = 4):
     from concurrent.futures import ThreadPoolExecutor
 
     import numpy as np
-    fracs = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
-    t = _standardized(s, d).where("split = 'train'")
-    parts = {f: kfold(growing_subsets(t, "encounter_id", [f]).drop("fraction"), "encounter_id", 5, stratify="label")
-             for f in fracs}
     from ..session import cut_lineage
-    parts = {f: cut_lineage(p_) for f, p_ in parts.items()}
+    fracs = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+    # rows once, with the smallest share whose subset holds them and their fold: a subset is a filter on one column.  Folds are dealt by another seed than
+    # subsets, so that every subset has rows of every fold.
+    t = kfold(_standardized(s, d).where("split = 'train'"), "encounter_id", 5, seed=43, stratify="label")
+    t = cut_lineage(subset_since(t, "encounter_id", fracs))
+    parts = {f: t.where(F.col("since") <= f) for f in fracs}
 
     def one(job):
         f, k = job
@@ -246,15 +247,23 @@ register("c2_isotonic_calibration", family="calibration")(_q_iso)
 
 
 def _q_c5(s, d):
-    """Recalibrate when the fitting half's Brier score is over .1; the other half says whether that helped."""
-    fit, judge = _rf_scores(s, d)
-    b0 = _brier(judge).collect()[0]["brier"]
-    decision, b1 = "kept (brier <= .1)", b0
-    if _brier(fit).collect()[0]["brier"] > 0.1:
+    """Recalibrate when the fitting rows' Brier score is over .1.  Three parts of the held-out rows: one fits the line, one decides whether it helps, and
+    the third, which decided nothing, gives the scores that are reported."""
+    fit, rest = _rf_scores(s, d)
+    rest = train_test_split(rest, "encounter_id", 0.5, seed=44)
+    decide, judge = rest.where("split = 'train'").drop("split"), rest.where("split = 'test'").drop("split")
+
+    def brier(df, column="score"):
+        return _brier(df, column).collect()[0]["brier"]
+
+    before = after = brier(judge)
+    decision = "kept (brier <= .1)"
+    if brier(fit) > 0.1:
         a, b = TR.fit_platt(fit)
-        b1 = _brier(TR.apply_platt(judge, a, b), "calibrated").collect()[0]["brier"]
-        decision = "recalibrated" if b1 < b0 else "kept (no gain)"
-    return s.createDataFrame([(b0, b1, decision)], "brier_before double, brier_after double, decision string")
+        decision = "kept (no gain)"
+        if brier(TR.apply_platt(decide, a, b), "calibrated") < brier(decide):
+            decision, after = "recalibrated", brier(TR.apply_platt(judge, a, b), "calibrated")
+    return s.createDataFrame([(before, after, decision)], "brier_before double, brier_after double, decision string")
 
 
 register("c5_conditional_recalibration", family="calibration")(_q_c5)

@@ -95,7 +95,7 @@ EXPECTED = ["encounter_id"] + FX.MODEL_FEATURES
 
 
 def _q_d23(s, d):
-    """Scoring-time pipeline for a table: conform to the model schema,
+    """Scoring-time pipeline for a whole table: conform to the model schema,
     fill with fills fitted on training rows, flag |z| > 3 against stored
     training statistics, score (rule) and band."""
     e = FX.scored_encounters(s, d)
@@ -104,7 +104,7 @@ def _q_d23(s, d):
     fills = fit_imputer(train, "median", cols=FX.LABS)
     st = OU.fit_reference_stats(train, FX.CONTINUOUS)
     stats = {r["column"]: (r["mean"], r["sd"]) for r in st.collect()}
-    rows = conform(sp.where("split = 'test'"), EXPECTED).drop("missing_features")
+    rows = conform(sp, EXPECTED).drop("missing_features")
     rows = apply_imputer(rows, fills)
     rows = OU.flag_against_stats(rows, stats)
     p = rule_probability("alvarado_score")
@@ -123,7 +123,7 @@ def _d23_sql():
     p = "least(greatest(alvarado_score / 10.0, 0.05), 0.95)"
     return (SC + f", sp AS ({sp}), tr AS (SELECT * FROM sp WHERE split = 'train'), fl AS (SELECT {fills} FROM tr), "
             f"st AS (SELECT {st} FROM tr) SELECT encounter_id, {p} AS probability, {risk_band_sql(p, 'app')} AS risk_band, "
-            f"{cnt} AS z_flag_count, concat_ws(',', {lst}) AS z_flagged FROM sp, fl, st WHERE split = 'test'")
+            f"{cnt} AS z_flag_count, concat_ws(',', {lst}) AS z_flagged FROM sp, fl, st")
 
 
 register("d23_scoring_pipeline", _d23_sql(), doubles=["probability"], family="pipeline")(_q_d23)

@@ -56,3 +56,15 @@ def test_student_t_two_sided_p_known_values():
     # reference values of the Student-t distribution (two-sided)
     got = t_two_sided_p([2.0, 1.0, 3.0, 0.0, 2.228138852], [10.0, 5.0, 30.0, 7.0, 10.0])
     assert got == pytest.approx([0.07338803, 0.36321744, 0.00538996, 1.0, 0.05], abs=1e-6)
+
+
+def test_subset_since_is_growing_subsets_and_every_fold_is_in_every_subset(spark):
+    from pyspark.sql import functions as F
+    from cohortlens.operators.split import growing_subsets, kfold, subset_since
+    df = spark.range(500).withColumn("label", (F.col("id") % 3 == 0).cast("int"))
+    shares = [0.1, 0.4, 1.0]
+    long = {f: {r["id"] for r in growing_subsets(df, "id", shares).where(F.col("fraction") == f).collect()} for f in shares}
+    rows = subset_since(kfold(df, "id", 5, seed=43, stratify="label"), "id", shares).collect()
+    for f in shares:
+        own = [r for r in rows if r["since"] <= f]
+        assert {r["id"] for r in own} == long[f] and {r["fold"] for r in own} == set(range(5))

@@ -207,3 +207,21 @@ def test_forest_parts(spark, folds):
     out = grid_search(folds, feats, "random_forest", grid, k=2, n_rows=150)
     assert [p for p, _, _ in out] != [] and {str(p) for p, _, _ in out} == {str(p) for p in grid} and all(0.5 < m <= 1 for _, m, _ in out)
     assert [len(g[2]) for g in staged.groups("random_forest", grid)] == [4, 4]
+
+
+def test_column_forests_equal_walked_trees(spark):
+    from cohortlens.operators import multivariate as MV
+    rng = np.random.default_rng(12)
+    x = np.column_stack([np.concatenate([rng.normal(0, 1, 570), [9.0] * 30]), rng.integers(0, 5, 600)]).astype(float)
+    df = spark.createDataFrame([(i, None if i % 20 == 7 else float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, a double, b double").repartition(3)
+    out = MV.column_forests(df, ["a", "b"], "id", n_trees=20, contamination=0.1).collect()
+    grown = MV._grow_forests(df, {c: [F.col(c)] for c in ("a", "b")}, "id", 20, 256, 42)
+    for c in ("a", "b"):
+        psi, trees = grown[c]
+        known = [r for r in out if r[c] is not None]
+        score = 2.0 ** (-MV._path_lengths(trees, np.array([[r[c]] for r in known])) / len(trees) / MV._c(psi))
+        cut = np.quantile(score, 0.9)
+        assert [r[f"{c}__outlier"] for r in known] == (score > cut).tolist()
+    assert {r["a__outlier"] for r in out if r["a"] is None} == {None}
+    far = [r["a__outlier"] for r in out if r["a"] == 9.0]
+    assert np.mean(far) > 0.9
