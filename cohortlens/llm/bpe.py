@@ -409,9 +409,10 @@ def id_bytes(path: str) -> int:
     return 2 if vocabulary_size(path) < 1 << 16 else 4  # with room for one id beyond the vocabulary
 
 
-def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Add ``ids`` (little-endian unsigned integers of ``id_bytes(path)`` bytes), ``n_tokens``
-    and, on demand, ``piece_offsets`` (first byte of every pre-token).  The text column is replaced by these."""
+    and, on demand, ``piece_offsets`` (first byte of every pre-token).  The text column is replaced by these.
+    Texts are encoded in slices of about ``slice_bytes``: larger ones share more work and hold more memory."""
     small_batches(df.sparkSession)
     shared = SharedRanks(df.sparkSession, path)
     keep = [c for c in df.columns if c not in (text, "ids", "n_tokens", "piece_offsets")]
@@ -422,7 +423,7 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False)
     def run(batches):
         ranks = shared.table(Ranks)
         for whole in batches:
-            for batch in text_slices(whole, 0, SLICE_BYTES):
+            for batch in text_slices(whole, 0, slice_bytes):
                 done = ranks.encode(batch.column(0).to_pylist())
                 cols = batch.columns[1:] + [pa.array([i for i, _ in done], pa.binary()),
                                             pa.array([len(i) // ranks.dtype.itemsize for i, _ in done], pa.int64())]

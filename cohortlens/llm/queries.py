@@ -126,7 +126,7 @@ def op3_packing(spark, sf_dir):
     """All documents' ids packed into rows of 2,048; one result row per packed row."""
     path = rank_file()
     width = bpe.id_bytes(path)
-    encoded = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    encoded = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, slice_bytes=2 << 20)
     rows = packing.rows_of(packing.pack(encoded, width, pad=bpe.vocabulary_size(path)), width)
     return rows.select("pack", "row", "doc_ids", "pieces", "cu_seqlens", F.element_at("cu_seqlens", -1).alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
