@@ -355,8 +355,8 @@ class Ranks:
         cache.update((p, ids) for p, ids in found.items() if len(p) <= CACHED_PIECE)
         return out
 
-    def encode(self, texts: list[bytes | None]) -> list[tuple[bytes, np.ndarray]]:
-        """For each text: packed ids, and byte offsets of its pieces."""
+    def encode(self, texts: list[bytes | None], offsets: bool = True) -> list[tuple[bytes, np.ndarray | None]]:
+        """For each text: packed ids, and, where wanted, byte offsets of its pieces."""
         strings = [(t or b"").decode("utf-8", "replace") for t in texts]
         joined = "\0".join(strings) + "\0"
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -376,8 +376,8 @@ class Ranks:
         ids = self.lookup(pieces)
         out, first = [], 0
         for end in np.searchsorted(starts, ends).tolist():  # where each text's separator stands
-            offsets = np.array(cut[first:end], np.int64)
-            out.append((b"".join(ids[first:end]), offsets - (offsets[0] if len(offsets) else 0)))
+            places = np.array(cut[first:end], np.int64) if offsets else None
+            out.append((b"".join(ids[first:end]), places - places[0] if offsets and len(places) else places))
             first = end + 1
         return out
 
@@ -424,7 +424,7 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False,
         ranks = shared.table(Ranks)
         for whole in batches:
             for batch in text_slices(whole, 0, slice_bytes):
-                done = ranks.encode(batch.column(0).to_pylist())
+                done = ranks.encode(batch.column(0).to_pylist(), offsets)
                 cols = batch.columns[1:] + [pa.array([i for i, _ in done], pa.binary()),
                                             pa.array([len(i) // ranks.dtype.itemsize for i, _ in done], pa.int64())]
                 names = [*keep, "ids", "n_tokens"]
