@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 from pyspark.sql import functions as F
 
@@ -60,3 +61,34 @@ def test_empty_tables_and_removal(spark, awkward, empty):
     expected = sorted(str(r["text"]) for r in awkward.collect() if brute(r["text"], rows, 10)[1] == 0)
     assert sorted(str(r["text"]) for r in kept.collect()) == expected
     assert {r["n_hit"] for r in kept.collect()} == {"x"}
+
+
+def test_items_with_text_ids_are_listed(spark, awkward):
+    items = spark.createDataFrame([("b-2", "one two"), ("a-1", "ONE two"), (None, "two")], "item_id string, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontam.contamination(awkward, items).collect()}
+    assert got[7] == got[9] == ["a-1", "b-2"] and got[5] == []
+
+
+def test_tables_stay_small():
+    """Items of 100 words from 50,000: building and keeping the tables of a block takes less than 15 times its text."""
+    r = random.Random(11)
+    rows = [(i, " ".join(f"word{r.randrange(50_000)}" for _ in range(100)).encode()) for i in range(2_000)]
+    size = sum(len(text) for _, text in rows)
+    tracemalloc.start()
+    searches = decontam.Searches(rows, 10)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert size > 1 << 20 and peak < 15 * size
+    n_words, n_hit, spans, items = searches.search([rows[3][1], None, b"word1 " * 30, rows[7][1][:400]], [(None, None)] * 4)
+    assert n_words[:3] == [100, 0, 30] and n_hit[:3] == [100, 0, 0] and items[:3] == [{3}, set(), set()] and items[3] == {7}
+    assert spans[0] == [{"first": 0, "last": 99}] and spans[1] == []
+
+
+def test_blocks_are_bounded_by_their_tables(spark):
+    items = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(40))) for i in range(60)], "item_id long, text string")
+    bound = 20_000
+    blocks = list(decontam.benchmark_blocks(items, "item_id", "text", bound))
+    assert len(blocks) > 3 and sorted(i for b in blocks for i, _ in b) == list(range(60))
+    for b in blocks:
+        words = [w for _, t in b for w in decontam.words_of(t)]
+        assert len(words) * decontam.WORD_BYTES + len(set(words)) * decontam.NEW_WORD_BYTES <= bound
