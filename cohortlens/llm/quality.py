@@ -1,8 +1,8 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are trained from good and from bad labelled text.  A text is compressed
-whole with either dictionary and with none; the normalised difference of the compressed sizes, with
-the two rates and the length beside it, goes through a logistic calibration to a score.
+whole with either dictionary; the difference of the two compressed sizes over their sum, and nothing else, goes through a
+logistic calibration to a score.
 
 The fit uses a bounded sample, the labelled rows of lowest hash: per class at most ``DICTIONARY_ROWS`` rows for the dictionaries, whose
 whole texts are cut into chunks of ``CHUNK_CHARS`` characters (beyond ``DICTIONARY_CHUNKS`` chunks a class those of lowest hash, from
@@ -37,13 +37,18 @@ SLICE_BYTES = 2 << 20
 
 
 def _dictionary(samples: list[bytes]):
-    """A trained dictionary; from too few samples their plain text."""
+    """A trained dictionary; from too few samples to train on, as many whole samples as it may hold."""
     if not any(samples):
         return b"", zstandard.DICT_TYPE_RAWCONTENT
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes(), zstandard.DICT_TYPE_FULLDICT
     except zstandard.ZstdError:
-        return b"\n".join(samples)[:DICTIONARY_BYTES], zstandard.DICT_TYPE_RAWCONTENT
+        room, taken = DICTIONARY_BYTES, []
+        for sample in samples:
+            if len(sample) < room:
+                taken.append(sample)
+                room -= len(sample) + 1
+        return b"\n".join(taken), zstandard.DICT_TYPE_RAWCONTENT
 
 
 class Compressors:
@@ -54,12 +59,12 @@ class Compressors:
             if own:
                 own.precompute_compress(level=LEVEL)
             self.each.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=own) if own else zstandard.ZstdCompressor(level=LEVEL))
-        self.each.append(zstandard.ZstdCompressor(level=LEVEL))
 
     def features(self, texts: list[bytes | None]) -> np.ndarray:
-        sizes = np.array([[len(c.compress(t or b"")) for c in self.each] + [len(t or b"") + 20] for t in texts], float).reshape(-1, 4)
-        good, bad, plain, n = sizes.T
-        return np.column_stack([(bad - good) / (bad + good), (bad - good) / n, np.log((good + 1) / n), np.log((plain + 1) / n), np.log(n)])
+        """Of each text the normalised difference of its sizes, as a matrix of one column."""
+        sizes = np.array([[len(c.compress(t or b"")) for c in self.each] for t in texts], float).reshape(-1, 2)
+        good, bad = sizes.T
+        return ((bad - good) / (bad + good))[:, None]
 
 
 def _compressors(key, shared) -> Compressors:

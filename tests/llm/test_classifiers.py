@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from cohortlens.llm import fitting, quality, toxicity
@@ -56,6 +57,25 @@ def test_quality_on_held_out_labels(marked):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_quality_scores_against_plain_compression(marked):
+    """Every score is the logistic of one number: the difference of the two compressed sizes over their sum."""
+    docs, labels, _ = marked
+    model = quality.fit(docs, labels)
+    assert model["weights"].shape == (2,) and model["mean"].shape == (1,)
+    sides = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(data, dict_type=kind)) for data, kind in model["dictionaries"]]
+    rows = quality.score(docs.withColumn("copy", F.col("text")), model).collect()
+    for r in rows[:400]:
+        good, bad = (len(c.compress((r["copy"] or "").encode())) for c in sides)
+        z = ((bad - good) / (bad + good) - model["mean"][0]) / model["sd"][0]
+        assert abs(r["score"] - 1 / (1 + np.exp(-(np.clip(z, -8, 8) * model["weights"][0] + model["weights"][1])))) < 1e-9
+
+
+def test_dictionary_of_few_samples_holds_whole_samples(monkeypatch):
+    monkeypatch.setattr(quality, "DICTIONARY_BYTES", 300)
+    data, _ = quality._dictionary([b"a" * 250, b"b" * 200, b"c" * 20])
+    assert data == b"a" * 250 + b"\n" + b"c" * 20
+
+
 def test_dictionaries_learn_from_whole_texts(spark, monkeypatch):
     """The marks of quality stand after 4,000 characters only; every chunk is taught, or, above the bound, some of every depth."""
     def text(i):
