@@ -1,16 +1,17 @@
 """Sharding by longest-processing-time scheduling.
 
-Rows with equal texts form a group that stays together.  Items are scheduled from the
-largest to the smallest, each onto the least loaded shard, through a heap.  An item is
+Rows with equal texts form a group that stays together.  All groups are scheduled from the
+largest to the smallest, each onto the least loaded shard, through a heap.
 
-* a group of at least ``total / (shards * FINE)`` bytes, of which at most ``shards * FINE`` can exist, or
-* a bundle of smaller groups, chosen by their digest: level j holds every 2**-(j+1)-th small group, cut
-  into ``BUNDLES`` bundles, so that bundles shrink geometrically and the last ones even out what the
-  first ones left.  There are at most ``LEVELS * BUNDLES`` bundles.
+Groups of one size are alike to the schedule, so it runs over (size, number of groups): the shards that lie less than one size above
+the least loaded one take a group each in turn, round after round, until another shard comes within reach or the groups
+end.  That is the order in which the heap would hand out the groups one by one, ties by shard number.  The driver holds one entry for each
+distinct size of a group: at most sqrt(2 * total bytes), as sizes differ (14 million for 100 TB), and far fewer in practice.
 
-So the schedule's size is bounded whatever the corpus holds, the same rule applies at
-every size, and rows learn their shard from two small tables.  Slots count within a shard through
-buckets of about ``BUCKET_ROWS`` rows, offset by the buckets before them.
+Groups learn their number within their size through buckets of about ``BUCKET_ROWS`` groups, offset by the buckets before them, and
+from it their shard.  Rows learn it from their group: groups of at least ``total / (shards * FINE)`` bytes, of which at
+most ``shards * FINE`` can exist, are broadcast, so that no key of the join over the others is hot.  Slots count within a shard
+through buckets as well.
 
 Defined cases: a null text has no bytes, its crc32 is that of no bytes, and null texts are one group; repeated rows
 keep separate slots; rows are ordered by (id, crc, size) inside a bucket, so that equal rows may swap; an empty table gives no rows.
@@ -27,29 +28,32 @@ from .common import shared_table, utf8
 
 ROW_OVERHEAD = 8
 FINE = 1024
-LEVELS = 20
-BUNDLES = 512
 BUCKET_ROWS = 20_000
 
 
-def schedule(items: list[tuple[int, object]], shards: int) -> dict:
-    """Longest-processing-time rule: items (size, key), largest first, onto the least loaded shard."""
-    loads = [(0, s) for s in range(shards)]
-    placed = {}
-    for size, key in sorted(items, key=lambda x: (-x[0], str(x[1]))):
-        load, shard = heapq.heappop(loads)
-        placed[key] = shard
-        heapq.heappush(loads, (load + size, shard))
+def schedule(sizes: list[tuple[int, int]], shards: int) -> dict[int, list[tuple[int, int, list[int]]]]:
+    """Longest-processing-time rule over (size, number of groups): per size the runs (first group, one after the last, shards that take them in
+    turn)."""
+    heap = [(0, s) for s in range(shards)]
+    placed: dict = {}
+    for size, n in sorted(sizes, reverse=True):
+        runs, done = placed.setdefault(size, []), 0
+        while done < n:
+            turn = [heapq.heappop(heap)]
+            least = turn[0][0]
+            while heap and heap[0][0] < least + size:
+                turn.append(heapq.heappop(heap))
+            rounds = (n - done) // len(turn)
+            if heap:
+                rounds = min(rounds, (heap[0][0] - least) // size)
+            take = rounds * len(turn) or min(n - done, len(turn))
+            runs.append((done, done + take, [s for _, s in turn]))
+            for k, (load, s) in enumerate(turn):
+                heapq.heappush(heap, (load + size * (take // len(turn) + (k < take % len(turn))), s))
+            done += take
     return placed
 
 
-def _bundle(digest):
-    """Bundle of a small group: its level is the number of trailing zero bits of one hash, its place in the level another's remainder."""
-    h = F.xxhash64(digest)
-    level = F.coalesce(*[F.when(h.bitwiseAND(F.lit(1 << j)) != 0, F.lit(j)) for j in range(LEVELS - 1)], F.lit(LEVELS - 1))
-    return level * BUNDLES + F.pmod(F.xxhash64(digest, F.lit(1)), F.lit(BUNDLES)).cast("int")
-
-
 def shard_documents(df: DataFrame, shards: int = 24, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row_id, size, text_crc32, shard, slot) for every row; sizes of shards are near equal."""
     spark = df.sparkSession
@@ -60,27 +64,33 @@ def shard_documents(df: DataFrame, shards: int = 24, row_id: str = "doc_id", tex
     groups = shared_table(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     least = max(1, -(-total // (shards * FINE)))
-    large = groups.filter(F.col("bytes") >= least)
-    bundles = groups.filter(F.col("bytes") < least).groupBy(_bundle(F.col("digest")).alias("bundle")).agg(F.sum("bytes").alias("bytes"))
-    items = [(r["bytes"], r["digest"]) for r in large.collect()] + [(r["bytes"], r["bundle"]) for r in bundles.collect()]
-    placed = schedule(items, shards)
-    by_group = spark.createDataFrame([(k, s) for k, s in placed.items() if isinstance(k, str)], "digest string, own int")
-    by_bundle = spark.createDataFrame([(k, s) for k, s in placed.items() if not isinstance(k, str)], "bundle int, common int")
-    # at most shards * FINE and LEVELS * BUNDLES rows
-    sharded = (rows.join(F.broadcast(by_group), "digest", "left").withColumn("bundle", _bundle(F.col("digest")))
-               .join(F.broadcast(by_bundle), "bundle", "left").withColumn("shard", F.coalesce("own", "common")))
+    sizes = [(r["bytes"], r["n"]) for r in groups.groupBy("bytes").agg(F.count("*").alias("n")).collect()]  # one entry a distinct size
+    runs = spark.createDataFrame(list(schedule(sizes, shards).items()), "bytes long, runs array<struct<first:long,after:long,turn:array<int>>>")
+    ranked = numbered(groups, ["bytes"], ["digest"], ["digest"], "rank", runs)
+    run = F.filter("runs", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") < r["after"]))[0]
+    homes = (ranked.withColumn("run", run)
+             .select("digest", "bytes", F.expr("run.turn[cast((rank - run.first) % size(run.turn) as int)]").alias("shard")))
+    homes = shared_table(homes, "shard-homes")
+    large = F.broadcast(homes.filter(F.col("bytes") >= least).select("digest", "shard"))  # at most shards * FINE rows
+    small = homes.filter(F.col("bytes") < least).select("digest", "shard")
+    sharded = rows.join(large, "digest").unionByName(rows.join(large, "digest", "left_anti").join(small, "digest"))
     return with_slots(sharded.select(row_id, "size", "text_crc32", "shard"), "shard", row_id)
 
 
+def numbered(rows: DataFrame, key: list[str], spread: list[str], order: list[str], into: str, more: DataFrame | None = None) -> DataFrame:
+    """Add ``into``: numbers from 0 without gaps among the rows of a key, without sorting a key in one task; and the columns of ``more``, one row a key."""
+    buckets = -(-rows.count() // BUCKET_ROWS) or 1
+    cut = rows.withColumn("__bucket", F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy(*key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (cut.groupBy(*key, "__bucket").agg(F.count("*").alias("__n"))
+               .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n"))
+    if more is not None:
+        offsets = offsets.join(more, key)
+    inside = Window.partitionBy(*key, "__bucket").orderBy(*order)
+    return (cut.withColumn("__k", F.row_number().over(inside) - 1).join(offsets, [*key, "__bucket"])
+            .withColumn(into, (F.col("__before") + F.col("__k")).cast("long")).drop("__bucket", "__k", "__before"))
+
+
 def with_slots(rows: DataFrame, shard: str, row_id: str) -> DataFrame:
-    """Add ``slot``: numbers from 0 without gaps inside each shard, without sorting a shard in one task."""
-    n = rows.count()
-    buckets = -(-n // BUCKET_ROWS) or 1
-    cut = rows.withColumn("__bucket", F.pmod(F.xxhash64(row_id, "text_crc32"), F.lit(buckets)).cast("int"))
-    counts = cut.groupBy(shard, "__bucket").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(shard).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(shard, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(shard, "__bucket").orderBy(row_id, "text_crc32", "size")
-    numbered = cut.withColumn("__k", F.row_number().over(inside) - 1)
-    return (numbered.join(offsets, [shard, "__bucket"]).withColumn("slot", (F.col("__before") + F.col("__k")).cast("long"))
-            .drop("__bucket", "__k", "__before"))
+    """Add ``slot``: numbers from 0 without gaps inside each shard."""
+    return numbered(rows, [shard], [row_id, "text_crc32"], [row_id, "text_crc32", "size"], "slot")

@@ -88,5 +88,42 @@ def test_shards_are_near_equal_and_groups_stay(spark):
     assert max(load.values()) - min(load.values()) <= 600
 
 
-def test_schedule_places_the_largest_first():
-    assert sharding.schedule([(1, "a"), (5, "b"), (4, "c"), (3, "d"), (3, "e")], 2) in ({"b": 0, "c": 1, "d": 1, "e": 0, "a": 1},)
+def plain_schedule(sizes, shards):
+    """Loads after handing out the groups one by one, each to the least loaded shard, ties by number; and each size's shards in order."""
+    load, homes = [0] * shards, collections.defaultdict(list)
+    for size in sorted(sizes, reverse=True):
+        s = min(range(shards), key=lambda k: (load[k], k))
+        load[s] += size
+        homes[size].append(s)
+    return load, homes
+
+
+def test_schedule_against_one_group_at_a_time():
+    r = random.Random(9)
+    for _ in range(400):
+        shards = r.randint(1, 6)
+        sizes = [r.choice([1, 2, 3, 7, 8, 40, r.randint(1, 500)]) for _ in range(r.randint(0, 120))] + [r.randint(1, 4000)] * r.randint(0, 2)
+        got = sharding.schedule(list(collections.Counter(sizes).items()), shards)
+        spelled = {}
+        for size, runs in got.items():
+            assert [a for a, _, _ in runs] == [0, *(z for _, z, _ in runs[:-1])]
+            spelled[size] = [turn[k % len(turn)] for a, z, turn in runs for k in range(z - a)]
+        assert spelled == plain_schedule(sizes, shards)[1]
+
+
+def test_a_hot_group_leaves_few_runs():
+    got = sharding.schedule([(10**9, 1), *((s, 50_000) for s in range(1, 200))], 24)
+    assert sum(len(runs) for runs in got.values()) < 200 * 24
+
+
+def test_shards_have_the_loads_of_the_plain_schedule(spark, monkeypatch):
+    r = random.Random(6)
+    texts = ["z" * r.randint(0, 90) + str(r.randrange(500)) for _ in range(2000)] + ["copy"] * 1000 + [None] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = collections.Counter(texts)
+    for bucket in (sharding.BUCKET_ROWS, 100):
+        monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket)
+        rows = sharding.shard_documents(df, 7).collect()
+        assert len(rows) == len(texts)
+        load = check_shards(rows, dict(enumerate(texts)), 7)
+        assert [load[s] for s in range(7)] == plain_schedule([(len(t or "") + 8) * n for t, n in groups.items()], 7)[0]
