@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import stack_long
+
 # Storage width in bytes per value, by type name.
 WIDTH = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8,
          "decimal(20,0)": 16, "timestamp": 8, "timestamp_ntz": 8, "boolean": 1, "date": 4}
@@ -32,6 +34,18 @@ def _int_rule(mn, mx) -> str:
     return next(name for name, top in (UNSIGNED if mn >= 0 else SIGNED) if top is None or (mx < top and (mn >= 0 or mn > -top)))
 
 
+LONG_VALUE = 64
+
+
+def _distinct_counts(df: DataFrame, cols: list[str]) -> dict:
+    """{column: number of distinct non-null values} of text columns."""
+    if not cols:
+        return {}
+    short = F.when(F.octet_length("value") > LONG_VALUE, F.concat(F.lit("#"), F.sha2("value", 256))).otherwise(F.concat(F.lit("="), "value"))
+    pairs = stack_long(df, cols, "string").where(F.col("value").isNotNull()).groupBy("column", short.alias("value")).agg(F.lit(1).alias("one"))
+    return {r["column"]: r["n"] for r in pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 PLAN_SCHEMA = ("column string, original_type string, new_type string, spark_type string, bytes_before bigint, "
                "bytes_after bigint, saved_bytes bigint, pct_zero double, sparse_candidate boolean")
 
@@ -39,8 +53,10 @@ PLAN_SCHEMA = ("column string, original_type string, new_type string, spark_type
 def narrowing_plan(df: DataFrame, aggressive: bool = False, exclude: list[str] | tuple = ()) -> DataFrame:
     """D18 (and D19 when ``aggressive``): (column, original_type, new_type,
     spark_type, bytes_before, bytes_after, saved_bytes, pct_zero,
-    sparse_candidate).  All statistics come from ONE aggregate over the
-    table; the per-column rule is then applied to that single row."""
+    sparse_candidate).  All statistics but distinct counts come from ONE aggregate
+    over the table; distinct values of text columns are counted as (column, value)
+    pairs, combined before the shuffle, with a digest in place of a long value.  The per-column rule is
+    then applied to that single row."""
     types = {c: t for c, t in df.dtypes if c not in exclude}
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c, t in types.items():
@@ -51,8 +67,9 @@ def narrowing_plan(df: DataFrame, aggressive: bool = False, exclude: list[str] |
         if t in FLOAT_TYPES and aggressive:
             aggs.append(F.max(F.length(F.split_part(x.cast("string"), F.lit("."), F.lit(2)))).alias(f"{c}__dec"))
         elif t == "string":
-            aggs += [F.count_distinct(x).alias(f"{c}__nd"), F.sum(F.octet_length(x)).alias(f"{c}__len")]
+            aggs.append(F.sum(F.octet_length(x)).alias(f"{c}__len"))
     row = df.agg(*aggs).collect()[0]
+    distinct = _distinct_counts(df, [c for c, t in types.items() if t == "string"])
     rows = row["_rows"]
     out = []
     for c, t in types.items():
@@ -67,7 +84,7 @@ def narrowing_plan(df: DataFrame, aggressive: bool = False, exclude: list[str] |
             else:
                 new = "float32"
         elif t == "string":
-            new = "category" if rows and row[f"{c}__nd"] / rows < 0.5 else "object"
+            new = "category" if rows and distinct.get(c, 0) / rows < 0.5 else "object"
         else:
             new = t
         spark_t = SPARK_OF.get(new, new)

@@ -3,12 +3,14 @@
 Points are dealt to the nearest of a few pivots (rows of lowest hash); a cell is kept in blocks of at most about
 ``BLOCK_ROWS`` points, so that a heavy cell is many blocks.  The k-th distance inside a point's own block bounds its true k-th
 distance r.  By the triangle inequality a cell of radius R around pivot p can hold a closer point only if
-d(x, p) - R <= r; a block meets exactly the blocks that one of its points cannot rule out, and only neighbours
-within r leave.  Nothing is approximate and no candidate count is fixed.
+d(x, p) - R <= r; a point travels only to the cells that it cannot rule out, packed with the others of its block that go there, and
+only neighbours within r leave.  Pivots grow with the root of the number of points.  Nothing is approximate and no candidate count is fixed.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,7 +19,6 @@ from pyspark.sql import functions as F
 from ..session import written
 
 BLOCK_ROWS = 1024
-MOST_PIVOTS = 1024
 AT_ONCE = 64
 
 NEIGHBOURS = pa.schema([("id", pa.int64()), ("nbr", pa.int64()), ("dist", pa.float64())])
@@ -43,7 +44,7 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 20, block_rows: int =
         F.col("id").isNotNull() & F.col("v").isNotNull()).where(~F.exists("v", lambda x: x.isNull()))
     first = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
     n, dim = first["n"], first["dim"] or 0
-    pivots = [r["v"] for r in points.orderBy(F.xxhash64("id"), "id").limit(max(1, min(MOST_PIVOTS, n // block_rows))).collect()]
+    pivots = [r["v"] for r in points.orderBy(F.xxhash64("id"), "id").limit(max(1, min(isqrt(n), n // block_rows))).collect()]
     centres = np.array(pivots, dtype=float).reshape(-1, dim)
 
     def assign(batches):
@@ -58,8 +59,8 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 20, block_rows: int =
     radius = {r["cell"]: r["radius"] for r in sizes}
     if not parts:
         return spark.createDataFrame([], "id long, nbr long, dist double, rank int")
-    blocks_of = F.create_map(*[x for c, p in parts.items() for x in (F.lit(c), F.lit(p))])
-    number = cells.withColumn("part", F.pmod(F.xxhash64("id"), blocks_of[F.col("cell")]).cast("int"))
+    blocks_of = F.lit([parts.get(c, 0) for c in range(max(parts) + 1)])  # one number per pivot
+    number = cells.withColumn("part", F.pmod(F.xxhash64("id"), F.get(blocks_of, F.col("cell"))).cast("int"))
     order = sorted(radius)
     radii, live = np.array([radius[c] for c in order]), centres[order]
 
@@ -68,15 +69,24 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 20, block_rows: int =
         d = _distances(x, x)
         d[np.arange(len(x)), np.arange(len(x))] = np.inf
         bound = np.sort(d, axis=1)[:, k - 1] if len(x) > k else np.full(len(x), np.inf)
-        near = _distances(x, live) - radii <= bound[:, None] * (1 + 1e-9) + 1e-9
-        targets = [c for c, any_ in zip(order, near.any(axis=0)) if any_]
         return pa.table({"cell": t.column("cell")[:1], "part": t.column("part")[:1], "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
-                         "x": pa.array([x.astype("<f8").tobytes()], pa.binary()), "bound": pa.array([bound.astype("<f8").tobytes()], pa.binary()),
-                         "targets": pa.array([targets], pa.list_(pa.int32()))})
+                         "x": pa.array([x.astype("<f8").tobytes()], pa.binary()), "bound": pa.array([bound.astype("<f8").tobytes()], pa.binary())})
+
+    blocks = written(number.groupBy("cell", "part").applyInArrow(block, "cell int, part int, ids binary, x binary, bound binary"), "knn-blocks")
 
-    blocks = written(number.groupBy("cell", "part").applyInArrow(block, "cell int, part int, ids binary, x binary, bound binary, targets array<int>"), "knn-blocks")
-    asking = (blocks.select("ids", "x", "bound", F.explode("targets").alias("cell"))
-              .withColumn("part", F.explode(F.sequence(F.lit(0), (blocks_of[F.col("cell")] - 1).cast("int")))))
+    def requests(batches):
+        """Of each block and each cell that some of its points cannot rule out, these points."""
+        for b in batches:
+            for row in b.to_pylist():
+                ids, x, bound = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["x"], "<f8").reshape(-1, dim), np.frombuffer(row["bound"], "<f8")
+                near = _distances(x, live) - radii <= bound[:, None] * (1 + 1e-9) + 1e-9
+                for k in np.flatnonzero(near.any(axis=0)):
+                    ask = near[:, k]
+                    yield pa.RecordBatch.from_arrays([pa.array([order[k]], pa.int32()), *(pa.array([v[ask].tobytes()], pa.binary()) for v in (ids, x, bound))],
+                                                     ["cell", "ids", "x", "bound"])
+
+    asking = (blocks.select("ids", "x", "bound").mapInArrow(requests, "cell int, ids binary, x binary, bound binary")
+              .withColumn("part", F.explode(F.sequence(F.lit(0), F.get(blocks_of, F.col("cell")) - 1))))
     holding = blocks.select("cell", "part", F.col("ids").alias("held"), F.col("x").alias("y"))
 
     def nearest(batches):
@@ -85,12 +95,11 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 20, block_rows: int =
                 ids, held = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["held"], "<i8")
                 x, y = (np.frombuffer(row[c], "<f8").reshape(-1, dim) for c in ("x", "y"))
                 bound = np.frombuffer(row["bound"], "<f8")
-                own = np.flatnonzero(_distances(x, centres[row["cell"]][None, :])[:, 0] - radius[row["cell"]] <= bound * (1 + 1e-9) + 1e-9)
-                d = _distances(x[own], y)
-                d[ids[own][:, None] == held[None, :]] = np.inf
-                kth = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(own), np.inf)
-                q, h = np.nonzero((d <= np.minimum(bound[own], kth)[:, None]) & np.isfinite(d))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own][q]), pa.array(held[h]), pa.array(d[q, h])], schema=NEIGHBOURS)
+                d = _distances(x, y)
+                d[ids[:, None] == held[None, :]] = np.inf
+                kth = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(ids), np.inf)
+                q, h = np.nonzero((d <= np.minimum(bound, kth)[:, None]) & np.isfinite(d))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(held[h]), pa.array(d[q, h])], schema=NEIGHBOURS)
 
     found = asking.join(holding, ["cell", "part"]).select("cell", "ids", "x", "bound", "held", "y").mapInArrow(nearest, "id long, nbr long, dist double")
     w = Window.partitionBy("id").orderBy("dist", "nbr")

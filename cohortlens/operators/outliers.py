@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.ordering import quantile_dict, running_sum, stack_long
 from ..functions.scalar import clip
 from ..functions.stats import column_stats
+from ..session import written
 
 Q_PROBS = {"iqr": [0.25, 0.75], "percentile": [0.01, 0.99]}
 
@@ -202,6 +203,28 @@ def dbscan_noise_counts(df: DataFrame, cols: list[str], eps: float = 0.5, min_sa
                                    .alias("n_noise"))
 
 
+def dbscan_noise_ranges(df: DataFrame, cols: list[str], eps: float = 0.5, min_samples: int = 5) -> dict[str, list[tuple[float, float]]]:
+    """{column: [(lowest, highest)]}: the runs of noise values that no other value lies between, on the population-standardised scale.
+
+    Two runs are parted by a core value and all within eps of it.  With n rows the standardised values' squares sum to n, and each such core has
+    ``min_samples`` rows about it, so that there are at most about 2 * (3 n / min_samples)^(1/3) runs a column: some 17,000 for 10^12 rows."""
+    values = written(dbscan_noise_values(df, cols, eps, min_samples), "dbscan-values")
+    clean = running_sum(values.withColumn("clean", (~F.col("noise")).cast("bigint")), ["value"], ["clean"], ["column"])
+    runs = clean.where("noise").groupBy("column", "cum_clean").agg(F.min("value").alias("low"), F.max("value").alias("high")).collect()
+    out: dict = {}
+    for r in sorted(runs, key=lambda r: (r["column"], r["low"])):
+        out.setdefault(r["column"], []).append((r["low"], r["high"]))
+    return out
+
+
+def in_ranges(x: Column, ranges: list[tuple[float, float]]) -> Column:
+    """True where x lies in one of the ranges; false for null."""
+    if not ranges:
+        return F.lit(False)
+    lows, highs = (F.lit([r[k] for r in ranges]) for k in (0, 1))
+    return F.coalesce(F.exists(F.arrays_zip(lows.alias("low"), highs.alias("high")), lambda r: (x >= r["low"]) & (x <= r["high"])), F.lit(False))
+
+
 # ---- D16 / D17 --------------------------------------------------------------
 
 def treat_flagged_rows(df: DataFrame, flag_col: str, cols: list[str], treatment: str = "median",
@@ -250,21 +273,16 @@ def handle_outliers_model(df: DataFrame, cols: list[str], method: str, id_col: s
     """D3-D8 for the model-based per-column methods: ``dbscan`` (1-D DBSCAN
     noise on the population-standardised column, eps .5, min 5) and
     ``isolation_forest`` (one forest per column, contamination .05).  Flags
-    are joined back by value for DBSCAN (distinct values, never pairs) and come
-    on the row for the forests; treatments as in :func:`treat_expr` with
+    come on the row: for DBSCAN by the few ranges of noise values, without a join; treatments as in :func:`treat_expr` with
     mean ± 3·sd capping.  Returns (treated frame, statistics frame)."""
     if treatment not in ("none", "remove", "cap", "mean", "median"):
         raise ValueError(f"model-based methods have no treatment {treatment!r}")
     st = column_stats(df, cols, ["mean", "std_samp", "std_pop"])
     flagged = df
     if method == "dbscan":
-        noise = dbscan_noise_values(df, cols).where("noise").select("column", "value")
-        for c in cols:
-            if st[c]["std_pop"] in (None, 0):
-                continue
-            z = (F.col(c) - F.lit(st[c]["mean"])) / F.lit(st[c]["std_pop"])
-            nz = noise.where(F.col("column") == c).select(F.col("value").alias(f"_z_{c}"), F.lit(True).alias(f"{c}__outlier"))
-            flagged = flagged.withColumn(f"_z_{c}", z).join(nz, f"_z_{c}", "left").drop(f"_z_{c}")
+        ranges = dbscan_noise_ranges(df, cols)
+        z = {c: (F.col(c) - F.lit(st[c]["mean"])) / F.lit(st[c]["std_pop"]) for c in cols if st[c]["std_pop"] not in (None, 0)}
+        flagged = df.select("*", *[in_ranges(z[c], ranges.get(c, [])).alias(f"{c}__outlier") for c in z])
     elif method == "isolation_forest":
         from .multivariate import column_forests
         flagged = column_forests(df, cols, id_col, contamination=contamination)

@@ -75,7 +75,7 @@ def _q_d22(s, d):
     e = FX.scored_encounters(s, d)
     keys = ["encounter_id", "patient_id", "seen_at", FX.TARGET]
     imp = apply_imputer(e, fit_imputer(e, "median", exclude=keys))
-    nar = apply_narrowing(imp, narrowing_plan(imp, exclude=keys + FX.CONTINUOUS))   # keep declared double types
+    nar = apply_narrowing(imp, narrowing_plan(imp, exclude=[FX.TARGET]))
     capped, _ = OU.handle_outliers(nar, FX.CONTINUOUS, "iqr", "cap")
     sp = train_test_split(capped, "encounter_id", 0.2, stratify=FX.TARGET)
     path = scratch_path(s, "d22")
@@ -86,7 +86,8 @@ def _q_d22(s, d):
 
 
 register("d22_preprocess_pipeline",
-         SC + f", imp AS ({median_fill('scored', FX.LABS)}), cap AS ({iqr_cap('imp', FX.CONTINUOUS)}), "
+         SC + f", imp AS ({median_fill('scored', FX.LABS)}), nar AS (SELECT * REPLACE ("
+         + ", ".join(f"CAST(CAST({c} AS REAL) AS DOUBLE) AS {c}" for c in FX.CONTINUOUS) + f") FROM imp), cap AS ({iqr_cap('nar', FX.CONTINUOUS)}), "
          f"sp AS (SELECT *, {split_sql_expr('encounter_id', 0.2, partition='appendicitis')} AS split FROM cap) "
          "SELECT split, appendicitis, count(*) AS n, avg(duration) AS mean_duration, avg(white_blood_cell_count) AS mean_wbc "
          "FROM sp GROUP BY 1, 2", doubles=["mean_duration", "mean_wbc"], family="pipeline")(_q_d22)

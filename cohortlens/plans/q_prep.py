@@ -218,29 +218,39 @@ register("d12_dbscan_noise", _dbscan_sql(), family="outliers")(
     lambda s, d: OU.dbscan_noise_counts(FX.scored_encounters(s, d), DB))
 
 
-def _q_d16(s, d):
-    from ..functions.ordering import stack_long
-    e = enc(s, d)
-    b = OU.fit_bounds(e, FX.CONTINUOUS, "iqr", need_center=False)
-    flag = F.lit(False)
-    for c in FX.CONTINUOUS:
-        flag = flag | OU.flag_expr(c, b[c], "iqr")
-    out = OU.treat_flagged_rows(e.withColumn("_flag", flag), "_flag", FX.CONTINUOUS, "median")
-    return stack_long(out, FX.CONTINUOUS).groupBy("column").agg(F.avg("value").alias("mean"),
-                                                                  F.max("value").alias("max"))
+def _d16(treatment):
+    """Rows that any column's IQR fences flag, treated as whole rows."""
+    def q(s, d):
+        from ..functions.ordering import stack_long
+        e = enc(s, d)
+        b = OU.fit_bounds(e, FX.CONTINUOUS, "iqr", need_center=False)
+        flag = F.lit(False)
+        for c in FX.CONTINUOUS:
+            flag = flag | OU.flag_expr(c, b[c], "iqr")
+        out = OU.treat_flagged_rows(e.withColumn("_flag", flag), "_flag", FX.CONTINUOUS, treatment)
+        return stack_long(out, FX.CONTINUOUS).groupBy("column").agg(
+            *([] if treatment == "median" else [F.count("value").alias("n")]), F.avg("value").alias("mean"), F.max("value").alias("max"))
+    return q
 
 
-def _d16_sql():
+def _d16_sql(treatment):
     cols = FX.CONTINUOUS
     stats = ", ".join(f"b_{c} AS ({_stats_cte('iqr', [c])})" for c in cols)
-    joined = "encounters" + "".join(f", b_{c}" for c in cols)
+    moments = "mo AS (SELECT " + ", ".join(f"avg({c}) AS avg_{c}, stddev_samp({c}) AS dev_{c}" for c in cols) + " FROM encounters)"
+    joined = "encounters, mo" + "".join(f", b_{c}" for c in cols)
     flag = " OR ".join(_flag_sql("iqr", c) for c in cols)
-    sel = ", ".join(f"CASE WHEN {flag} THEN med_{c} ELSE {c} END AS {c}" for c in cols)
-    return ENC + ", " + stats + f", t AS (SELECT {sel} FROM {joined}) " + per_col(
-        cols, "SELECT '{c}' AS \"column\", avg({c}) AS mean, CAST(max({c}) AS DOUBLE) AS max FROM t")
-
-
-register("d16_treat_flagged_rows", _d16_sql(), doubles=["mean", "max"], family="outliers")(_q_d16)
+    value = {"median": "med_{c}", "mean": "avg_{c}", "remove": "{c}",
+             "cap": "CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest({c}, avg_{c} - 3 * dev_{c}), avg_{c} + 3 * dev_{c}) END"}[treatment]
+    sel = ", ".join(f"CASE WHEN {flag} THEN {value.format(c=c)} ELSE {c} END AS {c}" for c in cols)
+    where = f" WHERE NOT coalesce({flag}, false)" if treatment == "remove" else ""
+    n = "" if treatment == "median" else "count({c}) AS n, "
+    return ENC + f", {moments}, {stats}, t AS (SELECT {sel} FROM {joined}{where}) " + per_col(
+        cols, "SELECT '{c}' AS \"column\", " + n + "avg({c}) AS mean, CAST(max({c}) AS DOUBLE) AS max FROM t")
+
+
+for _treatment, _name in [("median", "d16_treat_flagged_rows"), ("mean", "d16_flagged_rows_mean"), ("cap", "d16_flagged_rows_cap"),
+                          ("remove", "d16_flagged_rows_remove")]:
+    register(_name, _d16_sql(_treatment), doubles=["mean", "max"], family="outliers")(_d16(_treatment))
 
 
 def _q_d17(s, d):

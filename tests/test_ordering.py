@@ -74,6 +74,34 @@ def test_dbscan_noise_matches_brute_force(spark):
     assert n_noise == sum(noise)
 
 
+def test_dbscan_flags_by_ranges_match_brute_force(spark):
+    """Rows are flagged by ranges of noise values: no join, nulls are no outliers, a constant column has none, repeated values count once a row."""
+    from cohortlens.operators.outliers import dbscan_noise_ranges, handle_outliers_model
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, 150), rng.normal(20, 1, 150), [8.0, 8.0, 9.5, -17.0, 40.0, 12.0]]).round(2)
+    rows = [(i, float(v), 1.0) for i, v in enumerate(x)] + [(1000 + i, None, 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, x double, flat double").repartition(3)
+    z = (x - x.mean()) / x.std()
+    core = np.array([(np.abs(z - v) <= 0.5).sum() for v in z]) >= 5
+    noise = np.array([not core[i] and not core[np.abs(z - z[i]) <= 0.5].any() for i in range(len(z))])
+    assert 0 < noise.sum() < 10
+    ranges = dbscan_noise_ranges(df, ["x", "flat"])
+    assert set(ranges) == {"x"} and len(ranges["x"]) == 1 + (np.diff(np.flatnonzero(noise[np.argsort(z)])) > 1).sum()
+    kept, stats = handle_outliers_model(df, ["x", "flat"], "dbscan", "id", "remove")
+    assert {r["id"] for r in kept.collect()} == {r[0] for r in rows} - set(np.flatnonzero(noise).tolist())
+    got = {r["column"]: r["n_outliers"] for r in stats.collect()}
+    assert got["x"] == noise.sum()
+    assert "Join" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_counts_of_short_and_long_values(spark):
+    from cohortlens.operators.narrow import narrowing_plan
+    rows = [("k" * 200 + str(i % 3), f"v{i}", None) for i in range(10)]
+    df = spark.createDataFrame(rows, "long_text string, own string, nothing string")
+    plan = {r["column"]: r["new_type"] for r in narrowing_plan(df).collect()}
+    assert plan == {"long_text": "category", "own": "object", "nothing": "category"}
+
+
 def test_running_sum_keeps_null_keys(spark):
     from cohortlens.functions.ordering import running_sum
     rng = np.random.default_rng(11)
