@@ -356,6 +356,20 @@ def _q_ensemble(s, d):
 register("d15_ensemble_vote", family="outliers")(_q_ensemble)
 
 
+def _q_ensemble_checks(s, d):
+    """What holds of the vote whatever the samples: every row has one, distances and factors are cut by exact rank, forest scores (which may tie at the cut) flag no more
+    than that, and the union lies between its largest part and their sum."""
+    j = ensemble_flags(FX.encounters(s, d), FX.CONTINUOUS, "encounter_id")
+    a = j.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("mcd").alias("n_mcd"), F.count_if("lof").alias("n_lof"), F.count_if("iforest").alias("n_forest"),
+              F.count_if(F.col("mcd") | F.col("lof") | F.col("iforest")).alias("n_any"))
+    return a.select("n_rows", "n_mcd", "n_lof", ((F.col("n_forest") > 0) & (F.col("n_forest") <= F.col("n_mcd"))).alias("forest_ok"),
+                    F.col("n_any").between(F.greatest("n_mcd", "n_lof", "n_forest"), F.col("n_mcd") + F.col("n_lof") + F.col("n_forest")).alias("union_ok"))
+
+
+register("d15_ensemble_checks", FX.with_views("encounters") + "SELECT count(*) AS n_rows, count(*) - 1 - CAST(floor((count(*) - 1) * 0.95) AS BIGINT) AS n_mcd, "
+         "count(*) - 1 - CAST(floor((count(*) - 1) * 0.95) AS BIGINT) AS n_lof, true AS forest_ok, true AS union_ok FROM encounters", family="outliers")(_q_ensemble_checks)
+
+
 def _q_pipeline(s, d):
     from pyspark.ml.functions import vector_to_array
     t = training_frame(s, d)
@@ -396,6 +410,26 @@ def _q_pca_proj(s, d):
 register("e22_pca_projection", family="features")(_q_pca_proj)
 
 
+def _q_pca_moments(s, d):
+    """What any correct PCA of standardised columns has: variances that sum to the number of columns and whose squares sum to those of all correlations,
+    a running share that rises to 1 (W5), and projections without correlation whose variances are the first two."""
+    e = written(impute(FX.scored_encounters(s, d), "median", cols=FX.LABS), "pca-rows")
+    ev, cum, proj = TR.pca(e, FEATS)
+    var = [v * len(FEATS) for v in ev]
+    got = proj.agg(F.var_pop("pc1").alias("one"), F.var_pop("pc2").alias("two"), F.covar_pop("pc1", "pc2").alias("both")).first()
+    falling = all(a >= b - 1e-12 for a, b in zip(ev, ev[1:])) and all(abs(c - sum(ev[:i + 1])) < 1e-9 for i, c in enumerate(cum))
+    projected = abs(got["one"] - var[0]) < 1e-6 and abs(got["two"] - var[1]) < 1e-6 and abs(got["both"]) < 1e-6
+    return s.createDataFrame([(len(ev), sum(var), sum(v * v for v in var), cum[-1], falling, projected)],
+                             "components bigint, variance double, squares double, last_share double, falling_ok boolean, projection_ok boolean")
+
+
+register("e22_w5_pca_moments",
+         FX.with_views("scored") + f", imp AS ({median_fill('scored', FX.LABS)}) SELECT CAST({len(FEATS)} AS BIGINT) AS components, CAST({len(FEATS)} AS DOUBLE) AS variance, "
+         + " + ".join(f"pow(corr({a}, {b}), 2)" for a in FEATS for b in FEATS)
+         + " AS squares, CAST(1 AS DOUBLE) AS last_share, true AS falling_ok, true AS projection_ok FROM imp",
+         doubles=["variance", "squares", "last_share"], family="features")(_q_pca_moments)
+
+
 def _q_x7(s, d):
     """Platt scaling fitted on the training rows, the strongest feature beside it, on the row itself."""
     from .q_misc import contributions
