@@ -99,3 +99,20 @@ def test_reweighted_covariance_is_consistent_on_normal_rows(spark):
     assert np.allclose(np.diag(fit["covariance"]) / [1.0, 4.0, 0.25], 1.0, atol=0.15)
     out, _ = MV.robust_mahalanobis(df, ["a", "b", "c"])
     assert [r["is_outlier"] for r in out.where("a IS NULL").collect()] == [False]
+
+
+def test_distance_cuts_are_exact_quantiles(spark, monkeypatch):
+    """One count a pass and fit: no expression per finalist and column pair, and the same cut as all distances sorted."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 3))
+    x[:300] = x[0]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(3)
+    fits = [(np.zeros(3), np.eye(3)), (x[0], np.eye(3) * 2)]
+    d = [MV._squares(list(x.T), mu, np.linalg.pinv(cov)) for mu, cov in fits]
+    for rows in (2048, 10):
+        monkeypatch.setattr(MV, "READ_ROWS", rows)
+        for p in (0.0, 0.0123, 0.5, 1.0):
+            assert MV._distance_cuts(df, ["a", "b", "c"], fits, p) == pytest.approx([float(np.quantile(v, p)) for v in d], rel=1e-14)
+    mu, cov = MV._near_moments(df, ["a", "b", "c"], fits, [float(np.quantile(v, 0.5)) for v in d])[1]
+    near = x[d[1] <= np.quantile(d[1], 0.5)]
+    assert np.allclose(mu, near.mean(axis=0)) and np.allclose(cov, np.cov(near, rowvar=False, bias=True))
