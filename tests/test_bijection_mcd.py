@@ -116,3 +116,19 @@ def test_distance_cuts_are_exact_quantiles(spark, monkeypatch):
     mu, cov = MV._near_moments(df, ["a", "b", "c"], fits, [float(np.quantile(v, 0.5)) for v in d])[1]
     near = x[d[1] <= np.quantile(d[1], 0.5)]
     assert np.allclose(mu, near.mean(axis=0)) and np.allclose(cov, np.cov(near, rowvar=False, bias=True))
+
+
+def test_permuted_rows_are_not_broadcast(spark, monkeypatch):
+    """Every row goes out once a repeat: an input's multiple, which no broadcast may hold."""
+    from cohortlens.operators import train as TR
+    plans = []
+
+    def auc_of(df, *args, by=(), **kw):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.groupBy(*by).agg(F.avg("label").alias("auc"))
+
+    monkeypatch.setattr(TR, "auc_of", auc_of)
+    monkeypatch.setattr(TR, "score", lambda model, df, *a: df)
+    df = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 2).alias("label"))
+    TR.permutation_importance(df, None, ["a"], "logistic", "id", repeats=4)
+    assert len(plans) == 2 and "BroadcastHashJoin" not in plans[1]
