@@ -87,3 +87,31 @@ def test_ledger_reads_every_file_once(spark, tmp_path, monkeypatch):
     small = LG.compact(spark, table)
     assert LG.reports(spark, small).count() == 7 and LG.corrupt(spark, small).count() == 1
     assert LG.new_files(spark, str(src), small).count() == 0
+
+
+def test_appended_records_share_files(spark, tmp_path, monkeypatch):
+    """Files grow with the records' bytes: one file (and folder) a record would be as many as there are records."""
+    from cohortlens.sources import files as FI
+    monkeypatch.setattr(FI, "RECORDS", 40)
+    rows = spark.range(100).repartition(1).selectExpr("CAST(id AS STRING) AS report_id", "'a' || chr(10) || '[{\"' AS comments", "CAST(NULL AS STRING) AS timestamp")
+    FI.append_json(rows, str(tmp_path / "in" / "reports"))
+    FI.append_json(rows.limit(1), str(tmp_path / "in" / "reports"))
+    save(tmp_path / "in", "bad.json", '{\n    "report_id": not json')
+    assert len(list((tmp_path / "in" / "reports").rglob("part-*"))) == 4
+    good, bad = FI.read_feedback_json(spark, str(tmp_path / "in"), str(tmp_path / "corrupt"))
+    assert sorted(int(r["report_id"]) for r in good.collect()) == sorted([0, *range(100)]) and bad.count() == 1
+    assert {r["comments"] for r in good.collect()} == {'a\n[{"'}
+
+
+def test_ledger_files_do_not_grow_with_days_times_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cohortlens.sources import files as FI
+    from cohortlens.sources import ledger as LG
+    src, table, day = str(tmp_path / "src"), str(tmp_path / "table"), F.substring("timestamp", 1, 10)
+    rows = spark.range(400).repartition(8).selectExpr("CAST(id AS STRING) AS report_id", "concat('2024-01-', lpad(CAST(1 + id % 20 AS STRING), 2, '0'), ' 10:00:00') AS timestamp")
+    LG.append_records(rows, src, day)
+    assert len(list((tmp_path / "src").rglob("*.json"))) == 20
+    assert LG.ingest(spark, src, table, FI.FEEDBACK_SCHEMA, day, multi_line=False) == 20
+    assert len(list((tmp_path / "table" / "rows").rglob("*.parquet"))) < 20
+    assert LG.reports(spark, table).groupBy("day").count().where("count = 20").count() == 20
