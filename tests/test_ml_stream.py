@@ -225,3 +225,35 @@ def test_column_forests_equal_walked_trees(spark):
     assert {r["a__outlier"] for r in out if r["a"] is None} == {None}
     far = [r["a__outlier"] for r in out if r["a"] == 9.0]
     assert np.mean(far) > 0.9
+
+
+def test_equal_prefixes_are_scored_once(spark):
+    """A feature with the background's value changes nothing and adds 0: its vector is not scored again."""
+    from cohortlens.operators.explain import sampled_shapley
+    df = spark.createDataFrame([(i, float(i), 1.0, 2.0) for i in range(10)], "id long, a double, b double, c double")
+    sizes = []
+
+    def score(frame):
+        frame = frame.cache()
+        sizes.append(frame.count())
+        return frame.withColumn("score", F.col("a") * 2 + F.col("b") - F.col("c"))
+
+    phi = {(r["id"], r["feature"]): r["contribution"] for r in sampled_shapley(df, score, ["a", "b", "c"], "id", df.limit(1), n_perm=3).collect()}
+    assert sizes[0] <= 10 * 3 * 2
+    assert all(abs(phi[i, "b"]) < 1e-12 and abs(phi[i, "c"]) < 1e-12 for i in range(10))
+    zero = df.first()["a"]
+    assert all(abs(phi[i, "a"] - 2 * (i - zero)) < 1e-9 for i in range(10))
+
+
+def test_correlations_by_products_equal_the_aggregate(spark):
+    from cohortlens.operators.profile import corr_pairs
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 3)) @ rng.normal(size=(3, 3)) + [1e4, 0, -5]
+    rows = [(*(None if rng.random() < 0.1 else float(v) for v in r), 3.7, None) for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, same double, none double").repartition(4)
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in corr_pairs(df, df.columns).collect()}
+    assert len(got) == 10 and all(v is None for (a, b), v in got.items() if {a, b} & {"same", "none"})
+    for a, b in [("a", "b"), ("a", "c"), ("b", "c")]:
+        assert got[a, b] == pytest.approx(df.select(F.corr(a, b)).first()[0], abs=1e-11)
+    plan = corr_pairs(df, df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert "corr(" not in plan  # one buffer set a pair made an aggregate of hundreds of columns
