@@ -41,7 +41,8 @@ CACHED_PIECE = 64
 LONG_PIECE = 96
 MERGED_AT_ONCE = 4096
 WIDTHS = [-(-n // 5) if n <= 20 else n.bit_length() + 5 for n in range(LONG_PIECE + 1)]
-FAR = 1 << 60
+FAR = (1 << 31) - 1  # no rank is as high
+SHORT_PIECE = 7
 EMPTY = np.uint64((1 << 64) - 1)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MAX_RANK_FILE = 64 << 20
@@ -210,6 +211,10 @@ class Words:
     def decode(self, ids: bytes | None) -> bytes:
         return b"".join(map(self.words.__getitem__, np.frombuffer(ids or b"", self.dtype).tolist()))
 
+    def decimal(self, ids: bytes | None) -> str:
+        """Decimal ids joined by commas."""
+        return str(np.frombuffer(ids or b"", self.dtype).tolist())[1:-1].replace(" ", "")
+
 
 class Ranks:
     """Merge ranks of a vocabulary, for encoding."""
@@ -217,8 +222,11 @@ class Ranks:
     def __init__(self, data: bytes):
         self.ranks = read_ranks(data)
         self.dtype = id_type(self.ranks)
-        self.single = np.array([self.ranks[bytes([b])] for b in range(256)])
+        if max(self.ranks.values()) >= FAR:
+            raise ValueError(f"ranks from {FAR} on are not supported")
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.probe = self._probe_table()
+        self.of_bytes = self.pair_ranks(np.repeat(self.single, 256), np.tile(self.single, 256))  # of two bytes, by 256 * first + second
         self.cache: dict[bytes, bytes] = {}
 
     def _probe_table(self):
@@ -226,9 +234,9 @@ class Ranks:
         known = [((self.ranks[w[:k]] << 32) | self.ranks[w[k:]], i) for w, i in self.ranks.items()
                  for k in range(1, len(w)) if w[:k] in self.ranks and w[k:] in self.ranks]
         pairs = np.array([k for k, _ in known], np.uint64)
-        ranks = np.array([i for _, i in known], np.int64)
+        ranks = np.array([i for _, i in known], np.int32)
         bits = max(8, int(4 * len(pairs)).bit_length())
-        keys, values = np.full(1 << bits, EMPTY, np.uint64), np.full(1 << bits, FAR, np.int64)
+        keys, values = np.full(1 << bits, EMPTY, np.uint64), np.full(1 << bits, FAR, np.int32)
         slot, left, longest = (pairs * SPREAD) >> np.uint64(64 - bits), np.arange(len(pairs)), 0
         while len(left):
             longest += 1
@@ -243,7 +251,7 @@ class Ranks:
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of every adjacent pair; FAR where there is none (-1 stands beyond the piece)."""
         keys, values, shift, longest = self.probe
-        out = np.full(len(a), FAR, np.int64)
+        out = np.full(len(a), FAR, np.int32)
         at = np.flatnonzero((a >= 0) & (b >= 0))
         want = (a[at].astype(np.uint64) << np.uint64(32)) | b[at].astype(np.uint64)
         slot = (want * SPREAD) >> shift
@@ -262,16 +270,16 @@ class Ranks:
         piece joins its pair of lowest rank, the leftmost first."""
         n, width = len(pieces), max(map(len, pieces))
         size = np.fromiter(map(len, pieces), np.int64, n)
-        column = np.arange(width + 1)
+        column = np.arange(width + 1, dtype=np.int32)
         raw = np.frombuffer(b"".join(p.ljust(width + 1, b"\0") for p in pieces), np.uint8).reshape(n, width + 1)
-        ids = np.where(column < size[:, None], self.single[raw], -1)
-        after = np.minimum(column + 1, width) + np.zeros((n, 1), np.int64)
-        ahead = column - 1 + np.zeros((n, 1), np.int64)
-        ranks = np.full((n, width + 1), FAR, np.int64)
-        ranks[:, :-1] = self.pair_ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width)
+        ids = np.where(column < size[:, None], self.single[raw], np.int32(-1))
+        after = np.minimum(column + 1, width) + np.zeros((n, 1), np.int32)
+        ahead = column - 1 + np.zeros((n, 1), np.int32)
+        ranks = np.full((n, width + 1), FAR, np.int32)
+        ranks[:, :-1] = np.where(ids[:, 1:] >= 0, self.of_bytes[raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]], FAR)
         rows = np.arange(n)
         while len(rows):
-            i = ranks[rows].argmin(axis=1)
+            i = (ranks if len(rows) == n else ranks[rows]).argmin(axis=1)
             low = ranks[rows, i]
             on = low != FAR
             rows, i, low = rows[on], i[on], low[on]
@@ -355,6 +363,25 @@ class Ranks:
         cache.update((p, ids) for p, ids in found.items() if len(p) <= CACHED_PIECE)
         return out
 
+    def ids_of(self, raw: bytes, cut: np.ndarray) -> list[bytes]:
+        """Packed ids of the pieces of ``raw`` that begin at ``cut``.  Short ones are told apart by one number, their bytes and length, so that each
+        distinct one is cut out and looked up once."""
+        sizes = np.diff(cut, append=len(raw))
+        words = np.ndarray(len(raw), "<u8", raw + bytes(8), strides=(1,))  # the eight bytes from every place on
+        short = sizes <= SHORT_PIECE
+        at = np.flatnonzero(short)
+        bits = sizes[at].astype(np.uint64) << np.uint64(3)
+        keys = words[cut[at]] & ((np.uint64(1) << bits) - np.uint64(1)) | sizes[at].astype(np.uint64) << np.uint64(56)
+        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        at, others = at[first], np.flatnonzero(~short)
+        place = np.empty(len(cut), np.int64)
+        place[short] = which
+        place[others] = np.arange(len(at), len(at) + len(others))
+        each = np.concatenate([at, others])
+        begin = cut[each]
+        pieces = [raw[a:b] for a, b in zip(begin.tolist(), (begin + sizes[each]).tolist())]
+        return list(map(self.lookup(pieces).__getitem__, place.tolist()))
+
     def encode(self, texts: list[bytes | None], offsets: bool = True) -> list[tuple[bytes, np.ndarray | None]]:
         """For each text: packed ids, and, where wanted, byte offsets of its pieces."""
         strings = [(t or b"").decode("utf-8", "replace") for t in texts]
@@ -371,9 +398,8 @@ class Ranks:
             for low in (0x80, 0x800, 0x10000):
                 width += points >= low
             cut = (np.cumsum(width, dtype=np.int64) - width)[starts]
-        cut = cut.tolist()
-        pieces = [raw[a:b] for a, b in zip(cut, cut[1:] + [len(raw)])]
-        ids = self.lookup(pieces)
+        ids = self.ids_of(raw, cut)
+        cut = cut.tolist() if offsets else cut
         out, first = [], 0
         for end in np.searchsorted(starts, ends).tolist():  # where each text's separator stands
             places = np.array(cut[first:end], np.int64) if offsets else None
@@ -436,13 +462,15 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False,
     return df.select(utf8(text).alias("__text"), *keep).mapInArrow(tidy(run), schema)
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded", offsets: str | None = None) -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded", offsets: str | None = None, decimal: str | None = None) -> DataFrame:
     """Add ``into``: the bytes of the packed ids; null ids give no bytes.  With ``offsets``, the column of the pieces' first bytes, these
-    must stand at first bytes of tokens in what is decoded (null offsets are not checked)."""
+    must stand at first bytes of tokens in what is decoded (null offsets are not checked).  With ``decimal``, a column of this name is added too:
+    the decimal ids joined by commas, as ``id_text`` writes them."""
     small_batches(df.sparkSession)
     shared = SharedRanks(df.sparkSession, path)
-    keep = [c for c in df.columns if c != into]
-    schema = T.StructType([f for f in df.schema.fields if f.name in keep] + [T.StructField(into, T.BinaryType())])
+    keep = [c for c in df.columns if c not in (into, decimal)]
+    schema = T.StructType([f for f in df.schema.fields if f.name in keep] + [T.StructField(into, T.BinaryType())]
+                          + ([T.StructField(decimal, T.StringType())] if decimal else []))
     at = keep.index(ids)
 
     def run(batches):
@@ -455,8 +483,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded", of
                     for i, packed in enumerate(batch.column(at).to_pylist()):
                         if column[i].is_valid:
                             words.check(packed, values[cuts[i]:cuts[i + 1]])
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(map(words.decode, batch.column(at).to_pylist()), pa.binary())], [*keep, into])
+                packed = batch.column(at).to_pylist()
+                cols, names = [*batch.columns, pa.array(map(words.decode, packed), pa.binary())], [*keep, into]
+                if decimal:
+                    cols.append(pa.array(map(words.decimal, packed), pa.string()))
+                    names.append(decimal)
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return df.select(*keep).mapInArrow(tidy(run), schema)
 

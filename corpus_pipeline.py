@@ -41,8 +41,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed, little-endian, two bytes an id), with digests of the decimal ids and of the bytes that decoding gives."""
     path = rank_file()
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
-    return done.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2(bpe.id_text(F.col("ids"), bpe.id_bytes(path)), 256).alias("ids_sha256"),
+    done = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path, decimal="id_text")
+    return done.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("id_text", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -89,3 +89,26 @@ def test_op1_keeps_offsets_and_decoding_checks_them(spark):
     with pytest.raises(Exception, match="piece offsets do not fit"):
         bad = bpe.encode(df, PATH, offsets=True).withColumn("piece_offsets", F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))
         bpe.decode(bad, PATH, offsets="piece_offsets").collect()
+
+
+def test_decimal_ids_beside_the_bytes(awkward):
+    done = bpe.decode(bpe.encode(awkward.withColumn("decimal", F.lit(1)), PATH), PATH, decimal="decimal")
+    nothing = done.withColumn("ids", F.lit(None).cast("binary")).drop("decoded", "decimal")
+    for rows in (done, bpe.decode(nothing, PATH, decimal="decimal")):
+        assert rows.count() == awkward.count()
+        assert rows.where(~F.col("decimal").eqNullSafe(bpe.id_text(F.col("ids"), bpe.id_bytes(PATH)))).count() == 0
+
+
+def test_short_pieces_are_looked_up_once(ranks, library):
+    # lengths around the key's, the same bytes at other lengths, zero bytes and pieces at the very end
+    texts = ["ab abc abcdefg abcdefgh abcdefghi", "\0\0 \0", "a", "", "ab" * 4, "abcdefg", " abcdef abcdef  abcdefg", "é éé ééé éééé"] * 3
+    seen = []
+    lookup = ranks.lookup
+    ranks.lookup = lambda pieces: seen.extend(pieces) or lookup(pieces)
+    try:
+        for text, (ids, _) in zip(texts, ranks.encode([t.encode() for t in texts])):
+            assert np.frombuffer(ids, "<u2").tolist() == library.encode_ordinary(text), text
+    finally:
+        ranks.lookup = lookup
+    short = [p for p in seen if len(p) <= bpe.SHORT_PIECE]
+    assert len(short) == len(set(short))
