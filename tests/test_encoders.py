@@ -54,3 +54,19 @@ def test_dtype_histogram_and_target_guess(spark):
     counts = {tuple(r) for r in counts.collect()} if hasattr(counts, "collect") else set(counts.items())
     assert {n for _, n in counts} == {1, 2} and sum(n for _, n in counts) == 4
     assert EN.guess_target(df) is not None
+
+
+def test_power_search_takes_each_place_once_in_one_pass(spark, monkeypatch):
+    import numpy as np
+    x = [*np.random.default_rng(5).lognormal(1.0, 0.7, 400).tolist(), *np.random.default_rng(6).normal(0, 2, 200).tolist(), None]
+    df = spark.createDataFrame([(v, 2.0) for v in x], "a double, same double").repartition(3)
+    asked, sums = [], EN._power_sums
+    monkeypatch.setattr(EN, "_power_sums", lambda data, places, centres: asked.append(places) or sums(data, places, centres))
+    EN.search_yeo_johnson(df, ["a", "same"])
+    each = [lam for places in asked for lam in places["a"]]
+    assert len(each) == len(set(each)) and all(list(p) == ["a"] for p in asked)
+    lams = [-2.0, -0.3, 0.0, 1.0, 1.7, 2.0]
+    got = sums(df, {"a": lams}, {"a": 2.5})
+    for lam in lams:
+        want = df.select(F.var_pop(EN._yj(F.col("a"), lam))).first()[0]
+        assert abs(got["a", lam] - want) <= 1e-9 * want
