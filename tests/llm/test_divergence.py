@@ -90,3 +90,10 @@ def test_awkward_and_empty(spark, awkward, empty):
     for least in (1, 30):
         assert result(divergence.audit(awkward.withColumn("term", awkward["text"]).withColumn("n", awkward["doc_id"]), least)) == expected(rows, least)
     assert divergence.audit(empty).count() == 0
+
+
+def test_terms_of_every_pair_of_bytes():
+    text = b"".join(bytes([65 + a % 26, a, b]) for a in range(256) for b in range(256))
+    lower = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+    assert divergence.terms_of(text) == re.findall(rb"[a-z\x80-\xff]+", text.translate(lower))
+    assert divergence.terms_of(b"") == divergence.terms_of(None) == [] and len(divergence._LOWER) == 256
