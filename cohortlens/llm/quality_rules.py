@@ -20,7 +20,7 @@ import pickle
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +40,11 @@ RIDGE = 1e-4
 ROUNDS = 60
 PIECE = 1 << 17
 SLICE_BYTES = 2 << 20
+#: A text's vector takes some 15 times its bytes.
+VECTOR_SLICE_BYTES = 1 << 18
+#: The Arrow form of Spark's vector type.
+VECTOR = pa.struct([pa.field("type", pa.int8(), False), pa.field("size", pa.int32()), pa.field("indices", pa.list_(pa.field("element", pa.int32(), False))),
+                    pa.field("values", pa.list_(pa.field("element", pa.float64(), False)))])
 #: Characters that count as symbols, and ASCII white space.
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -133,20 +138,28 @@ def _sample(docs: DataFrame, rows, text: str, row_id: str) -> DataFrame:
     return bodies.join(F.broadcast(ids), "__id").select("__id", "y", "__body")
 
 
+def vector_batches(batches):
+    """Batches of texts and labels as batches of labels and sparse vectors, in the form of Spark's vector type (0: sparse).  One text's dense values
+    are held at a time."""
+    reader = Reader()
+    for whole in batches:
+        for batch in text_slices(whole, 0, VECTOR_SLICE_BYTES):
+            at, values = [], []
+            for text in batch.column(0).to_pylist():
+                dense = features(text, reader.words(text)[1])
+                at.append(np.flatnonzero(dense).astype(np.int32))
+                values.append(dense[at[-1]])
+            n, ends = len(at), pa.array(np.cumsum([0, *map(len, at)]), pa.int32())
+            indices = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(at)), type=VECTOR.field("indices").type)
+            filled = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values)), type=VECTOR.field("values").type)
+            vectors = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, 2 * BUCKETS, np.int32)), indices, filled], fields=list(VECTOR))
+            yield pa.RecordBatch.from_arrays([batch.column(1), vectors], ["label", "features"])
+
+
 def _sparse(rows: DataFrame) -> DataFrame:
-    def run(batches):
-        reader = Reader()
-        for whole in batches:
-            for batch in text_slices(whole, 0, SLICE_BYTES):
-                values = [features(t, reader.words(t)[1]) for t in batch.column(0).to_pylist()]
-                at = [np.flatnonzero(v) for v in values]
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())),
-                                                  pa.array([v[a] for v, a in zip(values, at)], pa.list_(pa.float64()))], ["y", "at", "v"])
-
-    vector = F.udf(lambda at, v: Vectors.sparse(2 * BUCKETS, at, v), VectorUDT())  # of the sample's rows only
-    # written in between, so that no task has two Python workers at once
-    hashed = shared_table(rows.select("__body", "y").mapInArrow(tidy(run), "y int, at array<int>, v array<double>"), "quality-hashed")
-    return hashed.select(F.col("y").cast("double").alias("label"), vector("at", "v").alias("features"))
+    """Labels and vectors of the sample.  The Arrow map returns Spark's vectors as they are: no second Python step builds them row by row."""
+    schema = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())])
+    return rows.select("__body", F.col("y").cast("double").alias("label")).mapInArrow(tidy(vector_batches), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str = "text", label: str = "quality") -> dict:

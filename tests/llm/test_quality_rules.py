@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cohortlens.llm import quality_rules as rules
@@ -84,3 +86,41 @@ def test_awkward_rows_and_missing_labels(spark, awkward, empty):
         assert rules.judge(empty, rules.fit(empty, labels)).count() == 0
     assert {r["p_good"] for r in rules.judge(clash, rules.fit(clash, one)).collect()} == {0.0}
     assert {r["p_good"] for r in rules.judge(clash, rules.fit(clash, none)).collect()} == {1.0}
+
+
+def test_vectors_hold_one_dense_text_at_a_time():
+    """A batch of many short texts takes the room of its sparse vectors, not a dense row of 2 * BUCKETS values a text (some 130 MB here)."""
+    bodies = [" ".join(t.split()[:30]).encode() for t in texts(7, 1000)] + [b""]
+    batch = pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary()), pa.array([1.0] * len(bodies))], ["__body", "label"])
+    list(rules.vector_batches([batch.slice(0, 1)]))
+    tracemalloc.start()
+    try:
+        made = list(rules.vector_batches([batch]))
+        assert tracemalloc.get_traced_memory()[1] < 30e6
+    finally:
+        tracemalloc.stop()
+    vectors = [v for b in made for v in b.column(1).to_pylist()]
+    assert len(vectors) == len(bodies)
+    for body, v in zip(bodies, vectors):
+        assert (v["type"], v["size"]) == (0, 2 * rules.BUCKETS)
+        dense = np.zeros(2 * rules.BUCKETS)
+        dense[v["indices"]] = v["values"]
+        assert np.array_equal(dense, rules.features(body, rules.Reader().words(body)[1]))
+
+
+def test_fit_has_one_python_step_a_text(spark, monkeypatch):
+    """What the fit writes comes from one Arrow map; no second Python step takes the vectors' values row by row."""
+    plans, write = [], rules.shared_table
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(rules, "shared_table", seen)
+    bodies = texts(8, 80)
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("**x**" in t)) for i, t in enumerate(bodies)], "doc_id long, quality int")
+    model = rules.fit(docs, labels)
+    assert model["weights"] is not None and len(model["weights"]) == 2 * rules.BUCKETS and np.any(model["weights"])
+    assert plans and sum("MapInArrow" in p for p in plans) == 1
+    assert not any("EvalPython" in p for p in plans)
