@@ -94,6 +94,45 @@ def _brute_knn(x, ids, k):
     return out, d
 
 
+def test_a_point_near_no_border_stays_in_its_cell():
+    from cohortlens.operators import neighbours as NB
+    x = np.random.default_rng(2).uniform(size=(60_000, 5))
+    boxes = NB.Boxes(x[:800], 6)
+    cell, _ = boxes.assign(x)
+    assert boxes.cells == 6 and np.bincount(cell).min() > 5_000
+    boxes.measured([{f"{n}{i}": f(x[cell == c, i]) for i in range(5) for n, f in (("low", np.min), ("high", np.max))} for c in range(6)], 5)
+    copies = 0
+    for c in range(6):
+        own = x[cell == c]
+        own = own[NB._runs(own)]
+        bound = NB._kth(own, 20)
+        near = boxes.may_hold(own, bound)
+        copies += near.sum()
+        assert near[:, c].all()
+        far = ((own[:50, None, :] - x[None, ::1]) ** 2).sum(axis=-1)
+        within = np.sqrt(far) <= bound[:50, None]
+        assert (within.sum(axis=1) >= 21).all() and not (within & ~near[:50][:, cell]).any()
+    assert copies < 3 * len(x)  # pivots of 1,024 rows sent about 60 copies
+
+
+def test_equal_points_send_k_pairs_each():
+    from cohortlens.operators import neighbours as NB
+    x, ids = np.ones((1000, 3)), np.arange(1000)
+    bound = NB._kth(x, 20)
+    got = [np.concatenate(c) for c in zip(*NB._nearest(ids, x, bound, ids, x, 20))]
+    assert len(got[0]) == 20_000 and got[1][got[0] == 500].tolist() == list(range(20)) and got[1][got[0] == 3].tolist() == [0, 1, 2, *range(4, 21)]
+
+
+def test_knn_with_ties_and_one_heavy_point(spark):
+    from cohortlens.operators.neighbours import knn
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.integers(0, 4, size=(600, 3)), np.full((500, 3), 2.0), rng.normal(size=(400, 3)) * 50]).astype(float)
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, v array<double>")
+    got = {(r["id"], r["nbr"], r["rank"]) for r in knn(df, "id", "v", 5, 120).collect()}
+    assert got == _brute_knn(x, ids, 5)[0]
+
+
 @pytest.mark.parametrize("block_rows", [1024, 40])
 def test_knn_is_exact(spark, block_rows):
     from cohortlens.operators.neighbours import knn
