@@ -187,6 +187,25 @@ def test_stream_equals_batch(spark):
     assert st.exceptAll(b).count() == 0 and b.exceptAll(st).count() == 0
 
 
+def test_sampled_shapley_uses_all_cores(spark, monkeypatch):
+    """A table of one split is many tasks, more of them where there are more vectors, and gives the same values."""
+    from pyspark.sql import functions as F
+    from cohortlens.operators import explain
+    df = spark.range(60, numPartitions=1).select(F.col("id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    seen = []
+
+    def score(frame):
+        seen.append(frame.rdd.getNumPartitions())
+        return frame.withColumn("score", 2 * F.col("a") - F.col("b") * F.col("a"))
+
+    def values():
+        return sorted(tuple(r) for r in explain.sampled_shapley(df, score, ["a", "b"], "id", df.limit(3), n_perm=3).collect())
+    few = values()
+    monkeypatch.setattr(explain, "TASK_VECTORS", 20)
+    assert values() == few and len(few) == 120
+    assert seen == [2 * spark.sparkContext.defaultParallelism, 27]  # 60 rows of 9 vectors, 20 a task
+
+
 def test_sampled_shapley_additivity_linear(spark):
     """Permutation-sampling Shapley on a linear scorer equals w_j (x_j - z̄_j)
     when every permutation uses the same background row: check efficiency
