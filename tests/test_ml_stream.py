@@ -376,3 +376,21 @@ def test_kfold_platt_scores_rows_in_one_pass(spark):
     both = np.mean(chance[0.5] + chance[-0.5])
     assert set(got) == {(1, 0.5), (1, -0.5), (2, 0.1)}
     assert abs(got[1, 0.5] - both) < 1e-9 and abs(got[1, -0.5] - both) < 1e-9 and abs(got[2, 0.1] - np.mean(chance[0.1])) < 1e-9
+
+
+@pytest.mark.parametrize("query", ["m01_m05_model_comparison", "m23_efficiency"])
+def test_compared_models_score_a_row_once(spark, monkeypatch, query):
+    """Counts and ranks read written scores: no plan that is evaluated holds the model."""
+    from cohortlens.plans import q_ml
+    from cohortlens.plans.catalog import REGISTRY
+    plans, evaluate = [], q_ml.ME.evaluate
+
+    def seen(df, *a, **kw):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return evaluate(df, *a, **kw)
+    monkeypatch.setattr(q_ml.ME, "evaluate", seen)
+    monkeypatch.setattr(q_ml, "KINDS", ["logistic", "svm_linear"])
+    monkeypatch.setattr(q_ml, "REGISTERED", [("standard_lr", "logistic", False), ("calibrated_lr", "logistic", True)])
+    rows = REGISTRY[query].run(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 2 and all(0 < r["auc"] <= 1 for r in rows)
+    assert len(plans) == 2 and not any("UDF" in p or "Join" in p for p in plans)
